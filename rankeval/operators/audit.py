@@ -12,6 +12,7 @@ from rankeval.functions.stats import chi_square_p
 from rankeval.operators.debias import ctr_curve
 from rankeval.operators.metrics import unpivot
 from rankeval.operators.ranges import exact_percentiles
+from rankeval.sources.staging import stage
 
 _CHUNKS = 64
 
@@ -35,7 +36,7 @@ def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), nam
 def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Counts of value pairs with both margins and the total; margins are joined, never collected."""
     by = list(by)
-    cells = df.groupBy(*by, a, b).agg(F.count("*").alias("n_ab"))
+    cells = stage(df.groupBy(*by, a, b).agg(F.count("*").alias("n_ab")))
     na = cells.groupBy(*by, a).agg(F.sum("n_ab").alias("n_a"))
     nb = cells.groupBy(*by, b).agg(F.sum("n_ab").alias("n_b"))
     out = cells.join(nb, [*by, b]).join(na, [*by, a])
@@ -45,7 +46,10 @@ def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFr
 
 def mutual_information(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Mutual information of two categorical columns in nats."""
-    cells = contingency(df, a, b, by)
+    return _information(contingency(df, a, b, by), by)
+
+
+def _information(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     p = F.col("n_ab") / F.col("n")
     ratio = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
     return cells.groupBy(*by).agg(F.sum(p * F.log(ratio)).alias("mi"), F.max("n").alias("n"))
@@ -54,7 +58,7 @@ def mutual_information(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) ->
 def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Chi-square test of independence, continuity-corrected only for a 2 x 2 table."""
     by = list(by)
-    cells = contingency(df, a, b, by)
+    cells = stage(contingency(df, a, b, by))
     expected = F.col("n_a").cast("double") * F.col("n_b") / F.col("n")
     stats = cells.groupBy(*by).agg(
         (F.sum(F.col("n_ab").cast("double") * F.col("n_ab") / expected) - F.max("n")).alias("_plain"),
@@ -116,8 +120,9 @@ def permutation_mi(
     its own chunk.
     """
     by = list(by)
-    observed = mutual_information(df, a, b, by)
-    cells = df.groupBy(*by, a, b).agg(F.count("*").alias("_c"))
+    table = stage(contingency(df, a, b, by))
+    observed = _information(table, by)
+    cells = table.withColumnRenamed("n_ab", "_c")
     na = cells.groupBy(*by, a).agg(F.sum("_c").alias("_na"))
     na = na.withColumn("chunk", F.pmod(F.xxhash64(F.col(a)), F.lit(_CHUNKS)).cast("int"))
     chunks = na.groupBy(*by, "chunk").agg(
@@ -191,7 +196,8 @@ def permutation_mi(
 def _binned_features(
     df: DataFrame, features: Sequence[str], by: Sequence[str], position: str, max_pos: int, q: int
 ) -> DataFrame:
-    long = unpivot(df.where(F.col(position) < max_pos), [*by, position], features)
+    narrow = stage(df.where(F.col(position) < max_pos).select(*by, position, *features))
+    long = unpivot(narrow, [*by, position], features)
     g = [*by, "feature"]
     values = long.groupBy(*g, "value").agg(F.count("*").alias("_c"))
     c, v = F.col("_c").cast("double"), F.col("value")
@@ -215,7 +221,7 @@ def score_position_mi(
 def category_coverage(df: DataFrame, c: str, by: Sequence[str] = (), min_rows: int = 100) -> DataFrame:
     """Distinct values, entropy in bits, its maximum and ratio, share of the five largest values."""
     by = list(by)
-    counts = df.groupBy(*by, F.col(c).cast("string").alias(c)).agg(F.count("*").alias("_c"))
+    counts = stage(df.groupBy(*by, F.col(c).cast("string").alias(c)).agg(F.count("*").alias("_c")))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.count("*").alias("n_values"))
     totals = totals.where(F.col("n") >= min_rows)
     if by:
@@ -255,6 +261,7 @@ def unbiasedness_audit(
     Groups below ``min_rows`` rows are left out of the independence tests.
     """
     rows = df.withColumn("slice", F.when(in_slice, "tagged").otherwise("rest"))
+    rows = stage(rows.select("slice", feed, category, position, label, *features))
     meta = slice_meta(rows, "slice", feed)
     large = meta.where(F.col("rows") >= min_rows).select("slice")
     tested = rows.join(large, "slice", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankeval.functions.stats import t_test_p
 from rankeval.operators.metrics import auc, counterfactual_ndcg, rank_table
+from rankeval.sources.staging import stage
 
 
 def ctr_by_position(
@@ -93,9 +94,9 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
     """
     by = list(by)
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = rows.groupBy(*by, a, b).agg(F.count("*").alias("_c"))
-    ranks_a = rank_table(rows, a, by).select(*by, a, F.col("average_rank").alias("_ra"))
-    ranks_b = rank_table(rows, b, by).select(*by, b, F.col("average_rank").alias("_rb"))
+    pairs = stage(rows.groupBy(*by, a, b).agg(F.count("*").alias("_c")))
+    ranks_a = rank_table(pairs, a, by, F.col("_c")).select(*by, a, F.col("average_rank").alias("_ra"))
+    ranks_b = rank_table(pairs, b, by, F.col("_c")).select(*by, b, F.col("average_rank").alias("_rb"))
     ranked = pairs.join(ranks_b, [*by, b]).join(ranks_a, [*by, a])
     c, x, y = F.col("_c").cast("double"), F.col("_ra"), F.col("_rb")
     sums = ranked.groupBy(*by).agg(
@@ -128,7 +129,8 @@ def debias_report(
     cells = F.array(
         *[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("_score")) for n, c in names.items()]
     )
-    long = df.select(*by, feed, label, position, (1.0 / F.col("propensity")).alias("_w"), F.inline(cells))
+    narrow = stage(df.select(*by, feed, label, position, "propensity", *set(names.values())))
+    long = narrow.select(*by, feed, label, position, (1.0 / F.col("propensity")).alias("_w"), F.inline(cells))
     g = [*by, "model"]
     raw = auc(long, "_score", label, g).select(*g, "n", F.col("auc").alias("raw_auc"))
     weighted = auc(long, "_score", label, g, weight="_w").select(*g, F.col("auc").alias("ipw_auc"))

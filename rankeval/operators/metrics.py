@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rankeval.functions.scores import clip, valid_score
 from rankeval.operators.ranges import ordered_index, prefix_sums
 from rankeval.operators.sampling import random_score
+from rankeval.sources.staging import stage
 
 
 def _col(c: Column | str) -> Column:
@@ -38,9 +39,13 @@ def rank_by_score(df: DataFrame, feed: str, score: str, ties: Sequence[str], nam
     return ordered_index(keyed, [feed], ["_neg", *ties], name).drop("_neg")
 
 
-def rank_table(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values of ``c`` per group with their count and average rank (1-based)."""
-    counted = df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("ties"))
+def rank_table(df: DataFrame, c: str, by: Sequence[str] = (), rows: Column | None = None) -> DataFrame:
+    """Distinct values of ``c`` per group with their count and average rank (1-based).
+
+    ``rows`` is the number of rows a row of ``df`` stands for when ``df`` is already counted.
+    """
+    ties = F.count("*") if rows is None else F.sum(rows)
+    counted = stage(df.where(F.col(c).isNotNull()).groupBy(*by, c).agg(ties.alias("ties")))
     ranked = prefix_sums(counted, by, [c], {"_below": "ties"})
     return ranked.withColumn("average_rank", F.col("_below") + (F.col("ties") + 1) / 2).drop("_below")
 
@@ -66,7 +71,7 @@ def auc(
     s, y = _col(score), _col(label)
     w = F.lit(1) if weight is None else _col(weight)
     scored = df.select(*by, s.cast("double").alias("_s"), y.cast("int").alias("_y"), w.alias("_w"))
-    counted = (
+    counted = stage(
         scored.where(valid_score(F.col("_s")))
         .groupBy(*by, "_s")
         .agg(
@@ -168,7 +173,7 @@ def counterfactual_ndcg(
     """M7: NDCG@k of the model order, of the display order, and their difference."""
     both = F.array(
         F.struct(F.lit("model").alias("_order"), F.col(score).cast("double").alias("_v")),
-        F.struct(F.lit("display").alias("_order"), -F.col(position).cast("double").alias("_v")),
+        F.struct(F.lit("display").alias("_order"), (-F.col(position).cast("double")).alias("_v")),
     )
     long = df.select(*by, feed, label, F.inline(both))
     scored = ndcg(long, feed, label, "_v", k, [*by, "_order"])

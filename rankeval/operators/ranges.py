@@ -5,7 +5,8 @@ key holds a third of a table (or there is no key at all) that task is the job.
 *hot* groups into ordered sub-ranges first:
 
 1. a hash-chosen sample of the order keys (a pure function of the data, so a recomputed task sees the same
-   rows) tells which groups hold more than ``1 / hot_share`` of all rows;
+   rows) tells which groups hold more than ``1 / hot_share`` of all rows; if there are none, the plain window
+   is used;
 2. for those groups only, sample quantiles become range bounds -- at most ``parts`` bounds in total, whatever
    the data size, so the table of bounds may be broadcast;
 3. the window runs per ``(group, range)`` and the totals of the preceding ranges (again at most ``parts`` plus
@@ -22,6 +23,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rankeval.sources.staging import stage
+
 _CHUNK = 64  # bounds are searched in two steps: one coarse bound per 64, then inside one chunk
 
 
@@ -31,7 +34,7 @@ class RangePlan:
     ``min_sample`` sampled rows are never cut, a range aims at ``1 / parts`` of all rows."""
 
     every: int = 1024
-    min_sample: int = 64
+    min_sample: int = 1024
     parts: int = 4096
     hot_share: int = 1024
 
@@ -101,9 +104,8 @@ def _bucket_of(x: Column, bounds: Column, coarse: Column) -> Column:
     return F.when(bounds.isNull(), F.lit(0)).otherwise(c * _CHUNK + fine)
 
 
-def with_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _with_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str], bounds: DataFrame) -> DataFrame:
     """Add ``_bucket`` (order-preserving range number inside the group) and ``_hot``."""
-    bounds = _hot_bounds(df, by, order)
     if by:
         out = df.join(F.broadcast(_renamed_keys(bounds, by, "b")), _same_keys(by, "b"), "left")
     else:
@@ -121,30 +123,35 @@ def prefix_sums(
     """For every row the sums of ``sums`` over the rows of its group that sort strictly before it.
 
     ``order`` are names of ascending columns (nulls first); make them a total order of the group, or
-    aggregate ties beforehand, if ties must not depend on the input order.
+    aggregate ties beforehand, if ties must not depend on the input order.  Looking for hot groups reads the
+    key and order columns of ``df`` once, so hand in a staged table if ``df`` is costly to compute.
     """
     by, order = list(by), list(order)
     cols = {n: F.col(c) if isinstance(c, str) else c for n, c in sums.items()}
-    bucketed = with_buckets(df, by, order)
+    bounds = stage(_hot_bounds(df, by, order))
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    if bounds.isEmpty():
+        plain = before.partitionBy(*by).orderBy(*order)
+        return df.select("*", *[F.coalesce(F.sum(c).over(plain), zero).alias(n) for n, c in cols.items()])
+    bucketed = _with_buckets(df, by, order, bounds)
     parts = bucketed.where("_hot").groupBy(*by, "_bucket").agg(
         *[F.sum(c).alias(f"_t_{i}") for i, c in enumerate(cols.values())]
     )
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = before.partitionBy(*by).orderBy("_bucket")
     offsets = parts.select(
-        *by, "_bucket", *[F.sum(f"_t_{i}").over(before).alias(f"_off_{i}") for i in range(len(cols))]
+        *by, "_bucket", *[F.sum(f"_t_{i}").over(earlier).alias(f"_off_{i}") for i in range(len(cols))]
     )
     keys = [*by, "_bucket"]
     joined = bucketed.join(F.broadcast(_renamed_keys(offsets, keys, "f")), _same_keys(keys, "f"), "left")
-    inside = (
-        W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = before.partitionBy(*by, "_bucket").orderBy(*order)
+    return joined.select(
+        *df.columns,
+        *[
+            (F.coalesce(F.sum(c).over(inside), zero) + F.coalesce(F.col(f"_off_{i}"), zero)).alias(n)
+            for i, (n, c) in enumerate(cols.items())
+        ],
     )
-    out = joined
-    for i, (name, c) in enumerate(cols.items()):
-        zero = F.lit(0)
-        out = out.withColumn(
-            name, F.coalesce(F.sum(c).over(inside), zero) + F.coalesce(F.col(f"_off_{i}"), zero)
-        )
-    return out.select(*df.columns, *cols)
 
 
 def ordered_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -161,9 +168,8 @@ def exact_percentiles(
     ranked by range and only the two rows around each target rank are kept.  Nulls are ignored.
     """
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count("*").alias("_c")
-    )
+    present = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
+    counted = stage(present.agg(F.count("*").alias("_c")))
     ranked = prefix_sums(counted, by, ["_v"], {"_c0": "_c"})
     totals = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if by:
