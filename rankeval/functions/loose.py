@@ -10,6 +10,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
+from rankeval.functions.text import let
+
 # fixed pattern: what a float literal in text may look like (inner underscores, inf and nan included)
 FLOAT_TEXT = r"(?i)^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?\s*$"
 SPECIAL_FLOAT_TEXT = r"(?i)^\s*[+-]?(inf|infinity|nan)\s*$"
@@ -58,12 +60,11 @@ def truthy(v: Column, strict: bool = False) -> Column:
     By default any non-empty text ("false" and "0" included), non-zero number, true, or non-empty container
     counts; ``strict`` accepts only true and 1.
     """
-    t = kind(v)
-    if strict:
-        number = F.when(~t.isin("STRING", "VOID", "BOOLEAN"), get(v, "$", "double") == 1)
-        out = F.when(t == "BOOLEAN", get(v, "$", "boolean")).otherwise(number)
-    else:
-        out = (
+    def judged(t: Column) -> Column:
+        if strict:
+            number = F.when(~t.isin("STRING", "VOID", "BOOLEAN"), get(v, "$", "double") == 1)
+            return F.when(t == "BOOLEAN", get(v, "$", "boolean")).otherwise(number)
+        return (
             F.when(t == "BOOLEAN", get(v, "$", "boolean"))
             .when(t == "STRING", text_of(v) != "")
             .when(t == "VOID", False)
@@ -71,17 +72,15 @@ def truthy(v: Column, strict: bool = False) -> Column:
             .when(t.startswith("ARRAY"), F.size(get(v, "$", "array<variant>")) > 0)
             .otherwise(get(v, "$", "double") != 0)
         )
-    return F.coalesce(out, F.lit(False))
+
+    return F.coalesce(let(kind(v), judged), F.lit(False))
 
 
 def loose_int(v: Column) -> Column:
     """whole number of a loose value: numbers lose their fraction, texts must be plain integers."""
-    t = kind(v)
-    as_text = F.when(
-        text_of(v).rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"),
-        F.replace(F.trim(F.regexp_replace(text_of(v), r"\s", "")), F.lit("_"), F.lit("")).try_cast("bigint"),
-    )
-    return F.when(t == "STRING", as_text).when(t != "VOID", get(v, "$", "bigint"))
+    plain = lambda t: F.replace(F.regexp_replace(t, r"\s", ""), F.lit("_"), F.lit("")).try_cast("bigint")
+    as_text = let(text_of(v), lambda t: F.when(t.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), plain(t)))
+    return let(kind(v), lambda k: F.when(k == "STRING", as_text).when(k != "VOID", get(v, "$", "bigint")))
 
 
 def text_number(c: Column) -> Column:
@@ -92,11 +91,11 @@ def text_number(c: Column) -> Column:
 
 def loose_number(v: Column) -> Column:
     """Double of a loose value: numbers, booleans (1/0) and float literals; null for everything else."""
-    t = kind(v)
-    return (
-        F.when(t == "STRING", text_number(text_of(v)))
+    return let(
+        kind(v),
+        lambda t: F.when(t == "STRING", let(text_of(v), text_number))
         .when(t == "BOOLEAN", get(v, "$", "boolean").cast("double"))
-        .when(~(t.startswith("OBJECT") | t.startswith("ARRAY") | (t == "VOID")), get(v, "$", "double"))
+        .when(~(t.startswith("OBJECT") | t.startswith("ARRAY") | (t == "VOID")), get(v, "$", "double")),
     )
 
 

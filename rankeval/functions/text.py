@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 # fixed values: the characters a Unicode-aware strip removes
-_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_SPACE_BUT_NEWLINE = _SPACE.replace(r"\t-\r", r"\t\x0b-\r")
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,7 +20,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """remove white space of any kind from both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(c, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def one_line(c: Column) -> Column:
@@ -28,7 +30,7 @@ def one_line(c: Column) -> Column:
 
 def ellipsize(c: Column, n: int) -> Column:
     """texts above ``n`` code points keep ``n - 1`` of them and an ellipsis."""
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
+    return let(c, lambda t: F.when(F.length(t) > n, F.concat(F.substring(t, 1, n - 1), F.lit("…"))).otherwise(t))
 
 
 def trim_ts(c: Column) -> Column:
@@ -38,7 +40,12 @@ def trim_ts(c: Column) -> Column:
 
 def hang(c: Column, indent: str) -> Column:
     """Indent the second and later lines of a text by ``indent`` in place of their own leading space."""
-    return F.regexp_replace(c, f"\n[{_SPACE_BUT_NEWLINE}]*", f"\n{indent}")
+    lines = F.split(c, "\n")
+    rest = F.transform(
+        F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)),
+        lambda x: F.concat(F.lit(f"\n{indent}"), F.ltrim(x, F.lit(WHITE))),
+    )
+    return F.when(F.contains(c, F.lit("\n")), F.concat(F.get(lines, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
 
 
 def word_count(c: Column) -> Column:

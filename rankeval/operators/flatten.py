@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankeval.functions import context as ctx
+from rankeval.functions.text import let
 from rankeval.functions.loose import (
     get, is_object, json_array, json_objects, kind, loose_int, loose_number, text_of, truthy,
 )
@@ -17,6 +18,7 @@ RAW_FEED = {
     "candidate_cards": "string", "interests": "string", "negative_interests": "string", "shown_10d": "string",
     "interactions_90d": "string", "conversation": "string",
 }
+CARD_FIELDS = ["itemid", "title", "summary", "sectionIndex", "cardIndex"]
 
 
 def with_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -27,6 +29,8 @@ def with_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def _as_json(df: DataFrame, c: str) -> Column:
+    if c not in df.columns:
+        return F.lit(None).cast("string")
     return F.col(c) if isinstance(df.schema[c].dataType, T.StringType) else F.to_json(F.col(c))
 
 
@@ -71,67 +75,104 @@ def shown_cards(c: Column, require_features: bool = False) -> Column:
     """
 
     def index(v: Column, name: str) -> Column:
-        raw = get(v, f"$.{name}")
-        return F.when(raw.isNull(), F.lit(0).cast("bigint")).otherwise(loose_int(raw))
+        return let(
+            get(v, f"$.{name}"), lambda raw: F.when(raw.isNull(), F.lit(0).cast("bigint")).otherwise(loose_int(raw))
+        )
 
-    cards = F.filter(json_objects(c), is_impression)
-    if require_features:
-        cards = F.filter(cards, has_features)
+    def place(v: Column, i: Column) -> Column:
+        both = F.struct(index(v, "sectionIndex").alias("sec"), index(v, "cardIndex").alias("pos"))
+        zero = F.lit(0).cast("bigint")
+        return let(
+            both,
+            lambda b: F.when(
+                b.getField("sec").isNotNull() & b.getField("pos").isNotNull(),
+                F.struct(b.getField("sec").alias("sec"), b.getField("pos").alias("pos"), i.alias("i")),
+            ).otherwise(F.struct(zero.alias("sec"), zero.alias("pos"), i.alias("i"))),
+        )
 
-    def shape(v: Column, i: Column) -> Column:
-        sec, card = index(v, "sectionIndex"), index(v, "cardIndex")
-        ok = sec.isNotNull() & card.isNotNull()
+    def shape(v: Column) -> Column:
         return F.struct(
-            F.when(ok, sec).otherwise(0).alias("sec"),
-            F.when(ok, card).otherwise(0).alias("pos"),
-            i.alias("i"),
             F.coalesce(text_of(v, "$.itemid"), F.lit("")).alias("itemid"),
             F.coalesce(text_of(v, "$.title"), F.lit("")).alias("title"),
             F.coalesce(text_of(v, "$.summary"), F.lit("")).alias("summary"),
             text_of(v, "$.sectionIndex").alias("sectionIndex"),
             text_of(v, "$.cardIndex").alias("cardIndex"),
-            truthy(get(v, "$.is_clicked")).alias("is_clicked"),
-            F.when(has_features(v), F.to_json(get(v, "$.features"))).alias("features"),
+            let(get(v, "$.is_clicked"), lambda x: truthy(x)).alias("is_clicked"),
+            let(get(v, "$.features"), lambda f: F.when(is_object(f), get(f, "$", "map<string,variant>"))).alias("features"),
         )
 
-    return F.transform(
-        F.sort_array(F.transform(cards, shape)),
-        lambda x: x.dropFields("sec", "pos", "i").withField("features", F.try_parse_json(x.getField("features"))),
+    kept = F.filter(json_objects(c), is_impression)
+    if require_features:
+        kept = F.filter(kept, has_features)
+    # only the places are sorted; the cards are then picked in that order
+    return let(
+        kept,
+        lambda cards: F.transform(
+            F.sort_array(F.transform(cards, place)), lambda x: let(F.get(cards, x.getField("i")), shape)
+        ),
     )
 
 
-def _prepared(
-    feeds: DataFrame, lo: str, hi: str, tag: str, require_features: bool, max_history: int, max_interests: int,
-    max_groups: int, max_msgs: int,
+def _inline_feeds(
+    feeds: DataFrame, lo: str, hi: str, tag: str, require_features: bool, require_interests: bool, max_history: int,
+    max_interests: int, max_groups: int, max_msgs: int, rows_of: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """Filtered feeds with their context, cards not yet exploded; a single narrow stage."""
-    raw = with_missing_columns(feeds, {**RAW_FEED})
+    """Filter feeds and expand each into the structs of ``rows_of(cards, context)``; one narrow stage.
+
+    Everything is one expression under the generator, so each part is computed at most once per feed, and the
+    context only for feeds that still have cards.  As separate projections and filters the optimizer would
+    push the filters down and compute cards and interests twice.
+    """
+    raw = with_missing_columns(feeds, RAW_FEED)
     kept = raw.where(date_between(F.col("bizdate"), lo, hi))
     if tag:
         kept = kept.where(has_tag(F.col("flight_ids"), tag))
-    cards = kept.withColumn("cards", shown_cards(_as_json(kept, "candidate_cards"), require_features))
-    cards = cards.where(F.size("cards") > 0)
-    parsed = cards.withColumns(
-        {
-            "_pos": json_array(_as_json(kept, "interests"), ctx.INTEREST),
-            "_neg": json_array(_as_json(kept, "negative_interests"), ctx.INTEREST),
-            "_shown": json_array(_as_json(kept, "shown_10d"), ctx.EVENT),
-            "_inter": json_array(_as_json(kept, "interactions_90d"), ctx.EVENT),
-            "_conv": json_array(_as_json(kept, "conversation"), ctx.MESSAGE),
-        }
+    shown = json_array(_as_json(feeds, "shown_10d"), ctx.EVENT)
+    reactions = json_array(_as_json(feeds, "interactions_90d"), ctx.EVENT)
+    messages = json_array(_as_json(feeds, "conversation"), ctx.MESSAGE)
+    pos, neg = ctx.cap_interests(
+        ctx.interests(json_array(_as_json(feeds, "interests"), ctx.INTEREST)),
+        ctx.interests(json_array(_as_json(feeds, "negative_interests"), ctx.INTEREST)),
+        max_interests,
     )
-    pos, neg = ctx.cap_interests(ctx.interests(F.col("_pos")), ctx.interests(F.col("_neg")), max_interests)
-    return parsed.select(
-        F.coalesce("feed_id", F.lit("")).alias("feed_id"),
-        F.coalesce("user_id", F.lit("")).alias("user_id"),
-        day_of(F.col("bizdate")).alias("bizdate"),
-        F.coalesce("flight_ids", F.lit("")).alias("flight_ids"),
-        ctx.user_context(
-            pos, neg, ctx.group_conversations(F.col("_conv"), max_groups, max_msgs), ctx.clicked_titles(F.col("_shown")),
-            ctx.reaction_titles(F.col("_inter"), "thumbsUp"), ctx.reaction_titles(F.col("_inter"), "thumbsDown"),
-        ).alias("interests"),
-        ctx.shown_titles(F.col("_shown"), max_history).alias("shown_titles"),
-        "cards",
+
+    def context(positive: Column) -> Column:
+        parts = F.struct(shown.alias("shown"), reactions.alias("reactions"))
+        return let(
+            parts,
+            lambda p: F.struct(
+                ctx.user_context(
+                    positive, neg, ctx.group_conversations(messages, max_groups, max_msgs),
+                    ctx.clicked_titles(p.getField("shown")), ctx.reaction_titles(p.getField("reactions"), "thumbsUp"),
+                    ctx.reaction_titles(p.getField("reactions"), "thumbsDown"),
+                ).alias("interests"),
+                ctx.shown_titles(p.getField("shown"), max_history).alias("shown_titles"),
+            ),
+        )
+
+    def with_context(cards: Column) -> Column:
+        def build(positive: Column) -> Column:
+            rows = let(context(positive), lambda c: rows_of(cards, c))
+            return F.when(F.size(positive) > 0, rows) if require_interests else rows
+
+        return F.when(F.size(cards) > 0, let(pos, build))
+
+    expanded = let(shown_cards(_as_json(feeds, "candidate_cards"), require_features), with_context)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return kept.select(
+        blank("feed_id"), blank("user_id"), day_of(F.col("bizdate")).alias("bizdate"), blank("flight_ids"), F.inline(expanded)
+    )
+
+
+def _as_samples(rows: DataFrame, slice_tag: str) -> DataFrame:
+    flag = has_tag(F.col("flight_ids"), slice_tag).cast("int") if slice_tag else F.lit(0)
+    return rows.select(
+        "feed_id", "user_id", "bizdate", "flight_ids", flag.alias("is_tagged"),
+        F.col("card.is_clicked").cast("int").alias("label"),
+        "interests",
+        F.transform("shown_titles", lambda t: F.struct(t.alias("title"), F.lit("").alias("summary"))).alias("history"),
+        F.struct(*[F.col(f"card.{c}").alias(c) for c in CARD_FIELDS]).alias("candidate"),
+        F.col("card.features").alias("features"),
     )
 
 
@@ -142,38 +183,38 @@ def flatten_impressions(
 ) -> DataFrame:
     """One row per shown card with the user context of its feed.
 
-    No shuffle: the context is built once per feed and repeated by the explode.  ``require_interests`` drops
+    No shuffle: the context is built once per feed and repeated for its cards.  ``require_interests`` drops
     feeds without a positive interest.  ``max_feeds`` counts the feeds that survive every filter, in feed order.
     """
-    rows = _prepared(feeds, lo, hi, tag, require_features, max_history, max_interests, max_groups, max_msgs)
-    if require_interests:
-        rows = rows.where(F.size("interests.positive") > 0)
+    args = (lo, hi, tag, require_features, require_interests, max_history, max_interests, max_groups, max_msgs)
     if max_feeds is not None and max_feeds > 0:
-        rows = rows.orderBy("feed_id").limit(max_feeds)
-    cards = rows.select("*", F.inline("cards")).drop("cards")
-    return cards.select(
-        "feed_id",
-        "user_id",
-        "bizdate",
-        "flight_ids",
-        has_tag(F.col("flight_ids"), slice_tag or tag).cast("int").alias("is_tagged") if (slice_tag or tag) else F.lit(0).alias("is_tagged"),
-        F.col("is_clicked").cast("int").alias("label"),
-        "interests",
-        F.transform("shown_titles", lambda t: F.struct(t.alias("title"), F.lit("").alias("summary"))).alias("history"),
-        F.struct("itemid", "title", "summary", "sectionIndex", "cardIndex").alias("candidate"),
-        get(F.col("features"), "$", "map<string,variant>").alias("features"),
+        whole = _inline_feeds(feeds, *args, rows_of=_one_record).orderBy("feed_id").limit(max_feeds)
+        rows = whole.select("*", F.explode("candidates").alias("card")).drop("candidates")
+    else:
+        per_card = lambda cards, c: F.transform(
+            cards, lambda card: F.struct(c.getField("interests").alias("interests"), c.getField("shown_titles").alias("shown_titles"), card.alias("card"))
+        )
+        rows = _inline_feeds(feeds, *args, rows_of=per_card)
+    return _as_samples(rows, slice_tag or tag)
+
+
+def _one_record(cards: Column, c: Column) -> Column:
+    return F.array(
+        F.struct(c.getField("interests").alias("interests"), c.getField("shown_titles").alias("shown_titles"), cards.alias("candidates"))
     )
 
 
 def feed_records(
     feeds: DataFrame, lo: str = "", hi: str = "", tag: str = "", require_features: bool = False,
     max_feeds: int | None = None, max_history: int = 30, max_interests: int = 0, max_groups: int = 0, max_msgs: int = 0,
+    require_interests: bool = False,
 ) -> DataFrame:
     """P10: one row per feed with its shown cards as an ordered array; no shuffle."""
-    rows = _prepared(feeds, lo, hi, tag, require_features, max_history, max_interests, max_groups, max_msgs)
+    args = (lo, hi, tag, require_features, require_interests, max_history, max_interests, max_groups, max_msgs)
+    rows = _inline_feeds(feeds, *args, rows_of=_one_record)
     if max_feeds is not None and max_feeds > 0:
         rows = rows.orderBy("feed_id").limit(max_feeds)
-    return rows.withColumnRenamed("cards", "candidates")
+    return rows
 
 
 def explode_records(records: DataFrame) -> DataFrame:
@@ -309,17 +350,17 @@ def funnel(
     require_interests: bool = True,
 ) -> DataFrame:
     """A2: feeds seen and kept, candidates, impressions seen and kept, samples; one aggregation."""
-    raw = with_missing_columns(feeds, {**RAW_FEED})
+    raw = with_missing_columns(feeds, RAW_FEED)
     passes = date_between(F.col("bizdate"), lo, hi)
     if tag:
         passes = passes & has_tag(F.col("flight_ids"), tag)
-    text = _as_json(raw, "candidate_cards")
+    text = _as_json(feeds, "candidate_cards")
     sized = raw.select(
         passes.alias("p"),
         F.coalesce(F.size(get(F.try_parse_json(text), "$", "array<variant>")), F.lit(0)).alias("cands"),
         F.size(F.filter(json_objects(text), is_impression)).alias("shown"),
-        F.size(shown_cards(text, require_features)).alias("kept"),
-        (F.size(ctx.named_interests(json_array(_as_json(raw, "interests"), ctx.INTEREST))) > 0).alias("interested"),
+        F.size(F.filter(json_objects(text), lambda v: is_impression(v) & (has_features(v) if require_features else F.lit(True)))).alias("kept"),
+        (F.size(ctx.named_interests(json_array(_as_json(feeds, "interests"), ctx.INTEREST))) > 0).alias("interested"),
     )
     p = F.col("p")
     out = (F.col("interested") if require_interests else F.lit(True)) & p
