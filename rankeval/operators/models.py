@@ -13,25 +13,26 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankeval.operators.metrics import auc, log_loss, ndcg
 from rankeval.operators.reports import label_union
 from rankeval.operators.sampling import class_weights, holdout
+from rankeval.sources.staging import stage
 
 
 def _fit(
     train: DataFrame, features: Sequence[str], label: str, weight: str | None, max_iter: int, depth: int,
     step: float, validation: str | None, seed: int,
 ) -> PipelineModel:
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        GBTClassifier(
-            featuresCol="_features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
-            featureSubsetStrategy="0.8", seed=seed, probabilityCol="_probability", rawPredictionCol="_raw",
-            predictionCol="_prediction",
-        ),
-    ]
+    trees = GBTClassifier(
+        featuresCol="_features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, subsamplingRate=0.8,
+        featureSubsetStrategy="0.8", seed=seed, predictionCol="_prediction",
+    )
+    trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if weight:
-        stages[1].setWeightCol(weight)
+        trees.setWeightCol(weight)
     if validation:
-        stages[1].setValidationIndicatorCol(validation)
-    return Pipeline(stages=stages).fit(train)
+        trees.setValidationIndicatorCol(validation)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+    # boosting reads the rows once per tree; the narrow copy spares it the joins behind them
+    narrow = stage(train.select(*dict.fromkeys([*features, label, *filter(None, [weight, validation])])))
+    return Pipeline(stages=[assembler, trees]).fit(narrow)
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:

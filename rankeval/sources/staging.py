@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder, set up on first use; None on a cluster that names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            return None
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankeval-"))
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder for a table that is written and read back."""
+    folder = _folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -16,10 +36,6 @@ def stage(df: DataFrame) -> DataFrame:
     the one named in ``spark.checkpoint.dir``.  Where none is set, a local session gets a folder of its own and
     a cluster keeps the rows in executor storage with their lineage.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankeval-"))
+    if _folder(df.sparkSession) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint()
