@@ -53,6 +53,10 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+"))
 
 
+# the count of a text is the sum of the counts of its lines
+word_count.additive = True
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 

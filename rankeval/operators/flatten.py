@@ -341,7 +341,7 @@ def is_rich() -> Column:
     ]
     cond = F.coalesce(F.col("candidate.title"), F.lit("")) != ""
     for p in parts:
-        cond = cond & (F.coalesce(F.size(p), F.lit(0)) > 0)
+        cond = cond & (F.coalesce(F.array_size(p), F.lit(0)) > 0)
     return cond
 
 
@@ -357,7 +357,7 @@ def funnel(
     text = _as_json(feeds, "candidate_cards")
     sized = raw.select(
         passes.alias("p"),
-        F.coalesce(F.size(get(F.try_parse_json(text), "$", "array<variant>")), F.lit(0)).alias("cands"),
+        F.coalesce(F.array_size(get(F.try_parse_json(text), "$", "array<variant>")), F.lit(0)).alias("cands"),
         F.size(F.filter(json_objects(text), is_impression)).alias("shown"),
         F.size(F.filter(json_objects(text), lambda v: is_impression(v) & (has_features(v) if require_features else F.lit(True)))).alias("kept"),
         (F.size(ctx.named_interests(json_array(_as_json(feeds, "interests"), ctx.INTEREST))) > 0).alias("interested"),

@@ -78,31 +78,44 @@ def _interaction_lines(ctx: Column) -> Column:
     return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(_texts("USER_INTERACTIONS: (none)")))
 
 
+def _group_lines(g: Column, i: Column) -> Column:
+    at = trim_ts(g.getField("started_at"))
+    head = F.concat(
+        F.lit("  Conversation "), (i + 1).cast("string"),
+        F.when(at != "", F.concat(F.lit(" ("), at, F.lit(")"))).otherwise(""), F.lit(":"),
+    )
+    lines = F.transform(
+        g.getField("messages"),
+        lambda m: F.concat(
+            F.when(m.getField("author").isin("human", "user"), "    [user] ").otherwise("    [assistant] "),
+            text_or_empty(m.getField("text")),
+        ),
+    )
+    return F.concat(F.array(head), lines)
+
+
+CONVERSATIONS_HEAD = "CONVERSATIONS (recent groups, newest first):"
+NO_CONVERSATIONS = "CONVERSATIONS: (none)"
+NO_SHOWN_CARDS = "SHOWN_CARDS: (none)"
+
+
 def _conversation_lines(groups: Column) -> Column:
-    def one(g: Column, i: Column) -> Column:
-        at = trim_ts(g.getField("started_at"))
-        head = F.concat(
-            F.lit("  Conversation "), (i + 1).cast("string"),
-            F.when(at != "", F.concat(F.lit(" ("), at, F.lit(")"))).otherwise(""), F.lit(":"),
-        )
-        lines = F.transform(
-            g.getField("messages"),
-            lambda m: F.concat(
-                F.when(m.getField("author").isin("human", "user"), "    [user] ").otherwise("    [assistant] "),
-                text_or_empty(m.getField("text")),
-            ),
-        )
-        return F.concat(F.array(head), lines)
+    full = F.concat(_texts(CONVERSATIONS_HEAD), F.flatten(F.transform(groups, _group_lines)))
+    return F.when(F.coalesce(F.array_size(groups), F.lit(0)) > 0, full).otherwise(_texts(NO_CONVERSATIONS))
+
 
-    full = F.concat(_texts("CONVERSATIONS (recent groups, newest first):"), F.flatten(F.transform(groups, one)))
-    return F.when(F.coalesce(F.size(groups), F.lit(0)) > 0, full).otherwise(_texts("CONVERSATIONS: (none)"))
+def _shown_head(n: Column) -> Column:
+    return F.concat(F.lit("SHOWN_CARDS (last "), n.cast("string"), F.lit(" cards shown to the user on previous days):"))
+
+
+def _shown_items(history: Column) -> Column:
+    return _numbered(history, lambda h: _title_and(h.getField("summary"), h.getField("title"), " — "))
 
 
 def _shown_lines(history: Column) -> Column:
-    n = F.coalesce(F.size(history), F.lit(0))
-    head = F.concat(F.lit("SHOWN_CARDS (last "), n.cast("string"), F.lit(" cards shown to the user on previous days):"))
-    items = _numbered(history, lambda h: _title_and(h.getField("summary"), h.getField("title"), " — "))
-    return F.when(n > 0, F.concat(F.array(head), items)).otherwise(_texts("SHOWN_CARDS: (none)"))
+    n = F.coalesce(F.array_size(history), F.lit(0))
+    full = F.concat(F.array(_shown_head(n)), _shown_items(history))
+    return F.when(n > 0, full).otherwise(_texts(NO_SHOWN_CARDS))
 
 
 def _candidate_lines(card: Column) -> Column:
@@ -146,7 +159,7 @@ def _compact_sections(ctx: Column, shown: Column) -> dict[str, Column]:
         messages,
         lambda m: F.concat(F.lit("  ["), m.getField("author"), F.lit("]: "), text_or_empty(m.getField("text"))),
     )
-    has_talk = F.coalesce(F.size(ctx.getField("conversations")), F.lit(0)) > 0
+    has_talk = F.coalesce(F.array_size(ctx.getField("conversations")), F.lit(0)) > 0
     lines = {
         "interests": F.concat(
             _bullets(_all(ctx.getField("positive")), "USER_INTERESTS (positive):"),
@@ -229,7 +242,7 @@ def capped_prompt(
 
 def generic_prompt(history: Column, interests: Column, candidate: Column) -> Column:
     """Free-text interests, numbered reading history, one candidate line."""
-    n = F.coalesce(F.size(history), F.lit(0))
+    n = F.coalesce(F.array_size(history), F.lit(0))
     items = F.transform(
         history,
         lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), _title_and(h.getField("summary"), h.getField("title"), " - ")),
@@ -296,7 +309,7 @@ def _shrink_steps(history: Column, conversations: Column) -> Column:
 
     The history is halved until it is empty, then the oldest conversation groups go one by one.
     """
-    n, m = F.coalesce(F.size(history), F.lit(0)), F.coalesce(F.size(conversations), F.lit(0))
+    n, m = F.coalesce(F.array_size(history), F.lit(0)), F.coalesce(F.array_size(conversations), F.lit(0))
     halvings = F.when(n > 0, F.floor(F.log2(n.cast("double")) + 1e-9).cast("int") + 1).otherwise(0)
     step = lambda h, c: F.struct(h.cast("int").alias("h"), c.cast("int").alias("c"))
     halves = F.when(
@@ -318,41 +331,86 @@ def budgeted_prompt(
     """Add ``prompt``, ``truncated``, ``dropped_history``, ``dropped_conversations``.
 
     The budget is max(256, max_len - 120) tokens.  With ``fast``, texts of at most 2.5 characters per token
-    pass uncounted.  Longer ones are shortened step by step until one fits; rendering stops at the first that
-    does.  If none fits, the shortest text is returned over budget.
+    pass uncounted.  Longer ones are shortened step by step until one fits.  If none fits, the shortest text is
+    returned over budget.
     """
     budget = body_budget(max_len)
     h, ctx, card = F.col(history), F.col(interests), F.col(candidate)
     conv = ctx.getField("conversations")
+    n, m = F.coalesce(F.array_size(h), F.lit(0)), F.coalesce(F.array_size(conv), F.lit(0))
     parts = df.withColumn("_head", _head(ctx, intro)).withColumn("_tail", _tail(card))
     parts = parts.withColumn("_full", _full(F.col("_head"), conv, h, F.col("_tail")))
-    fits = counter(F.col("_full")) <= budget
-    if fast:
-        fits = (F.length("_full") <= int(2.5 * budget)) | fits
-    n, m = F.coalesce(F.size(h), F.lit(0)), F.coalesce(F.size(conv), F.lit(0))
+    short = F.length("_full") <= int(2.5 * budget) if fast else F.lit(False)
+    search = _search_by_sums if getattr(counter, "additive", False) else _search_by_rendering
+    step = F.when(~short, search(h, conv, counter, budget))
+    out = parts.withColumn("_step", step)
+    changed = F.col("_step.h").isNotNull() & ((F.col("_step.h") < n) | (F.col("_step.c") < m))
+    again = _full(F.col("_head"), _first_n(conv, F.col("_step.c")), _first_n(h, F.col("_step.h")), F.col("_tail"))
+    # the last resort reports everything as dropped
+    truncated = F.col("_step").isNotNull() & (~F.col("_step.done") | changed)
+    dropped = lambda size, kept: F.when(F.col("_step").isNull(), 0).when(F.col("_step.done"), size - kept).otherwise(size)
+    return out.select(
+        *df.columns,
+        F.when(changed, again).otherwise(F.col("_full")).alias("prompt"),
+        truncated.alias("truncated"),
+        dropped(n, F.col("_step.h")).alias("dropped_history"),
+        dropped(m, F.col("_step.c")).alias("dropped_conversations"),
+    )
+
+
+_STEP = "struct<done:boolean,h:int,c:int>"
+
+
+def _all_steps(h: Column, conv: Column) -> Column:
+    """The full prompt first, then the shortened ones."""
+    n, m = F.coalesce(F.array_size(h), F.lit(0)), F.coalesce(F.array_size(conv), F.lit(0))
+    return F.concat(F.array(F.struct(n.alias("h"), m.alias("c"))), _shrink_steps(h, conv))
+
+
+def _first_fitting_step(h: Column, conv: Column, fits: Callable[[Column], Column]) -> Column:
+    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("h"), F.lit(0).alias("c")).cast(_STEP)
 
     def try_step(state: Column, s: Column) -> Column:
-        text = _full(F.col("_head"), _first_n(conv, s.getField("c")), _first_n(h, s.getField("h")), F.col("_tail"))
-        tried = let(
-            text,
-            lambda t: F.struct((counter(t) <= budget).alias("done"), t.alias("text"), s.getField("h").alias("h"), s.getField("c").alias("c")),
-        )
+        tried = F.struct(fits(s).alias("done"), s.getField("h").alias("h"), s.getField("c").alias("c")).cast(_STEP)
         return F.when(state.getField("done"), state).otherwise(tried)
 
-    start = F.struct(F.lit(False).alias("done"), F.col("_full").alias("text"), n.alias("h"), m.alias("c"))
-    shape = "struct<done:boolean,text:string,h:int,c:int>"
-    cut = F.aggregate(_shrink_steps(h, conv), start.cast(shape), lambda a, s: try_step(a, s).cast(shape))
-    out = parts.withColumn("_cut", F.when(~fits, cut))
-    # the last resort reports everything as dropped, also when there was nothing to drop
-    dropped_h = F.when(F.col("_cut.done"), n - F.col("_cut.h")).otherwise(n)
-    dropped_c = F.when(F.col("_cut.done"), m - F.col("_cut.c")).otherwise(m)
-    return out.select(
-        *df.columns,
-        F.coalesce("_cut.text", "_full").alias("prompt"),
-        F.col("_cut").isNotNull().alias("truncated"),
-        F.when(F.col("_cut").isNull(), 0).otherwise(dropped_h).alias("dropped_history"),
-        F.when(F.col("_cut").isNull(), 0).otherwise(dropped_c).alias("dropped_conversations"),
+    return F.aggregate(_all_steps(h, conv), start, try_step)
+
+
+def _search_by_rendering(h: Column, conv: Column, counter: Counter, budget: int) -> Column:
+    def fits(s: Column) -> Column:
+        text = _full(F.col("_head"), _first_n(conv, s.getField("c")), _first_n(h, s.getField("h")), F.col("_tail"))
+        return counter(text) <= budget
+
+    return _first_fitting_step(h, conv, fits)
+
+
+def _search_by_sums(h: Column, conv: Column, counter: Counter, budget: int) -> Column:
+    """For counters that add up over lines every line is counted once and only sums are compared."""
+    lines = lambda c: counter(F.array_join(c, "\n"))
+    zero = F.lit(0).cast("int")
+    counts = F.struct(
+        (lines(F.col("_head")) + lines(F.col("_tail"))).cast("int").alias("fixed"),
+        F.coalesce(F.transform(conv, lambda g, i: lines(_group_lines(g, i)).cast("int")), F.expr("cast(array() as array<int>)")).alias("conv"),
+        F.coalesce(F.transform(_shown_items(h), lambda t: counter(t).cast("int")), F.expr("cast(array() as array<int>)")).alias("shown"),
+        F.struct(
+            counter(F.lit(CONVERSATIONS_HEAD)).cast("int").alias("conv"), counter(F.lit(NO_CONVERSATIONS)).cast("int").alias("no_conv"),
+            counter(_shown_head(F.lit(1))).cast("int").alias("shown"), counter(F.lit(NO_SHOWN_CARDS)).cast("int").alias("no_shown"),
+        ).alias("heads"),
     )
+    total = lambda c, k: F.aggregate(F.slice(c, F.lit(1), k), zero, lambda a, x: a + x)
+
+    def search(k: Column) -> Column:
+        heads = k.getField("heads")
+
+        def fits(s: Column) -> Column:
+            talk = F.when(s.getField("c") > 0, heads.getField("conv") + total(k.getField("conv"), s.getField("c"))).otherwise(heads.getField("no_conv"))
+            seen = F.when(s.getField("h") > 0, heads.getField("shown") + total(k.getField("shown"), s.getField("h"))).otherwise(heads.getField("no_shown"))
+            return k.getField("fixed") + talk + seen <= budget
+
+        return _first_fitting_step(h, conv, fits)
+
+    return let(counts, search)
 
 
 def budgeted_prompt_with(
@@ -367,7 +425,7 @@ def budgeted_prompt_with(
     budget = body_budget(max_len)
     h, ctx, card = F.col(history), F.col(interests), F.col(candidate)
     conv = ctx.getField("conversations")
-    n, m = F.coalesce(F.size(h), F.lit(0)), F.coalesce(F.size(conv), F.lit(0))
+    n, m = F.coalesce(F.array_size(h), F.lit(0)), F.coalesce(F.array_size(conv), F.lit(0))
     full = full_prompt(h, ctx, card, intro)
     parts = df.withColumn("_full", full)
 
@@ -490,19 +548,18 @@ def shrink_prompt(
     ctx = F.col(interests)
     inter = ctx.getField("interactions")
     conv = ctx.getField("conversations")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     queues = {"clicks": 0, "thumbsDown": 1, "thumbsUp": 2}
-    turns = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    size(inter.getField(k)) > 0,
-                    F.transform(F.sequence(F.lit(0), size(inter.getField(k)) - 1), lambda j, q=q: F.struct(j.alias("j"), F.lit(q).alias("q"))),
-                ).otherwise(F.expr("cast(array() as array<struct<j:int,q:int>>)"))
-                for k, q in queues.items()
-            ]
-        )
-    )
+
+    def turns_of(k: str, q: int) -> Column:
+        n = size(inter.getField(k))
+        turns = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(j.alias("j"), F.lit(q).alias("q")))
+        return F.when(n > 0, turns).otherwise(F.expr("cast(array() as array<struct<j:int,q:int>>)"))
+
+    def times(turns: Column, q: int) -> Column:
+        return F.size(F.filter(turns, lambda t: t == q))
+
+    turns = F.flatten(F.array(*[turns_of(k, q) for k, q in queues.items()]))
     order = F.transform(F.sort_array(turns), lambda t: t.getField("q"))
     work = df.withColumn("_order", order).withColumn("_m", size(conv)).withColumn("_tail", _tail(F.col(candidate)))
     budget = body_budget(max_len)
@@ -513,10 +570,7 @@ def shrink_prompt(
         gone_conv = F.least(step, F.col("_m"))
         taken = F.slice(F.col("_order"), F.lit(1), step - gone_conv)
         left = {
-            k: F.slice(
-                _all(inter.getField(k)), F.lit(1),
-                size(inter.getField(k)) - F.size(F.filter(taken, lambda t, q=q: t == q)),
-            )
+            k: F.slice(_all(inter.getField(k)), F.lit(1), size(inter.getField(k)) - times(taken, q))
             for k, q in queues.items()
         }
         kept_conv = F.slice(conv, F.lit(1), F.col("_m") - gone_conv)
@@ -564,7 +618,7 @@ def shrink_prompt(
         counter(text).alias("tokens"),
         F.struct(
             F.least(F.col("_r.step"), F.col("_m")).alias("conversations"),
-            *[F.size(F.filter(gone, lambda t, q=q: t == q)).alias(k) for k, q in queues.items()],
+            *[times(gone, q).alias(k) for k, q in queues.items()],
             F.when(F.col("_r.done"), 0).otherwise(F.size("_over") - limit).alias("hard_truncated_tokens"),
         ).alias("drops"),
     )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.operators.ranges import ordered_index
+from rankeval.sources.staging import stage
 
 _SLOTS = 4096  # three hex digits of the hash
 
@@ -122,7 +123,7 @@ def mine_negatives(
     ('in_session' or 'cross_feed'), neg_feed, neg_<item>...
     """
     items = list(item_cols)
-    rows = df.select(feed, *items, label)
+    rows = stage(df.select(feed, *items, label))
     anchors = rows.where(F.col(label) == 1).drop(label)
     anchors = anchors.withColumn("_start", stable_hash(seed, feed, *items))
     others = rows.where(F.col(label) == 0).drop(label).withColumn("_h", stable_hash(seed + 1, feed, *items))

@@ -275,7 +275,25 @@ def _(spark, sf):
     return flat(spark, sf).select("candidate.itemid", p.alias("prompt"))
 
 
-@query("budgeted_prompt")
+def full_at(titles, conv):
+    """SQL text of the full prompt with other titles and conversation text."""
+    own = FULL_SQL.replace("len(titles)", f"len({titles})").replace("list_transform(titles", f"list_transform({titles}")
+    return own.replace("conv IS NULL", f"{conv} IS NULL").replace("chr(10)||conv END", f"chr(10)||{conv} END")
+
+
+BUDGET_SQL = f"""{FEEDS}, {CONTEXT_SQL}, gl AS (SELECT doc_id, list('  Conversation '||g||' ('||substr(replace(started_at,'T',' '),1,16)||'):'||array_to_string(list_transform(msgs, lambda m: chr(10)||'    '||m),'') ORDER BY g) AS gl FROM groups_ranked GROUP BY doc_id),
+  base AS (SELECT ctx.*, gl, coalesce(len(titles),0) AS n, coalesce(len(gl),0) AS m FROM ctx LEFT JOIN gl USING (doc_id)),
+  steps AS (SELECT *, unnest(list_concat([{{'h': n, 'c': m}}],
+      CASE WHEN n>0 THEN list_transform(range(1, floor(log2(n))::BIGINT+2), lambda i: {{'h': (n // (2**i)::BIGINT), 'c': m}}) ELSE [] END,
+      list_transform(range(1, m+1), lambda i: {{'h': 0::BIGINT, 'c': m-i}}))) AS s FROM base),
+  numbered AS (SELECT *, titles[1:s.h] AS titles2, CASE WHEN s.c>0 THEN array_to_string(gl[1:s.c], chr(10)) END AS conv2, row_number() OVER (PARTITION BY itemid ORDER BY s.h DESC, s.c DESC)-1 AS k FROM steps),
+  texts AS (SELECT itemid, k, n, m, s.h AS h, s.c AS c, {full_at('titles2', 'conv2')} AS prompt FROM numbered),
+  tried AS (SELECT *, (k=0 AND length(prompt)<=700) OR len(regexp_extract_all(prompt,'\\S+'))<=280 AS fits FROM texts),
+  chosen AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY itemid ORDER BY CASE WHEN fits THEN k ELSE 1000-k END)=1),
+  budgeted AS (SELECT itemid, prompt, NOT (fits AND k=0) AS truncated, CASE WHEN fits THEN n-h ELSE n END AS dropped_history, CASE WHEN fits THEN m-c ELSE m END AS dropped_conversations FROM chosen)"""
+
+
+@query("budgeted_prompt", f"{BUDGET_SQL} SELECT * FROM budgeted")
 def _(spark, sf):
     out = prompts.budgeted_prompt(flat(spark, sf), 400)
     return out.select("candidate.itemid", "truncated", "dropped_history", "dropped_conversations", "prompt")
@@ -288,7 +306,8 @@ def _(spark, sf):
     return out.where("not truncated").select("candidate.itemid", "prompt", "truncated")
 
 
-@query("truncation_stats")
+@query("truncation_stats", f"""{BUDGET_SQL} SELECT count(*) AS n, count(*) FILTER (truncated) AS truncated, round(count(*) FILTER (truncated)/greatest(1,count(*)),6) AS rate,
+  round((sum(dropped_history) FILTER (truncated))/greatest(1,count(*) FILTER (truncated)),6) AS avg_dropped_history, round((sum(dropped_conversations) FILTER (truncated))/greatest(1,count(*) FILTER (truncated)),6) AS avg_dropped_conversations FROM budgeted""")
 def _(spark, sf):
     out = prompts.truncation_stats(prompts.budgeted_prompt(flat(spark, sf), 400))
     return rounded(out, ["rate", "avg_dropped_history", "avg_dropped_conversations"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankeval.operators.metrics import position_rank
+from rankeval.sources.staging import spread
 
 FEATURES = ["quality", "worthiness", "click_likelihood", "novelty"]
 TAG = "URGENT"
@@ -69,7 +70,7 @@ def raw_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     The nested columns are JSON texts with the loose types found in the wild: numbers as text, empty and absent
     values, elements that are no objects.
     """
-    d = table(spark, sf_dir, "documents").withColumn("ls", F.split("text", "\n"))
+    d = spread(table(spark, sf_dir, "documents")).withColumn("ls", F.split("text", "\n"))
     fields = "substr(js, 2, length(js) - 2)"
     card = """concat('{', {f}, ',"sectionIndex":', if(i % 4 = 3, 'null', cast((doc_id + i) % 3 as string)),
         ',"cardIndex":"', (doc_id * 7 + i * 5) % 4, '","is_clicked":',

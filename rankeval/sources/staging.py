@@ -39,3 +39,10 @@ def stage(df: DataFrame) -> DataFrame:
     if _folder(df.sparkSession) is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (one small file, say); larger inputs stay as they
+    are, so nothing is shuffled where it would cost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

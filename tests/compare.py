@@ -88,7 +88,7 @@ def main(argv):
                 note = "ok" if err is None else f"DIFF {err[:1200]}"
                 bad += err is not None
             else:
-                note = f"rows only: {fn(spark, sf_dir).count()}"
+                note = f"rows only: {len(fn(spark, sf_dir).collect())}"
         except Exception as e:  # report and go on with the next query
             bad += 1
             note = "ERROR " + str(e)[:1200]
