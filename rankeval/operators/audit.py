@@ -12,7 +12,7 @@ from rankeval.functions.stats import chi_square_p
 from rankeval.operators.debias import ctr_curve
 from rankeval.operators.metrics import unpivot
 from rankeval.operators.ranges import exact_percentiles
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import small, stage
 
 _CHUNKS = 64
 
@@ -25,8 +25,7 @@ def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), nam
     inner = edges.select(*by, F.slice(inner, F.lit(2), F.greatest(F.lit(0), F.size(inner) - 2)).alias("_edges"))
     x = F.col(c).cast("double")
     if by:
-        # one short array per group of features or slices
-        joined = df.join(inner, by, "left")
+        joined = df.join(small(inner), by, "left")
     else:
         joined = df.withColumn("_edges", inner.select("_edges").scalar())
     below = F.size(F.filter("_edges", lambda e: e < x))
@@ -205,7 +204,7 @@ def _binned_features(
         F.count("*").alias("_distinct"), (F.sum(c * v * v) / F.sum(c) - F.pow(F.sum(c * v) / F.sum(c), F.lit(2.0))).alias("_var")
     )
     usable = spread.where((F.col("_distinct") >= 4) & (F.col("_var") >= 1e-18)).select(*g)
-    return quantile_bins(long.join(usable, g, "left_semi"), "value", q, g)
+    return quantile_bins(long.join(small(usable), g, "left_semi"), "value", q, g)
 
 
 def score_position_mi(
@@ -262,9 +261,9 @@ def unbiasedness_audit(
     """
     rows = df.withColumn("slice", F.when(in_slice, "tagged").otherwise("rest"))
     rows = stage(rows.select("slice", feed, category, position, label, *features))
-    meta = slice_meta(rows, "slice", feed)
+    meta = stage(slice_meta(rows, "slice", feed))
     large = meta.where(F.col("rows") >= min_rows).select("slice")
-    tested = rows.join(large, "slice", "left_semi")
+    tested = rows.join(small(large), "slice", "left_semi")
     first = tested.where(F.col(position) < max_pos)
     binned = _binned_features(tested, features, ["slice"], position, max_pos, 8)
     return {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankeval.functions.stats import t_test_p
 from rankeval.operators.metrics import auc, counterfactual_ndcg, rank_table
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import small, stage
 
 
 def ctr_by_position(
@@ -27,7 +27,7 @@ def ctr_curve(
     position: str = "position_rank", label: str = "label",
 ) -> DataFrame:
     """A4: rate and count of the first positions, only for groups of at least ``min_rows`` rows."""
-    per_pos = ctr_by_position(df, by, position, label)
+    per_pos = stage(ctr_by_position(df, by, position, label))
     sizes = per_pos.groupBy(*by).agg(F.sum("impressions").alias("_n")).where(F.col("_n") >= min_rows)
     if by:
         kept = per_pos.join(sizes, list(by), "left_semi")
@@ -50,7 +50,7 @@ def propensity(
     ``fit_on="train"`` uses the rows whose split is "train"; "all" uses every row.
     """
     rows = df.where(F.col(split) == "train") if fit_on == "train" else df
-    rates = ctr_by_position(rows, (), position, label)
+    rates = stage(ctr_by_position(rows, (), position, label))
     best = F.greatest(rates.agg(F.max("ctr")).scalar(), F.lit(1e-6))
     return rates.select(
         position, "ctr", F.greatest(F.lit(floor), F.least(F.lit(1.0), F.col("ctr") / best)).alias("propensity")
@@ -64,9 +64,9 @@ def ipw_weight(
     """Add ``propensity`` (1 for a position never seen: the best rate is the default) and
     ``ipw_weight`` (1/propensity for clicks, else 1).
 
-    The propensity table has one row per position; Spark broadcasts it when it is small enough.
+    The propensity table has one row per position; it is broadcast if that is few enough.
     """
-    table = propensities.select(position, F.col("propensity").alias("_p"))
+    table = small(propensities.select(position, F.col("propensity").alias("_p")))
     p = F.greatest(F.lit(floor), F.coalesce("_p", F.lit(1.0)))
     return (
         df.join(table, position, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rankeval.functions.scores import clip, valid_score
 from rankeval.operators.ranges import ordered_index, prefix_sums
 from rankeval.operators.sampling import random_score
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import small, stage
 
 
 def _col(c: Column | str) -> Column:
@@ -224,7 +224,7 @@ def feature_ndcg(
     ranked = unpivot(df, [feed, label], features)
     varying = ranked.groupBy("feature").agg((F.min("value") < F.max("value")).alias("_varies"))
     varying = varying.where("_varies").select("feature")
-    per_feature = ndcg(ranked.join(varying, "feature", "left_semi"), feed, label, "value", k, ["feature"])
+    per_feature = ndcg(ranked.join(small(varying), "feature", "left_semi"), feed, label, "value", k, ["feature"])
     display = ndcg(df.withColumn("_d", -F.col(position).cast("double")), feed, label, "_d", k)
     rand = ndcg(random_score(df, row_key, seeds), feed, label, "random_score", k, ["seed"])
     base = F.struct(F.col("ndcg"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from rankeval.functions.loose import kind, text_of
 from rankeval.operators.ranges import exact_percentiles
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import small, stage
 
 
 def feature_coverage(df: DataFrame, features: Sequence[str], digits: int | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def pick_fixture_pair(
 def calibrate(calls: DataFrame, case: str = "case", score: str = "score", min_tolerance: float = 5e-3, slack: float = 2e-2) -> DataFrame:
     """Observed range, mean, distinct scores and the tolerance max(min_tolerance, range + slack) per case.
 
-    The number of repeated calls per case bounds the list of distinct scores.
+    Scores are probabilities, so a case has at most a million distinct scores at six decimals.
     """
     s = F.col(score)
     return calls.groupBy(case).agg(
@@ -273,7 +273,7 @@ def calibrate(calls: DataFrame, case: str = "case", score: str = "score", min_to
 
 def verify(calls: DataFrame, calibration: DataFrame, case: str = "case", score: str = "score") -> DataFrame:
     """Per case how far new scores lie from the calibrated mean and whether all are within tolerance."""
-    joined = calls.join(calibration.select(case, "score_mean", "tolerance"), case)
+    joined = calls.join(small(calibration.select(case, "score_mean", "tolerance")), case)
     diff = F.abs(F.col(score) - F.col("score_mean"))
     return joined.groupBy(case).agg(
         F.count("*").alias("n"), F.max(diff).alias("max_diff"), F.max("tolerance").alias("tolerance"),

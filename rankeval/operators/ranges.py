@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import small, stage
 
 _CHUNK = 64  # bounds are searched in two steps: one coarse bound per 64, then inside one chunk
 
@@ -173,7 +173,7 @@ def exact_percentiles(
     ranked = prefix_sums(counted, by, ["_v"], {"_c0": "_c"})
     totals = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
     if by:
-        ranked = ranked.join(_renamed_keys(totals, by, "n"), _same_keys(by, "n"))
+        ranked = ranked.join(small(_renamed_keys(totals, by, "n")), _same_keys(by, "n"))
     else:
         ranked = ranked.withColumn("_n", totals.select("_n").scalar())
 

@@ -11,28 +11,39 @@ from rankeval.operators.metrics import auc
 from rankeval.operators.ranges import exact_percentiles
 
 
-def split_summary(
-    df: DataFrame, by: Sequence[str] = (), label: str = "label", feed: str = "feed_id", user: str = "user_id"
-) -> DataFrame:
-    """A1: n, pos, neg, ctr, distinct feeds and users.
+def _keyed_counts(df: DataFrame, by: Sequence[str], label: str, feed: str, user: str, *extra: Column) -> DataFrame:
+    """Rows, clicks and distinct feeds and users per group in one pass.
 
-    The distinct counts run as counts of grouped keys, so no task sees a whole group.
+    Every row counts once under its feed and once under its user; the distinct counts are then counts of those
+    keys, so no task sees a whole group.
     """
-    by = list(by)
-    base = df.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("bigint").alias("pos"))
     keys = F.array(
         F.struct(F.lit("feed").alias("_k"), F.col(feed).cast("string").alias("_v")),
         F.struct(F.lit("user").alias("_k"), F.col(user).cast("string").alias("_v")),
     )
-    distinct = df.select(*by, F.inline(keys)).distinct().groupBy(*by).agg(
-        F.count_if((F.col("_k") == "feed") & F.col("_v").isNotNull()).alias("feeds"),
-        F.count_if((F.col("_k") == "user") & F.col("_v").isNotNull()).alias("users"),
+    names = [f"_e{i}" for i in range(len(extra))]
+    rows = df.select(*by, F.col(label).alias("_y"), *[c.alias(n) for c, n in zip(extra, names)], F.inline(keys))
+    counted = rows.groupBy(*by, "_k", "_v").agg(
+        F.count("*").alias("_c"), F.sum("_y").alias("_p"),
+        *[f(n).alias(f"{n}{t}") for n in names for f, t in ((F.min, "_lo"), (F.max, "_hi"))],
     )
-    if by:
-        joined = base.join(distinct, by)
-    else:
-        joined = base.withColumn("_d", distinct.select(F.struct("feeds", "users")).scalar()).select("n", "pos", "_d.*")
-    return joined.select(
+    is_feed = F.col("_k") == "feed"
+    zero = F.lit(0)
+    return counted.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(is_feed, F.col("_c"))), zero).alias("n"),
+        F.coalesce(F.sum(F.when(is_feed, F.col("_p"))), zero).cast("bigint").alias("pos"),
+        F.count_if(is_feed & F.col("_v").isNotNull()).alias("feeds"),
+        F.count_if(~is_feed & F.col("_v").isNotNull()).alias("users"),
+        *[f(f"{n}{t}").alias(f"{n}{t}") for n in names for f, t in ((F.min, "_lo"), (F.max, "_hi"))],
+    )
+
+
+def split_summary(
+    df: DataFrame, by: Sequence[str] = (), label: str = "label", feed: str = "feed_id", user: str = "user_id"
+) -> DataFrame:
+    """A1: n, pos, neg, ctr, distinct feeds and users."""
+    by = list(by)
+    return _keyed_counts(df, by, label, feed, user).select(
         *by, "n", "pos", (F.col("n") - F.col("pos")).alias("neg"),
         (F.col("pos") / F.greatest(F.lit(1), F.col("n"))).alias("ctr"), "feeds", "users",
     )
@@ -41,11 +52,9 @@ def split_summary(
 def run_metadata(df: DataFrame, label: str = "label", position: str = "position_rank", feed: str = "feed_id",
                  user: str = "user_id") -> DataFrame:
     """Rows, click rate, position range, sessions, users."""
-    counts = split_summary(df, (), label, feed, user)
-    span = df.agg(F.struct(F.min(position).alias("lo"), F.max(position).alias("hi"))).scalar()
-    return counts.select(
-        F.col("n").alias("rows"), F.col("ctr").alias("click_rate"), span.getField("lo").alias("min_position"),
-        span.getField("hi").alias("max_position"), F.col("feeds").alias("sessions"), "users",
+    return _keyed_counts(df, [], label, feed, user, F.col(position)).select(
+        F.col("n").alias("rows"), (F.col("pos") / F.greatest(F.lit(1), F.col("n"))).alias("click_rate"),
+        F.col("_e0_lo").alias("min_position"), F.col("_e0_hi").alias("max_position"), F.col("feeds").alias("sessions"), "users",
     )
 
 
@@ -110,14 +119,23 @@ def latency_summary(
     Percentiles are exact and interpolated, 0 when there is nothing to summarise.
     """
     by = list(by)
-    base = calls.groupBy(*by).agg(
-        F.count("*").alias("requests"),
-        F.count_if("ok").alias("success"),
-        F.avg(elapsed).alias("avg_ms"),
-        F.min(elapsed).alias("min_ms"),
-        F.max(elapsed).alias("max_ms"),
+    # per status first: the totals and the status counts come from the same small table
+    per_status = calls.groupBy(*by, "status").agg(
+        F.count("*").alias("_c"), F.count_if("ok").alias("_ok"), F.sum(elapsed).alias("_sum"), F.count(elapsed).alias("_n"),
+        F.min(elapsed).alias("_min"), F.max(elapsed).alias("_max"),
         *([F.max(elapsed_s).alias("_wall")] if elapsed_s else []),
-        *[F.coalesce(F.avg(s), F.lit(0.0)).alias(f"{s}_avg") for s in service],
+        *[f(s).alias(f"_{s}_{t}") for s in service for f, t in ((F.sum, "sum"), (F.count, "n"))],
+    )
+    statuses = F.sort_array(F.collect_list(F.struct(F.col("status").cast("string"), "_c")))
+    base = per_status.groupBy(*by).agg(
+        F.sum("_c").alias("requests"),
+        F.sum("_ok").alias("success"),
+        (F.sum("_sum") / F.sum("_n")).alias("avg_ms"),
+        F.min("_min").alias("min_ms"),
+        F.max("_max").alias("max_ms"),
+        *([F.max("_wall").alias("_wall")] if elapsed_s else []),
+        *[F.coalesce(F.try_divide(F.sum(f"_{s}_sum"), F.sum(f"_{s}_n")), F.lit(0.0)).alias(f"{s}_avg") for s in service],
+        F.to_json(F.map_from_entries(statuses)).alias("status_counts"),
     )
     base = base.withColumn("failure", F.col("requests") - F.col("success")).withColumn(
         "failure_rate", F.col("failure") / F.col("requests")
@@ -125,23 +143,23 @@ def latency_summary(
     if elapsed_s:
         base = base.withColumn("qps", F.when(F.col("_wall") > 0, F.col("requests") / F.col("_wall")).otherwise(0.0))
         base = base.drop("_wall")
-    status = calls.groupBy(*by, "status").agg(F.count("*").alias("_c")).groupBy(*by).agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("status").cast("string"), "_c"))))).alias(
-            "status_counts"
-        )
+    timings = F.array(
+        *[F.struct(F.lit(s).alias("_metric"), F.col(s).cast("double").alias("_t")) for s in [elapsed, *service]]
     )
+    probs = [0.5, 0.9, 0.95, 0.99]
+    table = exact_percentiles(calls.select(*by, F.inline(timings)), "_t", probs, [*by, "_metric"], "_p")
+
+    def value(metric: str, i: int, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_metric") == metric, F.get("_p", F.lit(i)))), F.lit(0.0)).alias(name)
 
-    def with_pct(out: DataFrame, col: str, probs: Mapping[str, float]) -> DataFrame:
-        table = exact_percentiles(calls, col, list(probs.values()), by, "_pct")
-        out = out.join(table, by, "left") if by else out.withColumn("_pct", table.select("_pct").scalar())
-        return out.withColumns(
-            {n: F.coalesce(F.get("_pct", F.lit(i)), F.lit(0.0)) for i, n in enumerate(probs)}
-        ).drop("_pct")
-
-    out = with_pct(base, elapsed, {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99})
-    for s in service:
-        out = with_pct(out, s, {f"{s}_p50": 0.5, f"{s}_p95": 0.95})
-    return out.join(status, by) if by else out.withColumn("status_counts", status.select("status_counts").scalar())
+    pct = table.groupBy(*by).agg(
+        *[value(elapsed, i, f"p{round(p * 100)}_ms") for i, p in enumerate(probs)],
+        *[value(s, i, f"{s}_p{round(probs[i] * 100)}") for s in service for i in (0, 2)],
+    )
+    if by:
+        return base.join(pct, by, "left")
+    names = pct.columns
+    return base.withColumn("_p", pct.select(F.struct(*names)).scalar()).select(*base.columns, *[F.col(f"_p.{n}") for n in names])
 
 
 def sweep_cutoff(

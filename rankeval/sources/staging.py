@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _folder(spark: SparkSession) -> str | None:
@@ -41,6 +41,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Stage a lookup table and mark it for broadcast if it has at most ``limit`` rows.
+
+    The planner cannot know that counts per position or edges per feature are few; without the mark it would
+    shuffle the big side by a handful of keys.  Larger tables come back unmarked and are joined by shuffle.
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores (one small file, say); larger inputs stay as they
     are, so nothing is shuffled where it would cost."""
