@@ -141,7 +141,7 @@ def ndcg_per_feed(
     """M6: NDCG@k of every feed with at least two rows and one click; tied scores share their gain."""
     keys = [*by, feed]
     rows = df.select(*keys, _col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    sized = rows.groupBy(*keys, "_s", "_y").agg(F.count("*").alias("_c"))
+    sized = stage(rows.groupBy(*keys, "_s", "_y").agg(F.count("*").alias("_c")))
     by_score = sized.groupBy(*keys, "_s").agg(
         F.sum(F.col("_c") * F.col("_y")).alias("_g"), F.sum("_c").alias("_c")
     )
@@ -221,6 +221,7 @@ def feature_ndcg(
 
     Features that never vary are left out.
     """
+    df = stage(df.select(*dict.fromkeys([feed, label, position, *row_key, *features])))
     ranked = unpivot(df, [feed, label], features)
     varying = ranked.groupBy("feature").agg((F.min("value") < F.max("value")).alias("_varies"))
     varying = varying.where("_varies").select("feature")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -109,7 +110,17 @@ def key_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     l = left.select(*ks, F.lit(True).alias("_l"))
     r = right.select(*ks, F.lit(True).alias("_r"))
     side = F.when(F.col("_l") & F.col("_r"), "both").when(F.col("_l"), "only_left").otherwise("only_right")
-    return l.join(r, ks, "full_outer").select(*ks, side.alias("side"))
+    return _full_outer(l, r, ks).select(*ks, side.alias("side"))
+
+
+def _full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join in which a null key matches a null key."""
+    named = right.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    joined = left.join(named, same, "full_outer")
+    return joined.withColumns({k: F.coalesce(k, f"_k{i}") for i, k in enumerate(keys)}).drop(
+        *[f"_k{i}" for i in range(len(keys))]
+    )
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -122,7 +133,7 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Se
     r = right.select(*ks, F.struct(*fields).alias("_r"))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     side = F.when(both, "both").when(F.col("_r").isNull(), "only_left").otherwise("only_right")
-    joined = l.join(r, ks, "full_outer").withColumn("side", side)
+    joined = _full_outer(l, r, ks).withColumn("side", side)
     return joined.select(
         *ks, "side",
         *[F.when(both, F.col(f"_l.{f}").eqNullSafe(F.col(f"_r.{f}"))).alias(f"same_{f}") for f in fields],
@@ -161,15 +172,13 @@ def mismatch_examples(matched: DataFrame, fields: Sequence[str], keys: Sequence[
 def key_sets(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sizes of the union, intersection and both differences of two key sets."""
     ks = list(keys)
-    l, r = left.select(*ks).distinct(), right.select(*ks).distinct()
-    sizes = {
-        "union": l.union(r).distinct(), "intersection": l.intersect(r), "only_left": l.subtract(r), "only_right": r.subtract(l),
-    }
-    parts = [d.agg(F.count("*").alias("keys")).select(F.lit(n).alias("set"), "keys") for n, d in sizes.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sides = key_match(left.select(*ks).distinct(), right.select(*ks).distinct(), ks)
+    counts = sides.agg(
+        F.count("*").alias("union"), F.count_if(F.col("side") == "both").alias("intersection"),
+        F.count_if(F.col("side") == "only_left").alias("only_left"), F.count_if(F.col("side") == "only_right").alias("only_right"),
+    )
+    names = ("union", "intersection", "only_left", "only_right")
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("set"), F.col(n).alias("keys")) for n in names])))
 
 
 def user_counts(left: DataFrame, right: DataFrame, user: str = "user_id") -> DataFrame:
@@ -180,7 +189,7 @@ def user_counts(left: DataFrame, right: DataFrame, user: str = "user_id") -> Dat
     kind_ = (
         F.when(b.isNull(), "only_left").when(a.isNull(), "only_right").when(a == b, "equal").when(a > b, "left_more").otherwise("right_more")
     )
-    return l.join(r, user, "full_outer").groupBy(kind_.alias("outcome")).agg(F.count("*").alias("users"))
+    return _full_outer(l, r, [user]).groupBy(kind_.alias("outcome")).agg(F.count("*").alias("users"))
 
 
 def empty_share(df: DataFrame, empty: Column) -> DataFrame:

@@ -44,22 +44,24 @@ def holdout(df: DataFrame, keys: Sequence[str], pct: int = 10, seed: int = 0, na
 
 
 def _smallest_by_hash(df: DataFrame, keys: Sequence[str], seed: int, keep: Column | int) -> DataFrame:
-    """The ``keep`` rows with the smallest hash.
+    """The ``keep`` rows with the smallest hash (then key): a plain filter against the last row to keep.
 
-    Rows are counted per hash slot (4096 rows, whatever the data size); whole slots below the cut are kept and
-    only the slot that holds the cut is ordered.
+    That row is found by counting rows per hash slot (4096 rows, whatever the data size) and ordering only the
+    slot the cut falls into.
     """
     hashed = df.withColumn("_h", hash_hex(seed, *keys)).withColumn("_slot", F.substring("_h", 1, 3))
     counts = hashed.groupBy("_slot").agg(F.count("*").alias("_c"))
-    upto = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    cut = counts.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-    cut = cut.select(F.col("_slot").alias("_cut_slot"), "_c", (F.lit(keep) - F.col("_before")).alias("_left"))
-    cut = cut.where("_left > 0")
-    marked = hashed.join(F.broadcast(cut), F.col("_slot") == F.col("_cut_slot"))
-    whole = marked.where("_left >= _c").select(*df.columns)
-    order = W.partitionBy("_slot").orderBy("_h", *keys)
-    part = marked.where("_left < _c").withColumn("_r", F.row_number().over(order))
-    return whole.unionByName(part.where("_r <= _left").select(*df.columns))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.select("_slot", "_c", before.alias("_before"), F.lit(keep).alias("_keep"))
+    cut = stage(cut.where("_before < _keep and _keep <= _before + _c").select("_slot", (F.col("_keep") - F.col("_before")).alias("_left")))
+    slot = hashed.where(F.col("_slot") == cut.select("_slot").scalar()).select("_slot", "_h", *keys)
+    place = F.row_number().over(W.partitionBy("_slot").orderBy("_h", *keys))
+    place = slot.withColumn("_r", place).where(F.col("_r") == cut.select("_left").scalar())
+    last = stage(place.select(F.struct("_h", *keys).alias("_last")))
+    if last.isEmpty():
+        # no row is the last to keep: either all fit or none is wanted
+        return df.where(F.lit(keep) > 0)
+    return hashed.where(F.struct("_h", *keys) <= last.select("_last").scalar()).select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -14,7 +14,7 @@ from rankeval.plans.ranking_queries import IMP, SLICE, calls, tagged
 from rankeval.plans.registry import query, rounded
 from rankeval.plans.views import FEATURES, FEED_TAG, ROW_KEY, TAG, impressions, ranked_impressions, raw_feeds, table
 from rankeval.sources import readers, writers
-from rankeval.sources.staging import scratch_path
+from rankeval.sources.staging import scratch_path, stage
 
 KEYS = ROW_KEY
 KEY_TEXT = "feed_id||'|'||section_index||'|'||item_id||'|'||supp_id||'|'||ship_day"
@@ -591,7 +591,7 @@ SMALL = dict(max_iter=5, depth=3)
 
 
 def train_test(spark, sf):
-    df = sampling.split_by(ranked_impressions(spark, sf), "feed_id")
+    df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
     df = debias.ipw_weight(df, debias.propensity(df))
     return df.where("split = 'train'"), df.where("split = 'test'")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankeval.operators import audit, debias, metrics, ranges, reports, sampling
 from rankeval.plans.registry import query, rounded
+from rankeval.sources.staging import stage
 from rankeval.plans.views import (
     FEATURES, IMPRESSIONS_SQL, POSITION_ORDER, ROW_KEY, TAG, impressions, ranked_impressions, table,
 )
@@ -172,7 +173,8 @@ PROP_SQL = f"""{IMP}, s AS (SELECT *, {SPLIT_SQL} AS split FROM imp),
 
 
 def weighted_rows(spark, sf):
-    df = sampling.split_by(ranked_impressions(spark, sf), "feed_id")
+    # the propensities and the weighted rows both read the ranked rows
+    df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
     return debias.ipw_weight(df, debias.propensity(df))
 
 

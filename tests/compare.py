@@ -41,6 +41,22 @@ def rows_of(names, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows), [names[i] for i in order]
 
 
+def family(name):
+    name = str(name).lower()
+    for kind, words in {
+        "list": ("array", "[]", "list"), "bool": ("bool",), "int": ("int", "long", "short"), "decimal": ("decimal",), "float": ("double", "float"),
+        "text": ("string", "varchar"), "time": ("timestamp", "date"),
+    }.items():
+        if any(w in name for w in words):
+            return kind
+    return name
+
+
+def type_notes(df, description):
+    want = {d[0]: family(d[1]) for d in description}
+    return {n: f"{family(t)}/{want[n]}" for n, t in df.dtypes if n in want and family(t) != want[n]}
+
+
 def compare(spark, con, query, sql, sf_dir):
     df = query(spark, sf_dir)
     got, got_names = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -52,6 +68,9 @@ def compare(spark, con, query, sql, sf_dir):
     if len(got) != len(want):
         return f"{len(got)} rows, expected {len(want)}: {got[:2]} | {want[:2]}"
     bad = [(a, b) for a, b in zip(got, want) if a != b]
+    notes = type_notes(df, cur.description)
+    if notes:
+        print("types differ:", notes)
     if bad:
         return f"{len(bad)}/{len(got)} rows differ, first: {bad[0][0]} | {bad[0][1]}"
     return None

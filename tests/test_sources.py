@@ -92,3 +92,12 @@ def test_profiles(spark, tmp_path):
     got = {r["column"]: (r["type"], len(r["preview"])) for r in readers.profile_table(df).collect()}
     assert got == {"a": ("string", 200), "b": ("int", 1)}
     assert readers.file_profile(df).first()["rows"] == 1
+
+
+def test_null_keys_match_each_other(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    right = spark.createDataFrame([("b", 1), (None, 3)], "k string, v int")
+    assert {(r["k"], r["side"]) for r in quality.key_match(left, right, ["k"]).collect()} == {("a", "only_left"), ("b", "only_right"), (None, "both")}
+    assert {r["set"]: r["keys"] for r in quality.key_sets(left, right, ["k"]).collect()} == {"union": 3, "intersection": 1, "only_left": 1, "only_right": 1}
+    m = quality.reconcile(left, right, ["k"], ["v"])
+    assert m.where("k is null").first()["same_v"] is False
