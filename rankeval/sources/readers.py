@@ -129,6 +129,7 @@ def collect_metric_files(spark: SparkSession, glob: str, prefix: str = "eval_")
     ).orderBy("run", "checkpoint", "split")
 
 
+# fixed values
 REPORT_PREFIXES = ("ALL ", "URA ", "non-URA")
 
 

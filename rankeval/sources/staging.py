@@ -13,7 +13,7 @@ def _folder(spark: SparkSession) -> str | None:
     """The checkpoint folder, set up on first use; None on a cluster that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             return None
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankeval-"))
