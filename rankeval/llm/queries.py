@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankeval.llm import curves, mixing, packing, quality, token_files, topk, url_filter, warc
+from rankeval.llm import curves, mixing, packing, pii, quality, token_files, topk, url_filter, warc
 from rankeval.llm.storage import new_folder
 
 QUERIES: dict = {}
@@ -129,3 +129,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_curve_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@register("op4_personal_data")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("row", "masked")
