@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Sequence
 from itertools import chain
@@ -11,10 +12,11 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_200_000
 CACHED_BYTES = 48  # longer words are encoded anew each time
 SEPARATOR = "\x02"  # encoded between words; words that hold it are encoded alone
 TAIL = b".,;:!?"
+_LATIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u024f]+").fullmatch
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -29,36 +31,53 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        (self.between,) = self._ids(SEPARATOR)
+        (self.between,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words into the cache, those without a separator in joined runs."""
-        plain = [w for w in words if b"\x02" not in w]
-        if len(plain) < len(words):
-            self.cache.update((w, array(self.code, self._ids(w.decode())).tobytes()) for w in words if b"\x02" in w)
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        glue = f" {SEPARATOR} ".encode()
-        found = self.tokenizer.encode_batch_fast([glue.join(g).decode() for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, found):
+        steps = str(self.tokenizer.normalizer)
+        self.lowers = "Lowercase" in steps
+        self.light = None
+        if self.lowers and "Split(" in str(self.tokenizer.pre_tokenizer) and "ByteLevel(" in str(self.tokenizer.pre_tokenizer):
+            # lower-case Latin letters are one piece as they are: neither normalizer nor patterns change them
+            self.light = Tokenizer.from_file(path)
+            self.light.normalizer = None
+            self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _run(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
+        """Encode words without a separator, written as ``texts``, in joined runs."""
+        glue = f" {SEPARATOR} "
+        found = tokenizer.encode_batch_fast([glue.join(texts[i : i + 256]) for i in range(0, len(texts), 256)], add_special_tokens=False)
+        for i, e in zip(range(0, len(words), 256), found):
             ids = np.array(e.ids, self.code)
-            data, size = ids.tobytes(), ids.itemsize
-            at = 0
-            for w, end in zip(group, [*np.flatnonzero(ids == self.between).tolist(), len(ids)], strict=True):
+            data, size, at = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(words[i : i + 256], [*np.flatnonzero(ids == self.between).tolist(), len(ids)], strict=True):
                 self.cache[w] = data[at * size : end * size]
                 at = end + 1
 
+    def _learn(self, words: list[bytes]) -> None:
+        plain, light, texts = [], [], []
+        for w in words:
+            text = w.decode()
+            if self.light is not None and _LATIN(low := text.lower()):
+                light.append(w)
+                texts.append(low)
+            elif SEPARATOR in text:
+                self.cache[w] = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                plain.append(w)
+        self._run(self.light, light, texts)
+        self._run(self.tokenizer, plain, [w.decode() for w in plain])
+
     def encode(self, texts: Sequence[str | None], end_id: int) -> list[bytes]:
         """Per text its ids and ``end_id``, as little-endian integers of two bytes (four for a large vocabulary)."""
         known, full, end = self.cache, len(self.cache) > CACHED_WORDS, array(self.code, [end_id]).tobytes()
-        split = [(t or "").encode().split() for t in texts]  # at ASCII white space, a part of what the tokenizer drops
+        data = [(t or "").encode() for t in texts]
+        if self.lowers:  # fewer words; "<|" may begin a special token, which is found before lower-casing
+            data = [d if b"<|" in d else d.lower() for d in data]
+        split = [d.split() for d in data]  # at ASCII white space, a part of what the tokenizer drops
         out = [list(map(known.get, words)) for words in split]
         open_ = [i for i, ids in enumerate(out) if None in ids]
         words = {w for i in open_ for w, ids in zip(split[i], out[i]) if ids is None}
@@ -74,7 +93,7 @@ class WordEncoder:
         for w, base, tail in parts:
             known[w] = known[base] + known[tail]
         for i in open_:
-            out[i] = map(known.__getitem__, split[i])
+            out[i] = [known[w] if ids is None else ids for w, ids in zip(split[i], out[i])]
         out = [b"".join(ids) + end for ids in out]
         for w in [w for w in words if full or len(w) > CACHED_BYTES]:  # a full cache keeps what it has
             known.pop(w, None)
