@@ -18,6 +18,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -372,13 +373,8 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, tex
     return stage(rows.mapInArrow(check, "u long, v long"))
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` its ``doc_id``, ``n_shingles`` and ``component_id``: the smallest id that links lead to.
-
-    Two documents link where den x intersection >= num x union of their distinct ``k``-word shingles.  Null and empty texts and
-    those without words have no shingles and link with nothing.  Rows that repeat an id are told apart; a null id is no
-    component's name unless all its rows have none.
-    """
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and of each distinct set ``node``, ``n``, ``h1``, ``h2``, its smallest ``first_id`` and its component ``comp``."""
     sketch = sketches(docs, id_col, text_col, k, num, den)
     some = sketch.where("n > 0")
     equal = some.groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
@@ -391,10 +387,44 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     rest = stage(_screen(remaining(members, comp, nodes, num, den), nodes, num, den))
     if not rest.isEmpty():
         comp = labels(links.unionByName(verify(docs, rest, nodes, id_col, text_col, k, num, den)))
-    grouped = equal.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return sketch, equal.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs`` its ``doc_id``, ``n_shingles`` and ``component_id``: the smallest id that links lead to.
+
+    Two documents link where den x intersection >= num x union of their distinct ``k``-word shingles.  Null and empty texts and
+    those without words have no shingles and link with nothing.  Rows that repeat an id are told apart; a null id is no
+    component's name unless all its rows have none.
+    """
+    sketch, grouped = _grouped(docs, k, num, den, id_col, text_col)
     names = grouped.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(names, "comp").select("n", "h1", "h2", "component_id")
     rows = sketch.select("doc_id", "n", "h1", "h2")
     same: Column = (F.col("s.n") == F.col("e.n")) & (F.col("s.h1") == F.col("e.h1")) & (F.col("s.h2") == F.col("e.h2"))
     linked = rows.where("n > 0").alias("s").join(named.alias("e"), same).select("s.doc_id", F.col("s.n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id (null last) stays, and
+    of rows alike in id and shingles one; documents without words all stay."""
+    _, grouped = _grouped(docs, k, num, den, id_col, text_col)
+    first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "n", "h1", "h2")).alias("f"))
+    kept = stage(first.select(F.col("f.first_id").alias("k_id"), F.struct("f.n", "f.h1", "f.h2").alias("k_set")))
+
+    @F.pandas_udf("n long, h1 long, h2 long")
+    def own(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        values = texts.tolist()
+        for a, b in runs(values):
+            s = shingles(values[a:b], k)
+            found.append((s.sizes, *set_hashes(s)))
+        return pd.DataFrame(dict(zip(("n", "h1", "h2"), (np.concatenate(c) for c in zip(*found))))) if found else pd.DataFrame({"n": [], "h1": [], "h2": []}, dtype=np.int64)
+
+    marked = docs.withColumn("__set", own(docs[text_col]))
+    wordless = marked.where(F.col("__set.n") == 0).select([F.col(f"`{c}`") for c in docs.columns])
+    # by id as well, so that a large group of copies is spread
+    stays = marked.join(kept, (F.col("__set") == F.col("k_set")) & F.col(id_col).cast("long").eqNullSafe(F.col("k_id")), "left_semi")
+    stays = stays.dropDuplicates([id_col, "__set"]).select([F.col(f"`{c}`") for c in docs.columns])
+    return stays.unionByName(wordless)

@@ -107,12 +107,12 @@ def mix(
 
     ``pieces``: ``slot`` (their order), ``row``, ``doc_id``, ``source``, ``pass_no`` (0 for the first use), ``start``
     and ``length`` in words of the document.  ``documents``: one row per input row with ``row``, ``doc_id``, ``size``,
-    ``source_size``, ``target`` and ``taken``.  Repeated ids are told apart by ``row``; a null text has no words, a null
+    ``fingerprint`` (of its text), ``source_size``, ``target`` and ``taken``.  Repeated ids are told apart by ``row``; a null text has no words, a null
     source is a source and the last; an empty table or one without words gives no piece.
     """
     sized = stage(docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        words(F.col(text_col)).alias("size"), order_hash(id_col).alias("h"),
+        words(F.col(text_col)).alias("size"), order_hash(id_col).alias("h"), F.xxhash64(text_col).alias("fingerprint"),
     ))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = small(targets(per_source, weights, share, repeat))
@@ -132,5 +132,24 @@ def mix(
     )
     taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
     documents = rows.join(taken, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "row", "doc_id", "fingerprint", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return pieces, documents
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, repeat: int = 2, block: int = 1024,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The documents of the mix with the columns of ``docs``: a row for each use of a document, its text cut to the words taken
+    (then joined by single blanks).  Rows alike in id and text are interchangeable."""
+    pieces, documents = mix(docs, weights, share, repeat, block, id_col, text_col, source_col)
+    uses = pieces.groupBy("row", "pass_no").agg(F.sum("length").alias("n"))
+    uses = stage(uses.join(documents, "row").select(F.col("doc_id").alias("u_id"), F.col("fingerprint").alias("u_text"), "size", "n"))
+    marked = docs.alias("d").withColumn("__text", F.xxhash64(text_col))
+    alike = documents.groupBy("doc_id", "fingerprint").count().where("count > 1")
+    if not alike.isEmpty():  # each use of alike rows then takes the one that is left
+        marked = marked.dropDuplicates([id_col, "__text"])
+    found = marked.join(uses, F.col(id_col).eqNullSafe(F.col("u_id")) & (F.col("__text") == F.col("u_text")))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
+    text = F.when(F.col("n") < F.col("size"), cut).otherwise(F.col(text_col))
+    return found.withColumn("__cut", text).select(*[F.col("__cut").alias(c) if c == text_col else found[f"`{c}`"] for c in docs.columns])

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -211,13 +212,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-ROWS = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked string"
+ROWS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """Per row the counts of all spans by kind, the hash of the base spans and all spans as ``kind:start:end`` by start and
-    kind; ``masked`` is the text without them where ``mask`` is set and the text has some, else null.  ``row`` numbers
-    the input's rows.
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row its id, the counts of all spans by kind, the hash of the base spans and all spans as ``kind:start:end`` by start
+    and kind.
 
     Offsets are code points, ends exclusive.  A null or empty text has no spans; repeated rows are treated alike.  All
     steps take time in proportion to a text's length, however long its runs are.
@@ -225,17 +225,29 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, hashes, spans, texts = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            counts, hashes, spans = [], [], []
+            for text in batch.column(1).to_pylist():
                 base = find(text) if text else []
                 every = sorted(base + disguised(text, base)) if text else []
                 counts.append([sum(k == i for _, k, _ in every) for i in range(len(KINDS))])
                 hashes.append(hashlib.sha256(written(base).encode()).hexdigest())
                 spans.append(written(every))
-                texts.append(masked(text, every) if mask and every else None)
-            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 4))]
-            columns += [pa.array(x, pa.string()) for x in (hashes, spans, texts)]
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*counts) if counts else [[]] * 4))]
+            columns += [pa.array(x, pa.string()) for x in (hashes, spans)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROWS.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return rows.mapInArrow(task, ROWS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(task, ROWS)
+
+
+def mask(text: Column) -> Column:
+    """Texts with every span replaced by its kind in angle brackets; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            base = find(t) if t else []
+            out.append(masked(t, sorted(base + disguised(t, base))) if t else t)
+        return pd.Series(out, dtype=object)
+
+    return run(text)

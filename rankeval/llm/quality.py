@@ -1,7 +1,7 @@
 """A quality classifier: histogram gradient-boosted trees over document statistics (operator 9).
 
-Statistics of all documents are taken once, in Spark.  The trees are fitted on a bounded sample of labelled rows and kept as
-arrays, one row of nodes per tree, which numpy walks for a whole batch at a time.
+The trees are fitted on the statistics of a bounded sample of labelled documents and kept as arrays, one row of nodes per
+tree, which numpy walks for a whole batch at a time.  Every document is scored in one pass over the texts.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankeval.sources.staging import stage
-
 STATISTICS = (
     "log_bytes letters upper digits spaces points symbols bars bangs beyond_ascii byte_entropy log_words word_length word_spread "
     "distinct_words commonest_word same_as_before capital_words long_words marked_words distinct_pairs log_lines line_length "
@@ -123,48 +122,54 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row``, ``doc_id`` and ``x`` (the statistics) of every row, kept in the checkpoint folder: each text is read once."""
+def learn(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> Trees:
+    """Fit on at most ``max_rows`` labels of documents that are not held out, those with the smallest hash of their id.
+
+    Null labels and labels of other documents are left out; a document with several labels counts once for each.
+    """
+    doc = F.col(id_col).cast("long").alias("labelled")
+    known = labels.select(doc, F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out(F.col("labelled")))
+    known = known.join(docs.select(doc), "labelled", "left_semi")
+    # at most max_rows pairs of numbers go through the driver, and as many rows of statistics come back
+    sample = known.orderBy(F.xxhash64("labelled"), "labelled", "y").limit(max_rows)
+    sample = docs.sparkSession.createDataFrame(sample.toArrow())
+    texts = docs.select(doc, F.col(text_col).alias("t")).join(F.broadcast(sample), "labelled").select("t", "y", "labelled")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([statistics(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["row", "doc_id", "x"])
+            x = pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([x, batch.column(1), batch.column(2)], names=["x", "y", "labelled"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    return stage(rows.mapInArrow(task, "row long, doc_id long, x array<float>"))
+    found = texts.mapInArrow(task, "x array<float>, y int, labelled long").toArrow().sort_by([("labelled", "ascending"), ("y", "ascending")])
+    x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
+    return fit(x, found.column("y").to_numpy().astype(float))
 
 
-def learn(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", label_col: str = "quality") -> Trees:
-    """Fit on at most ``max_rows`` labelled rows that are not held out, those with the smallest hash of their id.
+def score(model: Trees, text: Column) -> Column:
+    """Scores of whole texts; the model is a few hundred kilobytes and goes with the tasks."""
 
-    Null labels are left out; a document with several labels counts once for each.
-    """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null")
-    rows = stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = rows.orderBy("h", "doc_id", "y").limit(max_rows).select("x", "y").toArrow()
-    x = np.array(sample.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
-    return fit(x, np.array(sample.column("y").to_pylist(), float))
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(STATISTICS))
+        return pd.Series(model.scores(x.astype(float)))
 
+    return scores(text)
 
-def score(stats: DataFrame, model: Trees) -> DataFrame:
-    """``stats`` with ``score`` instead of ``x``.  The model is a few tens of kilobytes, sent with the tasks."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)).astype(float)
-                s = pa.array(model.scores(x), pa.float64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], names=["row", "doc_id", "score"])
-
-    return stats.mapInArrow(task, "row long, doc_id long, score double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, least_score: float = 0.7, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, least_score: float = 0.7, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``, from its text alone.
 
     Null and empty texts are scored like any other, repeated rows alike; without labels every score is 1.
     """
-    stats = document_statistics(docs, id_col, text_col)
-    scored = score(stats, learn(stats, labels, max_rows))
+    model = learn(docs, labels, max_rows, id_col, text_col)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(model, F.col(text_col)).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least_score).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least_score: float = 0.7, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``least_score``."""
+    return docs.where(score(learn(docs, labels, max_rows, id_col, text_col), docs[text_col]) >= least_score)

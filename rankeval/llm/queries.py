@@ -133,7 +133,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_personal_data")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(table(spark, sf_dir, "documents")).drop("row", "masked")
+    return pii.detect(table(spark, sf_dir, "documents"))
 
 
 JACCARD_SQL = r"""
