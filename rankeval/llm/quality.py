@@ -81,7 +81,7 @@ class Trees:
         return 1 / (1 + np.exp(-raw))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, n_bins: int = 64, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, n_bins: int = 64, least: float = 1.0, ridge: float = 1.0) -> Trees:
     """Boost logistic loss.  Without rows the score is 1 for all; with one label it is that label's smoothed share."""
     if not len(y):
         return Trees(np.zeros((len(STATISTICS), 0)), np.zeros((0, 1), int), np.zeros((0, 1), int), np.zeros((0, 1)), 40.0)
