@@ -40,10 +40,12 @@ def train_dictionary(
 
     The sample only shapes the dictionary; every document is written in full whatever it holds.
     """
-    rows = (
-        docs.where(F.length(text_col) > 0).select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
-        .orderBy("h", "t").limit(samples).collect()
-    )
+    hashed = docs.withColumn("__h", F.xxhash64(id_col)).where(F.length(text_col) > 0)
+    last = hashed.select("__h").orderBy("__h").limit(samples).agg(F.max("__h")).first()[0]
+    if last is None:
+        return b""
+    # the hash is chosen first, so that no more texts than asked for are sent
+    rows = hashed.where(F.col("__h") <= last).select("__h", F.substring(text_col, 1, sample_chars).alias("t")).orderBy("__h", "t").limit(samples).collect()
     ids = encoder(tokenizer).encode([r["t"] for r in rows], end_id)
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
