@@ -2,9 +2,10 @@
 
 1. Equal shingle sets become one node.  A node's key list is its prefix: sets that overlap enough share a key of their
    prefixes, whatever the order of keys, so the order takes frequent shingles last.
-2. Nodes that share a key are sorted by size; each is compared with its predecessor only.  Bitmaps (parity of hashed bits, as
-   many bits as the set has elements, up to a power of two) bound an overlap from above; pairs that pass are verified on
-   the sorted arrays.  Groups of near copies fall into one component here, in linear work.
+2. Nodes that share a key are sorted by how common their shingles are; each is compared with the first, which is the least
+   altered of a group of copies, and with its predecessor.  Bitmaps (parity of hashed bits, at least twice as many bits as
+   the set has elements) bound an overlap from above; pairs that pass are verified on the sorted arrays.  Groups of near
+   copies fall into one component here, in linear work.
 3. Keys whose nodes still lie in different components are compared in full: in tiles of one key and size band, the
    minority's nodes visit all tiles whose sizes can match.  Bitmaps come first again, then the arrays.
 
@@ -27,7 +28,8 @@ from rankeval.llm.encoding import runs
 from rankeval.llm.shingles import Shingles, mix, shingles
 from rankeval.sources.staging import stage
 
-FREQUENT = 16  # a shingle in so many documents is taken last
+FREQUENT = 8  # a shingle in so many documents is taken last
+LOW = np.uint64(1 << 62)  # shingles are counted below this hash, a quarter: longer than a prefix at similarity 0.8
 LISTED = 1 << 20  # frequent shingles that are told apart; others rank by their hash
 TILE = 1024  # nodes of a key and band in one tile
 SALT_BITS = 16
@@ -51,29 +53,19 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles of all documents, ascending, and their counts.
+    """The frequent shingles of all documents among those with a hash below ``LOW``, ascending, and their counts.
 
-    Tasks count what they read and pass on what they have met twice in a stretch of about four million shingles, so that the
-    many shingles of one document never leave the task.  The counts only order keys; at most ``LISTED`` are kept, those with
-    the highest counts.
+    Prefixes take shingles in the order of their hash, so those beyond are seldom keys.  The counts only order keys; at most
+    ``LISTED`` are kept, those with the highest counts.
     """
 
-    def count(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if held:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            yield _batch("key long, n long", [_signed(keys[n > 1]), n[n > 1]])
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in runs(texts):
-                held.append(shingles(texts[a:b], k).hashes)
-                size += len(held[-1])
-                if size >= 1 << 22:
-                    yield from count(held)
-                    held, size = [], 0
-        yield from count(held)
+                found = shingles(texts[a:b], k).hashes
+                keys, n = np.unique(found[found < LOW], return_counts=True)
+                yield _batch("key long, n long", [_signed(keys), n])
 
     counts = stage(docs.select(text_col).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
     levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).count().collect()  # one row per power of two
@@ -98,8 +90,8 @@ def needed(sizes: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmaps(s: Shingles) -> list[bytes]:
-    """Per document the parity of its hashes' bits, 64 or a larger power of two, at least its size."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(s.sizes, 1))).astype(np.int64))
+    """Per document the parity of its hashes' bits, 64 or a larger power of two, at least twice its size."""
+    bits = np.maximum(64, 2 << np.ceil(np.log2(np.maximum(s.sizes, 1))).astype(np.int64))
     start = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(bits)), s.sizes)
     at = start[owner] + (mix(s.hashes, 9) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -116,8 +108,9 @@ def set_hashes(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all documents one after the other, and where each begins.  The low ``SALT_BITS`` deal a frequent key's nodes
+def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all documents one after the other, where each begins, and per document how many of a thousand counted shingles are
+    not frequent.  The low ``SALT_BITS`` deal a frequent key's nodes
     over tiles; keys are equal where the other bits are."""
     keys, counts = hot
     owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
@@ -125,6 +118,8 @@ def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray]
     if len(keys):
         at = np.minimum(np.searchsorted(keys, s.hashes), len(keys) - 1)
         rank = np.where(keys[at] == s.hashes, counts[at], 0)
+    counted = s.hashes < LOW
+    rare = 1000 * np.bincount(owner[counted & (rank == 0)], minlength=len(s.sizes)) // np.maximum(1, np.bincount(owner[counted], minlength=len(s.sizes)))
     order = np.lexsort((s.hashes, rank, owner))
     place = np.arange(len(order)) - s.start[owner]
     length = np.where(s.sizes > 0, s.sizes - needed(s.sizes, num, den) + 1, 0)
@@ -133,10 +128,10 @@ def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray]
     tiles = np.minimum(-(-rank[order] // (4 * TILE)), 1 << SALT_BITS)
     salt = mix(row.astype(np.uint64), 7)[owner] % np.maximum(tiles, 1).astype(np.uint64)
     low = np.uint64((1 << SALT_BITS) - 1)
-    return _signed((s.hashes[order] & ~low) | salt), np.concatenate([[0], np.cumsum(length)])
+    return _signed((s.hashes[order] & ~low) | salt), np.concatenate([[0], np.cumsum(length)]), rare
 
 
-SKETCH = "row long, doc_id long, n long, h1 long, h2 long, bits binary, keys array<long>"
+SKETCH = "row long, doc_id long, n long, h1 long, h2 long, rare long, bits binary, keys array<long>"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -148,9 +143,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
             row, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for a, b in runs(texts):
                 s = shingles(texts[a:b], k)
-                keys, start = prefix_keys(s, row[a:b], hot.value, num, den)
+                keys, start, rare = prefix_keys(s, row[a:b], hot.value, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(keys))
-                yield _batch(SKETCH, [row[a:b], batch.column(1).slice(a, b - a), s.sizes, *set_hashes(s), bitmaps(s), lists])
+                yield _batch(SKETCH, [row[a:b], batch.column(1).slice(a, b - a), s.sizes, *set_hashes(s), rare, bitmaps(s), lists])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
     return stage(rows.mapInArrow(task, SKETCH))
@@ -158,47 +153,44 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
 # --- candidates ---
 
-NEIGHBOURS = "tile long, node long, n long, before long, leader long"
+NEIGHBOURS = "tile long, node long, n long, before long, hub long, leader long"
 
 
 def neighbours(keyed: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``tile``, ``node``, ``n`` the rows of tiles with more than one node, in the order of sizes, with the node before (null
-    for the first, or where its size is too small to be similar) and the tile's first node."""
-
-    def runs_of(tile, node, n, leader, last):
-        """Rows of a stretch; ``last``: the row before it, if its tile goes on."""
-        new = np.ones(len(tile), bool)
-        new[1:] = tile[1:] != tile[:-1]
-        if last is not None:
-            new[0] = tile[0] != last[0]
-        before, size = np.roll(node, 1), np.roll(n, 1)
-        if last is not None:
-            before[0], size[0] = last[1], last[2]
-        head = np.where(new, node, 0)
-        if not new[0]:
-            head[0] = leader
-        start = np.maximum.accumulate(np.where(new | (np.arange(len(new)) == 0), np.arange(len(new)), 0))
-        return new, before, ~new & (size * den >= n * num), head[start]
+    """Of ``tile``, ``node``, ``n``, ``rare`` the rows of tiles with more than one node, with the node before (``before``) and the
+    first (``hub``) in the order of ``rare``, null where there is none or their sizes are too far apart; ``leader`` is the first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row of what came before and whether it is already known to have company
-        leader = 0
+        held, alone, first = None, False, None  # the last row so far, whether it still waits for company, its tile's first row
         for batch in batches:
             tile, node, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(tile):
                 continue
-            last = None if held is None else held[:3]
-            new, before, fits, lead = runs_of(tile, node, n, leader, last)
-            if held is not None and not held[3] and not new[0]:  # the row held back has company after all
-                yield _batch(NEIGHBOURS, [[held[0]], [held[1]], [held[2]], [None], [leader]])
-            company = ~new
-            company[:-1] |= ~new[1:]
+            if held is not None:  # go on behind the last row
+                tile, node, n = (np.concatenate([[x], y]) for x, y in zip(held, (tile, node, n)))
+            new = np.ones(len(tile), bool)
+            new[1:] = tile[1:] != tile[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            hub, hub_n = node[start], n[start]
+            if held is not None:
+                hub[start == 0], hub_n[start == 0] = first
+            before, before_n = np.roll(node, 1), np.roll(n, 1)
+            near = lambda m: np.minimum(m, n) * den >= np.maximum(m, n) * num  # noqa: B023, E731
+            later = ~new
+            company = later.copy()
+            company[:-1] |= later[1:]
+            if held is not None:
+                if not alone:
+                    company[0] = False  # written with its batch
+                later[0] = False
             which = np.flatnonzero(company)
-            if len(which):
-                yield _batch(NEIGHBOURS, [tile[which], node[which], n[which], pa.array(before[which], mask=~fits[which]), lead[which]])
-            held, leader = (int(tile[-1]), int(node[-1]), int(n[-1]), bool(company[-1])), int(lead[-1])
+            out_before = pa.array(before[which], mask=~(later & near(before_n))[which])
+            out_hub = pa.array(hub[which], mask=~(later & near(hub_n) & (hub != node))[which])
+            yield _batch(NEIGHBOURS, [tile[which], node[which], n[which], out_before, out_hub, hub[which]])
+            alone = bool(new[-1]) if len(tile) > 1 or held is None else alone
+            held, first = (int(tile[-1]), int(node[-1]), int(n[-1])), (int(hub[-1]), int(hub_n[-1]))
 
-    rows = keyed.select("tile", "node", "n").repartition("tile").sortWithinPartitions("tile", "n", "node")
+    rows = keyed.select("tile", "node", "n", "rare").repartition("tile").sortWithinPartitions("tile", "rare", "n", "node")
     return stage(rows.mapInArrow(task, NEIGHBOURS))
 
 
@@ -379,9 +371,10 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     some = sketch.where("n > 0")
     equal = some.groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     equal = stage(equal.select("n", "h1", "h2", F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id")))
-    nodes = stage(sketch.join(equal.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "bits", "keys"))
-    members = neighbours(nodes.select(F.explode("keys").alias("tile"), "node", "n"), num, den)
-    pairs = members.where("before is not null").groupBy(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).agg(F.min("leader").alias("leader"))
+    nodes = stage(sketch.join(equal.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "rare", "bits", "keys"))
+    members = neighbours(nodes.select(F.explode("keys").alias("tile"), "node", "n", "rare"), num, den)
+    near = members.select("node", "leader", F.explode(F.array_distinct(F.array("before", "hub"))).alias("other")).where("other is not null")
+    pairs = near.groupBy(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).agg(F.min("leader").alias("leader"))
     links = verify(docs, stage(_screen(pairs, nodes, num, den)), nodes, id_col, text_col, k, num, den)
     comp = labels(links)
     rest = stage(_screen(remaining(members, comp, nodes, num, den), nodes, num, den))

@@ -76,7 +76,12 @@ def test_components_when_every_key_is_frequent_and_tiles_are_small(spark, monkey
     monkeypatch.setattr(jaccard, "TILE", 2)
     monkeypatch.setattr(jaccard, "PIECE", 50)
     rows = corpus(3)
-    assert got(spark, rows) == plain_components(rows)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "3")
+    try:
+        assert got(spark, rows) == plain_components(rows)
+    finally:
+        spark.conf.unset(batch)
 
 
 def test_the_order_of_keys_does_not_matter(spark, monkeypatch):
