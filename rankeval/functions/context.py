@@ -22,8 +22,23 @@ _NO_TEXTS = "cast(array() as array<string>)"
 
 
 def two_decimals(c: Column) -> Column:
-    """``%.2f`` with ties of the stored value rounded to even, as printf does."""
-    return F.format_string("%.2f", F.rint(c * 100) / 100)
+    """``%.2f`` of the stored binary value, as printf does.
+
+    ``c * 100`` rounds; what it lost comes from the product of split halves and decides where the product itself lies
+    half-way, and only a true half-way value goes to the even neighbour.
+    """
+    def parts(x: Column) -> Column:
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
+        lost = high * 100 - x * 100 + (x - high) * 100
+        return F.struct((x * 100).alias("p"), lost.alias("e"))
+
+    def rounded(v: Column) -> Column:
+        p, e = v.getField("p"), v.getField("e")
+        low = F.floor(p).cast("double")
+        tie = p - low == 0.5
+        return F.when(tie & (e > 0), low + 1).when(tie & (e < 0), low).otherwise(F.rint(p)) / 100
+
+    return F.format_string("%.2f", let(parts(c.cast("double")), rounded))
 
 
 def format_interest(it: Column, keywords: bool = True, sources: bool = True) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    """F10."""
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """F10; null and NaN stay without a value."""
+    return F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def valid_score(c: Column) -> Column:

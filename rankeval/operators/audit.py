@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rankeval.functions.stats import chi_square_p
 from rankeval.operators.debias import ctr_curve
 from rankeval.operators.metrics import unpivot
-from rankeval.operators.ranges import exact_percentiles
+from rankeval.operators.ranges import exact_percentiles, join_on
 from rankeval.sources.staging import small, stage
 
 _CHUNKS = 64
@@ -25,7 +25,7 @@ def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), nam
     inner = edges.select(*by, F.slice(inner, F.lit(2), F.greatest(F.lit(0), F.size(inner) - 2)).alias("_edges"))
     x = F.col(c).cast("double")
     if by:
-        joined = df.join(small(inner), by, "left")
+        joined = join_on(df, small(inner), by, "left")
     else:
         joined = df.withColumn("_edges", inner.select("_edges").scalar())
     below = F.size(F.filter("_edges", lambda e: e < x))
@@ -33,14 +33,15 @@ def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), nam
 
 
 def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of value pairs with both margins and the total; margins are joined, never collected."""
+    """Counts of value pairs with both margins and the total; margins are joined, never collected.  A null is a value like any
+    other."""
     by = list(by)
     cells = stage(df.groupBy(*by, a, b).agg(F.count("*").alias("n_ab")))
     na = cells.groupBy(*by, a).agg(F.sum("n_ab").alias("n_a"))
     nb = cells.groupBy(*by, b).agg(F.sum("n_ab").alias("n_b"))
-    out = cells.join(nb, [*by, b]).join(na, [*by, a])
+    out = join_on(join_on(cells, nb, [*by, b]), na, [*by, a])
     total = cells.groupBy(*by).agg(F.sum("n_ab").alias("n"))
-    return out.join(total, by) if by else out.withColumn("n", total.select("n").scalar())
+    return join_on(out, total, by) if by else out.withColumn("n", total.select("n").scalar())
 
 
 def mutual_information(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,7 @@ def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFra
         F.count("*").alias("_kb"), F.sum(1.0 / F.col("m")).alias("_ib")
     )
     if by:
-        joined = stats.join(ra, by).join(rb, by)
+        joined = join_on(join_on(stats, ra, by), rb, by)
     else:
         joined = stats.withColumn("_a", ra.select(F.struct("_ka", "_ia")).scalar())
         joined = joined.withColumn("_b", rb.select(F.struct("_kb", "_ib")).scalar())

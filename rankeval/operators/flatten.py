@@ -34,27 +34,36 @@ def _as_json(df: DataFrame, c: str) -> Column:
     return F.col(c) if isinstance(df.schema[c].dataType, T.StringType) else F.to_json(F.col(c))
 
 
+ASCII_WHITE = " \t\n\r\x0b\x0c"
+
+
 def day_of(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("")))
 
 
 def date_between(c: Column, lo: str = "", hi: str = "", keep_blank: bool = True) -> Column:
-    """Inclusive text comparison of yyyyMMdd dates, blank bounds are open.
+    """Inclusive text comparison of trimmed yyyyMMdd dates, blank bounds are open.
 
-    A blank date passes with ``keep_blank``; without it, it fails as soon as ``lo`` is set.
+    A blank date passes with ``keep_blank``; without it, it fails as soon as ``lo`` is set.  The first condition is wider and
+    compares the bare column, so that it reaches the scan: texts that begin with white space sort below "!", those that
+    end with it below the bound and "!".
     """
-    d = F.coalesce(c, F.lit(""))
-    cond = F.lit(True)
+    d = F.btrim(F.coalesce(c, F.lit("")), F.lit(ASCII_WHITE))
+    wide, cond = F.lit(True), F.lit(True)
     if lo:
-        cond = cond & (d >= lo)
+        wide, cond = wide & (c >= lo), cond & (d >= lo)
     if hi:
-        cond = cond & (d <= hi)
-    return cond | (F.trim(d) == "") if keep_blank else cond
+        wide, cond = wide & (c < hi + "!"), cond & (d <= hi)
+    if not lo and not hi:
+        return F.lit(True)
+    wide = wide | (c < "!") if not keep_blank else wide | (c < "!") | c.isNull()
+    cond = cond | (d == "") if keep_blank else cond
+    return wide & cond if keep_blank or lo else (wide | c.isNull()) & cond
 
 
 def has_tag(c: Column, tag: str) -> Column:
-    """Case-sensitive substring, no wildcards; null has no tag."""
-    return F.coalesce(c, F.lit("")).contains(tag)
+    """Case-sensitive substring, no wildcards; null, which a filter drops, where there is no text."""
+    return c.contains(tag)
 
 
 def is_impression(card: Column) -> Column:
@@ -165,7 +174,7 @@ def _inline_feeds(
 
 
 def _as_samples(rows: DataFrame, slice_tag: str) -> DataFrame:
-    flag = has_tag(F.col("flight_ids"), slice_tag).cast("int") if slice_tag else F.lit(0)
+    flag = F.coalesce(has_tag(F.col("flight_ids"), slice_tag), F.lit(False)).cast("int") if slice_tag else F.lit(0)
     return rows.select(
         "feed_id", "user_id", "bizdate", "flight_ids", flag.alias("is_tagged"),
         F.col("card.is_clicked").cast("int").alias("label"),
@@ -266,7 +275,7 @@ def four_way(df: DataFrame, train_min: str, train_until: str, eval_from: str, ta
     """
     train = date_between(F.col("bizdate"), train_min, train_until)
     evaluation = date_between(F.col("bizdate"), eval_from) & F.col("features").isNotNull()
-    tagged = has_tag(F.col("flight_ids"), tag)
+    tagged = F.coalesce(has_tag(F.col("flight_ids"), tag), F.lit(False))
     names = F.array_compact(
         F.array(
             F.when(train, "train_all"), F.when(train & tagged, "train_tagged"), F.when(evaluation, "eval_all"),

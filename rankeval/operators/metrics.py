@@ -66,13 +66,13 @@ def auc(
     """M1, M5: exact tie-aware ROC AUC per group, NaN when a class is missing.
 
     Rows are first counted per (group, score); only distinct scores are sorted.  With ``weight`` every
-    positive/negative pair counts ``w_pos * w_neg``.  Null and non-finite scores are left out.
+    positive/negative pair counts ``w_pos * w_neg``.  Null labels and null or non-finite scores are left out.
     """
     s, y = _col(score), _col(label)
     w = F.lit(1) if weight is None else _col(weight)
     scored = df.select(*by, s.cast("double").alias("_s"), y.cast("int").alias("_y"), w.alias("_w"))
     counted = stage(
-        scored.where(valid_score(F.col("_s")))
+        scored.where(valid_score(F.col("_s")) & F.col("_y").isNotNull())
         .groupBy(*by, "_s")
         .agg(
             F.sum(F.when(F.col("_y") == 1, F.col("_w")).otherwise(0)).alias("_p"),
@@ -96,20 +96,24 @@ def auc(
     )
 
 
+def _loss(p: Column | str, label: Column | str, eps: float) -> Column:
+    """Cross entropy of a row; null without a label or a probability."""
+    q = clip(_col(p).cast("double"), eps, 1 - eps)
+    return -F.log(F.when(_col(label) == 1, q).when(_col(label) == 0, 1 - q))
+
+
 def log_loss(
     df: DataFrame, p: Column | str, label: Column | str, by: Sequence[str] = (), eps: float = 1e-6
 ) -> DataFrame:
-    """M3: mean negative log likelihood of clipped probabilities."""
-    q = clip(_col(p).cast("double"), eps, 1 - eps)
-    loss = -F.log(F.when(_col(label) == 1, q).otherwise(1 - q))
-    return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"))
+    """M3: mean negative log likelihood of clipped probabilities; ``excluded`` rows have no label or no probability."""
+    loss = _loss(p, label, eps)
+    return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"), F.count_if(loss.isNull()).alias("excluded"))
 
 
 def weighted_ce(df: DataFrame, p: Column | str, label: Column | str, weight: Column | str, eps: float = 1e-6) -> DataFrame:
-    """Mean of class weight times cross entropy."""
-    q = clip(_col(p).cast("double"), eps, 1 - eps)
-    loss = -F.log(F.when(_col(label) == 1, q).otherwise(1 - q))
-    return df.agg(F.avg(_col(weight) * loss).alias("weighted_ce"))
+    """Mean of class weight times cross entropy; ``excluded`` as in :func:`log_loss`."""
+    loss = _loss(p, label, eps)
+    return df.agg(F.avg(_col(weight) * loss).alias("weighted_ce"), F.count_if(loss.isNull()).alias("excluded"))
 
 
 def _top_gain(grouped: DataFrame, keys: Sequence[str], value: str, k: int, name: str) -> DataFrame:

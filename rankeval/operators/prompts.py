@@ -543,7 +543,7 @@ def shrink_prompt(
 
     After the budgeted prompt: drop further conversation groups from the tail, then one title at a time from
     clicks, thumbs-down and thumbs-up in turn, each time rebuilding the budgeted prompt; as a last resort keep
-    the last ``limit`` words.  Adds ``prompt``, ``tokens`` and a struct ``drops``.
+    the longest end that ``counter`` counts as ``limit``.  Adds ``prompt``, ``tokens`` and a struct ``drops``.
     """
     ctx = F.col(interests)
     inter = ctx.getField("interactions")
@@ -608,9 +608,19 @@ def shrink_prompt(
     work = work.withColumn(
         "_r", F.aggregate(F.sequence(F.lit(0), F.col("_m") + F.size("_order")), start, attempt)
     )
-    words = F.regexp_extract_all(F.col("_r.text"), F.lit(r"\S+\s*"), F.lit(0))
-    work = work.withColumn("_over", F.when(~F.col("_r.done"), words))
-    text = F.when(F.col("_r.done"), F.col("_r.text")).otherwise(F.array_join(F.slice("_over", -limit, limit), ""))
+    # the longest end of the text, in whole characters, that the counter finds short enough: a search by halves, as a shorter
+    # end never counts more
+    full = F.col("_r.text")
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a.getField("lo") + a.getField("hi") + 1) / 2).cast("int")
+        fits = counter(F.right(full, middle)) <= limit
+        return F.struct(F.when(fits, middle).otherwise(a.getField("lo")).alias("lo"), F.when(fits, a.getField("hi")).otherwise(middle - 1).alias("hi"))
+
+    bounds = F.struct(F.lit(0).alias("lo"), F.length(full).alias("hi"))
+    longest = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.length(full) + 1)).cast("int") + 1), bounds, halve, lambda a: a.getField("lo"))
+    work = work.withColumn("_end", F.when(~F.col("_r.done"), longest))
+    text = F.when(F.col("_r.done"), full).otherwise(F.right(full, F.col("_end")))
     gone = F.slice("_order", F.lit(1), F.col("_r.step") - F.least(F.col("_r.step"), F.col("_m")))
     return work.select(
         *df.columns,
@@ -619,7 +629,7 @@ def shrink_prompt(
         F.struct(
             F.least(F.col("_r.step"), F.col("_m")).alias("conversations"),
             *[times(gone, q).alias(k) for k, q in queues.items()],
-            F.when(F.col("_r.done"), 0).otherwise(F.size("_over") - limit).alias("hard_truncated_tokens"),
+            F.when(F.col("_r.done"), 0).otherwise(counter(full) - counter(text)).alias("hard_truncated_tokens"),
         ).alias("drops"),
     )
 

@@ -123,20 +123,31 @@ def _full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     )
 
 
+def comparable(df: DataFrame, c: str) -> Column:
+    """A value that can be tested for equality: maps and variants as JSON text, maps with their keys in order."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k.alias("k"), F.element_at(c, k).alias("v")))
+        return F.when(F.col(c).isNotNull(), F.to_json(F.struct(entries.alias("m"))))
+    if "map<" in kind.simpleString() or "variant" in kind.simpleString():
+        return F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("m"))))
+    return F.col(c)
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Full outer match with a null-safe equality flag per field (null where a side is missing).
 
     Both sides must be unique by key (see :func:`last_by_key`).
     """
     ks = list(keys)
-    l = left.select(*ks, F.struct(*fields).alias("_l"))
-    r = right.select(*ks, F.struct(*fields).alias("_r"))
+    l = left.select(*ks, F.struct(*fields).alias("_l"), F.struct(*[comparable(left, f).alias(f) for f in fields]).alias("_cl"))
+    r = right.select(*ks, F.struct(*fields).alias("_r"), F.struct(*[comparable(right, f).alias(f) for f in fields]).alias("_cr"))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     side = F.when(both, "both").when(F.col("_r").isNull(), "only_left").otherwise("only_right")
     joined = _full_outer(l, r, ks).withColumn("side", side)
     return joined.select(
         *ks, "side",
-        *[F.when(both, F.col(f"_l.{f}").eqNullSafe(F.col(f"_r.{f}"))).alias(f"same_{f}") for f in fields],
+        *[F.when(both, F.col(f"_cl.{f}").eqNullSafe(F.col(f"_cr.{f}"))).alias(f"same_{f}") for f in fields],
         *[F.col(f"_l.{f}").alias(f"left_{f}") for f in fields],
         *[F.col(f"_r.{f}").alias(f"right_{f}") for f in fields],
     )

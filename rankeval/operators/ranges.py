@@ -53,6 +53,12 @@ def _same_keys(keys: Sequence[str], tag: str) -> Column:
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys in which a null key matches a null key; the left side's keys stay."""
+    named = _renamed_keys(right, keys, "j")
+    return left.join(named, _same_keys(keys, "j"), how).drop(*[f"_j_{i}" for i in range(len(keys))])
+
+
 def _hot_bounds(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per hot group: keys, ``_bounds`` (sorted array of order structs), ``_coarse``."""
     plan = PLAN

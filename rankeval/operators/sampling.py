@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from rankeval.operators.ranges import ordered_index
 from rankeval.sources.staging import stage
 
-_SLOTS = 4096  # three hex digits of the hash
+_SLOT_ROWS = 100_000  # rows that are ordered to find a cut
 
 
 def hash_hex(seed: int, *keys: Column | str) -> Column:
@@ -43,25 +43,35 @@ def holdout(df: DataFrame, keys: Sequence[str], pct: int = 10, seed: int = 0, na
     return df.withColumn(name, percent_of(seed, *keys) < pct)
 
 
-def _smallest_by_hash(df: DataFrame, keys: Sequence[str], seed: int, keep: Column | int) -> DataFrame:
-    """The ``keep`` rows with the smallest hash (then key): a plain filter against the last row to keep.
+def _smallest_by_hash(df: DataFrame, keys: Sequence[str], seed: int, keep: int) -> DataFrame:
+    """The ``keep`` rows with the smallest hash of their keys; rows that share the last key are taken by their content.
 
-    That row is found by counting rows per hash slot (4096 rows, whatever the data size) and ordering only the
-    slot the cut falls into.
+    The last hash is found by counting rows per slot of the hash, then per slot of the slot that holds the cut, until that
+    one has at most ``_SLOT_ROWS`` rows or a single hash; only those are ordered.
     """
-    hashed = df.withColumn("_h", hash_hex(seed, *keys)).withColumn("_slot", F.substring("_h", 1, 3))
-    counts = hashed.groupBy("_slot").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cut = counts.select("_slot", "_c", before.alias("_before"), F.lit(keep).alias("_keep"))
-    cut = stage(cut.where("_before < _keep and _keep <= _before + _c").select("_slot", (F.col("_keep") - F.col("_before")).alias("_left")))
-    slot = hashed.where(F.col("_slot") == cut.select("_slot").scalar()).select("_slot", "_h", *keys)
-    place = F.row_number().over(W.partitionBy("_slot").orderBy("_h", *keys))
-    place = slot.withColumn("_r", place).where(F.col("_r") == cut.select("_left").scalar())
-    last = stage(place.select(F.struct("_h", *keys).alias("_last")))
-    if last.isEmpty():
-        # no row is the last to keep: either all fit or none is wanted
-        return df.where(F.lit(keep) > 0)
-    return hashed.where(F.struct("_h", *keys) <= last.select("_last").scalar()).select(*df.columns)
+    if keep <= 0:
+        return df.limit(0)
+    rows = stage(df.select(hash_hex(seed, *keys).alias("_h")))
+    left, width = keep, 0
+    while True:
+        width += 3
+        counts = rows.groupBy(F.substring("_h", 1, width).alias("s")).count().orderBy("s").collect()  # at most 4096
+        for r in counts:
+            if left <= r["count"]:
+                break
+            left -= r["count"]
+        else:
+            return df  # all fit
+        rows = rows.where(F.col("_h").startswith(r["s"]))
+        if r["count"] <= _SLOT_ROWS or width >= 32:
+            break
+    cut = rows.orderBy("_h").limit(left).agg(F.max("_h")).first()[0]
+    before, alike = rows.agg(F.count_if(F.col("_h") < cut), F.count_if(F.col("_h") == cut)).first()
+    hashed = df.withColumn("_h", hash_hex(seed, *keys))
+    if before + alike == left:
+        return hashed.where(F.col("_h") <= cut).drop("_h")
+    some = hashed.where(F.col("_h") == cut).orderBy(F.to_json(F.struct(*sorted(df.columns)))).limit(left - before)
+    return hashed.where(F.col("_h") < cut).unionByName(some).drop("_h")
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -78,10 +88,11 @@ def downsample_negatives(
     """
     pos, neg = df.where(F.col(label) == 1), df.where(F.col(label) == 0)
     if ratio and ratio > 0:
-        keep = pos.agg(F.bround(F.count("*") * F.lit(float(ratio)), 0).cast("bigint")).scalar()
+        keep = pos.agg(F.bround(F.count("*") * F.lit(float(ratio)), 0).cast("bigint")).first()[0]
         neg = _smallest_by_hash(neg, keys, seed + 1, keep)
     if frac and 0 < frac < 1:
-        keep = neg.agg(F.bround(F.count("*") * F.lit(float(frac)), 0).cast("bigint")).scalar()
+        neg = stage(neg)  # read by three passes
+        keep = neg.agg(F.bround(F.count("*") * F.lit(float(frac)), 0).cast("bigint")).first()[0]
         neg = _smallest_by_hash(neg, keys, seed + 2, keep)
     return pos.unionByName(neg)
 

@@ -166,20 +166,20 @@ def _(spark, sf):
     return quality.key_match(left, right, ["o_orderkey"]).groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("key_sets", """WITH l AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey%3=0), r AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey%3=1)
+@query("key_sets", """WITH l AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey%3=0), r AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey%3<>0)
   SELECT 'union' AS set, count(*) AS keys FROM (SELECT * FROM l UNION SELECT * FROM r) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM l INTERSECT SELECT * FROM r)
   UNION ALL SELECT 'only_left', count(*) FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT 'only_right', count(*) FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    return quality.key_sets(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"), ["o_custkey"])
+    return quality.key_sets(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 <> 0"), ["o_custkey"])
 
 
-@query("user_count_comparison", """WITH l AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey%3=0 GROUP BY 1), r AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey%3=1 GROUP BY 1)
+@query("user_count_comparison", """WITH l AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey%3=0 GROUP BY 1), r AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey%3<>0 GROUP BY 1)
   SELECT CASE WHEN r.c IS NULL THEN 'only_left' WHEN l.c IS NULL THEN 'only_right' WHEN l.c=r.c THEN 'equal' WHEN l.c>r.c THEN 'left_more' ELSE 'right_more' END AS outcome, count(*) AS users
   FROM l FULL JOIN r ON l.o_custkey=r.o_custkey GROUP BY 1""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
-    return quality.user_counts(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"), "o_custkey")
+    return quality.user_counts(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 <> 0"), "o_custkey")
 
 
 @query("empty_interest_share", f"""{FEEDS} SELECT count(*) AS rows, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM positive)) AS empty,
@@ -317,11 +317,15 @@ def _(spark, sf):
     ), ["quality", "novelty", "absent"])
 
 
-@query("one_hot_categories", f"""{IMP} SELECT position_rank, {', '.join(f"sum(CASE WHEN card_type='{t}' THEN 1 ELSE 0 END)::BIGINT AS card_type_{t}" for t in ("ECONOMY", "LARGE", "NEVER"))} FROM imp GROUP BY position_rank""")
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # all that the table has
+
+
+@query("one_hot_categories", f"""{IMP} SELECT position_rank, {', '.join(f'sum(CASE WHEN card_type=$c${t}$c$ THEN 1 ELSE 0 END)::BIGINT AS "card_type_{t}"' for t in PART_TYPES)} FROM imp GROUP BY position_rank""")
 def _(spark, sf):
-    cats = ["ECONOMY", "LARGE", "NEVER"]
-    out = flatten.one_hot(ranked_impressions(spark, sf), "card_type", cats)
-    return out.groupBy("position_rank").agg(*[F.sum(f"card_type_{c}").alias(f"card_type_{c}") for c in cats])
+    ranked = ranked_impressions(spark, sf)
+    cats = flatten.category_list(ranked, "card_type")
+    out = flatten.one_hot(ranked, "card_type", cats)
+    return out.groupBy("position_rank").agg(*[F.sum(f"`card_type_{c}`").alias(f"card_type_{c}") for c in cats])
 
 
 NUMBER_SQL = "CASE WHEN event_id%4=0 THEN ' `'||value||'` ' WHEN event_id%4=1 THEN 'about 0.'||event_id||' or so' WHEN event_id%4=2 THEN 'Nothing' ELSE ' YES, '||value END"
@@ -486,10 +490,10 @@ def _(spark, sf):
     return days.join(order_days(spark, sf), "bizdate", "left").groupBy("bizdate").agg(F.count("o_orderkey").alias("n"))
 
 
-@query("missing_days", f"""WITH {ORDER_DAYS_SQL}, d AS (SELECT strftime(x,'%Y%m%d') AS bizdate FROM range(DATE '1996-01-01', DATE '1997-01-01', INTERVAL 1 DAY) t(x))
-  SELECT bizdate FROM d WHERE bizdate NOT IN (SELECT bizdate FROM o WHERE o_orderkey%50=0)""")
+@query("missing_days", f"""WITH {ORDER_DAYS_SQL}, d AS (SELECT strftime(x,'%Y%m%d') AS bizdate FROM range(DATE '1990-01-01', DATE '2002-01-01', INTERVAL 1 DAY) t(x))
+  SELECT bizdate FROM d WHERE bizdate NOT IN (SELECT bizdate FROM o)""")
 def _(spark, sf):
-    return readers.missing_days(readers.date_range(spark, "19960101", "19961231"), order_days(spark, sf).where("o_orderkey % 50 = 0"))
+    return readers.missing_days(readers.date_range(spark, "19900101", "20011231"), order_days(spark, sf))
 
 
 @query("ingested_days", f"""WITH {ORDER_DAYS_SQL} SELECT bizdate, count(*) AS n, round(sum(o_totalprice),2) AS price FROM o WHERE bizdate BETWEEN '19960225' AND '19960305' GROUP BY 1""")
@@ -540,11 +544,11 @@ def _(spark, sf):
     return readers.read_bench_csv(spark, path, ["concurrency", "requests", "avg_ms", "status_counts"])
 
 
-@query("tsv_titles", """SELECT trim(replace(substr(text,1,40),chr(10),' ')) AS title, lang||doc_id AS body FROM documents WHERE doc_id%7<>0""")
+@query("tsv_titles", """SELECT trim(replace(text,chr(10),' ')) AS title, lang||doc_id AS body FROM documents WHERE doc_id%7<>0""")
 def _(spark, sf):
     path = scratch_path(spark, "titles")
     d = table(spark, sf, "documents")
-    title = one_line(F.substring("text", 1, 40))
+    title = one_line(F.col("text"))
     line = F.concat_ws("\t", F.lit("x"), F.lit("1"), F.lit(""), F.lit("u"), title, F.concat("lang", F.col("doc_id").cast("string")))
     d.select(F.when(F.col("doc_id") % 7 == 0, F.lit("too\tfew")).otherwise(line).alias("value")).write.text(path)
     return readers.read_tsv_titles(spark, path).select("title", "body")
@@ -559,11 +563,11 @@ def _(spark, sf):
     return spark.read.parquet(path).select("id", "o_orderpriority", "o_orderkey")
 
 
-@query("report_lines", "SELECT CASE doc_id%4 WHEN 0 THEN 'ALL ' WHEN 1 THEN 'URA ' ELSE 'non-URA ' END||doc_id||' '||n_chars AS line, doc_id::VARCHAR AS first FROM documents WHERE doc_id%4<>3")
+@query("report_lines", "SELECT CASE doc_id%4 WHEN 0 THEN 'ALL ' WHEN 1 THEN 'tagged ' ELSE 'untagged ' END||doc_id||' '||n_chars AS line, doc_id::VARCHAR AS first FROM documents WHERE doc_id%4<>3")
 def _(spark, sf):
     path = scratch_path(spark, "log")
     d = table(spark, sf, "documents")
-    text = F.expr("concat(case doc_id % 4 when 0 then 'ALL ' when 1 then '  URA ' when 2 then 'non-URA ' else 'x ALL ' end, doc_id, ' ', n_chars, ' ')")
+    text = F.expr("concat(case doc_id % 4 when 0 then 'ALL ' when 1 then '  tagged ' when 2 then 'untagged ' else 'x ALL ' end, doc_id, ' ', n_chars, ' ')")
     d.select(text.alias("value")).write.text(path)
     return readers.extract_report_lines(spark, path).select("line", F.get("fields", F.lit(1)).alias("first"))
 
@@ -587,9 +591,6 @@ def _(spark, sf):
 
 # ---- models --------------------------------------------------------------------------------------------------
 
-SMALL = dict(max_iter=5, depth=3)
-
-
 def train_test(spark, sf):
     df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
     df = debias.ipw_weight(df, debias.propensity(df))
@@ -599,7 +600,7 @@ def train_test(spark, sf):
 @query("ctr_model_report")
 def _(spark, sf):
     train, test = train_test(spark, sf)
-    scored = models.predict(models.ctr_model(train, FEATURES, **SMALL), test)
+    scored = models.predict(models.ctr_model(train, FEATURES), test)
     tag = F.col("flight_ids").contains(TAG)
     area = reports.slice_report(scored, {"ALL": F.lit(True), "tagged": tag, "rest": ~tag}, "score")
     loss = metrics.log_loss(scored.withColumn("split", F.explode(reports.slice_names({"ALL": F.lit(True), "tagged": tag, "rest": ~tag}))), "score", "label", ["split"])
@@ -609,7 +610,7 @@ def _(spark, sf):
 @query("debias_models")
 def _(spark, sf):
     train, test = train_test(spark, sf)
-    _, scored = models.debias_models(train, test, FEATURES, **SMALL)
+    _, scored = models.debias_models(train, test, FEATURES)
     return models.compare(scored, feed="feed_id")
 
 
@@ -617,18 +618,18 @@ def _(spark, sf):
 def _(spark, sf):
     train, test = train_test(spark, sf)
     tag = F.col("flight_ids").contains(TAG)
-    return models.train_test_matrix({"full": train, "tagged": train.where(tag)}, {"full": test, "tagged": test.where(tag)}, FEATURES, KEYS, **SMALL)
+    return models.train_test_matrix({"full": train, "tagged": train.where(tag)}, {"full": test, "tagged": test.where(tag)}, FEATURES, KEYS)
 
 
 @query("cross_evaluation")
 def _(spark, sf):
     train, test = train_test(spark, sf)
     tag = F.col("flight_ids").contains(TAG)
-    fitted = {"full": models.ctr_model(train, FEATURES, **SMALL), "tagged": models.ctr_model(train.where(tag), FEATURES, **SMALL)}
+    fitted = {"full": models.ctr_model(train, FEATURES), "tagged": models.ctr_model(train.where(tag), FEATURES)}
     return models.cross_eval(fitted, test.where(tag))
 
 
 @query("feature_importance")
 def _(spark, sf):
     train, _ = train_test(spark, sf)
-    return models.feature_importance(spark, {"baseline": models.ctr_model(train, FEATURES, **SMALL)}, 15)
+    return models.feature_importance(spark, {"baseline": models.ctr_model(train, FEATURES)}, 15)

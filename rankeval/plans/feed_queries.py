@@ -108,7 +108,7 @@ def _(spark, sf):
     )
 
 
-@query("prepare_day", f"""{FEEDS}, {FLAT_SQL} SELECT feed_id, itemid, label FROM flat WHERE (bizdate='20240103' OR bizdate='') AND is_tagged=1 AND has_features""")
+@query("prepare_day", f"""{FEEDS}, {FLAT_SQL} SELECT feed_id, itemid, label FROM flat WHERE bizdate='20240103' AND is_tagged=1 AND has_features""")
 def _(spark, sf):
     return readers.prepare_day(raw_feeds(spark, sf), "20240103", FEED_TAG).select("feed_id", "candidate.itemid", "label")
 
@@ -153,7 +153,7 @@ def _(spark, sf):
 
 @query("tag_filter_and_flag", f"{FEEDS} SELECT contains(flight_ids,'uniform')::INT AS is_tagged, count(*) AS feeds FROM feeds GROUP BY 1")
 def _(spark, sf):
-    flag = flatten.has_tag(F.col("flight_ids"), FEED_TAG).cast("int").alias("is_tagged")
+    flag = F.coalesce(flatten.has_tag(F.col("flight_ids"), FEED_TAG), F.lit(False)).cast("int").alias("is_tagged")
     return raw_feeds(spark, sf).groupBy(flag).agg(F.count("*").alias("feeds"))
 
 
@@ -195,14 +195,14 @@ def _(spark, sf):
 
 
 @query("generic_explode", """WITH h AS (SELECT user_id % 50 AS u, * FROM events), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
-  SELECT doc_id, i, trim(ls[i+1]) AS title, CASE WHEN i%2=0 THEN 1 ELSE 0 END AS label, least(len(ls),3) AS history_len, ls[len(ls)] AS last_title FROM x, range(3) t(i) WHERE i < len(ls)""")
+  SELECT doc_id, i, trim(ls[i+1]) AS title, CASE WHEN i%2=0 THEN 1 ELSE 0 END AS label, least(len(ls),3) AS history_len, ls[len(ls)] AS last_title FROM (SELECT *, unnest(range(len(ls))) AS i FROM x)""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
     rows = d.select(
         "doc_id",
         F.expr("transform(ls, l -> named_struct('title', l, 'summary', ''))").alias("history"),
         F.lit("news").alias("interests"),
-        F.expr("transform(slice(ls, 1, 3), (l, i) -> named_struct('title', trim(l), 'summary', cast(i as string), 'clicked', if(i % 2 = 0, 1, 0)))").alias("items"),
+        F.expr("transform(ls, (l, i) -> named_struct('title', trim(l), 'summary', cast(i as string), 'clicked', if(i % 2 = 0, 1, 0)))").alias("items"),
     )
     out = flatten.flatten_generic(rows, 3)
     return out.select("doc_id", F.col("candidate.summary").cast("bigint").alias("i"), "candidate.title", "label", F.size("history").alias("history_len"),

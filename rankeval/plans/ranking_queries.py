@@ -80,19 +80,28 @@ def _(spark, sf):
     return rounded(metrics.auc(impressions(spark, sf), "novelty", "label"), ["auc"])
 
 
-@query("log_loss_by_slice", f"""{IMP} SELECT slice, round(avg(-ln(CASE WHEN label=1 THEN p ELSE 1-p END)),6) AS log_loss FROM
-  (SELECT *, {SLICE} AS slice, greatest(1e-6, least(1-1e-6, click_likelihood/50)) AS p FROM imp) GROUP BY slice""")
+# a probability that some rows do not have, as a null or as NaN
+PROBABILITY_SQL = "CASE WHEN item_id%7<>0 AND item_id%11<>0 THEN greatest(1e-6, least(1-1e-6, click_likelihood/50)) END"
+
+
+def probability():
+    some = F.when(F.col("item_id") % 7 != 0, F.col("click_likelihood") / 50)
+    return F.when(F.col("item_id") % 11 == 0, float("nan")).otherwise(some)
+
+
+@query("log_loss_by_slice", f"""{IMP} SELECT slice, round(avg(-ln(CASE WHEN label=1 THEN p ELSE 1-p END)),6) AS log_loss, count(*) FILTER (p IS NULL) AS excluded FROM
+  (SELECT *, {SLICE} AS slice, {PROBABILITY_SQL} AS p FROM imp) GROUP BY slice""")
 def _(spark, sf):
-    df = tagged(impressions(spark, sf)).withColumn("p", F.col("click_likelihood") / 50)
+    df = tagged(impressions(spark, sf)).withColumn("p", probability())
     return rounded(metrics.log_loss(df, "p", "label", ["slice"]), ["log_loss"])
 
 
 @query("weighted_cross_entropy", f"""{IMP}, w AS (SELECT sum(label) AS pos, sum(1-label) AS neg FROM imp)
   SELECT round(avg((CASE WHEN label=1 THEN (pos+neg)/(2.0::DOUBLE*pos) ELSE (pos+neg)/(2.0::DOUBLE*neg) END)*
-    -ln(CASE WHEN label=1 THEN p ELSE 1-p END)),6) AS weighted_ce FROM
-  (SELECT *, greatest(1e-6, least(1-1e-6, click_likelihood/50)) AS p FROM imp), w""")
+    -ln(CASE WHEN label=1 THEN p ELSE 1-p END)),6) AS weighted_ce, count(*) FILTER (p IS NULL) AS excluded FROM
+  (SELECT *, {PROBABILITY_SQL} AS p FROM imp), w""")
 def _(spark, sf):
-    df = impressions(spark, sf).select("label", (F.col("click_likelihood") / 50).alias("p"))
+    df = impressions(spark, sf).select("label", probability().alias("p"))
     w = sampling.class_weights(df).select(F.struct("weight_pos", "weight_neg")).scalar()
     df = df.withColumn("_w", w).withColumn(
         "weight", F.when(F.col("label") == 1, F.col("_w.weight_pos")).otherwise(F.col("_w.weight_neg"))

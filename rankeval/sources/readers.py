@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rankeval.functions.text import strip
-from rankeval.operators.flatten import date_between, flatten_impressions, with_missing_columns
+from rankeval.operators.flatten import flatten_impressions, with_missing_columns
 
 
 def read_parquet(
@@ -22,7 +22,9 @@ def read_parquet(
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         raise FileNotFoundError("no parquet path given")
-    reader = spark.read.option("mergeSchema", "true")
+    reader = spark.read if columns else spark.read.option("mergeSchema", "true")
+    if columns:  # the wanted columns are the schema: no look at every file's footer
+        reader = reader.schema(", ".join(f"`{c}` {t}" for c, t in columns.items()))
     if not partitioned:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     df = reader.parquet(*paths)
@@ -51,9 +53,8 @@ def missing_days(wanted: DataFrame, existing: DataFrame, column: str = "bizdate"
 
 
 def prepare_day(feeds: DataFrame, day: str, tag: str, require_features: bool = True) -> DataFrame:
-    """Flattened rows of one day and tag."""
-    one = feeds.where(date_between(F.col("bizdate"), day, day))
-    return flatten_impressions(one, day, day, tag, require_features)
+    """Flattened rows of one day and tag; a blank date belongs to no day."""
+    return flatten_impressions(feeds.where(F.col("bizdate") == day), "", "", tag, require_features)
 
 
 SAMPLE_DEFAULTS = {"feed_id": "", "user_id": "", "bizdate": "", "flight_ids": "", "is_tagged": 0}
@@ -78,7 +79,11 @@ def read_jsonl(
     if "history" in df.columns and (defaults is None):
         empty = F.expr(f"cast(array() as {df.schema['history'].dataType.simpleString()})")
         df = df.withColumn("history", F.coalesce("history", empty))
-    return df.limit(limit) if limit else df
+    if not limit:
+        return df
+    # the first rows by file and place in it
+    order = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    return df.orderBy(*order).limit(limit)
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -129,11 +134,7 @@ def collect_metric_files(spark: SparkSession, glob: str, prefix: str = "eval_")
     ).orderBy("run", "checkpoint", "split")
 
 
-# fixed values
-REPORT_PREFIXES = ("ALL ", "URA ", "non-URA")
-
-
-def extract_report_lines(spark: SparkSession, path: str, prefixes: Sequence[str] = REPORT_PREFIXES) -> DataFrame:
+def extract_report_lines(spark: SparkSession, path: str, prefixes: Sequence[str] = ("ALL ", "tagged ", "untagged ")) -> DataFrame:
     """Trimmed log lines that start with one of the prefixes, split at white space."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("line"), F.col("_metadata.file_name").alias("file"))
     cond = F.lit(False)

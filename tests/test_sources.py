@@ -48,11 +48,11 @@ def test_jsonl(spark, tmp_path):
 
 def test_metric_files(spark, tmp_path):
     row = lambda s, a: {"split": s, "n": 10, "pos": 1, "neg": 9, "ctr": 0.1, "auc": a}
-    (tmp_path / "eval_ura_ckpt_5.json").write_text(json.dumps([row("URA", 0.6), row("ALL", 0.7)], indent=2))
+    (tmp_path / "eval_tagged_ckpt_5.json").write_text(json.dumps([row("TAGGED", 0.6), row("ALL", 0.7)], indent=2))
     (tmp_path / "eval_all.json").write_text(json.dumps([row("ALL", 0.5)]))
     (tmp_path / "eval_bad_x.json").write_text("{nope")
     got = [tuple(r) for r in readers.collect_metric_files(spark, str(tmp_path / "eval_*.json")).select("run", "checkpoint", "split", "auc").collect()]
-    assert got == [("all", "?", "ALL", 0.5), ("ura", "ckpt_5", "ALL", 0.7), ("ura", "ckpt_5", "URA", 0.6)]
+    assert got == [("all", "?", "ALL", 0.5), ("tagged", "ckpt_5", "ALL", 0.7), ("tagged", "ckpt_5", "TAGGED", 0.6)]
 
 
 def test_run_logs(spark, tmp_path):
