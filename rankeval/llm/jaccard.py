@@ -271,13 +271,13 @@ def remaining(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, d
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = stage(rows.join(mixed, "key"))
     ratio = 1.1
-    reach = math.ceil(math.log(den / num) / math.log(ratio))
+    reach = math.ceil(math.log(den / num) / math.log(ratio))  # bands that sizes close enough can be apart
     rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(ratio)).cast("int"))
     tiles = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     most = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"))
     home = rows.join(tiles, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("visits", F.lit(0))
     visiting = rows.join(most, "key").where("comp <> major").drop("major")
-    visiting = visiting.withColumn("band", F.explode(F.sequence(F.col("band") - reach - 1, F.col("band") + reach + 1))).join(tiles, ["key", "band"])
+    visiting = visiting.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).join(tiles, ["key", "band"])
     visiting = visiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("visits", F.lit(1))
     cols = ["key", "band", "salt", "visits", "node", "n", "comp"]
     placed = home.select(cols).unionByName(visiting.select(cols)).join(nodes.select("node", "bits"), "node")
