@@ -67,13 +67,13 @@ def evaluate(scored: DataFrame, label: str = "label", by: Sequence[str] = (), fe
 
 def debias_models(
     train: DataFrame, test: DataFrame, features: Sequence[str], position: str = "position_rank", weight: str = "ipw_weight",
-    label: str = "label", max_iter: int = 300, depth: int = 6, seed: int = 42,
+    label: str = "label", max_iter: int = 300, depth: int = 6, validation: str | None = None, seed: int = 42,
 ) -> tuple[dict[str, PipelineModel], dict[str, DataFrame]]:
     """L2: baseline, position-aware scored at position 0, the same with its position, propensity-weighted.
 
     Returns the three models and the four scored test sets.
     """
-    args = dict(label=label, balance=False, max_iter=max_iter, depth=depth, seed=seed)
+    args = dict(label=label, balance=False, max_iter=max_iter, depth=depth, validation=validation, seed=seed)
     models = {
         "baseline": ctr_model(train, features, **args),
         "position_aware": ctr_model(train, [*features, position], **args),

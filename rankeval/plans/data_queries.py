@@ -593,14 +593,14 @@ def _(spark, sf):
 
 def train_test(spark, sf):
     df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
-    df = debias.ipw_weight(df, debias.propensity(df))
+    df = sampling.holdout(debias.ipw_weight(df, debias.propensity(df)), KEYS)
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
 @query("ctr_model_report")
 def _(spark, sf):
     train, test = train_test(spark, sf)
-    scored = models.predict(models.ctr_model(train, FEATURES), test)
+    scored = models.predict(models.ctr_model(train, FEATURES, validation="is_holdout"), test)
     tag = F.col("flight_ids").contains(TAG)
     area = reports.slice_report(scored, {"ALL": F.lit(True), "tagged": tag, "rest": ~tag}, "score")
     loss = metrics.log_loss(scored.withColumn("split", F.explode(reports.slice_names({"ALL": F.lit(True), "tagged": tag, "rest": ~tag}))), "score", "label", ["split"])
@@ -610,7 +610,7 @@ def _(spark, sf):
 @query("debias_models")
 def _(spark, sf):
     train, test = train_test(spark, sf)
-    _, scored = models.debias_models(train, test, FEATURES)
+    _, scored = models.debias_models(train, test, FEATURES, validation="is_holdout")
     return models.compare(scored, feed="feed_id")
 
 
@@ -623,13 +623,23 @@ def _(spark, sf):
 
 @query("cross_evaluation")
 def _(spark, sf):
+    """Three models of all rows and three of the slice on the slice's test rows, two without their position; and what the shown
+    order and chance reach."""
     train, test = train_test(spark, sf)
     tag = F.col("flight_ids").contains(TAG)
-    fitted = {"full": models.ctr_model(train, FEATURES), "tagged": models.ctr_model(train.where(tag), FEATURES)}
-    return models.cross_eval(fitted, test.where(tag))
+    fitted = {}
+    for name, rows in (("full", train), ("tagged", train.where(tag))):
+        some, _ = models.debias_models(rows, test.where(tag), FEATURES, validation="is_holdout")
+        fitted |= {f"{name}_{k}": m for k, m in some.items()}
+    one = models.cross_eval(fitted, test.where(tag), drop_position=["full_position_aware", "tagged_position_aware"])
+    shown = test.where(tag).withColumn("score", -F.col("position_rank").cast("double"))
+    chance = test.where(tag).withColumn("score", sampling.stable_hash(42, *KEYS) / F.lit(float(1 << 60)))
+    rest = {"shown_order": shown, "random": chance}
+    areas = [metrics.auc(d, "score", "label").select(F.lit(n).alias("model"), "auc", "n", "pos", "neg") for n, d in rest.items()]
+    return one.unionByName(areas[0].unionByName(areas[1]), allowMissingColumns=True)
 
 
 @query("feature_importance")
 def _(spark, sf):
     train, _ = train_test(spark, sf)
-    return models.feature_importance(spark, {"baseline": models.ctr_model(train, FEATURES)}, 15)
+    return models.feature_importance(spark, {"baseline": models.ctr_model(train, FEATURES, validation="is_holdout")}, 15)
