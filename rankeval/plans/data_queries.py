@@ -563,6 +563,33 @@ def _(spark, sf):
     return spark.read.parquet(path).select("id", "o_orderpriority", "o_orderkey")
 
 
+@query("upsert_twice", """WITH o AS (SELECT o_custkey::VARCHAR AS id, o_orderpriority, max(o_orderkey) AS a, max(o_orderkey) FILTER (o_orderkey%3=0) AS b FROM orders GROUP BY 1, 2)
+  SELECT id, o_orderpriority, CASE WHEN b IS NULL THEN a ELSE -b END AS o_orderkey FROM o""")
+def _(spark, sf):
+    """A later write with the same ids and keys replaces rows, others stay."""
+    o = table(spark, sf, "orders").withColumn("conversation_id", F.col("o_custkey")).select("conversation_id", "o_orderpriority", "o_orderkey")
+    first = writers.prepare_upsert(o, "o_orderpriority", latest=["o_orderkey"])
+    again = writers.prepare_upsert(o.where("o_orderkey % 3 = 0"), "o_orderpriority", latest=["o_orderkey"])
+    path, target = scratch_path(spark, "store"), scratch_path(spark, "store")
+    writers.upsert(first, "parquet", path=path)
+    writers.upsert_parquet(spark, again.withColumn("o_orderkey", -F.col("o_orderkey")), path, target, "o_orderpriority")
+    return spark.read.parquet(target).select("id", "o_orderpriority", "o_orderkey")
+
+
+@query("upsert_without_ids", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf):
+    """Rows alike keep rows of their own."""
+    rows = writers.prepare_upsert(table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus"), "o_orderpriority")
+    return rows.dropDuplicates(["id"]).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("file_rows", "SELECT count(*) AS rows FROM documents")
+def _(spark, sf):
+    """Rows over all files of a table, each with a size."""
+    files = readers.file_profile(table(spark, sf, "documents"))
+    return files.where("bytes > 0").agg(F.sum("rows").alias("rows"))
+
+
 @query("report_lines", "SELECT CASE doc_id%4 WHEN 0 THEN 'ALL ' WHEN 1 THEN 'tagged ' ELSE 'untagged ' END||doc_id||' '||n_chars AS line, doc_id::VARCHAR AS first FROM documents WHERE doc_id%4<>3")
 def _(spark, sf):
     path = scratch_path(spark, "log")

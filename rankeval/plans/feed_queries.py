@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankeval.functions import context as ctx, loose
 from rankeval.functions.text import word_count
-from rankeval.operators import flatten, prompts, sampling
+from rankeval.operators import flatten, prompts, quality, sampling
 from rankeval.plans.registry import query, rounded
 from rankeval.plans.views import FEED_TAG, FEEDS_SQL, raw_feeds, table
 from rankeval.sources import readers
@@ -118,6 +118,21 @@ def _(spark, sf):
     return flat(spark, sf, tag=FEED_TAG, require_features=True).select("feed_id", "candidate.itemid", "label")
 
 
+@query("reconcile_samples", f"""{FEEDS}, {FLAT_SQL} SELECT CASE WHEN bizdate='' THEN 'only_left' ELSE 'both' END AS side, count(*) AS n,
+  count(*) FILTER (bizdate<>'' AND NOT (itemid LIKE '%-1' AND has_features)) AS same_features, count(*) FILTER (bizdate<>'') AS same_interests,
+  count(*) FILTER (bizdate<>'' AND itemid NOT LIKE '%-2') AS same_label FROM flat GROUP BY 1""")
+def _(spark, sf):
+    """Q1 over samples with nested fields: the other side lacks undated feeds, some features, and turns some labels."""
+    left = flat(spark, sf).select("feed_id", "candidate.itemid", "label", "features", "interests")
+    right = flat(spark, sf).where("bizdate <> ''").select(
+        "feed_id", "candidate.itemid", F.when(F.col("candidate.itemid").endswith("-2"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"),
+        F.when(~F.col("candidate.itemid").endswith("-1"), F.col("features")).alias("features"), "interests",
+    )
+    fields = ["label", "features", "interests"]
+    matched = quality.reconcile(left, right, ["feed_id", "itemid"], fields)
+    return matched.groupBy("side").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"same_{f}")).alias(f"same_{f}") for f in fields])
+
+
 @query("feed_cap", f"""{FEEDS}, {FLAT_SQL}, k AS (SELECT DISTINCT feed_id FROM flat ORDER BY feed_id LIMIT 25) SELECT feed_id, itemid, label FROM flat JOIN k USING (feed_id)""")
 def _(spark, sf):
     return flat(spark, sf, max_feeds=25).select("feed_id", "candidate.itemid", "label")

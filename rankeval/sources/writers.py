@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from rankeval.operators.ranges import ordered_index
 from rankeval.operators.sampling import hash_hex
@@ -66,7 +66,7 @@ def score_rows(df: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
 
 def write_bench_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """Benchmark rows with a header; an appended run is a further file of the same folder."""
-    df.coalesce(1).write.mode("append" if append else "overwrite").csv(path, header=True, quote='"', escape='"')
+    df.write.mode("append" if append else "overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def prepare_upsert(
@@ -74,8 +74,8 @@ def prepare_upsert(
 ) -> DataFrame:
     """One row per text ``id`` with a text partition key.
 
-    The id is the first of ``id_candidates`` the table has; without any, a hash of the whole row stands in for a
-    random id, so that a repeated write overwrites instead of adding.  Of several rows with one id and key the
+    The id is the first of ``id_candidates`` the table has; without any, a hash of the whole row and its number
+    among rows alike stands in for a random id, so that a repeated write overwrites instead of adding.  Of several rows with one id and key the
     last by ``latest`` (else by content) is kept.
     """
     if partition_key not in df.columns:
@@ -84,9 +84,11 @@ def prepare_upsert(
     content = F.to_json(F.struct(*sorted(df.columns)))
     ids = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in have]
     out = df.withColumn("_content", content)
-    out = out.withColumn("id", F.coalesce(*ids, hash_hex(0, F.col("_content"))))
+    if not have:  # rows alike are rows of their own: they are told apart by their number
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy("_content").orderBy("_content")))
+    out = out.withColumn("id", F.coalesce(*ids, hash_hex(0, F.col("_content"), *([] if have else ["_n"]))))
     out = out.withColumn(partition_key, F.col(partition_key).cast("string"))
-    rest = [c for c in out.columns if c not in ("id", partition_key, "_content")]
+    rest = [c for c in out.columns if c not in ("id", partition_key, "_content", "_n")]
     last = F.max_by(F.struct(*rest), F.struct(*latest, "_content"))
     return out.groupBy("id", partition_key).agg(last.alias("_row")).select("id", partition_key, "_row.*")
 
