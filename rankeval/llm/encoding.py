@@ -12,7 +12,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
 
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 400_000  # about 80 MB
 CACHED_BYTES = 48  # longer words are encoded anew each time
 SEPARATOR = "\x02"  # encoded between words; words that hold it are encoded alone
 TAIL = b".,;:!?"
