@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer(), END_ID, capacity=4096)
+    """Pieces of sequences of at most 4096 tokens.  Workers go on to other stages, so they keep fewer words."""
+    return packing.pack(docs, tokenizer(), END_ID, capacity=4096, cached_words=400_000)
 
 
 STAGES = [("quality", classify), ("near duplicates", deduplicate), ("personal data", mask), ("mixing", mix), ("packing", pack)]

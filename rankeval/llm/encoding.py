@@ -12,7 +12,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task its core
 
-CACHED_WORDS = 400_000  # about 80 MB
+CACHED_WORDS = 1_200_000  # about 240 MB
 CACHED_BYTES = 48  # longer words are encoded anew each time
 SEPARATOR = "\x02"  # encoded between words; words that hold it are encoded alone
 TAIL = b".,;:!?"
@@ -30,13 +30,14 @@ class WordEncoder:
     the tokenizer, many in one call.  ``tests/llm`` holds the result against the tokenizer on whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHED_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
         (self.between,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.cache: dict[bytes, bytes] = {}
+        self.room = words
         steps = str(self.tokenizer.normalizer)
         self.lowers = "Lowercase" in steps
         self.light = None
@@ -73,7 +74,7 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str | None], end_id: int) -> list[bytes]:
         """Per text its ids and ``end_id``, as little-endian integers of two bytes (four for a large vocabulary)."""
-        known, full, end = self.cache, len(self.cache) > CACHED_WORDS, array(self.code, [end_id]).tobytes()
+        known, full, end = self.cache, len(self.cache) > self.room, array(self.code, [end_id]).tobytes()
         data = [(t or "").encode() for t in texts]
         if self.lowers:  # fewer words; "<|" may begin a special token, which is found before lower-casing
             data = [d if b"<|" in d else d.lower() for d in data]
@@ -89,22 +90,23 @@ class WordEncoder:
                 parts.append((w, base, w[len(base) :]))
             else:
                 new.append(w)
-        self._learn(list({*new, *(p for _, base, tail in parts for p in (base, tail) if p not in known)}))
+        new = list({*new, *(p for _, base, tail in parts for p in (base, tail) if p not in known)})
+        self._learn(new)
         for w, base, tail in parts:
             known[w] = known[base] + known[tail]
         for i in open_:
             out[i] = [known[w] if ids is None else ids for w, ids in zip(split[i], out[i])]
         out = [b"".join(ids) + end for ids in out]
-        for w in [w for w in words if full or len(w) > CACHED_BYTES]:  # a full cache keeps what it has
-            known.pop(w, None)
-            known.pop(w.rstrip(TAIL), None)
+        for w in {*new, *words}:  # a full cache keeps what it has
+            if full or len(w) > CACHED_BYTES:
+                known.pop(w, None)
         return out
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+def encoder(path: str, words: int = CACHED_WORDS) -> WordEncoder:
+    """The worker's encoder for a tokenizer file, which keeps about so many words."""
+    if path not in _ENCODERS or _ENCODERS[path].room != words:
+        _ENCODERS[path] = WordEncoder(path, words)
     return _ENCODERS[path]
 
 

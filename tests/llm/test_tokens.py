@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from rankeval.llm import packing, token_files
+from rankeval.llm import encoding, packing, token_files
 from rankeval.llm.encoding import encoder
 from rankeval.llm.queries import op1, op5
 from rankeval.llm.storage import new_folder
@@ -28,6 +28,14 @@ def test_words_one_by_one_give_the_ids_of_the_text(texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.tolist() for x in token_ids(texts)]
 
 
+def test_a_full_cache_gives_the_same_ids(monkeypatch):
+    small = encoding.WordEncoder(TOKENIZER, words=3)
+    for _ in range(3):
+        got = small.encode(HARD, 2)
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.tolist() for x in token_ids(HARD)]
+    assert len(small.cache) < 40
+
+
 def test_files_return_every_document(spark):
     rows = [(i if i != 3 else None, t, "x", 1, "y") for i, t in enumerate(HARD)] + [(5, HARD[5], "x", 1, "y")]
     random.Random(1).shuffle(rows)
