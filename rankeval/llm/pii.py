@@ -102,9 +102,9 @@ REWRITES = re.compile(
 _ONE_WORD = re.compile(_WORD, re.IGNORECASE)
 _BOX = re.compile(rf"[(\[{{<]\s*+(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[)\]}}>]")
 _SPOKEN = re.compile(rf"[ _-](?:{DOT_WORDS})[ _-]")
-_NUMBER = re.compile(rf"[ -](?:{_WORD})(?![^\W_])")
-_NUMBERS = re.compile(rf"(?<![^\W_])(?:{_WORD})[ -](?:{_WORD})(?![^\W_])")
-_MIXED = re.compile(r"[0-9](?:(?<=[OoIl][0-9])|(?=[OoIl]))")
+_PLUS = re.compile(rf"(?<![^\W_])(?:{PLUS_WORDS}) ?(?:[0-9]|{_WORD})")
+_MIXED = re.compile(r"[0-9](?:(?<=[oil][0-9])|(?=[oil]))")
+_TOKEN = re.compile(r"[^\W_]+")
 _LETTERS = str.maketrans("OoIl", "0011")
 
 
@@ -133,13 +133,18 @@ def _changed() -> re.Pattern:
     return re.compile("[" + "".join(re.escape(chr(c)) for c in characters() if c < 0x10000) + "\U00010000-\U0010ffff]")
 
 
+def _lower(text: str) -> str:
+    """In small letters, of the same length: ``REWRITES`` takes the dotted capital for an i as well."""
+    return text.replace("İ", "i").lower()
+
+
 def _hint(text: str) -> bool:
-    """Whether the second transducer can matter: a sign or point in brackets or as a word, two number words in a row, letters
-    among digits.  Cheap tests come first; each only rules texts out."""
-    low = text.lower()
+    """Whether ``REWRITES`` may match: a sign or point in brackets or as a word, a plus before a number, letters among digits, a
+    number word anywhere.  True wherever it matches, as each of its alternatives is tested by what it cannot do without."""
+    low = _lower(text)
     return bool(
         _BOX.search(low) or (any(w in low for w in DOT_WORDS.split("|")) and _SPOKEN.search(low))
-        or (_NUMBER.search(low) and _NUMBERS.search(low)) or _MIXED.search(text)
+        or (any(w in low for w in PLUS_WORDS.split("|")) and _PLUS.search(low)) or _MIXED.search(low) or not DIGITS.keys().isdisjoint(_TOKEN.findall(low))
     )
 
 
@@ -174,7 +179,7 @@ def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
         kind = m.lastgroup
         if kind == "words":
             for w in _ONE_WORD.finditer(plain, m.start(), m.end()):
-                put(DIGITS[w[0].lower()], w.start(), w.end())
+                put(DIGITS[_lower(w[0])], w.start(), w.end())
         elif kind == "mixed":
             for i, c in enumerate(m[0].translate(_LETTERS), m.start()):
                 put(c, i, i + 1)

@@ -79,6 +79,32 @@ def test_clean_texts_stay_clean(text):
     assert pii.find(text) == [] and pii.disguised(text, []) == []
 
 
+PARTLY = [
+    ("call plus 44 20 7946 0958 now", "phone", "plus 44 20 7946 0958"),
+    ("card 4111 1111 1111 111 one.", "card", "4111 1111 1111 111 one"),
+    ("ip 192.168.zero.1", "ip", "192.168.zero.1"),
+    ("ip 192.168.sİx.1", "ip", "192.168.sİx.1"),  # a dotted capital
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "source"), PARTLY)
+@pytest.mark.parametrize("elsewhere", ["", ", (at)", ", one two"])
+def test_a_single_word_in_a_number_is_found_whatever_stands_elsewhere(text, kind, source, elsewhere):
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text)] == []
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text + elsewhere, [])] == [(kind, source)]
+
+
+PARTS = [*pii.DIGITS, *"0 1 4 O o I l L i".split(), *"at dot point plus PLUS arroba punkt One sİx FÜNF @ . ( [ ) ] { > _ - +".split(), " ", " ", "\n", "é", "a", "İ", "ı", "ſ", "\u0307", "\u200b", "x@y"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=8).map("".join))
+def test_the_pre_test_lets_every_rewrite_through(text):
+    plain = text.translate(pii.characters())
+    assert pii._hint(plain) or not pii.REWRITES.search(plain)
+    pii.disguised(text, pii.find(text))
+
+
 def test_base_spans_stay_beside_disguised_ones():
     text = "a@b.co and c (at) d (dot) org, a@b.co"
     base = pii.find(text)
