@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -190,15 +192,18 @@ def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows: their source reads otherwise and overlaps no base span."""
+    """Spans that only the rewritten text shows: their source reads otherwise and lies within no base span.  One that goes beyond
+    a base span stands beside it, as the base span may be only a part of it.  ``base`` is sorted, as ``find`` gives it."""
     rewritten = normalise(text)
     if rewritten is None:
         return []
     plain, lo, hi = rewritten
+    begins, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     found = []
     for start, kind, end in find(plain):
         a, b = int(lo[start]), int(hi[end - 1])
-        if text[a:b] != plain[start:end] and not any(a < e and s < b for s, _, e in base):
+        before = bisect_right(begins, a)  # base spans that begin no later
+        if text[a:b] != plain[start:end] and not (before and reach[before - 1] >= b):
             found.append((a, kind, b))
     return found
 

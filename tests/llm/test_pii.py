@@ -112,6 +112,36 @@ def test_base_spans_stay_beside_disguised_ones():
     assert pii.masked(text, sorted(base + pii.disguised(text, base))) == "<EMAIL> and <EMAIL>, <EMAIL>"
 
 
+FRAGMENTS = [  # the base spans are parts of the identifier
+    ("write jоhn.smith@example.com now", "email", "hn.smith@example.com", "jоhn.smith@example.com"),  # Cyrillic о
+    ("write jo\u200bhn@example.com now", "email", "hn@example.com", "jo\u200bhn@example.com"),
+    ("write john@mail.exаmple.com now", "email", "john@mail.ex", "john@mail.exаmple.com"),  # Cyrillic а
+    ("call +44 20 7946 095 eight, now", "phone", "+44 20 7946 095", "+44 20 7946 095 eight"),
+    ("call +44 20 7946 095８ now", "phone", "+44 20 7946 095", "+44 20 7946 095８"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "part", "whole"), FRAGMENTS)
+def test_an_identifier_is_found_whole_beside_its_plain_part(text, kind, part, whole):
+    base = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in base] == [(kind, part)]
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, base)] == [(kind, whole)]
+    assert pii.masked(text, sorted(base + pii.disguised(text, base))) == text.replace(whole, f"<{kind.upper()}>")
+
+
+def test_disguised_spans_within_plain_ones_are_not_repeated():
+    text = "1O.2.3.4.lll@example.com"
+    assert pii.disguised(text, pii.find(text)) == [] and len(pii.find(text)) == 1
+
+
+def test_many_plain_and_disguised_spans_take_linear_time():
+    text = "a@b.co jаne@b.co " * 30_000  # Cyrillic а
+    start = time.process_time()
+    base = pii.find(text)
+    assert len(pii.disguised(text, base)) == 30_000
+    assert time.process_time() - start < 8
+
+
 @pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" + " " * 200_000, "(" * 200_000, "one " * 50_000, " at a" * 40_000, "( " * 90_000, "O1" * 90_000, "a-" * 90_000 + " dot a"])
 def test_long_runs_take_linear_time(text):
     start = time.process_time()
