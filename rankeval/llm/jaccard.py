@@ -110,8 +110,8 @@ def set_hashes(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all documents one after the other, where each begins, and per document how many of a thousand counted shingles are
-    not frequent.  The low ``SALT_BITS`` deal a frequent key's nodes
-    over tiles; keys are equal where the other bits are."""
+    not frequent.  The low ``SALT_BITS`` deal a frequent key's nodes over tiles, from 1, and are 0 for a key of one tile; keys are
+    equal where the other bits are."""
     keys, counts = hot
     owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
     rank = np.zeros(len(s.hashes), np.int64)
@@ -125,9 +125,9 @@ def prefix_keys(s: Shingles, row: np.ndarray, hot: tuple[np.ndarray, np.ndarray]
     length = np.where(s.sizes > 0, s.sizes - needed(s.sizes, num, den) + 1, 0)
     order = order[place < length[owner]]
     owner = owner[place < length[owner]]
-    tiles = np.minimum(-(-rank[order] // (4 * TILE)), 1 << SALT_BITS)
-    salt = mix(row.astype(np.uint64), 7)[owner] % np.maximum(tiles, 1).astype(np.uint64)
     low = np.uint64((1 << SALT_BITS) - 1)
+    tiles = np.minimum(-(-rank[order] // (4 * TILE)), (1 << SALT_BITS) - 1)
+    salt = np.where(tiles > 1, 1 + mix(row.astype(np.uint64), 7)[owner] % np.maximum(tiles, 1).astype(np.uint64), np.uint64(0))
     return _signed((s.hashes[order] & ~low) | salt), np.concatenate([[0], np.cumsum(length)]), rare
 
 
@@ -158,7 +158,8 @@ NEIGHBOURS = "tile long, node long, n long, before long, hub long, leader long"
 
 def neighbours(keyed: DataFrame, num: int, den: int) -> DataFrame:
     """Of ``tile``, ``node``, ``n``, ``rare`` the rows of tiles with more than one node, with the node before (``before``) and the
-    first (``hub``) in the order of ``rare``, null where there is none or their sizes are too far apart; ``leader`` is the first."""
+    first (``hub``) in the order of ``rare``, null where there is none or their sizes are too far apart; ``leader`` is the first.
+    A node alone in a salted tile is kept as well: others may hold its key under another salt."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, alone, first = None, False, None  # the last row so far, whether it still waits for company, its tile's first row
@@ -179,6 +180,7 @@ def neighbours(keyed: DataFrame, num: int, den: int) -> DataFrame:
             later = ~new
             company = later.copy()
             company[:-1] |= later[1:]
+            company |= (tile & ((1 << SALT_BITS) - 1)) != 0
             if held is not None:
                 if not alone:
                     company[0] = False  # written with its batch
@@ -187,7 +189,7 @@ def neighbours(keyed: DataFrame, num: int, den: int) -> DataFrame:
             out_before = pa.array(before[which], mask=~(later & near(before_n))[which])
             out_hub = pa.array(hub[which], mask=~(later & near(hub_n) & (hub != node))[which])
             yield _batch(NEIGHBOURS, [tile[which], node[which], n[which], out_before, out_hub, hub[which]])
-            alone = bool(new[-1]) if len(tile) > 1 or held is None else alone
+            alone = not company[-1]
             held, first = (int(tile[-1]), int(node[-1]), int(n[-1])), (int(hub[-1]), int(hub_n[-1]))
 
     rows = keyed.select("tile", "node", "n", "rare").repartition("tile").sortWithinPartitions("tile", "rare", "n", "node")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rankeval.llm import components, jaccard
 from rankeval.llm.queries import ORACLES, QUERIES
@@ -91,6 +92,39 @@ def test_the_order_of_keys_does_not_matter(spark, monkeypatch):
     assert got(spark, rows) == plain_components(rows)
 
 
+def short_families(count):
+    """Pairs of texts with 4 and 5 shingles that share 4, all of these counted, so that every key they share is salted where there
+    are more copies than a tile takes."""
+    rng = random.Random(6)
+    found = []
+    while len(found) < count:
+        texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(9)) for _ in range(2000)]
+        s = shingles([t.rsplit(" ", 1)[0] for t in texts], 5)
+        found += [t for i, t in enumerate(texts) if (s.of(i) < jaccard.LOW).all()]
+    return [(t.rsplit(" ", 1)[0], t) for t in found[:count]]
+
+
+def test_variants_of_a_text_with_many_copies_meet_under_different_salts(spark):
+    texts = [t for pair in short_families(6) for t in pair]
+    docs = spark.range(3000 * len(texts)).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % len(texts) + 1).cast("int")).alias("text"))
+    found = jaccard.join(docs).groupBy(F.col("doc_id") % len(texts), "component_id").count().collect()
+    assert sorted(tuple(r) for r in found) == [(i, i // 2 * 2, 3000) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 100])
+def test_a_node_alone_in_a_salted_tile_is_kept(spark, batch):
+    tiles = {1 << 16: 1, 2 << 16: 3, (3 << 16) + 1: 1, (3 << 16) + 2: 1, (3 << 16) + 3: 4, 4 << 16: 1, (5 << 16) + 7: 1}
+    rows = [(t, 100 * i + j, 10, j) for i, (t, n) in enumerate(tiles.items()) for j in range(n)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(batch))
+    try:
+        got = jaccard.neighbours(spark.createDataFrame(rows, "tile long, node long, n long, rare long").coalesce(1), 4, 5).collect()
+    finally:
+        spark.conf.unset(name)
+    want = [(t, x, 10, x - 1 if j else None, x - j if j else None, x - j) for t, x, _, j in rows if tiles[t] > 1 or t % (1 << 16)]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_query_against_sql(spark):
     assert compare(spark, connect(SF), QUERIES["op3_jaccard_join"], ORACLES["op3_jaccard_join"], SF) is None
 
