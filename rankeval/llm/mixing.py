@@ -141,10 +141,10 @@ def mixed(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: a row for each use of a document, its text cut to the words taken
-    (then joined by single blanks).  Rows alike in id and text are interchangeable."""
+    (then joined by single blanks), in the order of its first slot.  Rows alike in id and text are interchangeable."""
     pieces, documents = mix(docs, weights, share, repeat, block, id_col, text_col, source_col)
-    uses = pieces.groupBy("row", "pass_no").agg(F.sum("length").alias("n"))
-    uses = stage(uses.join(documents, "row").select(F.col("doc_id").alias("u_id"), F.col("fingerprint").alias("u_text"), "size", "n"))
+    uses = pieces.groupBy("row", "pass_no").agg(F.sum("length").alias("n"), F.min("slot").alias("__slot"))
+    uses = stage(uses.join(documents, "row").select(F.col("doc_id").alias("u_id"), F.col("fingerprint").alias("u_text"), "size", "n", "pass_no", "__slot"))
     marked = docs.alias("d").withColumn("__text", F.xxhash64(text_col))
     alike = documents.groupBy("doc_id", "fingerprint").count().where("count > 1")
     if not alike.isEmpty():  # each use of alike rows then takes the one that is left
@@ -152,4 +152,7 @@ def mixed(
     found = marked.join(uses, F.col(id_col).eqNullSafe(F.col("u_id")) & (F.col("__text") == F.col("u_text")))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
     text = F.when(F.col("n") < F.col("size"), cut).otherwise(F.col(text_col))
+    # inside a slot the documents follow as they lie in their source
+    order = ["__slot", "pass_no", "__h", "u_id", "size"]
+    found = found.withColumn("__h", order_hash("u_id")).repartitionByRange(*order).sortWithinPartitions(*order)
     return found.withColumn("__cut", text).select(*[F.col("__cut").alias(c) if c == text_col else found[f"`{c}`"] for c in docs.columns])

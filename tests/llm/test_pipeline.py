@@ -74,6 +74,19 @@ def test_mix_writes_each_use(spark, documents):
     assert len(cut) <= 2 * documents.select("source").distinct().count() and all(" ".join(whole[r["doc_id"]].split()).startswith(r["text"]) for r in cut)
 
 
+def test_mix_follows_the_schedule(spark, documents, tmp_path):
+    corpus_pipeline.mix(spark, documents, SF).write.parquet(str(tmp_path / "mix"))
+    first = {}
+    for r in mix(documents)[0].collect():
+        use = (r["doc_id"], r["pass_no"])
+        first[use] = min(first.get(use, r["slot"]), r["slot"])
+    slots = {}
+    for (doc, _), slot in sorted(first.items(), key=lambda x: x[1]):
+        slots.setdefault(doc, []).append(slot)
+    got = [slots[r["doc_id"]].pop(0) for f in sorted((tmp_path / "mix").glob("part-*")) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert got == sorted(got) and len(got) == len(first)
+
+
 def test_pack_takes_the_texts_as_they_are(spark, documents):
     pieces = corpus_pipeline.pack(spark, documents, SF).withColumn("ids_crc32", F.crc32("ids"))
     check_pieces(pieces.collect(), {r["doc_id"]: r["text"] for r in documents.collect()})
