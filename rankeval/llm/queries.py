@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankeval.llm import curves, jaccard, mixing, negatives, packing, pii, quality, token_files, topk, url_filter, warc
+from rankeval.llm import curves, jaccard, mixing, negatives, packing, pii, quality, token_files, topk, toxicity, url_filter, warc, whitening
 from rankeval.llm.storage import new_folder
 
 QUERIES: dict = {}
@@ -176,3 +176,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", label), every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+@register("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+    # null where it does not fit in 64 bits
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@register("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least_score=0.5)
