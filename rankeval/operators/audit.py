@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.functions.stats import chi_square_p
 from rankeval.operators.debias import ctr_curve
 from rankeval.operators.metrics import unpivot
+from rankeval.operators.permutation import null_information
 from rankeval.operators.ranges import exact_percentiles, join_on
 from rankeval.sources.staging import small, stage
 
-_CHUNKS = 64
 
-
-def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), name: str = "bin") -> DataFrame:
-    """Right-closed quantile bins with repeated edges merged, so that ties share a bin."""
-    by = list(by)
-    edges = exact_percentiles(df, c, [i / q for i in range(q + 1)], by, "_edges")
+def quantile_edges(df: DataFrame, c: str, q: int, by: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Inner edges (``_edges``) of quantile bins per group, repeated ones merged; ``rows``: how many rows a row stands for."""
+    edges = exact_percentiles(df, c, [i / q for i in range(q + 1)], by, "_edges", rows)
     inner = F.array_distinct("_edges")
-    inner = edges.select(*by, F.slice(inner, F.lit(2), F.greatest(F.lit(0), F.size(inner) - 2)).alias("_edges"))
+    return edges.select(*by, F.slice(inner, F.lit(2), F.greatest(F.lit(0), F.size(inner) - 2)).alias("_edges"))
+
+
+def binned(df: DataFrame, c: str, edges: DataFrame, by: Sequence[str], name: str = "bin") -> DataFrame:
+    """The number of edges below each value."""
     x = F.col(c).cast("double")
     if by:
-        joined = join_on(df, small(inner), by, "left")
+        joined = join_on(df, small(edges), by, "left")
     else:
-        joined = df.withColumn("_edges", inner.select("_edges").scalar())
+        joined = df.withColumn("_edges", edges.select("_edges").scalar())
     below = F.size(F.filter("_edges", lambda e: e < x))
     return joined.withColumn(name, F.when(x.isNotNull(), below)).drop("_edges")
 
 
-def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+def quantile_bins(df: DataFrame, c: str, q: int = 8, by: Sequence[str] = (), name: str = "bin") -> DataFrame:
+    """Right-closed quantile bins with repeated edges merged, so that ties share a bin."""
+    by = list(by)
+    return binned(df, c, quantile_edges(df, c, q, by), by, name)
+
+
+def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
     """Counts of value pairs with both margins and the total; margins are joined, never collected.  A null is a value like any
-    other."""
+    other.  ``rows``: how many rows a row of ``df`` stands for."""
     by = list(by)
-    cells = stage(df.groupBy(*by, a, b).agg(F.count("*").alias("n_ab")))
+    cells = stage(df.groupBy(*by, a, b).agg((F.count("*") if rows is None else F.sum(rows)).alias("n_ab")))
     na = cells.groupBy(*by, a).agg(F.sum("n_ab").alias("n_a"))
     nb = cells.groupBy(*by, b).agg(F.sum("n_ab").alias("n_b"))
     out = join_on(join_on(cells, nb, [*by, b]), na, [*by, a])
@@ -87,104 +93,20 @@ def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFra
     return out.withColumn("p_value", F.when(F.col("dof") == 0, 1.0).otherwise(chi_square_p(F.col("chi2"), F.col("dof"))))
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """Hypergeometric draw; above the generator's size limit the normal law with the same moments."""
-    total = good + bad
-    if take <= 0 or good <= 0:
-        return 0
-    if total < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, take))
-    p = good / total
-    sd = (take * p * (1 - p) * (total - take) / max(1, total - 1)) ** 0.5
-    return int(min(min(good, take), max(0, take - bad, round(rng.normal(take * p, sd)))))
-
-
-def _split(rng: np.random.Generator, pool: np.ndarray, take: int) -> np.ndarray:
-    """Composition of ``take`` items drawn without replacement from ``pool`` counts."""
-    out, rest = np.zeros_like(pool), int(pool.sum())
-    for i, have in enumerate(pool):
-        rest -= int(have)
-        out[i] = _draw(rng, int(have), rest, take)
-        take -= int(out[i])
-    return out
-
-
 def permutation_mi(
-    df: DataFrame, a: str, b: str, n: int = 80, seed: int = 0, by: Sequence[str] = ()
+    df: DataFrame, a: str, b: str, n: int = 80, seed: int = 0, by: Sequence[str] = (), rows: str | None = None
 ) -> DataFrame:
-    """Mutual information against ``n`` random re-dealings of ``b``: mean, std, z and p.
+    """Mutual information against ``n`` random re-dealings of ``b``, the short dimension: mean, std, z and p.
 
-    Shuffling a column keeps both margins, so the shuffled table is drawn from the margins directly and no row
-    is moved.  ``b`` is the short dimension (positions).  The values of ``a`` are spread over 64 chunks: every
-    task first splits ``b`` over the chunks (the same draw for all chunks of a replicate), then draws inside
-    its own chunk.
+    The re-dealt tables are drawn from the margins by :mod:`rankeval.operators.permutation`, one law at any size.  ``rows``: how
+    many rows a row of ``df`` stands for.
     """
     by = list(by)
-    table = stage(contingency(df, a, b, by))
-    observed = _information(table, by)
-    cells = table.withColumnRenamed("n_ab", "_c")
-    na = cells.groupBy(*by, a).agg(F.sum("_c").alias("_na"))
-    na = na.withColumn("chunk", F.pmod(F.xxhash64(F.col(a)), F.lit(_CHUNKS)).cast("int"))
-    chunks = na.groupBy(*by, "chunk").agg(
-        F.sort_array(F.collect_list("_na")).alias("sizes"), F.sum("_na").alias("size")
-    )
-    nb = cells.groupBy(*by, b).agg(F.sum("_c").alias("_nb")).groupBy(*by).agg(
-        F.sort_array(F.collect_list("_nb")).alias("margin_b")
-    )
-    per_chunk = chunks.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "size"))).alias("chunk_sizes")
-    )
-    na_log = na.groupBy(*by).agg(
-        F.sum(F.col("_na") * F.log(F.col("_na"))).alias("a_log"), F.sum("_na").cast("double").alias("total")
-    )
-    key = F.concat_ws("|", *[F.col(x).cast("string") for x in by]) if by else F.lit("")
-    if by:
-        work = chunks.join(nb, by).join(per_chunk, by)
-    else:
-        work = chunks.withColumn("margin_b", nb.select("margin_b").scalar())
-        work = work.withColumn("chunk_sizes", per_chunk.select("chunk_sizes").scalar())
-    work = work.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    work = work.withColumn("stream", F.pmod(F.xxhash64(key), F.lit(2**31)))
-    names = [*by, "replicate", "cell_log"]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema] + ["replicate int", "cell_log double"])
-
-    def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            logs = []
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(row.stream), int(row.replicate)])
-                pool = np.array(row.margin_b, dtype=np.int64)
-                mine = pool[:0]
-                for part in row.chunk_sizes:
-                    got = _split(rng, pool, int(part["size"]))
-                    pool = pool - got
-                    if part["chunk"] == row.chunk:
-                        mine = got
-                        break
-                inner = np.random.default_rng([seed, int(row.stream), int(row.replicate), int(row.chunk) + 1])
-                total = 0.0
-                for size in row.sizes:
-                    got = _split(inner, mine, int(size))
-                    mine = mine - got
-                    some = got[got > 0].astype(float)
-                    total += float((some * np.log(some)).sum())
-                logs.append(total)
-            yield pdf.assign(cell_log=logs)[names]
-
-    dealt = work.repartition("replicate", "chunk").mapInPandas(deal, schema).groupBy(*by, "replicate").agg(
-        F.sum("cell_log").alias("cell_log")
-    )
-    b_log = cells.groupBy(*by, b).agg(F.sum("_c").alias("m")).groupBy(*by).agg(
-        F.sum(F.col("m") * F.log(F.col("m"))).alias("b_log")
-    )
-    if by:
-        dealt = dealt.join(na_log, by).join(b_log, by).join(observed.select(*by, "mi"), by)
-    else:
-        dealt = dealt.withColumn("_l", na_log.select(F.struct("a_log", "total")).scalar())
-        dealt = dealt.select("*", "_l.*").withColumn("b_log", b_log.select("b_log").scalar())
-        dealt = dealt.withColumn("mi", observed.select("mi").scalar())
-    null_mi = F.expr("(cell_log - a_log - b_log) / total + ln(total)")
-    return dealt.withColumn("_null", null_mi).groupBy(*by).agg(
+    cells = stage(df.groupBy(*by, a, b).agg((F.count("*") if rows is None else F.sum(rows)).alias("n_rows")))
+    observed = _information(contingency(cells, a, b, by, "n_rows"), by)
+    null = null_information(cells, a, b, n, seed, by, "n_rows").withColumnRenamed("mi", "_null")
+    dealt = join_on(null, observed, by) if by else null.withColumn("mi", observed.select("mi").scalar())
+    return dealt.groupBy(*by).agg(
         F.max("mi").alias("mi_obs"),
         F.avg("_null").alias("mi_null_mean"),
         (F.stddev_pop("_null") + 1e-12).alias("mi_null_std"),
@@ -196,16 +118,21 @@ def permutation_mi(
 def _binned_features(
     df: DataFrame, features: Sequence[str], by: Sequence[str], position: str, max_pos: int, q: int
 ) -> DataFrame:
-    narrow = stage(df.where(F.col(position) < max_pos).select(*by, position, *features))
-    long = unpivot(narrow, [*by, position], features)
+    """Counts (``n_rows``) of (keys, ``feature``, ``bin``, position) over the first positions.
+
+    Rows are counted per value and position before anything is binned, so only distinct values meet the edges.
+    """
+    long = unpivot(df.where(F.col(position) < max_pos), [*by, position], features)
     g = [*by, "feature"]
-    values = long.groupBy(*g, "value").agg(F.count("*").alias("_c"))
+    values = stage(long.groupBy(*g, "value", position).agg(F.count("*").alias("n_rows")))
     c, v = F.col("_c").cast("double"), F.col("value")
-    spread = values.groupBy(*g).agg(
+    distinct = stage(values.groupBy(*g, "value").agg(F.sum("n_rows").alias("_c")))
+    spread = distinct.groupBy(*g).agg(
         F.count("*").alias("_distinct"), (F.sum(c * v * v) / F.sum(c) - F.pow(F.sum(c * v) / F.sum(c), F.lit(2.0))).alias("_var")
     )
-    usable = spread.where((F.col("_distinct") >= 4) & (F.col("_var") >= 1e-18)).select(*g)
-    return quantile_bins(long.join(small(usable), g, "left_semi"), "value", q, g)
+    usable = small(spread.where((F.col("_distinct") >= 4) & (F.col("_var") >= 1e-18)).select(*g))
+    edges = quantile_edges(join_on(distinct, usable, g, "left_semi"), "value", q, g, "_c")
+    return binned(join_on(values, usable, g, "left_semi"), "value", edges, g).groupBy(*g, "bin", position).agg(F.sum("n_rows").alias("n_rows"))
 
 
 def score_position_mi(
@@ -214,8 +141,9 @@ def score_position_mi(
 ) -> DataFrame:
     """Mutual information of binned score features and the position; constant features and features
     with fewer than four values are skipped."""
-    binned = _binned_features(df, features, by, position, max_pos, q)
-    return mutual_information(binned, "bin", position, [*by, "feature"])
+    counted = _binned_features(df, features, by, position, max_pos, q)
+    g = [*by, "feature"]
+    return _information(contingency(counted, "bin", position, g, "n_rows"), g)
 
 
 def category_coverage(df: DataFrame, c: str, by: Sequence[str] = (), min_rows: int = 100) -> DataFrame:
@@ -266,13 +194,13 @@ def unbiasedness_audit(
     large = meta.where(F.col("rows") >= min_rows).select("slice")
     tested = rows.join(small(large), "slice", "left_semi")
     first = tested.where(F.col(position) < max_pos)
-    binned = _binned_features(tested, features, ["slice"], position, max_pos, 8)
+    scores = _binned_features(tested, features, ["slice"], position, max_pos, 8)
     return {
         "meta": meta,
         "category_position": permutation_mi(first, category, position, n_perm, 0, ["slice"]).join(
             chi_square(first, category, position, ["slice"]), "slice"
         ),
-        "score_position": permutation_mi(binned, "bin", position, n_perm_scores, 0, ["slice", "feature"]),
+        "score_position": permutation_mi(scores, "bin", position, n_perm_scores, 0, ["slice", "feature"], "n_rows"),
         "position_ctr": ctr_curve(rows, ["slice"], 15, 100, position, label),
         "category_coverage": category_coverage(rows, category, ["slice"]),
     }

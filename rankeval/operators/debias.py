@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankeval.functions.stats import t_test_p
-from rankeval.operators.metrics import auc, counterfactual_ndcg, rank_table
+from rankeval.operators.metrics import ndcg_orders, rank_table
+from rankeval.operators.ranges import join_on, prefix_sums
 from rankeval.sources.staging import small, stage
 
 
@@ -30,7 +31,7 @@ def ctr_curve(
     per_pos = stage(ctr_by_position(df, by, position, label))
     sizes = per_pos.groupBy(*by).agg(F.sum("impressions").alias("_n")).where(F.col("_n") >= min_rows)
     if by:
-        kept = per_pos.join(sizes, list(by), "left_semi")
+        kept = join_on(per_pos, sizes, list(by), "left_semi")
     else:
         kept = per_pos.where(sizes.select("_n").scalar().isNotNull())
     return kept.where(F.col(position) < max_pos).select(*by, position, "ctr", F.col("impressions").alias("count"))
@@ -97,7 +98,11 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
     pairs = stage(rows.groupBy(*by, a, b).agg(F.count("*").alias("_c")))
     ranks_a = rank_table(pairs, a, by, F.col("_c")).select(*by, a, F.col("average_rank").alias("_ra"))
     ranks_b = rank_table(pairs, b, by, F.col("_c")).select(*by, b, F.col("average_rank").alias("_rb"))
-    ranked = pairs.join(ranks_b, [*by, b]).join(ranks_a, [*by, a])
+    return _rank_correlation(join_on(join_on(pairs, ranks_b, [*by, b]), ranks_a, [*by, a]), by)
+
+
+def _rank_correlation(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Correlation of ``_ra`` and ``_rb`` over rows that stand for ``_c`` rows each."""
     c, x, y = F.col("_c").cast("double"), F.col("_ra"), F.col("_rb")
     sums = ranked.groupBy(*by).agg(
         F.sum(c).alias("n"), F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"),
@@ -116,6 +121,49 @@ def linear_r2(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFram
     return df.groupBy(*by).agg(F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(r2).alias("r2"))
 
 
+def score_cube(
+    df: DataFrame, scores: Mapping[str, str], label: str, position: str, weight: Column, by: Sequence[str] = ()
+) -> DataFrame:
+    """Counts per (keys, ``model``, ``_score``, position), staged: rows (``_c``), labelled rows by class (``_p``, ``_q``), their
+    weights (``_wp``, ``_wq``) and the sum of the labels (``_pc``).  AUCs, rank correlation and fit are read off it."""
+    cells = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("_score")) for n, c in scores.items()])
+    y, w = F.col("_y"), F.col("_w")
+    long = df.select(*by, position, F.col(label).cast("int").alias("_y"), weight.alias("_w"), F.inline(cells))
+    return stage(long.groupBy(*by, "model", "_score", position).agg(
+        F.count("*").alias("_c"), F.count_if(y == 1).alias("_p"), F.count_if(y != 1).alias("_q"), F.sum("_y").alias("_pc"),
+        F.sum(F.when(y == 1, w).otherwise(0)).alias("_wp"), F.sum(F.when(y != 1, w).otherwise(0)).alias("_wq"),
+    ))
+
+
+def _cube_areas_and_ranks(cube: DataFrame, position: str, g: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both AUCs per group, and the average rank (``_rb``) of each score among rows with a position: one order of the distinct scores
+    serves all three."""
+    ok = F.col("_score").isNotNull() & ~F.isnan("_score") & (F.abs("_score") < float("inf"))
+    sums = [F.sum(F.when(ok, F.col(c)).otherwise(0)).alias(c) for c in ("_p", "_q", "_wp", "_wq", "_pc")]
+    per_score = stage(cube.where("_score is not null").groupBy(*g, "_score").agg(
+        F.sum(F.when(F.col(position).isNotNull(), F.col("_c")).otherwise(0)).alias("_c"), *sums))
+    ranked = stage(prefix_sums(per_score, g, ["_score"], {"_below": "_q", "_wbelow": "_wq", "_before": "_c"}))
+    area = lambda p, q, below: F.try_divide(
+        F.sum(F.col(p).cast("double") * (F.col(below).cast("double") + 0.5 * F.col(q))), F.sum(p).cast("double") * F.sum(q))
+    areas = ranked.groupBy(*g).agg(
+        F.sum(F.col("_p") + F.col("_q")).alias("n"), F.coalesce(area("_p", "_q", "_below"), F.lit(float("nan"))).alias("raw_auc"),
+        F.coalesce(area("_wp", "_wq", "_wbelow"), F.lit(float("nan"))).alias("ipw_auc"))
+    return areas, ranked.select(*g, "_score", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_rb"))
+
+
+def _cube_fit(cube: DataFrame, position: str, g: Sequence[str]) -> DataFrame:
+    """M10 from counts, in two passes so that large values lose nothing."""
+    c, x, y = F.col("_c").cast("double"), F.col(position).cast("double"), F.col("_score")
+    both = cube.where(x.isNotNull() & y.isNotNull())
+    mean = both.groupBy(*g).agg((F.sum(c * x) / F.sum(c)).alias("_mx"), (F.sum(c * y) / F.sum(c)).alias("_my"))
+    dx, dy = x - F.col("_mx"), y - F.col("_my")
+    sums = join_on(both, small(mean), g).groupBy(*g).agg(
+        F.sum(c * dx * dx).alias("_xx"), F.sum(c * dy * dy).alias("_yy"), F.sum(c * dx * dy).alias("_xy"))
+    spread = cube.groupBy(*g).agg((F.min(x) == F.max(x)).alias("_flat"))
+    r2 = F.try_divide(F.col("_xy") * F.col("_xy"), F.col("_xx") * F.col("_yy"))
+    return join_on(spread, sums, g, "left").select(*g, F.when(F.col("_flat"), F.lit(0.0)).otherwise(r2).alias("r2"))
+
+
 def debias_report(
     df: DataFrame, scores: Mapping[str, str] | Sequence[str], feed: str = "feed_id", label: str = "label",
     position: str = "position_rank", by: Sequence[str] = (), k: int = 10,
@@ -123,19 +171,24 @@ def debias_report(
     """One row per model (and group) with rank correlation to the position, raw and
     propensity-weighted AUC, NDCG against the display order and r squared on the position.
 
-    ``df`` carries ``propensity`` from :func:`ipw_weight`; every row weighs 1/propensity in the weighted AUC.
+    ``df`` carries ``propensity`` from :func:`ipw_weight`; every row weighs 1/propensity in the weighted AUC.  Rows are read twice:
+    for the cube of counts, and for the gains of the feeds.
     """
     names = dict(scores) if isinstance(scores, Mapping) else {s: s for s in scores}
-    cells = F.array(
-        *[F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("_score")) for n, c in names.items()]
-    )
-    narrow = stage(df.select(*by, feed, label, position, "propensity", *set(names.values())))
-    long = narrow.select(*by, feed, label, position, (1.0 / F.col("propensity")).alias("_w"), F.inline(cells))
-    g = [*by, "model"]
-    raw = auc(long, "_score", label, g).select(*g, "n", F.col("auc").alias("raw_auc"))
-    weighted = auc(long, "_score", label, g, weight="_w").select(*g, F.col("auc").alias("ipw_auc"))
-    rank = spearman(long, position, "_score", g).drop("n")
-    fit = linear_r2(long, "_score", position, g)
-    order = counterfactual_ndcg(long, feed, label, "_score", position, k, g)
-    out = raw.join(weighted, g).join(rank, g, "left").join(fit, g, "left").join(order, g, "left")
-    return out.withColumn("ipw_auc_delta", F.col("ipw_auc") - F.col("raw_auc"))
+    by, g = list(by), [*by, "model"]
+    narrow = stage(df.select(*by, feed, label, position, "propensity", *dict.fromkeys(names.values())))
+    cube = score_cube(narrow, names, label, position, 1.0 / F.col("propensity"), by)
+    areas, score_ranks = _cube_areas_and_ranks(cube, position, g)
+    pairs = cube.where(F.col("_score").isNotNull() & F.col(position).isNotNull())
+    places = rank_table(pairs, position, g, F.col("_c")).select(*g, position, F.col("average_rank").alias("_ra"))
+    rank = _rank_correlation(join_on(join_on(pairs, small(places), [*g, position]), score_ranks, [*g, "_score"]), g).drop("n")
+    display = "display order"
+    gains = stage(ndcg_orders(narrow, feed, label, names | {display: -F.col(position).cast("double")}, k, by))
+    shown = gains.where(F.col("order") == display).select(*by, F.col("ndcg").alias("ndcg_display"))
+    order = gains.where(F.col("order") != display).select(*by, F.col("order").alias("model"), F.col("ndcg").alias("ndcg_model"))
+    out = join_on(join_on(join_on(areas, rank, g, "left"), _cube_fit(cube, position, g), g, "left"), order, g, "left")
+    if by:
+        out = join_on(out, shown, by, "left")
+    else:
+        out = out.withColumn("ndcg_display", shown.select("ndcg_display").scalar())
+    return out.withColumn("ndcg_delta", F.col("ndcg_model") - F.col("ndcg_display")).withColumn("ipw_auc_delta", F.col("ipw_auc") - F.col("raw_auc"))

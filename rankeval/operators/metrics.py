@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.functions.scores import clip, valid_score
-from rankeval.operators.ranges import ordered_index, prefix_sums
+from rankeval.operators.ranges import join_on, ordered_index, prefix_sums
 from rankeval.operators.sampling import random_score
 from rankeval.sources.staging import small, stage
 
@@ -53,7 +53,7 @@ def rank_table(df: DataFrame, c: str, by: Sequence[str] = (), rows: Column | Non
 def average_rank(df: DataFrame, c: str, by: Sequence[str] = (), name: str = "average_rank") -> DataFrame:
     """Every row with the average rank of its value, ties sharing the mean rank."""
     keys = [*by, c]
-    return df.join(rank_table(df, c, by).select(*keys, F.col("average_rank").alias(name)), keys, "left")
+    return join_on(df, rank_table(df, c, by).select(*keys, F.col("average_rank").alias(name)), keys, "left")
 
 
 def auc(
@@ -139,28 +139,29 @@ def _top_gain(grouped: DataFrame, keys: Sequence[str], value: str, k: int, name:
     )
 
 
+def _gains(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Counts (``_c``) and summed labels (``_g``) per (keys, value) of rows counted in ``_c``."""
+    return rows.groupBy(*keys, value).agg(F.sum(F.col("_c") * F.col("_y")).alias("_g"), F.sum("_c").alias("_c"))
+
+
 def ndcg_per_feed(
     df: DataFrame, feed: str, label: str, score: Column | str, k: int = 10, by: Sequence[str] = ()
 ) -> DataFrame:
-    """M6: NDCG@k of every feed with at least two rows and one click; tied scores share their gain."""
+    """M6: NDCG@k of every feed with at least two rows and one click; tied scores share their gain.  Rows without a feed id belong
+    to no feed; a null group is a group."""
     keys = [*by, feed]
     rows = df.select(*keys, _col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    sized = stage(rows.groupBy(*keys, "_s", "_y").agg(F.count("*").alias("_c")))
-    by_score = sized.groupBy(*keys, "_s").agg(
-        F.sum(F.col("_c") * F.col("_y")).alias("_g"), F.sum("_c").alias("_c")
-    )
-    by_label = sized.groupBy(*keys, "_y").agg(
-        F.sum(F.col("_c") * F.col("_y")).alias("_g"), F.sum("_c").alias("_c")
-    )
+    sized = stage(rows.where(F.col(feed).isNotNull()).groupBy(*keys, "_s", "_y").agg(F.count("*").alias("_c")))
+    got = _top_gain(_gains(sized, keys, "_s"), keys, "_s", k, "_dcg")
+    both = join_on(_ideal_gain(_gains(sized, keys, "_y"), keys, k), got, keys)
+    return both.select(*keys, "feed_rows", (F.col("_dcg") / F.col("_ideal")).alias("ndcg"))
+
+
+def _ideal_gain(by_label: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """``feed_rows`` and the best gain (``_ideal``) of the feeds with at least two rows and one click."""
     eligible = by_label.groupBy(*keys).agg(F.sum("_c").alias("feed_rows"), F.sum("_g").alias("_gain"))
-    eligible = eligible.where("feed_rows >= 2 and _gain > 0").drop("_gain")
-    got = _top_gain(by_score, keys, "_s", k, "_dcg")
     best = _top_gain(by_label, keys, "_y", k, "_ideal")
-    return (
-        eligible.join(got, keys)
-        .join(best, keys)
-        .select(*keys, "feed_rows", (F.col("_dcg") / F.col("_ideal")).alias("ndcg"))
-    )
+    return join_on(eligible.where("feed_rows >= 2 and _gain > 0").drop("_gain"), best, keys)
 
 
 def ndcg(
@@ -171,21 +172,34 @@ def ndcg(
     return per_feed.groupBy(*by).agg(F.count("*").alias("feeds"), F.avg("ndcg").alias("ndcg"))
 
 
+def ndcg_orders(
+    df: DataFrame, feed: str, label: str, orders: Mapping[str, Column | str], k: int = 10, by: Sequence[str] = ()
+) -> DataFrame:
+    """M6 for several orders of the same rows: keys, ``order`` and the mean ``ndcg``.
+
+    The rows of a feed, its clicks and its best gain are the same for all orders and are counted once.
+    """
+    keys = [*by, feed]
+    cells = F.array(*[F.struct(F.lit(n).alias("_order"), _col(c).cast("double").alias("_s")) for n, c in orders.items()])
+    rows = df.where(F.col(feed).isNotNull()).withColumn("_y", F.col(label).cast("double"))
+    by_label = _gains(rows.groupBy(*keys, "_y").agg(F.count("*").alias("_c")), keys, "_y")
+    by_score = rows.select(*keys, "_y", F.inline(cells)).groupBy(*keys, "_order", "_s").agg(
+        F.sum("_y").alias("_g"), F.count("*").alias("_c"))
+    got = _top_gain(by_score, [*keys, "_order"], "_s", k, "_dcg")
+    both = join_on(got, _ideal_gain(by_label, keys, k), keys)
+    return both.groupBy(*by, F.col("_order").alias("order")).agg(F.avg(F.col("_dcg") / F.col("_ideal")).alias("ndcg"))
+
+
 def counterfactual_ndcg(
     df: DataFrame, feed: str, label: str, score: str, position: str, k: int = 10, by: Sequence[str] = ()
 ) -> DataFrame:
     """M7: NDCG@k of the model order, of the display order, and their difference."""
-    both = F.array(
-        F.struct(F.lit("model").alias("_order"), F.col(score).cast("double").alias("_v")),
-        F.struct(F.lit("display").alias("_order"), (-F.col(position).cast("double")).alias("_v")),
-    )
-    long = df.select(*by, feed, label, F.inline(both))
-    scored = ndcg(long, feed, label, "_v", k, [*by, "_order"])
+    orders = {"model": score, "display": -F.col(position).cast("double")}
     return (
-        scored.groupBy(*by)
+        ndcg_orders(stage(df.select(*by, feed, label, score, position)), feed, label, orders, k, by).groupBy(*by)
         .agg(
-            F.max(F.when(F.col("_order") == "model", F.col("ndcg"))).alias("ndcg_model"),
-            F.max(F.when(F.col("_order") == "display", F.col("ndcg"))).alias("ndcg_display"),
+            F.max(F.when(F.col("order") == "model", F.col("ndcg"))).alias("ndcg_model"),
+            F.max(F.when(F.col("order") == "display", F.col("ndcg"))).alias("ndcg_display"),
         )
         .withColumn("ndcg_delta", F.col("ndcg_model") - F.col("ndcg_display"))
     )

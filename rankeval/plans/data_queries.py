@@ -13,7 +13,7 @@ from rankeval.plans.feed_queries import CONTEXT_SQL, FEEDS, FLAT_SQL, FULL_SQL,
 from rankeval.plans.ranking_queries import IMP, SLICE, calls, tagged
 from rankeval.plans.registry import query, rounded
 from rankeval.plans.views import FEATURES, FEED_TAG, ROW_KEY, TAG, impressions, ranked_impressions, raw_feeds, table
-from rankeval.sources import readers, writers
+from rankeval.sources import readers, store, writers
 from rankeval.sources.staging import scratch_path, stage
 
 KEYS = ROW_KEY
@@ -471,6 +471,17 @@ def _(spark, sf):
     return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("not_there").alias("absent"), F.round(F.sum("o_totalprice"), 2).alias("price"))
 
 
+@query("projected_scan_mixed_types", """SELECT o_orderkey, CASE o_orderkey%4 WHEN 3 THEN '{"k":'||o_custkey||'}' ELSE o_custkey::VARCHAR END AS customer, CASE WHEN o_orderkey%4<>1 THEN o_totalprice END AS price FROM orders""")
+def _(spark, sf):
+    """Files that store one column as int, long, text and struct, and one that lacks another column."""
+    path, o = scratch_path(spark, "mixed"), table(spark, sf, "orders")
+    key = F.col("o_custkey")
+    for i, stored in enumerate((key.cast("int"), key.cast("bigint"), key.cast("string"), F.struct(key.cast("bigint").alias("k")))):
+        rows = o.where(F.col("o_orderkey") % 4 == i).select("o_orderkey", stored.alias("customer"), F.col("o_totalprice").alias("price"))
+        (rows.drop("price") if i == 1 else rows).write.parquet(f"{path}/{i}")
+    return readers.read_parquet(spark, path, {"o_orderkey": "bigint", "customer": "string", "price": "double"})
+
+
 @query("day_scan", f"{IMP} SELECT count(*) AS n, sum(label)::BIGINT AS clicks FROM imp WHERE bizdate='19970310'")
 def _(spark, sf):
     return readers.scan_day(spark, impressions(spark, sf), "19970310").agg(F.count("*").alias("n"), F.sum("label").cast("bigint").alias("clicks"))
@@ -506,6 +517,20 @@ def _(spark, sf):
     return back.groupBy("bizdate").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
 
 
+PREPARED_SQL = f"""{FEEDS}, {FLAT_SQL}, d AS (SELECT bizdate AS day, count(*) AS rows, sum(label)::BIGINT AS clicks FROM flat WHERE is_tagged=1 AND has_features AND bizdate<>'' GROUP BY 1)"""
+
+
+@query("prepared_days", f"{PREPARED_SQL} SELECT day, rows, clicks, day>='20240104' AS in_second_run FROM d WHERE day BETWEEN '20240102' AND '20240106'")
+def _(spark, sf):
+    """Two overlapping runs into one target; each day once, by the run that brought it."""
+    path, feeds = scratch_path(spark, "days"), raw_feeds(spark, sf)
+    writers.prepare_days(feeds, path, readers.date_range(spark, "20240102", "20240103"), FEED_TAG)
+    second = writers.prepare_days(feeds, path, readers.date_range(spark, "20240102", "20240106"), FEED_TAG)
+    back = readers.read_parquet(spark, path, partitioned=True).groupBy(F.col("bizdate").cast("string").alias("day")).agg(F.sum("label").alias("clicks"))
+    log = writers.ingested(spark, path).select("day", "rows").join(second.select("day", F.lit(True).alias("_s")), "day", "left")
+    return log.join(back, "day").select("day", "rows", "clicks", F.coalesce("_s", F.lit(False)).alias("in_second_run"))
+
+
 @query("jsonl_round_trip", f"""{IMP} SELECT count(*) AS n, sum(label)::BIGINT AS pos, sum(CASE WHEN contains(flight_ids,'URGENT') THEN 1 ELSE 0 END)::BIGINT AS tagged, (count(*)-sum(label))::BIGINT AS neg,
   round(avg(label),6) AS ctr, 0 AS without_user FROM imp""")
 def _(spark, sf):
@@ -570,10 +595,10 @@ def _(spark, sf):
     o = table(spark, sf, "orders").withColumn("conversation_id", F.col("o_custkey")).select("conversation_id", "o_orderpriority", "o_orderkey")
     first = writers.prepare_upsert(o, "o_orderpriority", latest=["o_orderkey"])
     again = writers.prepare_upsert(o.where("o_orderkey % 3 = 0"), "o_orderpriority", latest=["o_orderkey"])
-    path, target = scratch_path(spark, "store"), scratch_path(spark, "store")
-    writers.upsert(first, "parquet", path=path)
-    writers.upsert_parquet(spark, again.withColumn("o_orderkey", -F.col("o_orderkey")), path, target, "o_orderpriority")
-    return spark.read.parquet(target).select("id", "o_orderpriority", "o_orderkey")
+    path, keys = scratch_path(spark, "store"), ["id", "o_orderpriority"]
+    store.upsert(first, path, keys, buckets=16)
+    store.upsert(again.withColumn("o_orderkey", -F.col("o_orderkey")), path, keys)
+    return store.read(spark, path).select("id", "o_orderpriority", "o_orderkey")
 
 
 @query("upsert_without_ids", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rankeval.functions.text import strip
@@ -15,20 +20,85 @@ def read_parquet(
 ) -> DataFrame:
     """A file, a directory (at any depth) or a glob; only the wanted columns, absent ones as nulls.
 
-    ``partitioned`` reads ``column=value`` folders with their partition column (set
-    ``spark.sql.sources.partitionColumnTypeInference.enabled`` to false to keep yyyyMMdd a text) instead of
-    searching the tree for files.  A path without any file is an error.
+    Files may store a wanted column in different types: files are grouped by what their footers say, each group is scanned with
+    its own types and cast to the wanted ones, nested values to text as JSON.  ``partitioned`` reads ``column=value`` folders
+    with their partition column (set ``spark.sql.sources.partitionColumnTypeInference.enabled`` to false to keep yyyyMMdd a
+    text) instead of searching the tree for files.  A path without any file is an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if not paths:
         raise FileNotFoundError("no parquet path given")
-    reader = spark.read if columns else spark.read.option("mergeSchema", "true")
-    if columns:  # the wanted columns are the schema: no look at every file's footer
-        reader = reader.schema(", ".join(f"`{c}` {t}" for c, t in columns.items()))
-    if not partitioned:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    df = reader.parquet(*paths)
-    return with_missing_columns(df, dict(columns)) if columns else df
+    reader = lambda: spark.read if partitioned else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    if not columns:
+        return reader().option("mergeSchema", "true").parquet(*paths)
+    groups = _file_groups(spark, paths, list(columns))
+    if not groups:  # folders without files
+        typed = ", ".join(f"`{c}` {t}" for c, t in columns.items())
+        return with_missing_columns(reader().schema(typed).parquet(*paths), dict(columns))
+    if len(groups) == 1:
+        scans = [reader().parquet(*paths)]
+    else:
+        base = {"basePath": paths[0]} if partitioned and len(paths) == 1 else {}
+        scans = [spark.read.options(**base).parquet(*files) for files in groups]
+    return reduce(DataFrame.unionByName, [_as_wanted(df, columns) for df in scans])
+
+
+def _as_wanted(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The wanted columns in the wanted types; a column that is stored as wanted stays bare, so that filters reach the scan."""
+    wanted = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in columns.items())).schema
+    nested = (T.ArrayType, T.MapType, T.StructType)
+
+    def one(name: str) -> Column:
+        to = wanted[name].dataType
+        if name not in df.columns:
+            return F.lit(None).cast(to).alias(name)
+        c, stored = F.col(f"`{name}`"), df.schema[name].dataType
+        if stored == to:
+            return c
+        if isinstance(stored, nested) and isinstance(to, T.StringType):
+            return F.to_json(c).alias(name)
+        if isinstance(stored, T.StringType) and isinstance(to, nested):
+            return F.from_json(c, to).alias(name)
+        return c.cast(to).alias(name)
+
+    return df.select([one(name) for name in columns])
+
+
+def _stored_types(path: str, columns: Sequence[str]) -> str | None:
+    """The types that a file's footer gives for the columns, as text; None where this file system is only Spark's."""
+    scheme, _, rest = path.partition(":")
+    try:
+        fs, at = (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(quote(path, safe=":/"))
+        schema = pq.read_schema(at, filesystem=fs)
+    except (pa.ArrowException, OSError):
+        return None
+    return "; ".join(f"{c}: {schema.field(c).type if c in schema.names else None}" for c in columns)
+
+
+def _file_groups(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> list[list[str]]:
+    """The files below the paths, grouped by the stored types of the columns; one group is not split further.
+
+    Footers are read in tasks.  Files that only Spark can open are asked for one by one.  The list of files is the driver's, as
+    with every scan.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select("path")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_stored_types(p, columns) for p in names], pa.string())], names=["path", "kinds"])
+
+    found = files.mapInArrow(task, "path string, kinds string").groupBy("kinds").agg(F.collect_list("path").alias("files")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in found:
+        if r["kinds"] is not None:
+            groups.setdefault(r["kinds"], []).extend(r["files"])
+            continue
+        for p in r["files"]:
+            schema = spark.read.parquet(p).schema
+            key = "; ".join(f"{c}: {schema[c].dataType.simpleString() if c in schema.names else None}" for c in columns)
+            groups.setdefault(key, []).append(p)
+    return [sorted(g) for _, g in sorted(groups.items())]
 
 
 def scan_day(spark: SparkSession, table_or_path: str | DataFrame, day: str, column: str = "bizdate") -> DataFrame:

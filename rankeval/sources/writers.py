@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rankeval.operators.flatten import flatten_impressions
 from rankeval.operators.ranges import ordered_index
 from rankeval.operators.sampling import hash_hex
+from rankeval.sources.folders import committed, exists, names
+
+DAY_LOG = "_ingested"
+ALIKE = 100_000  # rows alike that one task makes
 
 
 def write_samples(df: DataFrame, path: str, fmt: str = "json", by: Sequence[str] = ()) -> DataFrame:
@@ -39,21 +45,52 @@ def write_days(df: DataFrame, path: str, column: str = "bizdate", fmt: str = "pa
     )
 
 
-def ingest_days(source: DataFrame, path: str, wanted: DataFrame, column: str = "bizdate") -> None:
-    """Add the wanted days that the target does not hold yet; safe to repeat.
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The day log: ``day``, ``rows`` and ``run`` of every day that a run has written and closed, the last run of a day.
 
-    The list of days is short, so it is read to the driver and becomes a partition filter on the source.
+    A target from before the log is known by the names of its day folders.  The target's rows are not read.
+    """
+    log = f"{path}/{DAY_LOG}"
+    runs = [n for n in names(spark, log) if committed(spark, f"{log}/{n}")]
+    schema = "day string, rows long, run string, at timestamp"
+    if runs:
+        rows = spark.read.schema(schema).json([f"{log}/{n}" for n in runs])
+        return rows.groupBy("day").agg(F.max_by(F.struct("rows", "run"), F.struct("at", "run")).alias("_l")).select("day", "_l.*")
+    days = [(n.partition("=")[2], None, "") for n in names(spark, path) if "=" in n]
+    return spark.createDataFrame(days, "day string, rows long, run string")
+
+
+def ingest_days(source: DataFrame, path: str, wanted: DataFrame, column: str = "bizdate") -> DataFrame:
+    """Add the wanted days that the target's log does not hold yet; the log's new entries.
+
+    The days' folders are replaced as a whole, then the run's log file is committed: a run that ends between the two is
+    repeated and writes the same folders again, so no day is doubled or left half.  Days without rows are not logged and are looked
+    for again.  The list of days is short, so it is read to the driver and becomes a partition filter on the source.
     """
-    spark = source.sparkSession
-    have = set()
-    try:
-        have = {str(r[0]) for r in spark.read.parquet(path).select(F.col(column).cast("string")).distinct().collect()}
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    days = [r[0] for r in wanted.select(column).collect() if r[0] not in have]
+    spark, run = source.sparkSession, uuid.uuid4().hex
+    missing = wanted.select(F.col(column).cast("string").alias("day")).distinct().join(ingested(spark, path), "day", "left_anti")
+    days = [r["day"] for r in missing.collect()]
     if days:
-        write_days(source.where(F.col(column).isin(days)), path, column)
+        write_days(source.where(F.col(column).cast("string").isin(days)), path, column)
+    written = [d for d in days if exists(spark, f"{path}/{column}={d}")]
+    entries = spark.createDataFrame([], "day string, rows long, run string, at timestamp")
+    if written:
+        # the new folders' footers tell the rows
+        counted = spark.read.option("basePath", path).parquet(*[f"{path}/{column}={d}" for d in written])
+        entries = counted.groupBy(F.col(column).cast("string").alias("day")).agg(F.count("*").alias("rows"))
+        entries = entries.withColumn("run", F.lit(run)).withColumn("at", F.current_timestamp())
+        entries.coalesce(1).write.json(f"{path}/{DAY_LOG}/run={run}")
+    return ingested(spark, path).where(F.col("run") == run)
+
+
+def prepare_days(feeds: DataFrame, path: str, wanted: DataFrame, tag: str, require_features: bool = True) -> DataFrame:
+    """Flattened rows of one tag, day by day into the target, as :func:`ingest_days` does; the log's new entries.
+
+    Blank dates belong to no day.
+    """
+    samples = flatten_impressions(feeds.where(F.col("bizdate") != ""), "", "", tag, require_features)
+    rows = samples.withColumn("features", F.to_json("features"))  # a bag of loose values is kept as text
+    return ingest_days(rows, path, wanted)
 
 
 def score_rows(df: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
@@ -84,8 +121,11 @@ def prepare_upsert(
     content = F.to_json(F.struct(*sorted(df.columns)))
     ids = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in have]
     out = df.withColumn("_content", content)
-    if not have:  # rows alike are rows of their own: they are told apart by their number
-        out = out.withColumn("_n", F.row_number().over(W.partitionBy("_content").orderBy("_content")))
+    if not have:  # rows alike are rows of their own: as they are interchangeable, they are made from their number
+        alike = out.groupBy("_content").agg(F.count("*").alias("_times"), F.any_value(F.struct(*df.columns)).alias("_row"))
+        blocks = alike.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(ALIKE))))
+        number = F.explode(F.sequence(F.col("_from") + 1, F.least(F.col("_from") + ALIKE, F.col("_times"))))
+        out = blocks.repartition("_content", "_from").withColumn("_n", number).select("_row.*", "_content", "_n")
     out = out.withColumn("id", F.coalesce(*ids, hash_hex(0, F.col("_content"), *([] if have else ["_n"]))))
     out = out.withColumn(partition_key, F.col(partition_key).cast("string"))
     rest = [c for c in out.columns if c not in ("id", partition_key, "_content", "_n")]
@@ -97,9 +137,3 @@ def upsert(df: DataFrame, fmt: str, options: Mapping[str, str] | None = None, pa
     """Hand prepared rows to a keyed store; the store's connector is named by its format and options."""
     writer = df.write.format(fmt).mode("append").options(**(options or {}))
     writer.save(path) if path else writer.save()
-
-
-def upsert_parquet(spark: SparkSession, df: DataFrame, path: str, target: str, partition_key: str) -> None:
-    """S12 over files: rows of ``df`` replace rows of ``path`` with the same id and key, written to ``target``."""
-    old = spark.read.parquet(path).join(df.select("id", partition_key), ["id", partition_key], "left_anti")
-    old.unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(target)

@@ -24,9 +24,19 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+def _small_ranges(monkeypatch, bounds):
+    from rankeval.operators import ranges
+
+    monkeypatch.setattr(ranges, "PLAN", ranges.RangePlan(rows=24, sample=3, bounds=bounds))
+
+
 @pytest.fixture
 def split_everything(monkeypatch):
-    """Treat every group of a few rows as hot, so that the range path runs on small data."""
-    from rankeval.operators import ranges
+    """Treat every group of a few rows as large, so that the range path runs on small data."""
+    _small_ranges(monkeypatch, 4096)
+
 
-    monkeypatch.setattr(ranges, "PLAN", ranges.RangePlan(every=1, min_sample=4, parts=64, hot_share=1000))
+@pytest.fixture
+def split_shuffled(monkeypatch):
+    """As ``split_everything``, with few splitters broadcast and the others joined by shuffle."""
+    _small_ranges(monkeypatch, 3)

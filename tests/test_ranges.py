@@ -25,11 +25,11 @@ def expected(data):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, "split_everything", "split_shuffled"])
 @pytest.mark.parametrize("keyed", [True, False])
 def test_prefix_sums(spark, request, hot, keyed):
     if hot:
-        request.getfixturevalue("split_everything")
+        request.getfixturevalue(hot)
     data = rows(1)
     df = spark.createDataFrame(data, "k string, v int, i int, w int").repartition(5)
     by = ["k"] if keyed else []
@@ -38,7 +38,9 @@ def test_prefix_sums(spark, request, hot, keyed):
     assert {r["i"]: (r["place"], r["below"]) for r in got} == want
 
 
-def test_hot_groups_are_cut(spark, split_everything):
+@pytest.mark.parametrize("hot", ["split_everything", "split_shuffled"])
+def test_hot_groups_are_cut(spark, request, hot):
+    request.getfixturevalue(hot)
     df = spark.createDataFrame(rows(2), "k string, v int, i int, w int")
     bounds = ranges._hot_bounds(df, ["k"], ["v", "i"])
     cut = ranges._with_buckets(df, ["k"], ["v", "i"], bounds)
@@ -53,10 +55,10 @@ def test_cold_data_uses_the_plain_window(spark):
     assert "_bucket" not in plan
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, "split_everything", "split_shuffled"])
 def test_exact_percentiles(spark, request, hot):
     if hot:
-        request.getfixturevalue("split_everything")
+        request.getfixturevalue(hot)
     rng = random.Random(4)
     data = [(rng.choice(["x", "x", "x", "y"]), rng.choice([rng.random(), 0.5, None])) for _ in range(300)]
     df = spark.createDataFrame(data, "k string, v double")
@@ -76,3 +78,32 @@ def test_result_does_not_depend_on_partitioning(spark, split_everything):
     a = {(r["i"], r["p"]) for r in ranges.ordered_index(df.repartition(1), ["k"], ["v", "i"], "p").collect()}
     b = {(r["i"], r["p"]) for r in ranges.ordered_index(df.repartition(7), ["k"], ["v", "i"], "p").collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("hot", ["split_everything", "split_shuffled"])
+def test_ranges_have_a_fixed_size(spark, request, hot):
+    """Four times the rows give four times the ranges, not larger ones, and rows of a cut group lie in order."""
+    request.getfixturevalue(hot)
+    largest, number = [], []
+    for n in (1000, 4000):
+        df = spark.range(n).select((F.col("id") % 1000 == 0).cast("int").alias("k"), F.col("id").alias("_c"), F.lit(3).alias("_b"))
+        cut = ranges._with_buckets(df, ["k"], ["_c"], ranges._hot_bounds(df, ["k"], ["_c"])).where("k = 0")
+        assert cut.where("not _hot or _b <> 3").count() == 0
+        sizes = cut.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("_c").alias("lo"), F.max("_c").alias("hi")).orderBy("_bucket").collect()
+        assert all(x["hi"] < y["lo"] for x, y in zip(sizes, sizes[1:]))
+        largest.append(max(r["n"] for r in sizes))
+        number.append(len(sizes))
+    assert largest[1] < 2 * largest[0] and number[1] > 3 * number[0]
+
+
+@pytest.mark.parametrize("hot", ["split_everything", "split_shuffled"])
+def test_a_large_null_group_and_many_large_groups(spark, request, hot):
+    request.getfixturevalue(hot)
+    data = [(None if i % 2 else i % 7, None if i % 50 == 0 else i, 1) for i in range(700)]
+    df = spark.createDataFrame(data, "k int, v int, w int")
+    got = sorted(((r["k"] is not None, r["k"]), (r["v"] is not None, r["v"]), r["p"]) for r in ranges.prefix_sums(df.where("v is not null"), ["k"], ["v"], {"p": "w"}).collect())
+    want, seen = [], {}
+    for k, v, _ in sorted((x for x in data if x[1] is not None), key=lambda x: x[1]):
+        want.append(((k is not None, k), (v is not None, v), seen.get(k, 0)))
+        seen[k] = seen.get(k, 0) + 1
+    assert got == sorted(want)

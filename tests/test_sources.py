@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankeval.operators import quality
-from rankeval.sources import readers, writers
+from rankeval.sources import readers, store, writers
 
 
 def test_parquet_paths_and_missing_columns(spark, tmp_path):
@@ -18,6 +18,20 @@ def test_parquet_paths_and_missing_columns(spark, tmp_path):
         readers.read_parquet(spark, str(tmp_path / "none")).count()
 
 
+def test_files_that_store_different_types(spark, tmp_path):
+    write = lambda name, value: spark.range(2).select("id", F.expr(value).alias("v"), F.lit("p").alias("w")).write.parquet(str(tmp_path / "t" / name))
+    for i, value in enumerate(["cast(id as int)", "id", "cast(id as string)", "named_struct('a', id, 'b', null)", "array(id, id)", "cast(id as double)"]):
+        write(f"x{i}", value)
+    spark.range(2).write.parquet(str(tmp_path / "t" / "x6"))
+    df = readers.read_parquet(spark, str(tmp_path / "t"), {"id": "bigint", "v": "string", "none": "int"})
+    got = sorted((r["v"] or "", r["id"]) for r in df.collect())
+    assert got == sorted([("0", 0), ("1", 1)] * 3 + [('{"a":0}', 0), ('{"a":1}', 1), ("[0,0]", 0), ("[1,1]", 1), ("0.0", 0), ("1.0", 1), ("", 0), ("", 1)])
+    numbers = readers.read_parquet(spark, [str(tmp_path / "t" / f"x{i}") for i in (0, 1, 2)], {"v": "bigint"})
+    assert sorted(r["v"] for r in numbers.collect()) == [0, 0, 0, 1, 1, 1]
+    plan = readers.read_parquet(spark, str(tmp_path / "t" / "x1"), {"v": "bigint", "w": "string"}).where("v = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(v,1)" in plan and "id#" not in plan.split("ReadSchema")[1]
+
+
 def test_days_are_added_once(spark, tmp_path):
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     path = str(tmp_path / "days")
@@ -29,9 +43,38 @@ def test_days_are_added_once(spark, tmp_path):
     assert sorted(r["i"] for r in back.collect()) == [0, 1, 2]
     assert sorted(r["i"] for r in readers.scan_day(spark, path, "20240103").collect()) == [100, 101, 102]
     assert "PartitionFilters: [isnotnull(bizdate" in back._jdf.queryExecution().executedPlan().toString()
+    log = {r["day"]: r["rows"] for r in writers.ingested(spark, path).collect()}
+    assert log == {"20240101": 3, "20240102": 3, "20240103": 3}
     spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
 
 
+def test_a_run_lost_before_its_log_is_repeated_whole(spark, tmp_path, monkeypatch):
+    path = tmp_path / "days"
+    src = spark.createDataFrame([(d, i) for d in ("20240101", "20240102") for i in range(3)], "bizdate string, i int")
+    days = readers.date_range(spark, "20240101", "20240103")
+    with monkeypatch.context() as m:
+        m.setattr(writers, "exists", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            writers.ingest_days(src, str(path), days.where("bizdate = '20240101'"))
+    (path / "_ingested" / "run=begun").mkdir(parents=True)  # a log that was never closed
+    (path / "_ingested" / "run=other").mkdir()
+    (path / "_ingested" / "run=other" / "_SUCCESS").touch()
+    assert sorted((r["day"], r["rows"]) for r in writers.ingest_days(src, str(path), days).collect()) == [("20240101", 3), ("20240102", 3)]
+    assert writers.ingest_days(src.withColumn("i", F.col("i") + 9), str(path), days).count() == 0
+    assert sorted(r["i"] for r in spark.read.parquet(str(path)).collect()) == [0, 0, 1, 1, 2, 2]
+
+
+def test_a_target_without_log_is_known_by_its_folders(spark, tmp_path):
+    path = str(tmp_path / "days")
+    src = spark.createDataFrame([("20240101", 1), ("20240102", 2)], "bizdate string, i int")
+    writers.write_days(src.where("i = 1"), path)
+    assert [r["day"] for r in writers.ingested(spark, path).collect()] == ["20240101"]
+    added = writers.ingest_days(src.withColumn("i", F.col("i") + 5), path, readers.date_range(spark, "20240101", "20240102"))
+    assert [r["day"] for r in added.collect()] == ["20240102"]
+    # the first day's folder is older than the log: it is looked for once more, and stays
+    assert sorted(r["i"] for r in spark.read.parquet(path).collect()) == [1, 7]
+
+
 def test_jsonl(spark, tmp_path):
     good = tmp_path / "good.jsonl"
     good.write_text('{"feed_id":"a","label":1}\n\n{"label":0,"user_id":"ü"}\n', encoding="utf-8")
@@ -79,11 +122,61 @@ def test_upsert(spark, tmp_path):
     assert rows.where("id is null or id = ''").count() == 0
     with pytest.raises(ValueError):
         writers.prepare_upsert(df, "missing")
-    store, new = str(tmp_path / "store"), str(tmp_path / "new")
-    writers.upsert(rows, "parquet", path=store)
+    root = str(tmp_path / "store")
+    store.upsert(rows, root, ["id", "pk"])
     update = writers.prepare_upsert(spark.createDataFrame([("c2", "q", 40)], df.schema), "pk")
-    writers.upsert_parquet(spark, update, store, new, "pk")
-    assert sorted(r["v"] for r in spark.read.parquet(new).collect()) == [2, 3, 40]
+    store.upsert(update, root, ["id", "pk"])
+    assert sorted(r["v"] for r in store.read(spark, root).collect()) == [2, 3, 40]
+
+
+def file_bytes(root):
+    return {p.relative_to(root): p.read_bytes() for p in root.rglob("*.parquet")}
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    root = tmp_path / "store"
+    keyed = lambda rows: spark.createDataFrame(rows, "id string, v int")
+    assert store.upsert(keyed([(f"k{i}", i) for i in range(300)] + [(None, -1)]), str(root), buckets=16, rows_per_file=10) == 1
+    before, first = file_bytes(root / "data"), store.manifest(spark, str(root))
+    assert set(first) == set(range(16)) and len(before) > 16
+    assert store.upsert(keyed([("k7", 70), ("new", 5), (None, -2)]), str(root)) == 2
+    after, second = file_bytes(root / "data"), store.manifest(spark, str(root))
+    assert all(after[name] == data for name, data in before.items())
+    assert 1 <= sum(first[b] != second[b] for b in first) <= 3
+    rows = {r["id"]: r["v"] for r in store.read(spark, str(root)).collect()}
+    assert rows == {f"k{i}": i for i in range(300)} | {"k7": 70, "new": 5, None: -2}
+    assert store.read(spark, str(root), version=1).where("id = 'k7'").first()["v"] == 7
+    assert store.upsert(keyed([]), str(root)) == 3 and store.manifest(spark, str(root)) == second
+    assert store.upsert(keyed([("k7", 71)]).withColumn("more", F.lit("x")), str(root)) == 4
+    assert store.read(spark, str(root)).where("more is null").count() == 301
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "id string, v int")
+    store.upsert(df, root, buckets=4)
+    with pytest.raises(Exception, match="broken"):
+        store.upsert(df.withColumn("v", F.when(F.col("v") == 30, F.raise_error(F.lit("broken")).cast("int")).otherwise(F.col("v") + 1000)), root)
+    assert store.versions(spark, root) == [1] and store.read(spark, root).agg(F.max("v")).first()[0] == 49
+    # data written, manifest not: as if the driver had been lost in between
+    with monkeypatch.context() as m:
+        m.setattr(store.SparkSession, "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            store.upsert(df.withColumn("v", F.col("v") + 1000), root)
+    assert store.read(spark, root).agg(F.max("v")).first()[0] == 49
+    (tmp_path / "store" / "manifest" / "version=2").mkdir()  # begun, not closed
+    assert store.versions(spark, root) == [1] and store.upsert(df.withColumn("v", F.col("v") + 1), root) == 3
+    assert store.read(spark, root).agg(F.max("v")).first()[0] == 50
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, str(tmp_path / "none"))
+
+
+def test_rows_alike_keep_rows_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(writers, "ALIKE", 7)
+    df = spark.createDataFrame([("p", {"a": 1})] * 30 + [("q", None)] * 2, "pk string, m map<string,int>")
+    rows = writers.prepare_upsert(df, "pk").collect()
+    assert len({r["id"] for r in rows}) == 32 and sum(r["pk"] == "p" for r in rows) == 30 and {r["m"]["a"] for r in rows if r["m"]} == {1}
+    assert {r["id"] for r in writers.prepare_upsert(df.repartition(5), "pk").collect()} == {r["id"] for r in rows}
 
 
 def test_profiles(spark, tmp_path):
