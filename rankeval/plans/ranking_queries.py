@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankeval.operators import audit, debias, metrics, ranges, reports, sampling
+from rankeval.operators import audit, debias, metrics, permutation, ranges, reports, sampling
 from rankeval.plans.registry import query, rounded
 from rankeval.sources.staging import stage
 from rankeval.plans.views import (
@@ -244,6 +244,38 @@ def _(spark, sf):
     return rounded(out, ["raw_auc", "ipw_auc", "ipw_auc_delta", "spearman_r", "r2", "ndcg_model", "ndcg_display", "ndcg_delta"])
 
 
+# a third of the priorities has no slice at all; the SQL side gives it a name until the end
+NULL_SLICE_SQL = "CASE WHEN contains(flight_ids,'URGENT') THEN 'tagged' WHEN contains(flight_ids,'LOW') THEN 'none' ELSE 'rest' END"
+
+
+def with_null_slice(df):
+    none = F.when(F.col("flight_ids").contains("LOW"), F.lit(None))
+    return df.withColumn("slice", F.when(F.col("flight_ids").contains(TAG), "tagged").otherwise(none.otherwise("rest")))
+
+
+@query("ndcg_with_null_slice", f"""{IMP} SELECT nullif(slice,'none') AS slice, count(*) AS feeds, round(avg(ndcg),6) AS ndcg FROM
+  {ndcg_sql(f'(SELECT *, {NULL_SLICE_SQL} AS slice FROM imp)', ['slice'], 'feed_id', 'quality')} GROUP BY slice""")
+def _(spark, sf):
+    df = with_null_slice(impressions(spark, sf))
+    return rounded(metrics.ndcg(df, "feed_id", "label", "quality", 10, ["slice"]), ["ndcg"])
+
+
+@query("debias_report_with_null_slice", f"""{PROP_SQL}, t AS (SELECT *, {NULL_SLICE_SQL} AS slice FROM w WHERE split='test'), l0 AS {LONG_SQL.format(s='t')},
+  l AS (SELECT * EXCLUDE model, slice||'|'||model AS model FROM l0), sp AS ({SPEAR_SQL.format(src='l')}),
+  ra AS (SELECT * FROM {auc_sql('l', ['model'], 'score')}), wa AS (SELECT * FROM {auc_sql('l', ['model'], 'score', weight='1.0/propensity')}),
+  nm AS (SELECT model, avg(ndcg) AS m FROM {ndcg_sql('l', ['model'], 'feed_id', 'score')} GROUP BY model),
+  nd AS (SELECT model, avg(ndcg) AS d FROM {ndcg_sql('l', ['model'], 'feed_id', '-position_rank')} GROUP BY model),
+  r2 AS (SELECT model, round(pow(corr(position_rank::DOUBLE, score),2),6) AS r2 FROM l GROUP BY model)
+  SELECT nullif(split_part(model,'|',1),'none') AS slice, split_part(model,'|',2) AS model, ra.n, round(ra.auc,6) AS raw_auc, round(wa.auc,6) AS ipw_auc, round(wa.auc-ra.auc,6) AS ipw_auc_delta, spearman_r, r2,
+    round(m,6) AS ndcg_model, round(d,6) AS ndcg_display, round(m-d,6) AS ndcg_delta
+  FROM ra JOIN wa USING (model) JOIN sp USING (model) JOIN nm USING (model) JOIN nd USING (model) JOIN r2 USING (model)""")
+def _(spark, sf):
+    """M6, M7, M9, M10, M11 in groups, one of them null."""
+    df = with_null_slice(weighted_rows(spark, sf).where("split = 'test'"))
+    out = debias.debias_report(df, ["quality", "click_likelihood"], by=["slice"]).drop("p_value")
+    return rounded(out, ["raw_auc", "ipw_auc", "ipw_auc_delta", "spearman_r", "r2", "ndcg_model", "ndcg_display", "ndcg_delta"])
+
+
 CELLS_SQL = f"""{IMP}, base AS (SELECT *, {SLICE} AS slice FROM imp WHERE position_rank<6),
   c AS (SELECT slice, card_type, position_rank, count(*) AS n_ab FROM base GROUP BY ALL),
   m AS (SELECT *, sum(n_ab) OVER (PARTITION BY slice, card_type) AS n_a, sum(n_ab) OVER (PARTITION BY slice, position_rank) AS n_b,
@@ -269,6 +301,26 @@ def _(spark, sf):
     return audit.permutation_mi(df, "card_type", "position_rank", 80, 0, ["slice"])
 
 
+@query("permutation_observed", f"""{CELLS_SQL} SELECT slice, round(sum(n_ab/n*ln((n_ab::DOUBLE*n)/(n_a::DOUBLE*n_b))),6) AS mi_obs, true AS law_holds FROM m GROUP BY slice""")
+def _(spark, sf):
+    """What the permutations leave as it is, and bounds that their statistics keep."""
+    df = tagged(ranked_impressions(spark, sf)).where("position_rank < 6")
+    out = audit.permutation_mi(df, "card_type", "position_rank", 40, 7, ["slice"])
+    holds = F.expr("mi_null_mean > 0 and mi_null_std > 0 and mi_perm_p between 1 / 41 and 1 and abs(mi_z * mi_null_std - (mi_obs - mi_null_mean)) < 1e-9")
+    return rounded(out.select("slice", "mi_obs", holds.alias("law_holds")), ["mi_obs"])
+
+
+@query("permutation_margins", f"""{IMP}, base AS (SELECT {NULL_SLICE_SQL} AS slice, card_type, position_rank FROM imp WHERE position_rank<6)
+  SELECT nullif(slice,'none') AS slice, replicate, 'card_type' AS margin, card_type AS value, count(*)::BIGINT AS n FROM base, range(3) t(replicate) GROUP BY ALL
+  UNION ALL SELECT nullif(slice,'none'), replicate, 'position', position_rank::VARCHAR, count(*)::BIGINT FROM base, range(3) t(replicate) GROUP BY ALL""")
+def _(spark, sf):
+    """The re-dealt tables have the margins of the rows, group by group."""
+    df = with_null_slice(ranked_impressions(spark, sf)).where("position_rank < 6")
+    dealt = stage(permutation.deal_tables(df, "card_type", "position_rank", 3, 0, ["slice"]))
+    side = lambda name, c: dealt.groupBy("slice", "replicate", F.lit(name).alias("margin"), F.col(c).cast("string").alias("value")).agg(F.sum("n").alias("n"))
+    return side("card_type", "card_type").unionByName(side("position", "position_rank"))
+
+
 EDGES_SQL = """e AS (SELECT feature, list_distinct(list_sort(quantile_cont(value, [0.125,0.25,0.375,0.5,0.625,0.75,0.875]))) AS inner_edges,
    min(value) AS lo, max(value) AS hi FROM f GROUP BY feature),
   binned AS (SELECT f.*, len(list_filter(inner_edges, lambda x: x < value AND x > lo AND x < hi)) AS bin FROM f JOIN e USING (feature))"""
