@@ -9,11 +9,6 @@ from rankeval.llm.queries import END_ID, table, tokenizer
 from rankeval.sources.staging import scratch_path
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Texts are long: a thousand to an Arrow batch, not ten thousand, keep the workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     """With ``n_chars`` of the text as it now is."""
     return docs.withColumn("n_chars", F.length("text").cast("long"))
@@ -21,20 +16,17 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    _small_batches(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"), least_score=0.7)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8 or more."""
-    _small_batches(spark)
     return jaccard.one_of_each(docs, k=5, num=4, den=5)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind."""
-    _small_batches(spark)
-    return _counted(docs.withColumn("text", pii.mask(docs["text"])))
+    return _counted(pii.mask(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +36,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens.  Workers go on to other stages, so they keep fewer words."""
-    _small_batches(spark)
     return packing.pack(docs, tokenizer(), END_ID, capacity=4096, cached_words=300_000)
 
 
