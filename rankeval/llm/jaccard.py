@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from rankeval.llm.arrow_rows import fresh, mapped, slices
 from rankeval.llm.components import labels
 from rankeval.llm.encoding import runs
 from rankeval.llm.shingles import Shingles, mix, shingles
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import stage, written
 
 FREQUENT = 8  # a shingle in so many documents is taken last
 LOW = np.uint64(1 << 62)  # shingles are counted below this hash, a quarter: longer than a prefix at similarity 0.8
@@ -193,7 +194,7 @@ def neighbours(keyed: DataFrame, num: int, den: int) -> DataFrame:
             held, first = (int(tile[-1]), int(node[-1]), int(n[-1])), (int(hub[-1]), int(hub_n[-1]))
 
     rows = keyed.select("tile", "node", "n", "rare").repartition("tile").sortWithinPartitions("tile", "rare", "n", "node")
-    return stage(rows.mapInArrow(task, NEIGHBOURS))
+    return written(rows.mapInArrow(task, NEIGHBOURS), "neighbours")
 
 
 def could_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -268,7 +269,8 @@ def _compare(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 def remaining(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``a``, ``b``, ``leader`` of all pairs of nodes that share a key, lie in different components and pass size and bitmaps."""
-    rows = members.select(F.shiftright("tile", SALT_BITS).alias("key"), "node", "n").distinct()
+    # a node has each key under one salt
+    rows = members.select(F.shiftright("tile", SALT_BITS).alias("key"), "node", "n")
     rows = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rows = stage(rows.join(mixed, "key"))
@@ -406,20 +408,24 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     of rows alike in id and shingles one; documents without words all stay."""
     _, grouped = _grouped(docs, k, num, den, id_col, text_col)
     first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "n", "h1", "h2")).alias("f"))
-    kept = stage(first.select(F.col("f.first_id").alias("k_id"), F.struct("f.n", "f.h1", "f.h2").alias("k_set")))
-
-    @F.pandas_udf("n long, h1 long, h2 long")
-    def own(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        values = texts.tolist()
-        for a, b in runs(values):
-            s = shingles(values[a:b], k)
-            found.append((s.sizes, *set_hashes(s)))
-        return pd.DataFrame(dict(zip(("n", "h1", "h2"), (np.concatenate(c) for c in zip(*found))))) if found else pd.DataFrame({"n": [], "h1": [], "h2": []}, dtype=np.int64)
-
-    marked = docs.withColumn("__set", own(docs[text_col]))
-    wordless = marked.where(F.col("__set.n") == 0).select([F.col(f"`{c}`") for c in docs.columns])
+    own = [fresh(c, docs.columns) for c in ("set_n", "set_h1", "set_h2")]
+    kept_id, kept = fresh("kept_id", docs.columns), [fresh(f"kept_{c}", docs.columns) for c in ("n", "h1", "h2")]
+    kept_rows = stage(first.select(F.col("f.first_id").alias(kept_id), *[F.col(f"f.{c}").alias(x) for c, x in zip(("n", "h1", "h2"), kept)]))
+    at = docs.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                s = shingles(part.column(at).to_pylist(), k)
+                numbers = [pa.array(x, I64) for x in (s.sizes, *set_hashes(s))]
+                columns = [*part.columns, *numbers]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+    marked = mapped(docs, task, {c: T.LongType() for c in own})
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    wordless = marked.where(F.col(own[0]) == 0).select(plain)
     # by id as well, so that a large group of copies is spread
-    stays = marked.join(kept, (F.col("__set") == F.col("k_set")) & F.col(id_col).cast("long").eqNullSafe(F.col("k_id")), "left_semi")
-    stays = stays.dropDuplicates([id_col, "__set"]).select([F.col(f"`{c}`") for c in docs.columns])
-    return stays.unionByName(wordless)
+    same: Column = reduce(lambda x, y: x & y, [F.col(x) == F.col(y) for x, y in zip(own, kept)])
+    stays = marked.join(kept_rows, same & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    return stays.dropDuplicates([id_col, *own]).select(plain).unionByName(wordless)

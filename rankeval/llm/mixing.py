@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from rankeval.llm.arrow_rows import fresh
 from rankeval.sources.staging import small, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,16 +144,19 @@ def mixed(
     """The documents of the mix with the columns of ``docs``: a row for each use of a document, its text cut to the words taken
     (then joined by single blanks), in the order of its first slot.  Rows alike in id and text are interchangeable."""
     pieces, documents = mix(docs, weights, share, repeat, block, id_col, text_col, source_col)
-    uses = pieces.groupBy("row", "pass_no").agg(F.sum("length").alias("n"), F.min("slot").alias("__slot"))
-    uses = stage(uses.join(documents, "row").select(F.col("doc_id").alias("u_id"), F.col("fingerprint").alias("u_text"), "size", "n", "pass_no", "__slot"))
-    marked = docs.alias("d").withColumn("__text", F.xxhash64(text_col))
+    name = {c: fresh(f"use_{c}", docs.columns) for c in ("id", "text", "size", "n", "pass_no", "slot", "hash", "mark", "cut")}
+    uses = pieces.groupBy("row", "pass_no").agg(F.sum("length").alias("n"), F.min("slot").alias("slot"))
+    uses = uses.join(documents, "row").select(F.col("doc_id").alias(name["id"]), F.col("fingerprint").alias(name["text"]), *[F.col(c).alias(name[c]) for c in ("size", "n", "pass_no", "slot")])
+    uses = stage(uses)
+    text_in, id_in = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    marked = docs.withColumn(name["mark"], F.xxhash64(text_in))
     alike = documents.groupBy("doc_id", "fingerprint").count().where("count > 1")
     if not alike.isEmpty():  # each use of alike rows then takes the one that is left
-        marked = marked.dropDuplicates([id_col, "__text"])
-    found = marked.join(uses, F.col(id_col).eqNullSafe(F.col("u_id")) & (F.col("__text") == F.col("u_text")))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
-    text = F.when(F.col("n") < F.col("size"), cut).otherwise(F.col(text_col))
+        marked = marked.dropDuplicates([id_col, name["mark"]])
+    found = marked.join(uses, id_in.eqNullSafe(F.col(name["id"])) & (F.col(name["mark"]) == F.col(name["text"])))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_in, F.lit(WORD), F.lit(0)), F.lit(1), F.col(name["n"]).cast("int")), " ")
+    text = F.when(F.col(name["n"]) < F.col(name["size"]), cut).otherwise(text_in)
     # inside a slot the documents follow as they lie in their source
-    order = ["__slot", "pass_no", "__h", "u_id", "size"]
-    found = found.withColumn("__h", order_hash("u_id")).repartitionByRange(*order).sortWithinPartitions(*order)
-    return found.withColumn("__cut", text).select(*[F.col("__cut").alias(c) if c == text_col else found[f"`{c}`"] for c in docs.columns])
+    order = [name[c] for c in ("slot", "pass_no", "hash", "id", "size")]
+    found = found.withColumn(name["hash"], order_hash(name["id"])).repartitionByRange(*order).sortWithinPartitions(*order)
+    return found.withColumn(name["cut"], text).select(*[F.col(name["cut"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

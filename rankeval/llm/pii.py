@@ -17,9 +17,10 @@ from functools import cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from rankeval.llm.arrow_rows import rewrite
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -90,7 +91,8 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|arroba|klammeraffe|arobase", "dot|punkt|pu
 
 DIGITS = {w: v for ws, vs in zip(NUMBER_WORDS, NUMBER_VALUES) for w, v in zip(ws.split(), vs.split())}
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
-_AT_BOX, _DOT_BOX = rf"\s*[(\[{{<]\s*(?:{AT_WORDS}|@)\s*[)\]}}>]\s*", rf"\s*[(\[{{<]\s*(?:{DOT_WORDS}|\.)\s*[)\]}}>]\s*"
+# white space before a bracket is taken from its beginning only, and never given back: a long run is read once
+_AT_BOX, _DOT_BOX = (rf"(?:(?<!\s)\s++)?[(\[{{<]\s*+(?:{w})\s*+[)\]}}>]\s*+" for w in (rf"{AT_WORDS}|@", rf"{DOT_WORDS}|\."))
 _DOT_BARE = rf"[ _-](?:{DOT_WORDS})[ _-](?!(?:{DOT_WORDS})(?![^\W_]))"  # not one of a row of them
 _DOT_ANY = rf"(?:{_DOT_BOX}|{_DOT_BARE})"
 _DOT_SPOKEN = rf"(?<=\w){_DOT_BARE}(?=\w)"
@@ -249,15 +251,14 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(task, ROWS)
 
 
-def mask(text: Column) -> Column:
-    """Texts with every span replaced by its kind in angle brackets; null stays null."""
+def mask_text(text: str | None) -> str | None:
+    """The text with every span replaced by its kind in angle brackets; null stays null."""
+    if not text:
+        return text
+    base = find(text)
+    return masked(text, sorted(base + disguised(text, base)))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            base = find(t) if t else []
-            out.append(masked(t, sorted(base + disguised(t, base))) if t else t)
-        return pd.Series(out, dtype=object)
 
-    return run(text)
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with their texts masked."""
+    return rewrite(docs, text_col, mask_text)

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankeval.llm.arrow_rows import keep, slices
+
 STATISTICS = (
     "log_bytes letters upper digits spaces points symbols bars bangs beyond_ascii byte_entropy log_words word_length word_spread "
     "distinct_words commonest_word same_as_before capital_words long_words marked_words distinct_pairs log_lines line_length "
@@ -147,15 +148,21 @@ def learn(
     return fit(x, found.column("y").to_numpy().astype(float))
 
 
-def score(model: Trees, text: Column) -> Column:
-    """Scores of whole texts; the model is a few hundred kilobytes and goes with the tasks."""
+def _scores(model: Trees, texts: list[str | None]) -> np.ndarray:
+    x = np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(STATISTICS))
+    return model.scores(x.astype(float))
+
+
+def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``score`` of whole texts; the model is a few hundred kilobytes and goes with the tasks."""
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(STATISTICS))
-        return pd.Series(model.scores(x.astype(float)))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, part.column(1).to_pylist()))], names=["doc_id", "score"])
 
-    return scores(text)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(task, "doc_id long, score double")
 
 
 def classify(
@@ -166,10 +173,11 @@ def classify(
     Null and empty texts are scored like any other, repeated rows alike; without labels every score is 1.
     """
     model = learn(docs, labels, max_rows, id_col, text_col)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(model, F.col(text_col)).alias("score"))
+    scored = score(docs, model, id_col, text_col)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least_score).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least_score: float = 0.7, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least_score``."""
-    return docs.where(score(learn(docs, labels, max_rows, id_col, text_col), docs[text_col]) >= least_score)
+    model = learn(docs, labels, max_rows, id_col, text_col)
+    return keep(docs, text_col, lambda texts: _scores(model, texts) >= least_score)

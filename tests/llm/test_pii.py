@@ -167,5 +167,20 @@ def test_rows_of_all_kinds(spark):
     got = pii.detect(docs).collect()
     assert sorted((r["doc_id"] or 0, r["spans"]) for r in got if r["spans"]) == [(0, "email:0:6"), (3, "email:0:6"), (3, "email:0:6")]
     assert len(got) == 5 and pii.detect(docs.limit(0)).count() == 0
-    texts = [r[0] for r in docs.select(pii.mask(docs["text"])).collect()]
+    texts = [r[0] for r in pii.mask(docs).select("text").collect()]
     assert sorted(texts, key=str) == ["", "<EMAIL>", "<EMAIL>", "<EMAIL>", None]
+
+
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\u00a0"])
+def test_long_runs_of_white_space_take_linear_time(white):
+    import time
+
+    text = "zero" + white * 200_000 + "ann (at) example (dot) com" + white * 200_000 + "(dot" + white * 200_000 + "x"
+    began = time.perf_counter()
+    assert pii.disguised(text, []) == [(200_004, 0, 200_030)]
+    assert time.perf_counter() - began < 20
+
+
+def test_white_space_around_boxes_belongs_to_them():
+    for text in ("ann(at)example(dot)com", "ann  (at)\texample  [ dot ]\n com", "ann \n{ @ } example < . > com"):
+        assert pii.disguised(text, []) == [(0, 0, len(text))]

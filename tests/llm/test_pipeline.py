@@ -101,3 +101,46 @@ def test_stages_in_a_row(spark):
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_empty_tables(spark, documents, stage):
     assert stage(spark, documents.limit(0), SF).count() == 0
+
+
+CLASHING = ["row", "n", "size", "pass_no", "slot", "use_id", "use_text", "use_n", "u_id", "set_n", "SET_H1", "kept_id", "kept_n", "k_set", "h1", "node", "score", "y", "t.x", "__text"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]], ids=[n for n, _ in corpus_pipeline.STAGES[:4]])
+def test_clashing_names_and_other_types_pass_through(spark, documents, stage):
+    """Extra columns keep their values, whatever they are called."""
+    extra = documents.limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+    extra = extra.withColumn("nested", F.struct(F.array("doc_id").alias("a"), F.lit(None).cast("date").alias("d")))
+    out = stage(spark, extra, SF)
+    assert out.columns == extra.columns
+    plain = stage(spark, documents.limit(60), SF)
+    assert rows_of(out.select(*documents.columns)) == rows_of(plain)
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASHING) and r["nested"]["a"] == [r["doc_id"]]
+
+
+def test_stages_in_a_row_against_plain_versions(spark):
+    """The whole pipeline against a plain version of each stage, one after the other."""
+    from rankeval.llm.queries import END_ID, table
+    from tests.llm.brute import token_ids
+
+    docs = {r["doc_id"]: r for r in table(spark, SF, "documents").collect()}
+    good = {r["doc_id"] for r in op9(spark, SF).collect() if r["predicted"] == 1}
+    rows = [(i, docs[i]["text"]) for i in sorted(good)]
+    first = {d for d, _, c in plain_components(rows) if d == c}
+    texts = {}
+    for i in first:
+        text = docs[i]["text"] or ""
+        base = pii.find(text)
+        texts[i] = pii.masked(text, sorted(base + pii.disguised(text, base)))
+    masked = spark.createDataFrame([(i, t, docs[i]["lang"], docs[i]["source"], len(t)) for i, t in texts.items()], SCHEMA)
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    tokens = {}
+    for r in mix(masked)[0].groupBy("doc_id", "pass_no").agg(F.sum("length").alias("n")).collect():  # the schedule, itself held against SQL
+        words = word.findall(texts[r["doc_id"]])
+        text = texts[r["doc_id"]] if r["n"] == len(words) else " ".join(words[: r["n"]])
+        tokens.setdefault(r["doc_id"], []).append(len(token_ids([text], END_ID)[0]))
+    got = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {i: sum(n) for i, n in tokens.items()}
