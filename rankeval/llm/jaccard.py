@@ -212,6 +212,17 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def _halved(nodes: DataFrame) -> DataFrame:
+    """``node`` and its bitmap at half the width: enough to send most pairs of a tile away, in half the bytes of every visit."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [np.frombuffer(b, "<u8")[None] for b in batch.column(1).to_pylist()]
+            yield _batch("node long, bits binary", [batch.column(0), [fold(b, max(1, b.shape[1] // 2)).tobytes() for b in wide]])
+
+    return nodes.select("node", "bits").mapInArrow(task, "node long, bits binary")
+
+
 def _screen(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``a``, ``b``, ``leader`` of the pairs that their bitmaps allow, with ``size`` shingles of both."""
     sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
@@ -284,7 +295,7 @@ def remaining(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, d
     visiting = visiting.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).join(tiles, ["key", "band"])
     visiting = visiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("visits", F.lit(1))
     cols = ["key", "band", "salt", "visits", "node", "n", "comp"]
-    placed = home.select(cols).unionByName(visiting.select(cols)).join(nodes.select("node", "bits"), "node")
+    placed = home.select(cols).unionByName(visiting.select(cols)).join(_halved(nodes), "node")
     return _compare(placed, num, den).groupBy("a", "b").agg(F.min("leader").alias("leader"))
 
 
