@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankeval.functions import context as ctx
 from rankeval.functions.text import let
+from rankeval.operators.selection import first_by
 from rankeval.functions.loose import (
     get, is_object, json_array, json_objects, kind, loose_int, loose_number, text_of, truthy,
 )
@@ -124,15 +125,16 @@ def shown_cards(c: Column, require_features: bool = False) -> Column:
 
 def _inline_feeds(
     feeds: DataFrame, lo: str, hi: str, tag: str, require_features: bool, require_interests: bool, max_history: int,
-    max_interests: int, max_groups: int, max_msgs: int, rows_of: Callable[[Column, Column], Column],
+    max_interests: int, max_groups: int, max_msgs: int, rows_of: Callable[[Column, Column], Column], carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Filter feeds and expand each into the structs of ``rows_of(cards, context)``; one narrow stage.
+    """Filter feeds and expand each into the structs of ``rows_of(cards, context)``; one narrow stage.  ``carry``: columns of
+    ``feeds`` that come along.
 
     Everything is one expression under the generator, so each part is computed at most once per feed, and the
     context only for feeds that still have cards.  As separate projections and filters the optimizer would
     push the filters down and compute cards and interests twice.
     """
-    raw = with_missing_columns(feeds, RAW_FEED)
+    raw = with_missing_columns(feeds, RAW_FEED | dict.fromkeys(carry, "string"))
     kept = raw.where(date_between(F.col("bizdate"), lo, hi))
     if tag:
         kept = kept.where(has_tag(F.col("flight_ids"), tag))
@@ -169,7 +171,7 @@ def _inline_feeds(
     expanded = let(shown_cards(_as_json(feeds, "candidate_cards"), require_features), with_context)
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return kept.select(
-        blank("feed_id"), blank("user_id"), day_of(F.col("bizdate")).alias("bizdate"), blank("flight_ids"), F.inline(expanded)
+        blank("feed_id"), blank("user_id"), day_of(F.col("bizdate")).alias("bizdate"), blank("flight_ids"), F.inline(expanded), *carry
     )
 
 
@@ -193,11 +195,11 @@ def flatten_impressions(
     """One row per shown card with the user context of its feed.
 
     No shuffle: the context is built once per feed and repeated for its cards.  ``require_interests`` drops
-    feeds without a positive interest.  ``max_feeds`` counts the feeds that survive every filter, in feed order.
+    feeds without a positive interest.  ``max_feeds`` counts the feeds that survive every filter, in the order of their ids.
     """
     args = (lo, hi, tag, require_features, require_interests, max_history, max_interests, max_groups, max_msgs)
     if max_feeds is not None and max_feeds > 0:
-        whole = _inline_feeds(feeds, *args, rows_of=_one_record).orderBy("feed_id").limit(max_feeds)
+        whole = _first_feeds(feeds, max_feeds, args)
         rows = whole.select("*", F.explode("candidates").alias("card")).drop("candidates")
     else:
         per_card = lambda cards, c: F.transform(
@@ -207,6 +209,12 @@ def flatten_impressions(
     return _as_samples(rows, slice_tag or tag)
 
 
+def _first_feeds(feeds: DataFrame, n: int, args: tuple) -> DataFrame:
+    """The records of the first ``n`` feeds by id.  Ids at most are ordered, and only feeds up to the cut are read whole."""
+    key = F.col("feed_id") if "feed_id" in feeds.columns else F.lit("")
+    return first_by(feeds, key, n, lambda rows: _inline_feeds(rows, *args, rows_of=_one_record, carry=("_key",)))
+
+
 def _one_record(cards: Column, c: Column) -> Column:
     return F.array(
         F.struct(c.getField("interests").alias("interests"), c.getField("shown_titles").alias("shown_titles"), cards.alias("candidates"))
@@ -220,10 +228,9 @@ def feed_records(
 ) -> DataFrame:
     """P10: one row per feed with its shown cards as an ordered array; no shuffle."""
     args = (lo, hi, tag, require_features, require_interests, max_history, max_interests, max_groups, max_msgs)
-    rows = _inline_feeds(feeds, *args, rows_of=_one_record)
     if max_feeds is not None and max_feeds > 0:
-        rows = rows.orderBy("feed_id").limit(max_feeds)
-    return rows
+        return _first_feeds(feeds, max_feeds, args)
+    return _inline_feeds(feeds, *args, rows_of=_one_record)
 
 
 def explode_records(records: DataFrame) -> DataFrame:

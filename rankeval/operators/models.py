@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankeval.operators.metrics import auc, log_loss, ndcg
 from rankeval.operators.reports import label_union
 from rankeval.operators.sampling import class_weights, holdout
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import scratch_path, stage
 
 
 def _fit(
@@ -124,11 +125,30 @@ def cross_eval(
     return compare(scored, label, feed)
 
 
+def tree_nodes(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """The nodes of a model's trees as rows, as Spark saves them: ``tree``, ``node``, ``feature`` (null for a leaf), ``gain``, ``rows``."""
+    path = scratch_path(spark, "trees")
+    model.stages[-1].write().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    names = F.array(*[F.lit(c) for c in model.stages[0].getInputCols()])
+    node = F.col("nodeData")
+    inner = node["leftChild"] >= 0
+    return saved.select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"), F.when(inner, F.get(names, node["split"]["featureIndex"])).alias("feature"),
+        F.when(inner, node["gain"]).alias("gain"), node["rawCount"].alias("rows"))
+
+
 def feature_importance(spark: SparkSession, models: Mapping[str, PipelineModel], top: int | None = None) -> DataFrame:
-    """Importance of each feature per model, largest first (``top`` of them if given)."""
+    """Importance, number of splits and their mean gain of each feature per model, most important first (``top`` of them if
+    given); features that no split uses have none."""
     rows = []
     for name, model in models.items():
         weights = model.stages[-1].featureImportances.toArray()
         pairs = sorted(zip(model.stages[0].getInputCols(), weights), key=lambda p: (-p[1], p[0]))
         rows += [(name, f, float(w), i) for i, (f, w) in enumerate(pairs[:top])]
-    return spark.createDataFrame(rows, "model string, feature string, importance double, rank int")
+    listed = spark.createDataFrame(rows, "model string, feature string, importance double, rank int")
+    used = [tree_nodes(spark, m).where("feature is not null").groupBy("feature").agg(F.count("*").alias("splits"), F.avg("gain").alias("mean_gain")).withColumn("model", F.lit(n)) for n, m in models.items()]
+    if not used:
+        return listed.withColumn("splits", F.lit(0).cast("long")).withColumn("mean_gain", F.lit(None).cast("double"))
+    counts = reduce(DataFrame.unionByName, used)
+    return listed.join(counts, ["model", "feature"], "left").withColumn("splits", F.coalesce("splits", F.lit(0).cast("long")))

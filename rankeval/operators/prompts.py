@@ -5,7 +5,9 @@ Section labels and cut-off lengths are fixed formats; the introduction is a para
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -413,56 +415,122 @@ def _search_by_sums(h: Column, conv: Column, counter: Counter, budget: int) -> C
     return let(counts, search)
 
 
+_LEDGER = "struct<step:int,renders:int>"
+
+
+class Ledger:
+    """Token counts of a prompt's lines, from which the size of every shortened version is told before it is put together.
+
+    A line is counted once, with the line break that ends it.  What a tokenizer joins across line breaks makes a sum of counts a
+    guess, which is corrected by the versions counted as a whole so far; the version it points to, and its neighbour, are
+    counted as a whole.
+    """
+
+    def __init__(self, count_tokens: Callable[[str], int], budget: int):
+        self.count, self.budget, self.lines = count_tokens, budget, {}
+
+    def of(self, line: str) -> int:
+        if line not in self.lines:
+            if len(self.lines) >= 100_000:  # heads and titles repeat, whole prompts do not
+                self.lines.clear()
+            self.lines[line] = self.count(line + "\n")
+        return self.lines[line]
+
+    def first_fitting(self, parts) -> tuple[int | None, int]:
+        """The first step of ``parts`` whose text fits, None if none does, and how many texts were put together for it.
+
+        A later step never counts more, so a step that fits behind one that does not is the first.
+        """
+        head, tail = list(parts["head"]), list(parts["tail"])
+        groups, shown, heads = [list(g) for g in parts["groups"]], list(parts["shown"]), list(parts["shown_heads"])
+        steps = [(s["h"], s["c"]) for s in parts["steps"]]
+
+        def lines(step: int) -> list[str]:
+            h, c = steps[step]
+            talk = [CONVERSATIONS_HEAD, *(x for g in groups[:c] for x in g)] if c else [NO_CONVERSATIONS]
+            seen = [heads[h], *shown[:h]] if h else [NO_SHOWN_CARDS]
+            return [*head, *talk, "", *seen, *tail]
+
+        exact = {0: self.count("\n".join(lines(0)))}
+        if exact[0] <= self.budget:
+            return 0, 1
+        fixed = sum(map(self.of, [*head, "", *tail]))
+        upto = lambda sizes: [0, *accumulate(sizes)]
+        talk, seen = upto(sum(map(self.of, g)) for g in groups), upto(map(self.of, shown))
+        longer = upto(map(len, groups))
+
+        def total(step: int) -> int:
+            h, c = steps[step]
+            return fixed + (self.of(CONVERSATIONS_HEAD) + talk[c] if c else self.of(NO_CONVERSATIONS)) + (self.of(heads[h]) + seen[h] if h else self.of(NO_SHOWN_CARDS))
+
+        def breaks(step: int) -> int:
+            h, c = steps[step]
+            return len(head) + len(tail) + 3 + h + longer[c]
+
+        # the first fitting step lies behind ``below`` and not behind ``fit``; what a whole text counts beyond its lines is
+        # laid on its line breaks, and the next guess takes that into account
+        below, fit = 0, len(steps)
+        while fit - below > 1:
+            last = max(exact)
+            each = (exact[last] - total(last)) / breaks(last)
+            inside = range(below + 1, fit)
+            at = bisect_left(inside, True, key=lambda i: total(i) + each * breaks(i) <= self.budget)
+            if len(exact) > 4:  # the guesses are no good here
+                at = len(inside) // 2
+            at = inside[min(at, len(inside) - 1)]
+            exact[at] = self.count("\n".join(lines(at)))
+            below, fit = (below, at) if exact[at] <= self.budget else (at, fit)
+        return (fit if fit < len(steps) else None), len(exact)
+
+
 def budgeted_prompt_with(
     df: DataFrame, max_len: int, count_tokens: Callable[[str], int], history: str = "history",
-    interests: str = "interests", candidate: str = "candidate", intro: str = INTRO,
+    interests: str = "interests", candidate: str = "candidate", intro: str = INTRO, renders: str | None = None,
 ) -> DataFrame:
     """R5, R6, X5 with a real tokenizer: ``count_tokens`` is a Python callable.
 
-    Texts short enough for the fast path never leave the JVM; for the others the shortened versions are
-    rendered natively and the tokenizer only picks the first that fits.
+    Texts short enough for the fast path never leave the JVM.  Of the others the lines go to Python once; a :class:`Ledger` finds the
+    step, and the text of that step alone is rendered.  ``renders``: a column for the number of texts that were put together to
+    find it.
     """
     budget = body_budget(max_len)
     h, ctx, card = F.col(history), F.col(interests), F.col(candidate)
     conv = ctx.getField("conversations")
     n, m = F.coalesce(F.array_size(h), F.lit(0)), F.coalesce(F.array_size(conv), F.lit(0))
-    full = full_prompt(h, ctx, card, intro)
-    parts = df.withColumn("_full", full)
-
-    @F.pandas_udf("int")
-    def first_fitting(texts: pd.Series) -> pd.Series:
-        def pick(versions):
-            for i, t in enumerate(versions):
-                if count_tokens(t) <= budget:
-                    return i
-            return -1
-
-        return texts.map(pick)
-
-    long = parts.where(F.length("_full") > int(2.5 * budget))
-    head, tail = _head(ctx, intro), _tail(card)
-    long = long.withColumn("_steps", _shrink_steps(h, conv)).withColumn("_head", head).withColumn("_tail", tail)
-    versions = F.concat(
-        F.array("_full"),
-        F.transform(
-            "_steps",
-            lambda s: _full(F.col("_head"), _first_n(conv, s.getField("c")), _first_n(h, s.getField("h")), F.col("_tail")),
-        ),
+
+    @F.pandas_udf(_LEDGER)
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledger = Ledger(count_tokens, budget)
+        for pdf in parts:
+            found = [ledger.first_fitting(r) for r in pdf.to_dict("records")]
+            yield pd.DataFrame({"step": pd.array([f[0] for f in found], "Int32"), "renders": [f[1] for f in found]})
+
+    parts = df.withColumn("_head", _head(ctx, intro)).withColumn("_tail", _tail(card))
+    parts = parts.withColumn("_full", _full(F.col("_head"), conv, h, F.col("_tail")))
+    split = lambda c: F.flatten(F.transform(c, lambda t: F.split(t, "\n")))
+    many = F.length("_full") > int(2.5 * budget)
+    ledger = F.struct(
+        split(F.col("_head")).alias("head"), split(F.col("_tail")).alias("tail"),
+        F.coalesce(F.transform(conv, lambda g, i: split(_group_lines(g, i))), F.expr("cast(array() as array<array<string>>)")).alias("groups"),
+        F.coalesce(_shown_items(h), _none()).alias("shown"), F.transform(F.sequence(F.lit(0), n), _shown_head).alias("shown_heads"),
+        _all_steps(h, conv).alias("steps"),
     )
-    long = long.withColumn("_versions", versions).withColumn("_pick", first_fitting("_versions"))
-    last = F.size("_versions") - 1
-    at = F.when(F.col("_pick") < 0, last).otherwise(F.col("_pick"))
-    step = F.get("_steps", at - 1)
-    cut = long.select(
+    # Python sees the long texts only
+    long = parts.where(many).withColumn("_steps", _all_steps(h, conv)).withColumn("_found", search(ledger))
+    step = F.get("_steps", F.coalesce("_found.step", F.size("_steps") - 1))
+    again = _full(F.col("_head"), _first_n(conv, F.col("_step.c")), _first_n(h, F.col("_step.h")), F.col("_tail"))
+    none_fits = F.col("_found.step").isNull()
+    extra = [F.col("_found.renders").alias(renders)] if renders else []
+    cut = long.withColumn("_step", step).select(
         *df.columns,
-        F.get("_versions", at).alias("prompt"),
-        (F.col("_pick") != 0).alias("truncated"),
-        F.when(F.col("_pick") == 0, 0).when(F.col("_pick") < 0, n).otherwise(n - step.getField("h")).alias("dropped_history"),
-        F.when(F.col("_pick") == 0, 0).when(F.col("_pick") < 0, m).otherwise(m - step.getField("c")).alias("dropped_conversations"),
+        F.when(F.col("_found.step") == 0, F.col("_full")).otherwise(again).alias("prompt"),
+        (none_fits | (F.col("_found.step") != 0)).alias("truncated"),
+        F.when(none_fits, n).otherwise(n - F.col("_step.h")).alias("dropped_history"),
+        F.when(none_fits, m).otherwise(m - F.col("_step.c")).alias("dropped_conversations"), *extra,
     )
-    short = parts.where(F.length("_full") <= int(2.5 * budget)).select(
+    short = parts.where(~many).select(
         *df.columns, F.col("_full").alias("prompt"), F.lit(False).alias("truncated"),
-        F.lit(0).alias("dropped_history"), F.lit(0).alias("dropped_conversations"),
+        F.lit(0).alias("dropped_history"), F.lit(0).alias("dropped_conversations"), *([F.lit(0).alias(renders)] if renders else []),
     )
     return short.unionByName(cut)
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.operators.ranges import ordered_index
+from rankeval.operators.selection import first_by_content
 from rankeval.sources.staging import stage
 
 _SLOT_ROWS = 100_000  # rows that are ordered to find a cut
@@ -70,8 +71,8 @@ def _smallest_by_hash(df: DataFrame, keys: Sequence[str], seed: int, keep: int)
     hashed = df.withColumn("_h", hash_hex(seed, *keys))
     if before + alike == left:
         return hashed.where(F.col("_h") <= cut).drop("_h")
-    some = hashed.where(F.col("_h") == cut).orderBy(F.to_json(F.struct(*sorted(df.columns)))).limit(left - before)
-    return hashed.where(F.col("_h") < cut).unionByName(some).drop("_h")
+    some = first_by_content(hashed.where(F.col("_h") == cut).drop("_h"), left - before)
+    return hashed.where(F.col("_h") < cut).drop("_h").unionByName(some)
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -450,6 +451,22 @@ def _(spark, sf):
     return rounded(out.select("doc_id", "score", "failed", "attempts"), ["score"])
 
 
+def hanging_client(text):
+    """Stand-in for a remote scorer that sometimes never answers."""
+    n = int(hashlib.md5(text.encode()).hexdigest()[:6], 16)
+    if n % 97 == 0:
+        time.sleep(3600)
+    return {"score": n / 16777216.0}
+
+
+@query("remote_call_time_limit", """WITH n AS (SELECT doc_id, ('0x'||substr(md5(text),1,6))::BIGINT AS n FROM documents) SELECT doc_id, round(CASE WHEN n%97=0 THEN 0.5 ELSE n/16777216.0::DOUBLE END,6) AS score, n%97=0 AS failed FROM n""")
+def _(spark, sf):
+    """Calls that hang leave neutral rows; eight calls in flight in the whole job."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    out = scoring.call_scorer(d, hanging_client, concurrency=8, retries=1, timeout_s=0.5, slots=4)
+    return rounded(out.select("doc_id", "score", "failed"), ["score"])
+
+
 def shout(_model, lines):
     return [line.upper() for line in lines]
 
@@ -631,14 +648,69 @@ def _(spark, sf):
     return quality.output_summary(spark, path).select("output", "rows")
 
 
-@query("table_profile")
+DOCUMENT_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+FIRST_SQL = "SELECT * FROM documents WHERE doc_id=(SELECT min(doc_id) FROM documents)"
+
+
+def first_document(spark, sf):
+    """The first document by id, as the only row of a table."""
+    d = table(spark, sf, "documents").select(*DOCUMENT_TYPES)
+    return d.where(F.col("doc_id") == d.agg(F.min("doc_id")).scalar())
+
+
+@query("table_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, substr({c}::VARCHAR,1,200) AS preview FROM ({FIRST_SQL})" for c, t in DOCUMENT_TYPES.items()))
+def _(spark, sf):
+    return readers.profile_table(first_document(spark, sf))
+
+
+@query("raw_feed_profile", f"""{FEEDS}, one AS (SELECT * FROM feeds WHERE doc_id=(SELECT min(doc_id) FROM documents)) SELECT 'feed_id' AS "column", 'string' AS type, feed_id AS preview FROM one
+  UNION ALL SELECT 'user_id', 'string', user_id FROM one UNION ALL SELECT 'bizdate', 'string', bizdate FROM one
+  UNION ALL SELECT 'flight_ids', 'string', CASE WHEN doc_id%13<>0 THEN flight_ids END FROM one""")
+def _(spark, sf):
+    feeds = raw_feeds(spark, sf)
+    first = table(spark, sf, "documents").agg(F.min("doc_id")).scalar()
+    plain = feeds.where(F.col("feed_id") == F.concat(F.lit("f"), first.cast("string")))
+    return readers.profile_table(plain).where(F.col("column").isin("feed_id", "user_id", "bizdate", "flight_ids"))
+
+
+@query("metric_files", f"""{IMP}, r AS (SELECT item_id%3 AS run, item_id%2 AS ck, CASE WHEN contains(flight_ids,'URGENT') THEN 'tagged' ELSE 'rest' END AS split, label FROM imp)
+  SELECT 'r'||run AS run, CASE WHEN ck=0 THEN '?' ELSE 'ckpt_'||ck END AS checkpoint, split, count(*) AS n, sum(label)::BIGINT AS pos, round(avg(label),6) AS ctr FROM r GROUP BY run, ck, split""")
 def _(spark, sf):
-    return readers.profile_table(table(spark, sf, "documents"))
+    """One file of metric rows per run and checkpoint, and one that is no JSON."""
+    path = scratch_path(spark, "metrics")
+    rows = tagged(impressions(spark, sf)).select((F.col("item_id") % 3).alias("run"), (F.col("item_id") % 2).alias("ck"), F.col("slice").alias("split"), "label")
+    per = rows.groupBy("run", "ck", "split").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.round(F.avg("label"), 6).alias("ctr"))
+    whole = per.groupBy("run", "ck").agg(F.to_json(F.collect_list(F.struct("split", "n", "pos", "ctr"))).alias("text"))
+    name = F.concat(F.lit("eval_r"), F.col("run").cast("string"), F.when(F.col("ck") != 0, F.concat(F.lit("_ckpt_"), F.col("ck").cast("string"))).otherwise(""), F.lit(".json"))
+    files = whole.select(name.alias("name"), "text").unionByName(spark.createDataFrame([("eval_bad_1.json", "{nope")], "name string, text string"))
+    write_named(files, path)
+    return readers.collect_metric_files(spark, f"{path}/eval_*.json").select("run", "checkpoint", "split", "n", "pos", "ctr")
+
 
+def write_named(files, path):
+    """Each row's ``text`` as a file called ``name``: Spark names the files of a folder, so each gets a folder, whose file is renamed."""
+    spark = files.sparkSession
+    files.repartition("name").write.partitionBy("name").text(f"{path}/by-name")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    for status in fs.globStatus(at(f"{path}/by-name/name=*/part-*")):
+        source = status.getPath()
+        fs.rename(source, at(f"{path}/{source.getParent().getName().partition('=')[2]}"))
 
-@query("raw_feed_profile")
+
+@query("run_logs", """WITH d AS (SELECT doc_id%7 AS run, doc_id, n_chars FROM documents), f AS (SELECT run, max(doc_id) AS last FROM d GROUP BY run)
+  SELECT 'run'||run||'.log' AS file, CASE WHEN run<>3 THEN last||'.5' END AS samples_per_second, CASE WHEN run%2=0 THEN last||'.25' END AS steps_per_second, CASE WHEN run%3=0 THEN last::VARCHAR END AS peak_memory,
+    CASE WHEN run=5 THEN 'OOM' WHEN run IN (2,4) THEN 'FAIL('||run||')' ELSE 'OK' END AS status FROM f""")
 def _(spark, sf):
-    return readers.profile_table(raw_feeds(spark, sf))
+    """A log per run, each document a few of its lines; the last figures count, and running out of memory wins over an exit code."""
+    path = scratch_path(spark, "logs")
+    d = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("run"), "doc_id")
+    lines = F.expr("""concat_ws('\n', concat('step ', doc_id), if(run <> 3, concat("{'train_samples_per_second': ", doc_id, '.5}'), null), if(run % 2 = 0, concat('train_steps_per_second=', doc_id, '.25'), null),
+        if(run % 3 = 0, concat('max memory: ', doc_id, ' GiB'), null), if(run = 5, 'torch.OutOfMemoryError: x', null))""")
+    whole = d.groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", lines.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    write_named(whole.select(F.concat(F.lit("run"), F.col("run").cast("string"), F.lit(".log")).alias("name"), "text"), path)
+    codes = spark.createDataFrame([("run2.log", 2), ("run4.log", 4), ("run5.log", 1)], "file string, exit_code int")
+    return readers.extract_run_log(spark, f"{path}/run*.log", codes)
 
 
 # ---- models --------------------------------------------------------------------------------------------------
@@ -693,5 +765,7 @@ def _(spark, sf):
 
 @query("feature_importance")
 def _(spark, sf):
-    train, _ = train_test(spark, sf)
-    return models.feature_importance(spark, {"baseline": models.ctr_model(train, FEATURES, validation="is_holdout")}, 15)
+    """Gain and number of splits of the click model and of all models without position bias."""
+    train, test = train_test(spark, sf)
+    fitted, _ = models.debias_models(train, test, FEATURES, validation="is_holdout")
+    return models.feature_importance(spark, {"click": models.ctr_model(train, FEATURES, validation="is_holdout"), **fitted}, 15)

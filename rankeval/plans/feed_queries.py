@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from rankeval.functions import context as ctx, loose
 from rankeval.functions.text import word_count
-from rankeval.operators import flatten, prompts, quality, sampling
+from rankeval.operators import differences, flatten, prompts, quality, sampling
 from rankeval.plans.registry import query, rounded
 from rankeval.plans.views import FEED_TAG, FEEDS_SQL, raw_feeds, table
 from rankeval.sources import readers
@@ -133,11 +135,55 @@ def _(spark, sf):
     return matched.groupBy("side").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"same_{f}")).alias(f"same_{f}") for f in fields])
 
 
+# what the other side of a comparison has changed, as Spark makes it and as SQL counts it
+CHANGED_SQL = """d AS (SELECT f.*, coalesce(len(titles),0) AS n_titles, len(pos) AS n_pos, coalesce(len(raw_msgs),0) AS n_msgs FROM flat f LEFT JOIN history USING (doc_id) LEFT JOIN positive USING (doc_id)
+    LEFT JOIN (SELECT doc_id, raw_msgs FROM groups_ranked WHERE g=1) USING (doc_id) WHERE bizdate<>''),
+  c AS (SELECT 'only_left' AS side, NULL AS branch, NULL AS kind, NULL AS path FROM flat WHERE bizdate=''
+    UNION ALL SELECT 'both', 'label', 'value', 'label' FROM d WHERE itemid LIKE '%-2'
+    UNION ALL SELECT 'both', 'features', 'keys', 'features{novelty}' FROM d WHERE itemid LIKE '%-1' AND has_features
+    UNION ALL SELECT 'both', 'candidate.title', 'value', 'candidate.title' FROM d WHERE itemid LIKE '%-0' AND doc_id%4=0
+    UNION ALL SELECT 'both', 'history', 'value', 'history[1].title' FROM d WHERE doc_id%3=0 AND n_titles>=2
+    UNION ALL SELECT 'both', 'interests.positive', 'size', 'interests.positive['||n_pos||']' FROM d WHERE doc_id%4=1
+    UNION ALL SELECT 'both', 'interests.conversations', 'value', 'interests.conversations[0].messages['||(n_msgs-1)||']' FROM d WHERE doc_id%5=2 AND n_msgs>0)"""
+
+
+def changed(df):
+    doc = F.expr("cast(substr(feed_id, 2) as bigint)")
+    item = F.col("itemid")
+    first = F.col("interests.conversations")[0]
+    cut = first.withField("messages", F.slice(first.messages, F.lit(1), F.size(first.messages) - 1))
+    conversations = F.when((doc % 5 == 2) & (F.size("interests.conversations") > 0), F.transform("interests.conversations", lambda g, i: F.when(i == 0, cut).otherwise(g)))
+    positive = F.when(doc % 4 == 1, F.array_append("interests.positive", F.lit("more")))
+    interests = F.col("interests").withField("conversations", F.coalesce(conversations, F.col("interests.conversations")))
+    return df.where("bizdate <> ''").select(
+        "feed_id", "itemid", F.when(item.endswith("-2"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"),
+        F.when(item.endswith("-0") & (doc % 4 == 0), F.col("candidate").withField("title", F.concat("candidate.title", F.lit("!")))).otherwise(F.col("candidate")).alias("candidate"),
+        interests.withField("positive", F.coalesce(positive, F.col("interests.positive"))).alias("interests"),
+        F.when(doc % 3 == 0, F.transform("history", lambda h, i: F.when(i == 1, h.withField("title", F.concat(h.title, F.lit("?")))).otherwise(h))).otherwise(F.col("history")).alias("history"),
+        F.when(item.endswith("-1"), F.map_filter("features", lambda k, _: k != "novelty")).otherwise(F.col("features")).alias("features"),
+    )
+
+
+@query("sample_differences", f"""{FEEDS}, {FLAT_SQL}, {CHANGED_SQL} SELECT side, branch, kind, path, count(*) AS rows FROM c GROUP BY ALL""")
+def _(spark, sf):
+    """Q1: every kind of change is found in its branch, at its place, and nowhere else."""
+    left = flat(spark, sf).withColumn("itemid", F.col("candidate.itemid"))
+    found = differences.differences(left, changed(left), ["feed_id", "itemid"], ["label", "candidate", "interests", "history", "features"])
+    return found.groupBy("side", "branch", "kind", "path").agg(F.count("*").alias("rows"))
+
+
 @query("feed_cap", f"""{FEEDS}, {FLAT_SQL}, k AS (SELECT DISTINCT feed_id FROM flat ORDER BY feed_id LIMIT 25) SELECT feed_id, itemid, label FROM flat JOIN k USING (feed_id)""")
 def _(spark, sf):
     return flat(spark, sf, max_feeds=25).select("feed_id", "candidate.itemid", "label")
 
 
+@query("feed_cap_half", f"""{FEEDS}, {FLAT_SQL}, k AS (SELECT DISTINCT feed_id FROM flat ORDER BY feed_id LIMIT (SELECT count(DISTINCT feed_id)//2 FROM flat)) SELECT feed_id, itemid, label FROM flat JOIN k USING (feed_id)""")
+def _(spark, sf):
+    """P21 with a cap of half of all feeds."""
+    feeds = flatten.feed_records(raw_feeds(spark, sf), require_interests=True).count()
+    return flat(spark, sf, max_feeds=feeds // 2).select("feed_id", "candidate.itemid", "label")
+
+
 @query("feed_records", f"""{FEEDS} SELECT feed_id, bizdate, list(itemid ORDER BY place)::VARCHAR AS items, list(label ORDER BY place)::VARCHAR AS labels FROM cards GROUP BY feed_id, bizdate""")
 def _(spark, sf):
     r = flatten.feed_records(raw_feeds(spark, sf))
@@ -314,6 +360,18 @@ def _(spark, sf):
     return out.select("candidate.itemid", "truncated", "dropped_history", "dropped_conversations", "prompt")
 
 
+def count_words(text):
+    """A counter outside the JVM; a tokenizer would stand here."""
+    return len(re.findall(r"[^ \t\n\r\f\v]+", text))
+
+
+@query("budgeted_prompt_ledger", f"{BUDGET_SQL} SELECT * EXCLUDE prompt, md5(prompt) AS prompt, true AS few_renders FROM budgeted")
+def _(spark, sf):
+    """The same prompts where tokens are counted in Python, with at most four texts put together for one."""
+    out = prompts.budgeted_prompt_with(flat(spark, sf), 400, count_words, renders="renders")
+    return out.select("candidate.itemid", "truncated", "dropped_history", "dropped_conversations", F.md5("prompt").alias("prompt"), (F.col("renders") <= 4).alias("few_renders"))
+
+
 @query("prompt_fast_path", f"""{FEEDS}, {CONTEXT_SQL}, p AS (SELECT itemid, {FULL_SQL} AS prompt FROM ctx) SELECT itemid, prompt, false AS truncated FROM p
   WHERE length(prompt)<=700 OR len(regexp_extract_all(prompt, '\\S+'))<=280""")
 def _(spark, sf):
@@ -328,7 +386,26 @@ def _(spark, sf):
     return rounded(out, ["rate", "avg_dropped_history", "avg_dropped_conversations"])
 
 
-@query("greedy_prompt")
+WORDS_OF = "len(regexp_extract_all({0}, '\\S+'))"
+GREEDY_SQL = f"""{FEEDS}, {CONTEXT_SQL}, {TALK_SQL}, b AS (SELECT itemid,
+    concat_ws(chr(10), 'CANDIDATE:', CASE WHEN title<>'' THEN '  Title: '||title END, CASE WHEN summary<>'' THEN '  Summary: '||summary END) AS card,
+    [concat_ws(chr(10), {bullets_sql('pos', 'USER_INTERESTS (positive):')}, {bullets_sql('neg', 'USER_INTERESTS (negative):')}),
+     concat_ws(chr(10), {bullets_sql('clicks[1:20]', 'USER_INTERACTIONS (clicks):')}, {bullets_sql('ups[1:10]', 'USER_INTERACTIONS (thumbs up):')}, {bullets_sql('downs[1:10]', 'USER_INTERACTIONS (thumbs down):')}),
+     coalesce({bullets_sql('titles[1:30]', 'SHOWN_CARDS (recent):')},''), coalesce('RECENT_CONVERSATIONS:'||talk,'')] AS secs FROM ctx LEFT JOIN talk USING (doc_id)),
+  f AS (SELECT *, '{prompts.SHORT_INTRO}'||chr(10)||chr(10)||card||chr(10)||chr(10)||'{prompts.SHORT_QUESTION}' AS fixed FROM b),
+  l AS (SELECT *, 200-{WORDS_OF.format('fixed')} AS room FROM f),
+  s AS (SELECT itemid, room, unnest(range(1,5)) AS k, unnest(secs) AS sec FROM l),
+  c AS (SELECT *, sum({WORDS_OF.format('sec')}) OVER (PARTITION BY itemid ORDER BY k) AS upto, {WORDS_OF.format('sec')} AS own FROM s WHERE sec<>''),
+  bad AS (SELECT itemid, min(k) AS k FROM c WHERE upto>room GROUP BY itemid),
+  ln AS (SELECT c.itemid, room-(upto-own) AS room, i, line, {WORDS_OF.format('line')} AS w FROM (SELECT c.*, unnest(string_split(sec,chr(10))) AS line, unnest(range(len(string_split(sec,chr(10))))) AS i FROM c JOIN bad USING (itemid, k)) c),
+  lt AS (SELECT *, sum(w) OVER (PARTITION BY itemid ORDER BY i) AS upto FROM ln),
+  part AS (SELECT itemid, string_agg(line, chr(10) ORDER BY i) AS part FROM lt WHERE upto<=room GROUP BY itemid),
+  whole AS (SELECT c.itemid, string_agg(sec, chr(10)||chr(10) ORDER BY c.k) AS whole FROM c LEFT JOIN bad ON bad.itemid=c.itemid WHERE bad.k IS NULL OR c.k<bad.k GROUP BY c.itemid)
+  SELECT itemid, CASE WHEN room<=0 THEN fixed ELSE concat_ws(chr(10)||chr(10), '{prompts.SHORT_INTRO}', whole, part, card, '{prompts.SHORT_QUESTION}') END AS prompt, {WORDS_OF.format("CASE WHEN room<=0 THEN fixed ELSE concat_ws(chr(10)||chr(10), '" + prompts.SHORT_INTRO + "', whole, part, card, '" + prompts.SHORT_QUESTION + "') END")} AS tokens
+  FROM l LEFT JOIN whole USING (itemid) LEFT JOIN part USING (itemid)"""
+
+
+@query("greedy_prompt", GREEDY_SQL)
 def _(spark, sf):
     p = prompts.greedy_prompt(F.col("interests"), F.transform("history", lambda h: h.title), F.col("candidate"), 200)
     return flat(spark, sf).select("candidate.itemid", p.alias("prompt"), word_count(p).alias("tokens"))

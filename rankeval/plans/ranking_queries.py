@@ -430,6 +430,13 @@ def _(spark, sf):
     return rounded(reports.latency_summary(calls(spark, sf), ["concurrency"], service=["latency_ms"]), LEVEL_DOUBLES)
 
 
+@query("call_rate_per_second", f"""WITH {CALLS_SQL} SELECT concurrency, count(*) AS requests, round(count(*)/(10.0::DOUBLE*(1+concurrency)),6) AS qps FROM calls GROUP BY concurrency""")
+def _(spark, sf):
+    """Requests over the wall-clock seconds of their level."""
+    timed = calls(spark, sf).withColumn("wall_s", (F.col("concurrency") + 1) * 10.0)
+    return rounded(reports.latency_summary(timed, ["concurrency"], elapsed_s="wall_s").select("concurrency", "requests", "qps"), ["qps"])
+
+
 @query("sweep_cutoff", f"""WITH lv AS ({LEVELS_SQL}) SELECT concurrency, failure_rate, p95_ms FROM lv
   WHERE concurrency <= coalesce((SELECT min(concurrency) FROM lv WHERE failure_rate>0.2 OR p95_ms>(SELECT median(p95_ms) FROM lv)), 1000000)""")
 def _(spark, sf):
@@ -444,7 +451,7 @@ def _(spark, sf):
     return out.select(F.transform("percentiles", lambda x: F.round(x, 6)).alias("percentiles"))
 
 
-@query("report_json")
+@query("report_json", f"""{IMP} SELECT '{{"position_rank":'||position_rank||',"impressions":'||count(*)||',"clicks":'||sum(label)||',"ctr":'||round(sum(label)/count(*),6)||'}}' AS json FROM imp GROUP BY position_rank""")
 def _(spark, sf):
     return reports.report_json(debias.ctr_by_position(ranked_impressions(spark, sf)))
 
