@@ -35,17 +35,22 @@ def train_dictionary(
     docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
     samples: int = 1000, sample_chars: int = 8192, size: int = 65536,
 ) -> bytes:
-    """A zstandard dictionary trained on the serialized ids of at most ``samples`` documents with the smallest hash of
-    their id, at most ``sample_chars`` characters each.  Empty where the samples are too few to train on.
+    """A zstandard dictionary trained on the serialized ids of at most ``samples`` pieces of ``sample_chars`` characters, those
+    with the smallest hash of id and place among all pieces of all whole texts: together at most ``samples`` x ``sample_chars``
+    characters.  Empty where the samples are too few to train on.
 
     The sample only shapes the dictionary; every document is written in full whatever it holds.
     """
-    hashed = docs.withColumn("__h", F.xxhash64(id_col)).where(F.length(text_col) > 0)
-    last = hashed.select("__h").orderBy("__h").limit(samples).agg(F.max("__h")).first()[0]
+    text = F.col(text_col)
+    places = F.explode(F.sequence(F.lit(0), F.expr(f"(length(`{text_col}`) - 1) div {sample_chars}").cast("int"))).alias("p")
+    placed = docs.where(F.length(text) > 0).select(F.col(id_col).alias("i"), text.alias("t"), places)
+    hashed = placed.select(F.xxhash64("i", "p").alias("h"), "t", "p")
+    last = hashed.select("h").orderBy("h").limit(samples).agg(F.max("h")).first()[0]
     if last is None:
         return b""
-    # the hash is chosen first, so that no more texts than asked for are sent
-    rows = hashed.where(F.col("__h") <= last).select("__h", F.substring(text_col, 1, sample_chars).alias("t")).orderBy("__h", "t").limit(samples).collect()
+    # the hash is chosen first, so that no more pieces than asked for are sent
+    piece = F.substring("t", F.col("p") * sample_chars + 1, F.lit(sample_chars)).alias("t")
+    rows = hashed.where(F.col("h") <= last).select("h", piece).orderBy("h", "t").limit(samples).collect()
     ids = encoder(tokenizer).encode([r["t"] for r in rows], end_id)
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()

@@ -13,12 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from rankeval.llm.vectors import best, matrices, valid
+from rankeval.llm.vectors import EXACT, LEAST, matrices, products, valid
 from rankeval.sources.staging import stage
 
 BLOCK = "dim int, n int, rows binary, ids binary, data binary"
 LEVELS = (4, 16)
-EXACT = 1 << 53
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -32,12 +31,18 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Queries:
-    """A block of queries with the best candidates so far, of all blocks that it has met."""
+    """A block of queries with the best candidates so far, of all blocks that it has met.
+
+    Scores are compared as doubles while they lie below 2^53; of larger ones the doubles choose, with room for their rounding, and
+    exact integers decide.
+    """
 
     def __init__(self, k: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
         self.k, self.rows, self.ids, self.x = k, rows, ids, x
+        self.largest = np.abs(x).max(initial=0)
         self.levels = [segment_statistics(x, s) for s in LEVELS]
         self.score = np.full((len(x), k), -np.inf)
+        self.exact = np.full((len(x), k), LEAST)
         self.vec = np.full((len(x), k), np.iinfo(np.int64).max)
         self.row = np.full((len(x), k), -1)
 
@@ -50,49 +55,53 @@ class Queries:
             if not open_.any():
                 return
         which = np.flatnonzero(open_.any(1))
-        if open_.mean() > 0.05:
+        large = self.largest * np.abs(x).max(initial=0) * x.shape[1] >= EXACT
+        if large or open_.mean() > 0.05:
             scores = self.x[which] @ x.T
         else:
             q, c = np.nonzero(open_[which])
             scores = np.full((len(which), len(x)), -np.inf)
             scores[q, c] = np.einsum("ij,ij->i", self.x[which][q], x[c])
         scores[~open_[which]] = -np.inf
+        at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
         if scores.shape[1] > 4 * self.k:  # only what reaches the k-th highest, ties with it included
             least = np.partition(scores, -self.k, axis=1)[:, -self.k]
+            if large:
+                least = least - np.abs(least) * 1e-9
             width = int((scores >= least[:, None]).sum(1).max())
             if width < scores.shape[1]:
                 at = np.argsort(-scores, axis=1, kind="stable")[:, :width]
                 scores = np.take_along_axis(scores, at, 1)
-            else:
-                at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+        found = scores > -np.inf
+        if large:
+            exact = np.take_along_axis(products(self.x[which], x), at, 1)
         else:
-            at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-        merged = best(
-            self.k, np.concatenate([self.score[which], scores], 1), np.concatenate([self.vec[which], ids[at]], 1),
-            np.concatenate([self.row[which], rows[at]], 1),
-        )
-        self.score[which], self.vec[which], self.row[which] = merged
+            exact = np.where(found, scores, 0).astype(np.int64)
+        state = [np.concatenate([own[which], new], 1) for own, new in zip(
+            (self.score, self.exact, self.vec, self.row), (scores, np.where(found, exact, LEAST), ids[at], rows[at]))]
+        score, exact, vec, row = state
+        order = np.lexsort((row, vec, ~exact, score == -np.inf))[:, : self.k]
+        self.score[which], self.exact[which], self.vec[which], self.row[which] = (np.take_along_axis(a, order, 1) for a in state)
 
     def found(self) -> pa.RecordBatch:
         q, j = np.nonzero(self.score > -np.inf)
-        columns = [self.rows[q], self.ids[q], self.row[q, j], self.vec[q, j], self.score[q, j].astype(np.int64)]
+        columns = [self.rows[q], self.ids[q], self.row[q, j], self.vec[q, j], self.exact[q, j]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q_row", "query_id", "c_row", "vec_id", "score"])
 
 
 def _blocks(rows: DataFrame, scale: int, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one length, components floor(scale x)."""
+    """Blocks of at most ``size`` vectors of one length, components floor(scale x), in four bytes where they fit."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, ids, x in matrices(batch):
                 x = np.floor(x * scale)
-                if x.size and np.abs(x).max() ** 2 * x.shape[1] >= EXACT:
-                    raise ValueError("integer products beyond 2^53 are not exact; use a smaller scale")
                 for a in range(0, len(row), size):
                     s = slice(a, a + size)
+                    kind = "<i4" if np.abs(x[s]).max(initial=0) < 1 << 31 else "<f8"
                     yield pa.RecordBatch.from_pydict({
                         "dim": pa.array([x.shape[1]], pa.int32()), "n": pa.array([len(row[s])], pa.int32()), "rows": [row[s].tobytes()],
-                        "ids": [ids[s].tobytes()], "data": [x[s].astype("<i4").tobytes()],
+                        "ids": [ids[s].tobytes()], "data": [x[s].astype(kind).tobytes()],
                     })
 
     return rows.mapInArrow(task, BLOCK)
@@ -100,8 +109,9 @@ def _blocks(rows: DataFrame, scale: int, size: int) -> DataFrame:
 
 def _unpack(parts: list[dict]):
     d = parts[0]["dim"]
-    join = lambda name, kind: np.frombuffer(b"".join(p[name] for p in parts), kind)
-    return join("rows", "<i8"), join("ids", "<i8"), join("data", "<i4").reshape(-1, d).astype(float)
+    join = lambda name: np.frombuffer(b"".join(p[name] for p in parts), "<i8")
+    kind = lambda p: "<i4" if len(p["data"]) == 4 * p["n"] * d else "<f8"
+    return join("rows"), join("ids"), np.concatenate([np.frombuffer(p["data"], kind(p)).astype(float).reshape(-1, d) for p in parts])
 
 
 def search(
@@ -112,35 +122,37 @@ def search(
     ``query_id``, ``rank``, ``vec_id``, ``score``; equal scores to smaller ids.
 
     Candidates and queries are packed into blocks; each block of candidates meets each block of queries, dealt by
-    (query block, candidate block mod ``spread``).  A task holds one block of each and the queries' best so far.
-    Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids; vectors of different
-    lengths do not meet; a repeated id is a row of its own.  Components are 32-bit, products must stay below 2^53.
+    (query block, candidate block mod ``spread``).  A tile gets its queries once; a task holds them, one block of candidates and
+    the queries' best so far.  Vectors that are null, empty or hold null or non-finite components take no part, nor do null
+    ids; vectors of different lengths do not meet; a repeated id is a row of its own.  Scores beyond 64 bits count as the limit.
     """
     rows = stage(valid(table, id_col, vector_col))
-    candidates = _blocks(rows, scale, block)
-    asked = _blocks(rows.where(F.col("vec_id") % every == 0), scale, block)
-    n = rows.where(F.col("vec_id") % every == 0).count()
-    groups = max(1, -(-n // block))
-    asked = stage(asked.withColumn("g", F.monotonically_increasing_id()).withColumn("g", F.pmod(F.hash("g"), F.lit(groups))))
-    candidates = candidates.withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(spread))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    packed = asked.groupBy("g", "dim").agg(F.collect_list(F.struct("dim", "n", "rows", "ids", "data")).alias("q"))
-    packed = packed.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    tiles = packed.withColumnRenamed("dim", "d").join(
-        candidates, (F.col("dim") == F.col("d")) & (packed["g"] == candidates["g"]) & (packed["s"] == candidates["s"])
-    ).select(packed["g"], "dim", "q", F.struct("dim", "n", "rows", "ids", "data").alias("c"))
+    queries = rows.where(F.col("vec_id") % every == 0)
+    groups = max(1, -(-queries.count() // block))
+    asked = stage(_blocks(queries, scale, block).withColumn("g", F.monotonically_increasing_id()).withColumn("g", F.pmod(F.hash("g"), F.lit(groups))))
+    asks = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("side", F.lit(0))
+    held = _blocks(rows, scale, block).withColumn("s", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")).withColumn("side", F.lit(1))
+    held = held.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cols = ["g", "dim", "s", "side", "n", "rows", "ids", "data"]
+    tiles = asks.select(cols).unionByName(held.select(cols)).repartition("g", "dim", "s").sortWithinPartitions("g", "dim", "s", "side")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries = None, None
+        key, parts, best_so_far = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                if key != (now := (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())):
-                    if queries:
-                        yield queries.found()
-                    key, queries = now, Queries(k, *_unpack(batch.column(2)[i].as_py()))
-                rows, ids, x = _unpack([batch.column(3)[i].as_py()])
-                queries.meet(rows, ids, x, [segment_statistics(x, s) for s in LEVELS])
-        if queries:
-            yield queries.found()
+                r = batch.slice(i, 1).to_pylist()[0]
+                if key != (now := (r["g"], r["dim"], r["s"])):
+                    if best_so_far:
+                        yield best_so_far.found()
+                    key, parts, best_so_far = now, [], None
+                if r["side"] == 0:
+                    parts.append(r)
+                elif parts:
+                    best_so_far = best_so_far or Queries(k, *_unpack(parts))
+                    ids_and_x = _unpack([r])
+                    best_so_far.meet(*ids_and_x, [segment_statistics(ids_and_x[2], s) for s in LEVELS])
+        if best_so_far:
+            yield best_so_far.found()
 
     found = tiles.mapInArrow(task, "q_row long, query_id long, c_row long, vec_id long, score long")
     order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "c_row")

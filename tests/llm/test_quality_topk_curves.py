@@ -101,6 +101,18 @@ def test_topk_with_odd_rows_ties_and_repeats(spark):
     assert topk.search(vectors(spark, [(0, [1.0]), (1, [2.0])]), every=1, k=5).count() == 2
 
 
+def test_topk_of_large_components_is_exact(spark):
+    """Products beyond 2^53 that differ in their last digits, beside small ones."""
+    rng = np.random.default_rng(21)
+    rows = [(i, [1e6 + float(rng.integers(0, 9)) / 1024, -1e6 + float(rng.integers(0, 5)) / 1024, float(rng.integers(0, 3))]) for i in range(60)]
+    rows += [(100 + i, [float(rng.integers(-3, 4)) for _ in range(3)]) for i in range(60)] + [(200, [1e6, 1e6, 0.0]), (201, [3e6, 1.0, 1.0])]
+    as_double = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.search(as_double(rows).repartition(3), every=5, k=10, block=16, spread=3).collect()))
+    assert got == brute(rows, 5, 10, lambda x: int(np.floor(1024 * x)))
+    limit = topk.search(as_double([(0, [1e15]), (1, [1e15]), (2, [-1e15]), (3, [1 / 1024])]), every=10, k=3).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(limit, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 1024 * 10**15), (2, -(2**63))]
+
+
 def test_segment_bounds_never_undercut():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(40, 30)), rng.normal(size=(50, 30))

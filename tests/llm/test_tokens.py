@@ -120,3 +120,23 @@ def test_a_class_takes_its_fixed_number_of_documents(n):
         assert len({packer._class(x) for x in lengths}) == 1 and len(lengths) == packer._class(lengths[0])
     rows += packer.finish()
     assert sum(r[2] for r in rows) == 300 * n
+
+
+def test_the_dictionary_sees_all_places_of_texts(spark, monkeypatch):
+    """Pieces come from anywhere in whole texts, as often from behind as from the front, and no more than asked for."""
+    from rankeval.llm import token_files
+
+    taken = []
+
+    class Recorder:
+        def encode(self, texts, end_id):
+            taken.extend(texts)
+            return [t.encode() for t in texts]
+
+    monkeypatch.setattr(token_files, "encoder", lambda path: Recorder())
+    frame = spark.createDataFrame([(i, "".join(chr(0x4E00 + p) * 100 for p in range(40))) for i in range(30)] + [(99, None), (98, ""), (97, "short")], "doc_id long, text string")
+    token_files.train_dictionary(frame, TOKENIZER, 2, samples=200, sample_chars=100)
+    assert len(taken) == 200 and all(len(t) <= 100 for t in taken)
+    places = [ord(t[0]) - 0x4E00 for t in taken if t[0] >= "\u4e00"]
+    assert min(places) < 4 and max(places) > 35 and 14 < sum(places) / len(places) < 25
+    assert token_files.train_dictionary(frame.limit(0), TOKENIZER, 2) == b""
