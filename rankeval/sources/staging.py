@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no table refers to any more.
+
+    It does so when the driver's garbage is collected, which may be long after a step that wrote much has been staged.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """Stage a lookup table and mark it for broadcast if it has at most ``limit`` rows.
 
