@@ -27,7 +27,7 @@ from rankeval.llm.arrow_rows import fresh, mapped, slices
 from rankeval.llm.components import labels
 from rankeval.llm.encoding import runs
 from rankeval.llm.shingles import Shingles, mix, shingles
-from rankeval.sources.staging import stage, written
+from rankeval.sources.staging import release, stage, written
 
 FREQUENT = 8  # a shingle in so many documents is taken last
 LOW = np.uint64(1 << 62)  # shingles are counted below this hash, a quarter: longer than a prefix at similarity 0.8
@@ -212,17 +212,6 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _halved(nodes: DataFrame) -> DataFrame:
-    """``node`` and its bitmap at half the width: enough to send most pairs of a tile away, in half the bytes of every visit."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = [np.frombuffer(b, "<u8")[None] for b in batch.column(1).to_pylist()]
-            yield _batch("node long, bits binary", [batch.column(0), [fold(b, max(1, b.shape[1] // 2)).tobytes() for b in wide]])
-
-    return nodes.select("node", "bits").mapInArrow(task, "node long, bits binary")
-
-
 def _screen(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``a``, ``b``, ``leader`` of the pairs that their bitmaps allow, with ``size`` shingles of both."""
     sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab"]
@@ -295,7 +284,7 @@ def remaining(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, d
     visiting = visiting.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).join(tiles, ["key", "band"])
     visiting = visiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("visits", F.lit(1))
     cols = ["key", "band", "salt", "visits", "node", "n", "comp"]
-    placed = home.select(cols).unionByName(visiting.select(cols)).join(_halved(nodes), "node")
+    placed = home.select(cols).unionByName(visiting.select(cols)).join(nodes.select("node", "bits"), "node")
     return _compare(placed, num, den).groupBy("a", "b").agg(F.min("leader").alias("leader"))
 
 
@@ -382,17 +371,22 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, tex
 
 def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches, and of each distinct set ``node``, ``n``, ``h1``, ``h2``, its smallest ``first_id`` and its component ``comp``."""
+    spark = docs.sparkSession
     sketch = sketches(docs, id_col, text_col, k, num, den)
+    release(spark)
     some = sketch.where("n > 0")
     equal = some.groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     equal = stage(equal.select("n", "h1", "h2", F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id")))
     nodes = stage(sketch.join(equal.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "rare", "bits", "keys"))
     members = neighbours(nodes.select(F.explode("keys").alias("tile"), "node", "n", "rare"), num, den)
+    release(spark)
     near = members.select("node", "leader", F.explode(F.array_distinct(F.array("before", "hub"))).alias("other")).where("other is not null")
     pairs = near.groupBy(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).agg(F.min("leader").alias("leader"))
     links = verify(docs, stage(_screen(pairs, nodes, num, den)), nodes, id_col, text_col, k, num, den)
     comp = labels(links)
+    release(spark)
     rest = stage(_screen(remaining(members, comp, nodes, num, den), nodes, num, den))
+    release(spark)
     if not rest.isEmpty():
         comp = labels(links.unionByName(verify(docs, rest, nodes, id_col, text_col, k, num, den)))
     return sketch, equal.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
