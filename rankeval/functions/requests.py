@@ -8,11 +8,13 @@ from rankeval.functions.context import by_strength, format_interest, has_name
 from rankeval.functions.loose import get, is_object, json_array, kind, loose_number, parse, text_of
 from rankeval.functions.text import text_or_empty
 
+# --- fixed values: field names of requests, here and in the paths and key lists below ---
 _MESSAGES = "array<struct<author:string,text:string>>"
 _CONVERSATIONS = f"array<struct<started_at:string,messages:{_MESSAGES}>>"
 _TITLES = "array<struct<title:string,summary:string>>"
 _TEXTS = "array<string>"
 _INTERACTIONS = "struct<clicks:array<string>,thumbsUp:array<string>,thumbsDown:array<string>>"
+# --- end of fixed values ---
 
 
 def _empty(kind_: str) -> Column:

@@ -13,13 +13,15 @@ from rankeval.functions.loose import (
     get, is_object, json_array, json_objects, kind, loose_int, loose_number, text_of, truthy,
 )
 
-# the raw feed row; every nested column is JSON text (native arrays are accepted and rendered first)
+# --- fixed values: column and field names of the raw feed row ---
+# every nested column is JSON text (native arrays are accepted and rendered first)
 RAW_FEED = {
     "feed_id": "string", "user_id": "string", "bizdate": "string", "flight_ids": "string",
     "candidate_cards": "string", "interests": "string", "negative_interests": "string", "shown_10d": "string",
     "interactions_90d": "string", "conversation": "string",
 }
 CARD_FIELDS = ["itemid", "title", "summary", "sectionIndex", "cardIndex"]
+# --- end of fixed values ---
 
 
 def with_missing_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

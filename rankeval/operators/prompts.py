@@ -17,11 +17,19 @@ from rankeval.functions.text import ellipsize, hang, let, one_line, strip, text_
 INTRO = "Predict from the profile, the chats and the cards below whether this user clicks the candidate card.\n"
 SHORT_INTRO = "Predict whether this user clicks the candidate card.\n"
 
-# fixed formats
+# --- fixed values: questions, heads and labels; those of single lines stand where they are used ---
 QUESTION = "Will the user click this candidate item? I answer Yes or No:"
 SHORT_QUESTION = "\nWill the user click this item? Answer:"
 CAPPED_QUESTION = "Will the user click this candidate? Answer Yes or No."
 GENERIC_QUESTION = "Will the user click this item? Answer:"
+CONVERSATIONS_HEAD = "CONVERSATIONS (recent groups, newest first):"
+NO_CONVERSATIONS = "CONVERSATIONS: (none)"
+NO_SHOWN_CARDS = "SHOWN_CARDS: (none)"
+GROUP_TALK = "  - Recent conversation history:"
+GROUP_NEGATIVE = "  - Negative interests (avoid):"
+GROUP_NOW = "- Current date and time: "
+GROUP_PLACE = "- Location: "
+# --- end of fixed values ---
 
 Counter = Callable[[Column], Column]
 
@@ -96,11 +104,6 @@ def _group_lines(g: Column, i: Column) -> Column:
     return F.concat(F.array(head), lines)
 
 
-CONVERSATIONS_HEAD = "CONVERSATIONS (recent groups, newest first):"
-NO_CONVERSATIONS = "CONVERSATIONS: (none)"
-NO_SHOWN_CARDS = "SHOWN_CARDS: (none)"
-
-
 def _conversation_lines(groups: Column) -> Column:
     full = F.concat(_texts(CONVERSATIONS_HEAD), F.flatten(F.transform(groups, _group_lines)))
     return F.when(F.coalesce(F.array_size(groups), F.lit(0)) > 0, full).otherwise(_texts(NO_CONVERSATIONS))
@@ -258,10 +261,13 @@ def generic_prompt(history: Column, interests: Column, candidate: Column) -> Col
     return F.array_join(lines, "\n")
 
 
-def group_prompt(groups: Column, interests: Column, shown: Column) -> Column:
+def group_prompt(
+    groups: Column, interests: Column, shown: Column, now: Column | None = None, place: Column | None = None, whole: bool = False,
+) -> Column:
     """Groups with their cards, interests, interactions and shown cards of one ranking request.
 
-    ``groups`` is array<struct<matched_interest, cards array<struct<id, title, summary>>>>.
+    ``groups`` is array<struct<matched_interest, cards array<struct<id, title, summary>>>>.  ``whole`` adds the conversations before
+    the interests and the negative interests after them; ``now`` and ``place`` end the text where they are given, blank where null.
     """
 
     def group(g: Column, i: Column) -> Column:
@@ -288,16 +294,19 @@ def group_prompt(groups: Column, interests: Column, shown: Column) -> Column:
         _bullets(_all(inter.getField("thumbsDown")), "  - Negative signals (thumbs down article titles):", "    - "),
         _bullets(_all(inter.getField("clicks")), "  - Click signals (clicked card titles):", "    - "),
     )
-    some = lambda c, none: let(c, lambda x: F.when(F.size(x) > 0, x).otherwise(_texts(none)))
+    some = lambda c, none: let(_all(c), lambda x: F.when(F.size(x) > 0, x).otherwise(_texts(none)))
     lines = F.concat(
         _texts("- BLENDED_GROUPS:"),
         F.flatten(F.transform(groups, group)),
         _texts("- USER_INTERESTS:"),
+        *([_texts(GROUP_TALK), some(F.flatten(F.transform(interests.getField("conversations"), _group_lines)), "  (none)")] if whole else []),
         F.transform(_all(interests.getField("positive")), lambda t: F.concat(F.lit("  - "), t)),
+        *([_bullets(_all(interests.getField("negative")), GROUP_NEGATIVE, "    - ")] if whole else []),
         _texts("- USER_INTERACTIONS:"),
         some(signals, "  No user interactions found."),
         _texts("- SHOWN_CARDS:"),
         some(F.transform(_all(shown), lambda t: F.concat(F.lit("  - "), t)), " No shown cards found."),
+        *[F.array(F.concat(F.lit(label), text_or_empty(c))) for label, c in ((GROUP_NOW, now), (GROUP_PLACE, place)) if c is not None],
     )
     return F.array_join(lines, "\n")
 

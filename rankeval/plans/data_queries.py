@@ -716,7 +716,8 @@ def _(spark, sf):
 # ---- models --------------------------------------------------------------------------------------------------
 
 def train_test(spark, sf):
-    df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
+    narrow = ranked_impressions(spark, sf).select(*KEYS, "flight_ids", "label", "position_rank", *FEATURES)
+    df = stage(sampling.split_by(narrow, "feed_id"))
     df = sampling.holdout(debias.ipw_weight(df, debias.propensity(df)), KEYS)
     return df.where("split = 'train'"), df.where("split = 'test'")
 

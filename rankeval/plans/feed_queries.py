@@ -451,3 +451,43 @@ def _(spark, sf):
     cards = F.transform("candidates", lambda c: F.struct(c.itemid.alias("id"), c.title.alias("title"), c.summary.alias("summary")))
     groups = F.array(F.struct(F.col("user_id").alias("matched_interest"), cards.alias("cards")))
     return r.select("feed_id", prompts.group_prompt(groups, F.col("interests"), F.col("shown_titles")).alias("prompt"))
+
+
+@query("group_prompt_whole", f"""{FEEDS}, {CONTEXT_SQL}, one AS (SELECT doc_id, any_value(pos) AS pos, any_value(neg) AS neg, any_value(conv) AS conv, any_value(ups) AS ups, any_value(downs) AS downs, any_value(clicks) AS clicks, any_value(titles) AS titles, feed_id, user_id, bizdate,
+    string_agg('  - Card '||r||':'||chr(10)||'    - Id: '||itemid||chr(10)||'    - Title: '||title||chr(10)||'    - Summary: '||summary, chr(10) ORDER BY r) AS cards
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM ctx) GROUP BY doc_id, feed_id, user_id, bizdate)
+  SELECT feed_id, md5(concat_ws(chr(10), '- BLENDED_GROUPS:', '  Group 0:', '  - MatchedInterest: '||user_id, cards, '- USER_INTERESTS:', '{prompts.GROUP_TALK}', coalesce(conv,'  (none)')||array_to_string(list_transform(pos, lambda x: chr(10)||'  - '||x),''),
+    {bullets_sql('neg', prompts.GROUP_NEGATIVE, '    - ')}, '- USER_INTERACTIONS:',
+    coalesce(nullif(concat_ws(chr(10), {bullets_sql('ups', '  - Positive signals (thumbs up article titles):', '    - ')}, {bullets_sql('downs', '  - Negative signals (thumbs down article titles):', '    - ')},
+      {bullets_sql('clicks', '  - Click signals (clicked card titles):', '    - ')}),''),'  No user interactions found.'),
+    '- SHOWN_CARDS:', coalesce(nullif(array_to_string(list_transform(titles, lambda x: '  - '||x), chr(10)),''),' No shown cards found.'), '{prompts.GROUP_NOW}'||bizdate, '{prompts.GROUP_PLACE}'||user_id)) AS prompt FROM one""")
+def _(spark, sf):
+    """R9 with conversations, negative interests, time and place."""
+    r = flatten.feed_records(raw_feeds(spark, sf)).where(F.size("interests.positive") > 0)
+    cards = F.transform("candidates", lambda c: F.struct(c.itemid.alias("id"), c.title.alias("title"), c.summary.alias("summary")))
+    groups = F.array(F.struct(F.col("user_id").alias("matched_interest"), cards.alias("cards")))
+    text = prompts.group_prompt(groups, F.col("interests"), F.col("shown_titles"), F.col("bizdate"), F.col("user_id"), whole=True)
+    return r.select("feed_id", F.md5(text).alias("prompt"))
+
+
+# ---- conversations -------------------------------------------------------------------------------------------
+
+TURNS_SQL = """t AS (SELECT conv_id//8 AS feed, conv_id, turn, row_number() OVER (PARTITION BY conv_id//8 ORDER BY conv_id, turn) AS j, '2024-02-'||lpad(((conv_id*5+turn)%28+1)::VARCHAR,2,'0')||'T00:00:00Z' AS made,
+    replace(trim(text, ' '||chr(9)||chr(10)||chr(13)), chr(10), ' ') AS line, CASE WHEN length(line)>220 THEN substr(line,1,219)||'…' ELSE line END AS text FROM conversations),
+  g AS (SELECT feed, conv_id, min(made) AS started_at, min(j) AS first_j, count(*) FILTER (text<>'') AS messages, list(text ORDER BY made, j) FILTER (text<>'') AS texts FROM t GROUP BY feed, conv_id HAVING count(*) FILTER (text<>'')>0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY started_at DESC, first_j) AS rk FROM g)"""
+
+
+@query("conversation_table_groups", f"""WITH {TURNS_SQL} SELECT feed, rk AS g, conv_id::VARCHAR AS id, started_at, messages, md5(texts[len(texts)]) AS last FROM r""")
+def _(spark, sf):
+    """T5, W4, O4 over the table of conversations: eight of them are one user's."""
+    c = table(spark, sf, "conversations")
+    made = F.expr("concat('2024-02-', lpad(cast((conv_id * 5 + turn) % 28 + 1 as string), 2, '0'), 'T00:00:00Z')")
+    author = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    message = F.struct(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("conversation_id"), F.concat_ws("-", "conv_id", "turn").alias("message_id"),
+        made.alias("createdAt"), author.alias("author"), "text")
+    feeds = c.groupBy(F.expr("conv_id div 8").alias("feed")).agg(F.to_json(F.sort_array(F.collect_list(message))).alias("conversation"))
+    groups = ctx.group_conversations(loose.json_array(F.col("conversation"), ctx.MESSAGE))
+    g = feeds.select("feed", F.posexplode(groups).alias("g", "v"))
+    return g.select("feed", (F.col("g") + 1).alias("g"), "v.id", "v.started_at", F.size("v.messages").cast("bigint").alias("messages"), F.md5(F.element_at("v.messages", -1)["text"]).alias("last"))

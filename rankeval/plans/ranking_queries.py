@@ -182,8 +182,9 @@ PROP_SQL = f"""{IMP}, s AS (SELECT *, {SPLIT_SQL} AS split FROM imp),
 
 
 def weighted_rows(spark, sf):
-    # the propensities and the weighted rows both read the ranked rows
-    df = stage(sampling.split_by(ranked_impressions(spark, sf), "feed_id"))
+    # the propensities and the weighted rows both read the ranked rows, of which the reports need these columns
+    narrow = ranked_impressions(spark, sf).select("feed_id", "flight_ids", "label", "position_rank", "quality", "click_likelihood")
+    df = stage(sampling.split_by(narrow, "feed_id"))
     return debias.ipw_weight(df, debias.propensity(df))
 
 

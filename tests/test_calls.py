@@ -62,7 +62,7 @@ def test_the_ledger_picks_what_rendering_all_picks(spark):
     total = count(df.select(prompts.full_prompt(F.col("history"), F.col("interests"), F.col("candidate"))).first()[0])
     old = prompts.body_budget
     try:
-        for budget in range(40, total + 20, 41):
+        for budget in range(40, total + 20, 97):
             prompts.body_budget = lambda max_len, budget=budget: budget
             want = prompts.budgeted_prompt(df, 0, native).select("prompt", "truncated", "dropped_history", "dropped_conversations").collect()
             got = prompts.budgeted_prompt_with(df, 0, count, renders="renders").select("prompt", "truncated", "dropped_history", "dropped_conversations", "renders").collect()

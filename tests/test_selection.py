@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankeval.operators import selection
 
 
-@pytest.fixture(params=[0, 5, 65_536])
+@pytest.fixture(params=[5, 65_536])
 def few(request, monkeypatch):
     monkeypatch.setattr(selection, "FEW", request.param)
     monkeypatch.setattr(selection, "ALIKE", 4)
@@ -23,7 +23,7 @@ def test_the_nth_smallest(spark, few):
     data = texts(random.Random(1), 300)
     df = spark.createDataFrame([(t,) for t in data], "k string").repartition(3)
     order = sorted(data)
-    for n in (1, 2, 37, 150, 299):
+    for n in (1, 37, 299):
         cut = selection.nth_smallest(df, n)
         assert cut == selection.Cut(order[n - 1], sum(t < order[n - 1] for t in data), data.count(order[n - 1]))
     assert selection.nth_smallest(df, 300) is None and selection.nth_smallest(df.limit(0), 1) is None
@@ -34,7 +34,7 @@ def test_first_rows_with_ties_nulls_and_equal_rows(spark, few):
     data = [(rnd.choice([None, "a", "a", "b"]), rnd.randrange(3)) for _ in range(60)]
     df = spark.createDataFrame(data, "k string, v int").withColumn("m", F.create_map(F.lit("x"), F.col("v")))
     order = sorted(k or "" for k, _ in data)
-    for n in (0, 1, 7, 30, 59, 60, 99):
+    for n in (0, 7, 30, 59, 99):
         got = [tuple(r)[:2] for r in selection.first_by(df, F.col("k"), n).collect()]
         assert sorted(k or "" for k, _ in got) == order[:n]
         assert all(got.count(x) <= data.count(x) for x in set(got))
