@@ -268,24 +268,30 @@ def _compare(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def remaining(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """``a``, ``b``, ``leader`` of all pairs of nodes that share a key, lie in different components and pass size and bitmaps."""
+    """``a``, ``b``, ``leader`` of all pairs of nodes that share a key, lie in different components and pass size and bitmaps.
+
+    What a node must know of its key (the component of most nodes, the number of tiles of each band) comes in one row per key.
+    """
     # a node has each key under one salt
     rows = members.select(F.shiftright("tile", SALT_BITS).alias("key"), "node", "n")
-    rows = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = written(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "keyed")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = stage(rows.join(mixed, "key"))
     ratio = 1.1
     reach = math.ceil(math.log(den / num) / math.log(ratio))  # bands that sizes close enough can be apart
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(ratio)).cast("int"))
-    tiles = rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    most = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("major"))
-    home = rows.join(tiles, ["key", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("visits", F.lit(0))
-    visiting = rows.join(most, "key").where("comp <> major").drop("major")
-    visiting = visiting.withColumn("band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).join(tiles, ["key", "band"])
-    visiting = visiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("visits", F.lit(1))
-    cols = ["key", "band", "salt", "visits", "node", "n", "comp"]
-    placed = home.select(cols).unionByName(visiting.select(cols)).join(nodes.select("node", "bits"), "node")
-    return _compare(placed, num, den).groupBy("a", "b").agg(F.min("leader").alias("leader"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(ratio)).cast("int")
+    rows = written(rows.join(mixed, "key").withColumn("band", band), "mixed")
+    counts = stage(rows.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("c")))
+    major = counts.groupBy("key", "comp").agg(F.sum("c").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
+    tiles = counts.groupBy("key", "band").agg(F.ceil(F.sum("c") / TILE).cast("int").alias("tiles"))
+    # sizes have at most some hundred bands
+    tiles = tiles.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))
+    place = lambda b, salt, visits: F.struct(b.alias("band"), salt.alias("salt"), F.lit(visits).alias("visits"))
+    own = F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("band"))).cast("int")
+    near = F.filter(F.map_keys("tiles"), lambda b: F.abs(b - F.col("band")) <= reach)
+    there = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("tiles", b) - 1), lambda i: place(b, i, 1))))
+    places = F.concat(F.array(place(F.col("band"), own, 0)), F.when(F.col("comp") != F.col("major"), there).otherwise(F.expr("cast(array() as array<struct<band:int,salt:int,visits:int>>)")))
+    placed = rows.join(major.join(tiles, "key"), "key").select("key", "node", "n", "comp", F.inline(places))
+    return _compare(placed.join(nodes.select("node", "bits"), "node"), num, den).groupBy("a", "b").agg(F.min("leader").alias("leader"))
 
 
 # --- verification ---
