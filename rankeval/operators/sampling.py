@@ -141,8 +141,9 @@ def mine_negatives(
     anchors = rows.where(F.col(label) == 1).drop(label)
     anchors = anchors.withColumn("_start", stable_hash(seed, feed, *items))
     others = rows.where(F.col(label) == 0).drop(label).withColumn("_h", stable_hash(seed + 1, feed, *items))
-    numbered = ordered_index(others, [feed], ["_h", *items], "_idx")
-    sizes = others.groupBy(feed).agg(F.count("*").alias("_m"))
+    # numbered once; the numbers tell the sizes
+    numbered = stage(ordered_index(others, [feed], ["_h", *items], "_idx").select(feed, *items, "_idx"))
+    sizes = numbered.groupBy(feed).agg((F.max("_idx") + 1).alias("_m"))
 
     def spread(m: Column, need: Column) -> Column:
         """``least(need, m)`` distinct numbers below ``m``: start + j * floor(m / need), modulo m."""
@@ -166,7 +167,7 @@ def mine_negatives(
     ring = anchors.select(feed, *items).withColumn("_fh", hash_hex(seed, feed)).withColumn(
         "_h", stable_hash(seed + 2, feed, *items)
     )
-    ring = ordered_index(ring, [], ["_fh", feed, "_h", *items], "_idx")
+    ring = stage(ordered_index(ring, [], ["_fh", feed, "_h", *items], "_idx").select(feed, *items, "_idx"))
     blocks = ring.groupBy(feed).agg(F.min("_idx").alias("_from"), F.count("*").alias("_size"))
     total = anchors.agg(F.count("*")).scalar()
     short = sized.where(F.col("_m") < k).withColumn("_need", (F.lit(k) - F.col("_m")).cast("bigint"))
