@@ -663,7 +663,12 @@ def _(spark, sf):
     return readers.profile_table(first_document(spark, sf))
 
 
-@query("raw_feed_profile", f"""{FEEDS}, one AS (SELECT * FROM feeds WHERE doc_id=(SELECT min(doc_id) FROM documents)) SELECT 'feed_id' AS "column", 'string' AS type, feed_id AS preview FROM one
+@query("raw_feed_profile")
+def _(spark, sf):
+    return readers.profile_table(raw_feeds(spark, sf))
+
+
+@query("raw_feed_profile_plain_columns", f"""{FEEDS}, one AS (SELECT * FROM feeds WHERE doc_id=(SELECT min(doc_id) FROM documents)) SELECT 'feed_id' AS "column", 'string' AS type, feed_id AS preview FROM one
   UNION ALL SELECT 'user_id', 'string', user_id FROM one UNION ALL SELECT 'bizdate', 'string', bizdate FROM one
   UNION ALL SELECT 'flight_ids', 'string', CASE WHEN doc_id%13<>0 THEN flight_ids END FROM one""")
 def _(spark, sf):
