@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.functions.scores import clip, valid_score
 from rankeval.operators.ranges import join_on, ordered_index, prefix_sums
-from rankeval.operators.sampling import random_score
-from rankeval.sources.staging import small, stage
+from rankeval.operators.sampling import random_scores
+from rankeval.sources.staging import small, stage, written
+
+_FEED_ROWS = 1 << 16  # rows of a feed that one task sorts; larger feeds are counted first
 
 
 def _col(c: Column | str) -> Column:
@@ -116,6 +118,14 @@ def weighted_ce(df: DataFrame, p: Column | str, label: Column | str, weight: Col
     return df.agg(F.avg(_col(weight) * loss).alias("weighted_ce"), F.count_if(loss.isNull()).alias("excluded"))
 
 
+def _discounts(k: int) -> Column:
+    """Sum of the first discounts, at places 0 to ``k``."""
+    discounts = [0.0]
+    for i in range(k):
+        discounts.append(discounts[-1] + 1.0 / math.log2(i + 2))
+    return F.array(*[F.lit(d) for d in discounts])
+
+
 def _top_gain(grouped: DataFrame, keys: Sequence[str], value: str, k: int, name: str) -> DataFrame:
     """Discounted gain of the first ``k`` places when groups of tied ``value`` share their mean gain.
 
@@ -123,10 +133,7 @@ def _top_gain(grouped: DataFrame, keys: Sequence[str], value: str, k: int, name:
     ``k`` distinct values already cover ``k`` places, so the window keeps at most ``k`` rows per feed on the
     map side before anything is shuffled.
     """
-    discounts = [0.0]
-    for i in range(k):
-        discounts.append(discounts[-1] + 1.0 / math.log2(i + 2))
-    table = F.array(*[F.lit(d) for d in discounts])
+    table = _discounts(k)
     w = W.partitionBy(*keys).orderBy(F.col(value).desc())
     top = grouped.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     start = F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -150,11 +157,52 @@ def ndcg_per_feed(
     """M6: NDCG@k of every feed with at least two rows and one click; tied scores share their gain.  Rows without a feed id belong
     to no feed; a null group is a group."""
     keys = [*by, feed]
-    rows = df.select(*keys, _col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y"))
-    sized = stage(rows.where(F.col(feed).isNotNull()).groupBy(*keys, "_s", "_y").agg(F.count("*").alias("_c")))
-    got = _top_gain(_gains(sized, keys, "_s"), keys, "_s", k, "_dcg")
-    both = join_on(_ideal_gain(_gains(sized, keys, "_y"), keys, k), got, keys)
-    return both.select(*keys, "feed_rows", (F.col("_dcg") / F.col("_ideal")).alias("ndcg"))
+    rows = df.select(*keys, _col(score).cast("double").alias("_s0"), F.col(label).cast("double").alias("_y"))
+    gains = _feed_gains(written(rows.where(F.col(feed).isNotNull()), "ranked"), keys, ["_s0"], k)
+    return gains.select(*keys, "feed_rows", F.col("_ndcg")[0].alias("ndcg"))
+
+
+def _feed_gains(rows: DataFrame, keys: Sequence[str], scores: Sequence[str], k: int) -> DataFrame:
+    """Per qualifying feed of the staged ``rows``: ``feed_rows`` and ``_ndcg``, the NDCG@k of each order by descending score.
+
+    The rows are dealt by feed once; each order is a sort within the partition.  Feeds above ``_FEED_ROWS`` are counted per distinct
+    score first, spread over all tasks.
+    """
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > _FEED_ROWS).drop("_n")
+    large = small(large)
+    if large.isEmpty():
+        return _gains_by_window(rows, keys, scores, k)
+    few = _gains_by_window(join_on(rows, large, keys, "left_anti"), keys, scores, k)
+    return few.unionByName(_gains_by_count(join_on(rows, large, keys, "left_semi"), keys, scores, k))
+
+
+def _gains_by_window(rows: DataFrame, keys: Sequence[str], scores: Sequence[str], k: int) -> DataFrame:
+    table = _discounts(k)
+    dcg = []
+    for i, s in enumerate([*scores, "_y"]):  # the best order is the one by label
+        w = W.partitionBy(*keys).orderBy(F.col(s).desc())
+        tied = w.rangeBetween(W.currentRow, W.currentRow)
+        rows = rows.withColumns({"_r": F.rank().over(w), "_at": F.row_number().over(w), "_c": F.count("*").over(tied), "_g": F.sum("_y").over(tied)})
+        lo, hi = F.least(F.col("_r") - 1, F.lit(k)).cast("int"), F.least(F.col("_r") - 1 + F.col("_c"), F.lit(k)).cast("int")
+        gain = F.when(F.col("_at") == F.col("_r"), F.col("_g") / F.col("_c") * (F.get(table, hi) - F.get(table, lo)))
+        gone = {"_r", "_at", "_c", "_g", s} - {"_y"}
+        rows = rows.select(*[c for c in rows.columns if c not in gone], gain.alias(f"_dcg{i}"))
+        dcg.append(F.sum(f"_dcg{i}").alias(f"_dcg{i}"))
+    per_feed = rows.groupBy(*keys).agg(F.count("*").alias("feed_rows"), F.sum("_y").alias("_gain"), *dcg)
+    best = F.col(f"_dcg{len(scores)}")
+    return per_feed.where("feed_rows >= 2 and _gain > 0").select(
+        *keys, "feed_rows", F.array(*[F.col(f"_dcg{i}") / best for i in range(len(scores))]).alias("_ndcg")
+    )
+
+
+def _gains_by_count(rows: DataFrame, keys: Sequence[str], scores: Sequence[str], k: int) -> DataFrame:
+    by_label = _gains(rows.groupBy(*keys, "_y").agg(F.count("*").alias("_c")), keys, "_y")
+    cells = F.array(*[F.struct(F.lit(i).alias("_order"), F.col(s).alias("_s")) for i, s in enumerate(scores)])
+    by_score = rows.select(*keys, "_y", F.inline(cells)).groupBy(*keys, "_order", "_s").agg(F.sum("_y").alias("_g"), F.count("*").alias("_c"))
+    got = _top_gain(by_score, [*keys, "_order"], "_s", k, "_dcg")
+    both = join_on(got, _ideal_gain(by_label, keys, k), keys).withColumn("_one", F.col("_dcg") / F.col("_ideal"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_one"))), lambda x: x["_one"])
+    return both.groupBy(*keys, "feed_rows").agg(in_order.alias("_ndcg"))
 
 
 def _ideal_gain(by_label: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -180,14 +228,11 @@ def ndcg_orders(
     The rows of a feed, its clicks and its best gain are the same for all orders and are counted once.
     """
     keys = [*by, feed]
-    cells = F.array(*[F.struct(F.lit(n).alias("_order"), _col(c).cast("double").alias("_s")) for n, c in orders.items()])
-    rows = df.where(F.col(feed).isNotNull()).withColumn("_y", F.col(label).cast("double"))
-    by_label = _gains(rows.groupBy(*keys, "_y").agg(F.count("*").alias("_c")), keys, "_y")
-    by_score = rows.select(*keys, "_y", F.inline(cells)).groupBy(*keys, "_order", "_s").agg(
-        F.sum("_y").alias("_g"), F.count("*").alias("_c"))
-    got = _top_gain(by_score, [*keys, "_order"], "_s", k, "_dcg")
-    both = join_on(got, _ideal_gain(by_label, keys, k), keys)
-    return both.groupBy(*by, F.col("_order").alias("order")).agg(F.avg(F.col("_dcg") / F.col("_ideal")).alias("ndcg"))
+    scores = {f"_s{i}": _col(c).cast("double") for i, c in enumerate(orders.values())}
+    rows = df.where(F.col(feed).isNotNull()).select(*keys, F.col(label).cast("double").alias("_y"), *[c.alias(n) for n, c in scores.items()])
+    names = F.array(*[F.lit(n) for n in orders])
+    cells = _feed_gains(written(rows, "ranked"), keys, list(scores), k).select(*by, F.inline(F.arrays_zip(names.alias("order"), F.col("_ndcg").alias("ndcg"))))
+    return cells.groupBy(*by, "order").agg(F.avg("ndcg").alias("ndcg"))
 
 
 def counterfactual_ndcg(
@@ -196,7 +241,7 @@ def counterfactual_ndcg(
     """M7: NDCG@k of the model order, of the display order, and their difference."""
     orders = {"model": score, "display": -F.col(position).cast("double")}
     return (
-        ndcg_orders(stage(df.select(*by, feed, label, score, position)), feed, label, orders, k, by).groupBy(*by)
+        ndcg_orders(df, feed, label, orders, k, by).groupBy(*by)
         .agg(
             F.max(F.when(F.col("order") == "model", F.col("ndcg"))).alias("ndcg_model"),
             F.max(F.when(F.col("order") == "display", F.col("ndcg"))).alias("ndcg_display"),
@@ -239,17 +284,23 @@ def feature_ndcg(
 
     Features that never vary are left out.
     """
-    df = stage(df.select(*dict.fromkeys([feed, label, position, *row_key, *features])))
-    ranked = unpivot(df, [feed, label], features)
-    varying = ranked.groupBy("feature").agg((F.min("value") < F.max("value")).alias("_varies"))
-    varying = varying.where("_varies").select("feature")
-    per_feature = ndcg(ranked.join(small(varying), "feature", "left_semi"), feed, label, "value", k, ["feature"])
-    display = ndcg(df.withColumn("_d", -F.col(position).cast("double")), feed, label, "_d", k)
-    rand = ndcg(random_score(df, row_key, seeds), feed, label, "random_score", k, ["seed"])
-    base = F.struct(F.col("ndcg"))
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    orders = [*values, -F.col(position).cast("double"), *random_scores(row_key, seeds)]
+    scores = [f"_s{i}" for i in range(len(orders))]
+    cells = [c.alias(n) for n, c in zip(scores, orders)]
+    staged = written(df.select(feed, F.col(label).cast("double").alias("_y"), *cells), "ranked")
+    varies = F.array(*[F.min(s) < F.max(s) for s in scores[: len(features)]])
+    per_feed = _feed_gains(staged.where(F.col(feed).isNotNull()), [feed], scores, k)
+    means = F.array(*[F.avg(F.col("_ndcg")[i]) for i in range(len(scores))])
+    total = per_feed.agg(F.count("*").alias("feeds"), means.alias("_m")).where("feeds > 0")
+    baseline = F.aggregate(F.slice("_m", len(features) + 2, max(1, seeds)), F.lit(0.0), lambda a, x: a + x) / seeds
     return (
-        per_feature.withColumn("_display", display.select(base).scalar().getField("ndcg"))
-        .withColumn("_random", rand.agg(F.avg("ndcg").alias("ndcg")).scalar())
+        total.withColumn("_varies", staged.agg(varies.alias("v")).scalar())
+        .withColumn("_display", F.col("_m")[len(features)])
+        .withColumn("_random", baseline)
+        .select("feeds", "_display", "_random", F.inline(F.arrays_zip(
+            F.array(*[F.lit(f) for f in features]).alias("feature"), F.slice("_m", 1, len(features)).alias("ndcg"), F.col("_varies").alias("_v"))))
+        .where("_v")
         .select(
             "feature",
             "feeds",

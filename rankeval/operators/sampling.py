@@ -114,11 +114,15 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
+def random_scores(row_key: Sequence[str], seeds: int = 5) -> list[Column]:
+    """Hash scores of a row, one per seed."""
+    return [stable_hash(42, F.lit(i), *row_key).cast("double") for i in range(seeds)]
+
+
 def random_score(df: DataFrame, row_key: Sequence[str], seeds: int = 5) -> DataFrame:
     """Every row once per seed with a hash score."""
-    seeded = df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    keys = [F.col("seed"), *[F.col(k) for k in row_key]]
-    return seeded.withColumn("random_score", stable_hash(42, *keys).cast("double"))
+    scores = F.array(*random_scores(row_key, seeds))
+    return df.select("*", F.posexplode(scores).alias("seed", "random_score"))
 
 
 def mine_negatives(

@@ -219,3 +219,34 @@ def test_downsampling_counts(spark):
     assert sampling.downsample_negatives(df, ["id"], ratio=100.0).count() == 1000
     assert sampling.sample_n(df, 37, ["id"]).distinct().count() == 37
     assert sampling.sample_n(df, 5000, ["id"]).count() == 1000
+
+
+def ranked_rows(spark):
+    rng = random.Random(11)
+    rows = [(f"f{min(rng.randint(0, 12), 9)}", i, int(rng.random() < 0.3), i % 7, rng.choice([None, 0.0, 0.5, 2.0]), float(i % 5), 1.0) for i in range(200)]
+    return spark.createDataFrame([*rows, (None, 900, 1, 0, 3.0, 1.0, 1.0)], "feed string, id int, y int, pos int, u double, v double, same double")
+
+
+def test_orders_of_a_feed_stage_each_row_once(spark, monkeypatch):
+    df, counted = ranked_rows(spark), []
+    for name in ("stage", "written"):
+        plain = getattr(metrics, name, None)
+        monkeypatch.setattr(metrics, name, lambda d, *a, f=plain: (counted.append(d.count()), f(d, *a))[1], raising=False)
+    got = metrics.feature_ndcg(df, ["u", "v", "same"], "feed", "y", "pos", ["feed", "id"]).collect()
+    assert [r["feature"] for r in got if r["feature"] == "same"] == [] and len(got) == 2
+    assert max(counted) <= df.count()
+
+
+def test_large_feeds_are_counted_first_with_the_same_results(spark, monkeypatch):
+    df = ranked_rows(spark)
+    few = lambda rows: {r[0]: [round(x, 9) for x in r[1:]] for r in rows}
+    report = lambda: few(metrics.feature_ndcg(df, ["u", "v", "same"], "feed", "y", "pos", ["feed", "id"], k=6).collect())
+    per_feed = lambda: few(metrics.ndcg_per_feed(df, "feed", "y", "u", 6).collect())
+    want = report(), per_feed()
+    monkeypatch.setattr(metrics, "_FEED_ROWS", 18)
+    assert (report(), per_feed()) == want
+    u = metrics.ndcg(df.fillna({"u": 0.0}), "feed", "y", "u", 6).first()
+    assert want[0]["u"][0] == u["feeds"] and want[0]["u"][1] == pytest.approx(u["ndcg"])
+    display = metrics.ndcg(df.withColumn("d", -F.col("pos")), "feed", "y", "d", 6).first()["ndcg"]
+    rand = metrics.ndcg(sampling.random_score(df, ["feed", "id"]), "feed", "y", "random_score", 6, ["seed"]).agg(F.avg("ndcg")).first()[0]
+    assert want[0]["u"][2:] == pytest.approx([u["ndcg"] - display, u["ndcg"] - rand])
