@@ -713,25 +713,32 @@ def shrink_prompt(
 
 def prompt_parity(a: Column, b: Column, markers: Sequence[str], counter: Counter = word_count) -> Column:
     """Sizes of two renderings, which section markers they contain, and where their lines differ."""
-    la, lb = F.split(a, "\n"), F.split(b, "\n")
-    places = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(la), F.size(lb)) - 1),
-        lambda i: F.struct(
-            i.alias("line"), F.coalesce(F.get(la, i), F.lit("(end)")).alias("a"), F.coalesce(F.get(lb, i), F.lit("(end)")).alias("b")
-        ),
-    )
-    differing = F.filter(places, lambda p: p.getField("a") != p.getField("b"))
     flags = F.array(
         *[F.struct(F.lit(m).alias("marker"), F.contains(a, F.lit(m)).alias("in_a"), F.contains(b, F.lit(m)).alias("in_b")) for m in markers]
     )
-    return let(
-        differing,
-        lambda d: F.struct(
-            F.length(a).alias("chars_a"), F.length(b).alias("chars_b"), counter(a).alias("tokens_a"),
-            counter(b).alias("tokens_b"), F.size(la).alias("lines_a"), F.size(lb).alias("lines_b"),
-            flags.alias("markers"), F.size(d).alias("differing_lines"), F.slice(d, 1, 5).alias("first_differences"),
-        ),
-    )
+
+    def compare(lines: Column) -> Column:
+        # both texts are split once; the lines come in pairs, so that no place looks for its own in an array
+        la, lb = lines.getField("a"), lines.getField("b")
+        places = F.filter(
+            F.transform(
+                F.when(la.isNotNull() | lb.isNotNull(), F.arrays_zip(_all(la).alias("a"), _all(lb).alias("b"))),
+                lambda p, i: F.struct(
+                    i.alias("line"), F.coalesce(p.getField("a"), F.lit("(end)")).alias("a"), F.coalesce(p.getField("b"), F.lit("(end)")).alias("b")
+                ),
+            ),
+            lambda p: p.getField("a") != p.getField("b"),
+        )
+        return let(
+            places,
+            lambda d: F.struct(
+                F.length(a).alias("chars_a"), F.length(b).alias("chars_b"), counter(a).alias("tokens_a"),
+                counter(b).alias("tokens_b"), F.size(la).alias("lines_a"), F.size(lb).alias("lines_b"),
+                flags.alias("markers"), F.size(d).alias("differing_lines"), F.slice(d, 1, 5).alias("first_differences"),
+            ),
+        )
+
+    return let(F.struct(F.split(a, "\n").alias("a"), F.split(b, "\n").alias("b")), compare)
 
 
 def training_text(df: DataFrame, weights: DataFrame, prompt: str = "prompt", label: str = "label") -> DataFrame:

@@ -323,3 +323,10 @@ def test_fixture_pair_falls_back(spark):
     assert pick(df.where("user_id = 'u1'")) == []
     both = df.union(spark.createDataFrame([("u0", "y", 0), ("u0", "z", 1)], df.schema))
     assert pick(both, pinned_user="u0") == ["y", "z"]
+
+
+def test_parity_splits_each_text_once(spark):
+    df = spark.createDataFrame([("a\nb", None), (None, None), ("", "")], "a string, b string").select(prompts.prompt_parity(F.col("a"), F.col("b"), ["x"]).alias("r"))
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
+    rows = [r["r"] for r in df.collect()]
+    assert [r["differing_lines"] for r in rows] == [2, None, 0] and [r["lines_b"] for r in rows] == [None, None, 1]
