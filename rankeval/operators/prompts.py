@@ -25,6 +25,12 @@ GENERIC_QUESTION = "Will the user click this item? Answer:"
 CONVERSATIONS_HEAD = "CONVERSATIONS (recent groups, newest first):"
 NO_CONVERSATIONS = "CONVERSATIONS: (none)"
 NO_SHOWN_CARDS = "SHOWN_CARDS: (none)"
+INTERACTION_HEADS = {
+    "thumbsUp": "USER_INTERACTIONS (positive signals, thumbs-up card titles):",
+    "thumbsDown": "USER_INTERACTIONS (negative signals, thumbs-down card titles):",
+    "clicks": "USER_INTERACTIONS (click signals, clicked card titles):",
+}
+NO_INTERACTIONS = "USER_INTERACTIONS: (none)"
 GROUP_TALK = "  - Recent conversation history:"
 GROUP_NEGATIVE = "  - Negative interests (avoid):"
 GROUP_NOW = "- Current date and time: "
@@ -81,11 +87,11 @@ def _interaction_lines(ctx: Column) -> Column:
     inter = ctx.getField("interactions")
     up, down, clicks = (_all(inter.getField(k)) for k in ("thumbsUp", "thumbsDown", "clicks"))
     lines = F.concat(
-        _bullets(up, "USER_INTERACTIONS (positive signals, thumbs-up card titles):"),
-        _bullets(down, "USER_INTERACTIONS (negative signals, thumbs-down card titles):"),
-        _bullets(clicks, "USER_INTERACTIONS (click signals, clicked card titles):"),
+        _bullets(up, INTERACTION_HEADS["thumbsUp"]),
+        _bullets(down, INTERACTION_HEADS["thumbsDown"]),
+        _bullets(clicks, INTERACTION_HEADS["clicks"]),
     )
-    return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(_texts("USER_INTERACTIONS: (none)")))
+    return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(_texts(NO_INTERACTIONS)))
 
 
 def _group_lines(g: Column, i: Column) -> Column:
@@ -612,6 +618,37 @@ def greedy_prompt(
     return let(fixed, build)
 
 
+_SHRUNK = "struct<done:boolean,step:int,h:int,c:int>"
+
+
+def first_shrunk(counts, budget: int, limit: int) -> tuple[bool, int, int, int]:
+    """The first number of removals whose budgeted and wrapped prompt has at most ``limit`` tokens, with the history entries and
+    conversation groups it keeps, told from token counts of its lines; the last number if none fits."""
+    upto = lambda sizes: [0, *accumulate(sizes)]
+    groups, shown = upto(counts["groups"]), upto(counts["shown"])
+    no_talk, talk_head = counts["group_heads"]
+    talk = [talk_head + x if i else no_talk for i, x in enumerate(groups)]
+    seen = [head + x for head, x in zip(counts["shown_heads"], shown)]
+    titles, heads, order = [upto(counts[f"titles{q}"]) for q in range(3)], counts["heads"], list(counts["order"])
+    left, n, m = [len(t) - 1 for t in titles], len(shown) - 1, len(groups) - 1
+    halves = [n >> i for i in range(n.bit_length() + 1)]  # n to 0
+    signals = lambda: sum(heads[q] + titles[q][x] for q, x in enumerate(left) if x) if any(left) else heads[3]
+    fixed, more = counts["fixed"] + signals(), counts["wrapped"] - counts["fixed"]
+    # without history: the most groups, up to each number, that fit
+    best = list(accumulate((c if fixed + talk[c] + seen[0] <= budget else -1 for c in range(m + 1)), max))
+    for step in range(m + len(order) + 1):
+        if step > m:
+            left[order[step - m - 1]] -= 1
+            fixed = counts["fixed"] + signals()
+        c = max(m - step, 0)
+        h = next((x for x in halves if fixed + talk[c] + seen[x] <= budget), None)
+        if h is None:
+            h, c = 0, max(best[c - 1], 0) if c else 0
+        if fixed + more + talk[c] + seen[h] <= limit:
+            return True, step, h, c
+    return False, step, h, c
+
+
 def shrink_prompt(
     df: DataFrame, max_len: int, limit: int, counter: Counter = word_count, history: str = "history",
     interests: str = "interests", candidate: str = "candidate", intro: str = INTRO, wrap: tuple[str, str] = ("", ""),
@@ -642,8 +679,8 @@ def shrink_prompt(
     budget = body_budget(max_len)
     h = F.col(history)
 
-    def render(step: Column) -> Column:
-        """Wrapped text after ``step`` removals: conversations first, then interaction titles in turn."""
+    def reduced(step: Column) -> tuple[Column, Column]:
+        """Context and conversations after ``step`` removals: conversations first, then interaction titles in turn."""
         gone_conv = F.least(step, F.col("_m"))
         taken = F.slice(F.col("_order"), F.lit(1), step - gone_conv)
         left = {
@@ -651,11 +688,17 @@ def shrink_prompt(
             for k, q in queues.items()
         }
         kept_conv = F.slice(conv, F.lit(1), F.col("_m") - gone_conv)
-        reduced = F.struct(
+        rest = F.struct(
             ctx.getField("positive").alias("positive"), ctx.getField("negative").alias("negative"),
             kept_conv.alias("conversations"),
             F.struct(left["clicks"].alias("clicks"), left["thumbsUp"].alias("thumbsUp"), left["thumbsDown"].alias("thumbsDown")).alias("interactions"),
         )
+        return rest, kept_conv
+
+    wrapped = lambda body: F.concat(F.lit(wrap[0]), body, F.lit(wrap[1]))
+
+    def render(step: Column) -> Column:
+        rest, kept_conv = reduced(step)
 
         def fit(head: Column) -> Column:
             shape = "struct<done:boolean,text:string>"
@@ -669,22 +712,50 @@ def shrink_prompt(
 
             return F.aggregate(steps, first, one, lambda a: a.getField("text"))
 
-        body = let(_head(reduced, intro), fit)
-        return F.concat(F.lit(wrap[0]), body, F.lit(wrap[1]))
+        return wrapped(let(_head(rest, intro), fit))
 
-    shape = "struct<done:boolean,text:string,step:int>"
+    def by_rendering() -> DataFrame:
+        shape = "struct<done:boolean,text:string,step:int>"
 
-    def attempt(a: Column, step: Column) -> Column:
-        tried = let(
-            render(step),
-            lambda t: F.struct((counter(t) <= limit).alias("done"), t.alias("text"), step.alias("step")).cast(shape),
+        def attempt(a: Column, step: Column) -> Column:
+            tried = let(
+                render(step),
+                lambda t: F.struct((counter(t) <= limit).alias("done"), t.alias("text"), step.alias("step")).cast(shape),
+            )
+            return F.when(a.getField("done"), a).otherwise(tried)
+
+        start = F.struct(F.lit(False).alias("done"), F.lit("").alias("text"), F.lit(0).alias("step")).cast(shape)
+        return work.withColumn("_r", F.aggregate(F.sequence(F.lit(0), F.col("_m") + F.size("_order")), start, attempt))
+
+    def by_sums() -> DataFrame:
+        """Every line is counted once; only the text that is kept is put together."""
+        @F.pandas_udf(_SHRUNK)
+        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                found = [first_shrunk(r, budget, limit) for r in pdf.to_dict("records")]
+                yield pd.DataFrame(found, columns=["done", "step", "h", "c"])
+
+        before = F.array_join(F.concat(_texts(intro), _interest_lines(reduced(F.lit(0))[0]), _texts("")), "\n")
+        after = F.array_join(F.col("_tail"), "\n")
+        count = lambda t: F.coalesce(counter(t), F.lit(0)).cast("int")
+        each = lambda c, f: F.transform(_all(c), lambda t: count(F.concat(F.lit("  - "), t))).alias(f)
+        sums = F.struct(
+            (count(before) + count(after)).alias("fixed"),
+            (count(F.concat(F.lit(wrap[0]), before)) + count(F.concat(after, F.lit(wrap[1])))).alias("wrapped"),
+            F.coalesce(F.transform(conv, lambda g, i: count(F.array_join(_group_lines(g, i), "\n"))), F.expr("cast(array() as array<int>)")).alias("groups"),
+            F.coalesce(F.transform(_shown_items(h), count), F.expr("cast(array() as array<int>)")).alias("shown"),
+            F.transform(F.sequence(F.lit(0), size(h)), lambda i: F.when(i > 0, count(_shown_head(i))).otherwise(count(F.lit(NO_SHOWN_CARDS)))).alias("shown_heads"),
+            F.array(count(F.lit(NO_CONVERSATIONS)), count(F.lit(CONVERSATIONS_HEAD))).alias("group_heads"),
+            F.array(*[count(F.lit(INTERACTION_HEADS[k])) for k in queues], count(F.lit(NO_INTERACTIONS))).alias("heads"),
+            *[each(inter.getField(k), f"titles{q}") for k, q in queues.items()],
+            F.col("_order").alias("order"),
         )
-        return F.when(a.getField("done"), a).otherwise(tried)
+        found = work.withColumn("_s", search(sums))
+        rest, kept_conv = reduced(F.col("_s.step"))
+        body = _full(_head(rest, intro), _first_n(kept_conv, F.col("_s.c")), _first_n(h, F.col("_s.h")), F.col("_tail"))
+        return found.withColumn("_r", F.struct(F.col("_s.done").alias("done"), wrapped(body).alias("text"), F.col("_s.step").alias("step")))
 
-    start = F.struct(F.lit(False).alias("done"), F.lit("").alias("text"), F.lit(0).alias("step")).cast(shape)
-    work = work.withColumn(
-        "_r", F.aggregate(F.sequence(F.lit(0), F.col("_m") + F.size("_order")), start, attempt)
-    )
+    work = by_sums() if getattr(counter, "additive", False) else by_rendering()
     # the longest end of the text, in whole characters, that the counter finds short enough: a search by halves, as a shorter
     # end never counts more
     full = F.col("_r.text")

@@ -330,3 +330,17 @@ def test_parity_splits_each_text_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 2
     rows = [r["r"] for r in df.collect()]
     assert [r["differing_lines"] for r in rows] == [2, None, 0] and [r["lines_b"] for r in rows] == [None, None, 1]
+
+
+@pytest.mark.parametrize("wrap", [("", ""), ("Pre", "post")])
+def test_shrinking_by_sums_is_shrinking_by_rendering(spark, wrap):
+    df = samples(spark)
+    by_rendering = lambda c: text.word_count(c)
+    top = prompts.shrink_prompt(df, 1000, 10_000).first()["tokens"]
+    for max_len, limit in [(1000, top - 40), (1000, top - 80), (376, 200), (376, 30)]:
+        got = prompts.shrink_prompt(df, max_len, limit, wrap=wrap)
+        plan = got._jdf.queryExecution().analyzed().toString()
+        want = prompts.shrink_prompt(df, max_len, limit, by_rendering, wrap=wrap)
+        assert got.select("prompt", "tokens", "drops").collect() == want.select("prompt", "tokens", "drops").collect()
+        # no text is put together inside the search
+        assert plan.count("aggregate(") < want._jdf.queryExecution().analyzed().toString().count("aggregate(")
