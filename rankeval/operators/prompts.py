@@ -360,7 +360,8 @@ def budgeted_prompt(
     short = F.length("_full") <= int(2.5 * budget) if fast else F.lit(False)
     search = _search_by_sums if getattr(counter, "additive", False) else _search_by_rendering
     step = F.when(~short, search(h, conv, counter, budget))
-    out = parts.withColumn("_step", step)
+    # under a generator, so that a filter on the result does not search a second time below it
+    out = parts.select("*", F.explode(F.array(step)).alias("_step"))
     changed = F.col("_step.h").isNotNull() & ((F.col("_step.h") < n) | (F.col("_step.c") < m))
     again = _full(F.col("_head"), _first_n(conv, F.col("_step.c")), _first_n(h, F.col("_step.h")), F.col("_tail"))
     # the last resort reports everything as dropped
@@ -517,7 +518,7 @@ def budgeted_prompt_with(
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ledger = Ledger(count_tokens, budget)
         for pdf in parts:
-            found = [ledger.first_fitting(r) for r in pdf.to_dict("records")]
+            found = [ledger.first_fitting(r) if r["head"] is not None else (0, 0) for r in pdf.to_dict("records")]
             yield pd.DataFrame({"step": pd.array([f[0] for f in found], "Int32"), "renders": [f[1] for f in found]})
 
     parts = df.withColumn("_head", _head(ctx, intro)).withColumn("_tail", _tail(card))
@@ -530,24 +531,21 @@ def budgeted_prompt_with(
         F.coalesce(_shown_items(h), _none()).alias("shown"), F.transform(F.sequence(F.lit(0), n), _shown_head).alias("shown_heads"),
         _all_steps(h, conv).alias("steps"),
     )
-    # Python sees the long texts only
-    long = parts.where(many).withColumn("_steps", _all_steps(h, conv)).withColumn("_found", search(ledger))
-    step = F.get("_steps", F.coalesce("_found.step", F.size("_steps") - 1))
+    # Python sees the long texts only; short ones pass it as nulls, so that the rows are made once
+    found = parts.withColumn("_many", many).withColumn("_steps", F.when(F.col("_many"), _all_steps(h, conv)))
+    found = found.withColumn("_found", search(F.when(F.col("_many"), ledger)))
+    out = found.withColumn("_step", F.when(F.col("_many"), F.get("_steps", F.coalesce("_found.step", F.size("_steps") - 1))))
     again = _full(F.col("_head"), _first_n(conv, F.col("_step.c")), _first_n(h, F.col("_step.h")), F.col("_tail"))
-    none_fits = F.col("_found.step").isNull()
-    extra = [F.col("_found.renders").alias(renders)] if renders else []
-    cut = long.withColumn("_step", step).select(
+    none_fits = F.col("_many") & F.col("_found.step").isNull()
+    dropped = lambda size, kept: F.when(~F.col("_many"), 0).when(none_fits, size).otherwise(size - kept)
+    return out.select(
         *df.columns,
-        F.when(F.col("_found.step") == 0, F.col("_full")).otherwise(again).alias("prompt"),
-        (none_fits | (F.col("_found.step") != 0)).alias("truncated"),
-        F.when(none_fits, n).otherwise(n - F.col("_step.h")).alias("dropped_history"),
-        F.when(none_fits, m).otherwise(m - F.col("_step.c")).alias("dropped_conversations"), *extra,
-    )
-    short = parts.where(~many).select(
-        *df.columns, F.col("_full").alias("prompt"), F.lit(False).alias("truncated"),
-        F.lit(0).alias("dropped_history"), F.lit(0).alias("dropped_conversations"), *([F.lit(0).alias(renders)] if renders else []),
+        F.when(~F.col("_many") | (F.col("_found.step") == 0), F.col("_full")).otherwise(again).alias("prompt"),
+        (none_fits | (F.col("_many") & (F.col("_found.step") != 0))).alias("truncated"),
+        dropped(n, F.col("_step.h")).alias("dropped_history"),
+        dropped(m, F.col("_step.c")).alias("dropped_conversations"),
+        *([F.col("_found.renders").alias(renders)] if renders else []),
     )
-    return short.unionByName(cut)
 
 
 def truncation_stats(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rankeval.operators import differences, flatten, prompts, quality, sampling
 from rankeval.plans.registry import query, rounded
 from rankeval.plans.views import FEED_TAG, FEEDS_SQL, raw_feeds, table
 from rankeval.sources import readers
+from rankeval.sources.staging import stage, written
 
 FEEDS = "WITH " + FEEDS_SQL
 SEP = "¦"
@@ -244,7 +245,7 @@ def _(spark, sf):
 @query("feature_vectors_falsy_and_strict_text", f"""{FEEDS}, {FLAT_SQL} SELECT 'falsy' AS policy, count(*) AS n FROM flat WHERE has_features AND doc_id%9<>0
   UNION ALL SELECT 'strict', 0 UNION ALL SELECT 'coalesce', count(*) FROM flat""")
 def _(spark, sf):
-    df = flat(spark, sf)
+    df = stage(flat(spark, sf).select("features"))  # read by three passes
     one = lambda p: flatten.feature_columns(df, "features", ["quality", "note"], p).agg(F.lit(p).alias("policy"), F.count("*").alias("n"))
     return one("falsy").unionByName(one("strict")).unionByName(one("coalesce"))
 
@@ -434,7 +435,7 @@ def _(spark, sf):
 @query("training_text", f"""{FEEDS}, {FLAT_SQL}, w AS (SELECT sum(label) AS p, sum(1-label) AS n FROM flat) SELECT itemid, CASE WHEN label=1 THEN title||' Yes' ELSE title||' No' END AS text,
   round(CASE WHEN label=1 THEN (p+n)/(2.0::DOUBLE*p) ELSE (p+n)/(2.0::DOUBLE*n) END,6) AS weight FROM flat, w""")
 def _(spark, sf):
-    df = flat(spark, sf).select("candidate.itemid", F.col("candidate.title").alias("prompt"), "label")
+    df = written(flat(spark, sf).select("candidate.itemid", F.col("candidate.title").alias("prompt"), "label"), "titles")  # read twice
     out = prompts.training_text(df, sampling.class_weights(df))
     return rounded(out.select("itemid", "text", "weight"), ["weight"])
 

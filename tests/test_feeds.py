@@ -344,3 +344,16 @@ def test_shrinking_by_sums_is_shrinking_by_rendering(spark, wrap):
         assert got.select("prompt", "tokens", "drops").collect() == want.select("prompt", "tokens", "drops").collect()
         # no text is put together inside the search
         assert plan.count("aggregate(") < want._jdf.queryExecution().analyzed().toString().count("aggregate(")
+
+
+def test_a_filter_on_a_budgeted_prompt_does_not_search_twice(spark):
+    out = prompts.budgeted_prompt(samples(spark), 400)
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert searches(out.where("not truncated")) <= searches(out)
+
+
+def test_ledger_reads_its_rows_once(spark):
+    out = prompts.budgeted_prompt_with(samples(spark), 400, words, renders="renders")
+    assert "Union" not in out._jdf.queryExecution().analyzed().toString()
+    short = prompts.budgeted_prompt_with(samples(spark), 1_000_000, words, renders="renders").first()
+    assert (short["truncated"], short["dropped_history"], short["dropped_conversations"], short["renders"]) == (False, 0, 0, 0)
