@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rankeval.sources.staging import small, stage
+from rankeval.sources.staging import small, stage, written
 
 _CHUNK = 64  # splitters are searched in two steps: one coarse bound per 64, then inside one chunk
 
@@ -155,6 +155,26 @@ def ordered_index(df: DataFrame, by: Sequence[str], order: Sequence[str], name:
     return prefix_sums(df, by, order, {name: F.lit(1).cast("bigint")})
 
 
+def table_index(df: DataFrame, order: Sequence[str], name: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """Zero-based position of each row in the whole table, with the columns ``keep`` (all, if not given).
+
+    The table is one group, so no window over it is tried: its rows are written once, dealt to ranges of about ``PLAN.rows`` rows by
+    Spark's range partitioning and sorted there.  Rows know their range and their place in it; the sizes of the ranges before it
+    are added.  ``df`` is read once.
+    """
+    kept = [c for c in (df.columns if keep is None else keep)]
+    rows = written(df.select(*dict.fromkeys([*kept, *order])), "rows")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PLAN.rows))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(placed.select(*kept, F.monotonically_increasing_id().alias("_at")), "placed")
+    # the upper bits of that id tell the range, the others the place in it
+    part = F.shiftright("_at", 33)
+    sizes = stage(placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")))
+    before = prefix_sums(sizes, [], ["_part"], {"_before": "_n"}).drop("_n")
+    joined = placed.join(small(before, PLAN.bounds), part == F.col("_part"))
+    return joined.select(*kept, (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).alias(name))
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), name: str = "percentiles", rows: str | None = None,
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankeval.operators.flatten import flatten_impressions
-from rankeval.operators.ranges import ordered_index
+from rankeval.operators.ranges import table_index
 from rankeval.operators.sampling import hash_hex
 from rankeval.sources.folders import committed, exists, names
 
@@ -95,9 +95,9 @@ def prepare_days(feeds: DataFrame, path: str, wanted: DataFrame, tag: str, requi
 
 def score_rows(df: DataFrame, score: str, keys: Sequence[str]) -> DataFrame:
     """The per-row score table; ``idx`` is the place in key order."""
-    kept = dict.fromkeys([*keys, "label", "bizdate", "is_tagged", "feed_id", "user_id"])
-    rows = df.select(*kept, F.col(score).cast("double").alias("_score"))
-    numbered = ordered_index(rows, [], list(keys), "idx")
+    kept = ["label", "bizdate", "is_tagged", "feed_id", "user_id"]
+    rows = df.select(*dict.fromkeys([*keys, *kept]), F.col(score).cast("double").alias("_score"))
+    numbered = table_index(rows, list(keys), "idx", [*kept, "_score"])
     return numbered.select("idx", "label", F.col("_score").alias("score"), "bizdate", "is_tagged", "feed_id", "user_id")
 
 

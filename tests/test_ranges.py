@@ -107,3 +107,33 @@ def test_a_large_null_group_and_many_large_groups(spark, request, hot):
         want.append(((k is not None, k), (v is not None, v), seen.get(k, 0)))
         seen[k] = seen.get(k, 0) + 1
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("rows_to_a_range", [1 << 20, 24])
+def test_table_index(spark, monkeypatch, rows_to_a_range):
+    monkeypatch.setattr(ranges, "PLAN", ranges.RangePlan(rows=rows_to_a_range, sample=3, bounds=3))
+    data = rows(5)
+    df = spark.createDataFrame(data, "k string, v int, i int, w int").repartition(5)
+    got = ranges.table_index(df, ["k", "v", "i"], "place", ["i", "w"])
+    assert got.columns == ["i", "w", "place"]
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    assert sorted((r["place"], r["i"], r["w"]) for r in got.collect()) == [(p, i, w) for p, (_, _, i, w) in enumerate(want)]
+    assert ranges.table_index(df.limit(0), ["k"], "place").collect() == []
+
+
+def test_score_rows_read_their_input_once(spark):
+    from rankeval.sources.writers import score_rows
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(part):
+        for r in part:
+            seen.add(1)
+            yield r
+
+    data = [(i, i % 2, "20240101", 0, f"f{i % 7}", f"u{i % 3}", i / 9) for i in range(300)]
+    columns = "key long, label long, bizdate string, is_tagged long, feed_id string, user_id string, s double"
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, 5).mapPartitions(count), columns)
+    got = score_rows(df, "s", ["key"]).collect()
+    assert sorted((r["idx"], r["score"]) for r in got) == [(i, i / 9) for i in range(300)]
+    assert seen.value == 300
