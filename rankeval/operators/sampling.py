@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rankeval.operators.ranges import ordered_index
+from rankeval.operators.ranges import ordered_index, table_index
 from rankeval.operators.selection import first_by_content
-from rankeval.sources.staging import stage
+from rankeval.sources.staging import stage, written
 
 _SLOT_ROWS = 100_000  # rows that are ordered to find a cut
+_POOL_ROWS = 250_000  # rows of a pool that a task holds to look them up
 
 
 def hash_hex(seed: int, *keys: Column | str) -> Column:
@@ -125,6 +126,17 @@ def random_score(df: DataFrame, row_key: Sequence[str], seeds: int = 5) -> DataF
     return df.select("*", F.posexplode(scores).alias("seed", "random_score"))
 
 
+def _fetched(wanted: DataFrame, pool: DataFrame, total: int) -> DataFrame:
+    """``wanted`` with the pool's row of its ``_idx``, a number that the pool has once.
+
+    Both sides are dealt by the number to as many tasks as keep a task's part of the pool at ``_POOL_ROWS`` rows, so that part is
+    looked up in memory and the far larger side is never sorted.
+    """
+    default = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(default, -(-total // _POOL_ROWS))
+    return wanted.repartition(parts, "_idx").join(pool.repartition(parts, "_idx").hint("shuffle_hash"), "_idx")
+
+
 def mine_negatives(
     df: DataFrame, feed: str, item_cols: Sequence[str], label: str = "label", k: int = 20, seed: int = 42,
     cross_feed: bool = True,
@@ -141,12 +153,12 @@ def mine_negatives(
     ('in_session' or 'cross_feed'), neg_feed, neg_<item>...
     """
     items = list(item_cols)
-    rows = stage(df.select(feed, *items, label))
+    rows = written(df.select(feed, *items, label), "rows")
     anchors = rows.where(F.col(label) == 1).drop(label)
     anchors = anchors.withColumn("_start", stable_hash(seed, feed, *items))
     others = rows.where(F.col(label) == 0).drop(label).withColumn("_h", stable_hash(seed + 1, feed, *items))
     # numbered once; the numbers tell the sizes
-    numbered = stage(ordered_index(others, [feed], ["_h", *items], "_idx").select(feed, *items, "_idx"))
+    numbered = written(ordered_index(others, [feed], ["_h", *items], "_idx").select(feed, *items, "_idx"), "numbered")
     sizes = numbered.groupBy(feed).agg((F.max("_idx") + 1).alias("_m"))
 
     def spread(m: Column, need: Column) -> Column:
@@ -157,31 +169,33 @@ def mine_negatives(
             F.sequence(F.lit(0), count - 1), lambda j: F.pmod(F.col("_start") + j * step, m)
         ))
 
-    sized = anchors.join(sizes, feed, "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
-    in_feed = sized.where("_m > 0").withColumn("_idx", F.explode(spread(F.col("_m"), F.lit(k))))
+    sized = written(anchors.join(sizes, feed, "left").withColumn("_m", F.coalesce("_m", F.lit(0))), "anchors")
     got = numbered.select(feed, "_idx", *[F.col(c).alias(f"neg_{c}") for c in items])
     named = [F.col(feed).alias("anchor_feed"), *[F.col(c).alias(f"anchor_{c}") for c in items]]
     negs = [f"neg_{c}" for c in items]
-    session = in_feed.join(got, [feed, "_idx"]).select(
-        *named, F.lit("in_session").alias("source"), F.col(feed).alias("neg_feed"), *negs
-    )
+    own = [*named, F.lit("in_session").alias("source"), F.col(feed).alias("neg_feed"), *negs]
+    # a feed with at most k others gives an anchor all of them: no numbers are needed
+    session = sized.where((F.col("_m") > 0) & (F.col("_m") <= k)).join(got, feed).select(*own)
+    in_feed = sized.where(F.col("_m") > k).withColumn("_idx", F.explode(spread(F.col("_m"), F.lit(k))))
+    session = session.unionByName(in_feed.join(got, [feed, "_idx"]).select(*own))
     if not cross_feed:
         return session
 
     ring = anchors.select(feed, *items).withColumn("_fh", hash_hex(seed, feed)).withColumn(
         "_h", stable_hash(seed + 2, feed, *items)
     )
-    ring = stage(ordered_index(ring, [], ["_fh", feed, "_h", *items], "_idx").select(feed, *items, "_idx"))
+    ring = table_index(ring, ["_fh", feed, "_h", *items], "_idx", [feed, *items])
     blocks = ring.groupBy(feed).agg(F.min("_idx").alias("_from"), F.count("*").alias("_size"))
-    total = anchors.agg(F.count("*")).scalar()
+    total = anchors.count()
     short = sized.where(F.col("_m") < k).withColumn("_need", (F.lit(k) - F.col("_m")).cast("bigint"))
-    placed = short.join(blocks, feed).withColumn("_total", total)
+    placed = short.join(blocks, feed).withColumn("_total", F.lit(total))
     placed = placed.withColumn("_others", F.col("_total") - F.col("_size")).where("_others > 0")
     wanted = placed.withColumn("_t", F.explode(spread(F.col("_others"), F.col("_need"))))
     wanted = wanted.withColumn("_idx", F.pmod(F.col("_from") + F.col("_size") + F.col("_t"), F.col("_total")))
+    wanted = wanted.select("_idx", *named, F.lit("cross_feed").alias("source"))
     pool = ring.select("_idx", F.col(feed).alias("neg_feed"), *[F.col(c).alias(f"neg_{c}") for c in items])
-    cross = wanted.join(pool, "_idx").select(*named, F.lit("cross_feed").alias("source"), "neg_feed", *negs)
-    return session.unionByName(cross)
+    cross = _fetched(wanted, pool, total)
+    return session.unionByName(cross.select(*[c.name for c in session.schema]))
 
 
 def mining_stats(pairs: DataFrame, anchor_cols: Sequence[str]) -> DataFrame:
