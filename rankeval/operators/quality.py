@@ -258,7 +258,7 @@ def pick_fixture_pair(
     The pinned user is taken if eligible; else the first user with both labels; else the first with two rows
     (its first two rows).
     """
-    rows = df.where(rich)
+    rows = stage(df.where(rich))  # read for the users and again for the fallback
     y = F.col(label) == 1
     key = F.struct(*order)
     packed = F.struct(*df.columns)
@@ -271,7 +271,7 @@ def pick_fixture_pair(
     ).where("_n >= 2")
     split = (F.col("_p") > 0) & (F.col("_p") < F.col("_n"))
     pinned = F.coalesce(F.col(user) == F.lit(pinned_user), F.lit(False)) & split if pinned_user is not None else F.lit(False)
-    best = per_user.orderBy(F.desc(pinned), F.desc(split), "_first_key").limit(1)
+    best = stage(per_user.orderBy(F.desc(pinned), F.desc(split), "_first_key").limit(1))
     both = best.where(split).select(F.inline(F.array("_pos", "_neg")))
     only = best.where(~split).select(F.col(user).alias("_u"))
     fallback = rows.join(F.broadcast(only), F.col(user).eqNullSafe(F.col("_u"))).drop("_u").orderBy(*order).limit(2)

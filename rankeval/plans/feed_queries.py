@@ -126,10 +126,11 @@ def _(spark, sf):
   count(*) FILTER (bizdate<>'' AND itemid NOT LIKE '%-2') AS same_label FROM flat GROUP BY 1""")
 def _(spark, sf):
     """Q1 over samples with nested fields: the other side lacks undated feeds, some features, and turns some labels."""
-    left = flat(spark, sf).select("feed_id", "candidate.itemid", "label", "features", "interests")
-    right = flat(spark, sf).where("bizdate <> ''").select(
-        "feed_id", "candidate.itemid", F.when(F.col("candidate.itemid").endswith("-2"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"),
-        F.when(~F.col("candidate.itemid").endswith("-1"), F.col("features")).alias("features"), "interests",
+    rows = written(flat(spark, sf).select("feed_id", "candidate.itemid", "bizdate", "label", "features", "interests"), "samples")
+    left = rows.drop("bizdate")
+    right = rows.where("bizdate <> ''").select(
+        "feed_id", "itemid", F.when(F.col("itemid").endswith("-2"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"),
+        F.when(~F.col("itemid").endswith("-1"), F.col("features")).alias("features"), "interests",
     )
     fields = ["label", "features", "interests"]
     matched = quality.reconcile(left, right, ["feed_id", "itemid"], fields)
