@@ -214,7 +214,25 @@ def flatten_impressions(
 def _first_feeds(feeds: DataFrame, n: int, args: tuple) -> DataFrame:
     """The records of the first ``n`` feeds by id.  Ids at most are ordered, and only feeds up to the cut are read whole."""
     key = F.col("feed_id") if "feed_id" in feeds.columns else F.lit("")
-    return first_by(feeds, key, n, lambda rows: _inline_feeds(rows, *args, rows_of=_one_record, carry=("_key",)))
+    make = lambda rows: _inline_feeds(rows, *args, rows_of=_one_record, carry=("_key",))
+    return first_by(feeds, key, n, make, lambda rows: _surviving(rows, *args[:5]))
+
+
+def _surviving(feeds: DataFrame, lo: str, hi: str, tag: str, require_features: bool, require_interests: bool) -> DataFrame:
+    """``_key`` of the feeds that :func:`_inline_feeds` makes a record of; cards and interests are read, no context is built.
+
+    The test is under a generator, as there: the optimizer would push a filter below the columns it reads and compute them again.
+    """
+    kept = with_missing_columns(feeds, RAW_FEED | {"_key": "string"})
+    kept = kept.where(date_between(F.col("bizdate"), lo, hi))
+    if tag:
+        kept = kept.where(has_tag(F.col("flight_ids"), tag))
+    cards = json_objects(_as_json(feeds, "candidate_cards"))
+    wanted = lambda v: is_impression(v) & has_features(v) if require_features else is_impression(v)
+    some = F.exists(cards, wanted)
+    if require_interests:
+        some = some & (F.size(ctx.named_interests(json_array(_as_json(feeds, "interests"), ctx.INTEREST))) > 0)
+    return kept.select("_key", F.inline(F.when(some, F.array(F.struct(F.lit(True).alias("_some"))))))
 
 
 def _one_record(cards: Column, c: Column) -> Column:

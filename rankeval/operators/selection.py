@@ -57,19 +57,23 @@ def nth_smallest(keys: DataFrame, n: int) -> Cut | None:
     raise AssertionError("the counts changed between two readings")
 
 
-def first_by(df: DataFrame, key: Column, n: int, make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def first_by(
+    df: DataFrame, key: Column, n: int, make: Callable[[DataFrame], DataFrame] | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The ``n`` rows of ``make(df)`` with the smallest text ``key``; rows that share the last key are taken by their content, and
     equal ones are interchangeable.
 
     ``key`` is an expression over ``df`` that ``make``, which may drop and widen rows but not add any, keeps as the column ``_key``.
-    Rows beyond the cut are filtered before ``make``.  A null key counts as empty.
+    Rows beyond the cut are filtered before ``make``.  ``keep``, if given, is a cheaper way to the ``_key`` of the rows that ``make``
+    does not drop.  A null key counts as empty.
     """
     text = F.coalesce(key.cast("string"), F.lit(""))
     build = make or (lambda rows: rows)
     if n <= 0:
         return build(df.withColumn("_key", text)).drop("_key").limit(0)
     keyed = df.withColumn("_key", text)
-    cut = nth_smallest(stage(build(keyed).select("_key")), n)
+    cut = nth_smallest(stage((keep or build)(keyed).select("_key")), n)
     if cut is None:
         return build(keyed).drop("_key")
     if cut.below + cut.equal == n:
