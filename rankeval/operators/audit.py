@@ -11,7 +11,7 @@ from rankeval.operators.debias import ctr_curve
 from rankeval.operators.metrics import unpivot
 from rankeval.operators.permutation import null_information
 from rankeval.operators.ranges import exact_percentiles, join_on
-from rankeval.sources.staging import small, stage
+from rankeval.sources.staging import small, stage, written
 
 
 def quantile_edges(df: DataFrame, c: str, q: int, by: Sequence[str], rows: str | None = None) -> DataFrame:
@@ -61,10 +61,11 @@ def _information(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     return cells.groupBy(*by).agg(F.sum(p * F.log(ratio)).alias("mi"), F.max("n").alias("n"))
 
 
-def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    """Chi-square test of independence, continuity-corrected only for a 2 x 2 table."""
+def chi_square(df: DataFrame, a: str, b: str, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Chi-square test of independence, continuity-corrected only for a 2 x 2 table; ``rows``: how many rows a row of ``df``
+    stands for."""
     by = list(by)
-    cells = stage(contingency(df, a, b, by))
+    cells = stage(contingency(df, a, b, by, rows))
     expected = F.col("n_a").cast("double") * F.col("n_b") / F.col("n")
     stats = cells.groupBy(*by).agg(
         (F.sum(F.col("n_ab").cast("double") * F.col("n_ab") / expected) - F.max("n")).alias("_plain"),
@@ -124,9 +125,9 @@ def _binned_features(
     """
     long = unpivot(df.where(F.col(position) < max_pos), [*by, position], features)
     g = [*by, "feature"]
-    values = stage(long.groupBy(*g, "value", position).agg(F.count("*").alias("n_rows")))
+    values = written(long.groupBy(*g, "value", position).agg(F.count("*").alias("n_rows")), "values")
     c, v = F.col("_c").cast("double"), F.col("value")
-    distinct = stage(values.groupBy(*g, "value").agg(F.sum("n_rows").alias("_c")))
+    distinct = written(values.groupBy(*g, "value").agg(F.sum("n_rows").alias("_c")), "distinct")
     spread = distinct.groupBy(*g).agg(
         F.count("*").alias("_distinct"), (F.sum(c * v * v) / F.sum(c) - F.pow(F.sum(c * v) / F.sum(c), F.lit(2.0))).alias("_var")
     )
@@ -146,10 +147,12 @@ def score_position_mi(
     return _information(contingency(counted, "bin", position, g, "n_rows"), g)
 
 
-def category_coverage(df: DataFrame, c: str, by: Sequence[str] = (), min_rows: int = 100) -> DataFrame:
-    """Distinct values, entropy in bits, its maximum and ratio, share of the five largest values."""
+def category_coverage(df: DataFrame, c: str, by: Sequence[str] = (), min_rows: int = 100, rows: str | None = None) -> DataFrame:
+    """Distinct values, entropy in bits, its maximum and ratio, share of the five largest values; ``rows``: how many rows a row
+    of ``df`` stands for."""
     by = list(by)
-    counts = stage(df.groupBy(*by, F.col(c).cast("string").alias(c)).agg(F.count("*").alias("_c")))
+    many = F.count("*") if rows is None else F.sum(rows)
+    counts = stage(df.groupBy(*by, F.col(c).cast("string").alias(c)).agg(many.alias("_c")))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.count("*").alias("n_values"))
     totals = totals.where(F.col("n") >= min_rows)
     if by:
@@ -186,21 +189,22 @@ def unbiasedness_audit(
 ) -> dict[str, DataFrame]:
     """All tests for a slice and its complement, one DataFrame per test.
 
-    Groups below ``min_rows`` rows are left out of the independence tests.
+    Groups below ``min_rows`` rows are left out of the independence tests.  Rows are made and written once; what asks for category,
+    position and label works on their counts.
     """
     rows = df.withColumn("slice", F.when(in_slice, "tagged").otherwise("rest"))
-    rows = stage(rows.select("slice", feed, category, position, label, *features))
+    rows = written(rows.select("slice", feed, category, position, label, *features), "audited")
     meta = stage(slice_meta(rows, "slice", feed))
-    large = meta.where(F.col("rows") >= min_rows).select("slice")
-    tested = rows.join(small(large), "slice", "left_semi")
-    first = tested.where(F.col(position) < max_pos)
-    scores = _binned_features(tested, features, ["slice"], position, max_pos, 8)
+    large = small(meta.where(F.col("rows") >= min_rows).select("slice"))
+    counts = stage(rows.groupBy("slice", category, position, label).agg(F.count("*").alias("n_rows")))
+    first = counts.join(large, "slice", "left_semi").where(F.col(position) < max_pos)
+    scores = _binned_features(rows.join(large, "slice", "left_semi"), features, ["slice"], position, max_pos, 8)
     return {
         "meta": meta,
-        "category_position": permutation_mi(first, category, position, n_perm, 0, ["slice"]).join(
-            chi_square(first, category, position, ["slice"]), "slice"
+        "category_position": permutation_mi(first, category, position, n_perm, 0, ["slice"], "n_rows").join(
+            chi_square(first, category, position, ["slice"], "n_rows"), "slice"
         ),
         "score_position": permutation_mi(scores, "bin", position, n_perm_scores, 0, ["slice", "feature"], "n_rows"),
-        "position_ctr": ctr_curve(rows, ["slice"], 15, 100, position, label),
-        "category_coverage": category_coverage(rows, category, ["slice"]),
+        "position_ctr": ctr_curve(counts, ["slice"], 15, 100, position, label, "n_rows"),
+        "category_coverage": category_coverage(counts, category, ["slice"], rows="n_rows"),
     }

@@ -13,22 +13,25 @@ from rankeval.sources.staging import small, stage
 
 
 def ctr_by_position(
-    df: DataFrame, by: Sequence[str] = (), position: str = "position_rank", label: str = "label"
+    df: DataFrame, by: Sequence[str] = (), position: str = "position_rank", label: str = "label", rows: str | None = None
 ) -> DataFrame:
-    """A3: impressions, clicks and click-through rate per position."""
+    """A3: impressions, clicks and click-through rate per position; ``rows``: how many rows a row of ``df`` stands for."""
+    shown, clicks = F.count(label), F.sum(label)
+    if rows is not None:
+        shown, clicks = F.sum(F.when(F.col(label).isNotNull(), F.col(rows)).otherwise(0)), F.sum(F.col(label) * F.col(rows))
     return (
         df.groupBy(*by, position)
-        .agg(F.count(label).alias("impressions"), F.sum(label).cast("bigint").alias("clicks"))
+        .agg(shown.alias("impressions"), clicks.cast("bigint").alias("clicks"))
         .withColumn("ctr", F.col("clicks") / F.col("impressions"))
     )
 
 
 def ctr_curve(
     df: DataFrame, by: Sequence[str] = (), max_pos: int = 15, min_rows: int = 100,
-    position: str = "position_rank", label: str = "label",
+    position: str = "position_rank", label: str = "label", rows: str | None = None,
 ) -> DataFrame:
-    """A4: rate and count of the first positions, only for groups of at least ``min_rows`` rows."""
-    per_pos = stage(ctr_by_position(df, by, position, label))
+    """A4: rate and count of the first positions, only for groups of at least ``min_rows`` rows; ``rows`` as above."""
+    per_pos = stage(ctr_by_position(df, by, position, label, rows))
     sizes = per_pos.groupBy(*by).agg(F.sum("impressions").alias("_n")).where(F.col("_n") >= min_rows)
     if by:
         kept = join_on(per_pos, sizes, list(by), "left_semi")

@@ -73,7 +73,9 @@ def _parts(cells: DataFrame, a: str, b: str, by: Sequence[str], n: int) -> DataF
     work = work.withColumn("_margin", F.transform("_kinds", lambda k: k.getField("size")))
     work = work.withColumn("_stream", F.xxhash64(F.to_json(F.struct(*by), {"ignoreNullFields": "false"})))
     blocks = F.sequence(F.lit(0), F.lit(n - 1), F.lit(REPLICATES))
-    return work.withColumn("_first", F.explode(blocks)).repartition(*by, "_chunk", "_first")
+    # a stated number of tasks: the rows are few and small, and would be joined to one task, but each is much work
+    tasks = max(cells.sparkSession.sparkContext.defaultParallelism, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return work.withColumn("_first", F.explode(blocks)).repartition(tasks, *by, "_chunk", "_first")
 
 
 def _counted(df: DataFrame, a: str, b: str, by: Sequence[str], rows: str | None) -> DataFrame:
