@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankeval.llm.arrow_rows import fresh, mapped, slices
 from rankeval.llm.components import labels
-from rankeval.llm.encoding import runs
 from rankeval.llm.shingles import Shingles, mix, shingles
 from rankeval.sources.staging import release, stage, written
 
@@ -36,6 +35,7 @@ TILE = 1024  # nodes of a key and band in one tile
 SALT_BITS = 16
 FILTER_BITS = 1 << 23
 PIECE = 1 << 18  # shingles verified in one tile, about
+PIECE_BYTES = 1 << 19  # of texts whose shingles are taken together, about
 
 I64, BYTES = pa.int64(), pa.binary()
 
@@ -46,6 +46,12 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f[0] for f in fields])
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """``(start, stop)`` of consecutive texts of about ``PIECE_BYTES`` and the texts; no more than those are held as Python texts."""
+    for a, b in slices(texts, PIECE_BYTES):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -62,9 +68,8 @@ def frequent(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.nda
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in runs(texts):
-                found = shingles(texts[a:b], k).hashes
+            for _, _, texts in _pieces(batch.column(0)):
+                found = shingles(texts, k).hashes
                 keys, n = np.unique(found[found < LOW], return_counts=True)
                 yield _batch("key long, n long", [_signed(keys), n])
 
@@ -141,9 +146,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for a, b in runs(texts):
-                s = shingles(texts[a:b], k)
+            row = batch.column(0).to_numpy()
+            for a, b, texts in _pieces(batch.column(2)):
+                s = shingles(texts, k)
                 keys, start, rare = prefix_keys(s, row[a:b], hot.value, num, den)
                 lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(keys))
                 yield _batch(SKETCH, [row[a:b], batch.column(1).slice(a, b - a), s.sizes, *set_hashes(s), rare, bitmaps(s), lists])
@@ -323,20 +328,20 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, tex
         for batch in batches:
             at = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((wanted.value[at >> 5] >> (at & 31)) & 1 == 1))
-            texts = batch.column(2).to_pylist()
-            for a, b in runs(texts):
-                s = shingles(texts[a:b], k)
+            for a, b, texts in _pieces(batch.column(2)):
+                s = shingles(texts, k)
                 yield _batch(schema, [batch.column(1).slice(a, b - a), *set_hashes(s), [s.of(i).tobytes() for i in range(b - a)]])
 
     doc = F.col(id_col).cast("long")
     texts = docs.select(F.pmod(F.xxhash64(doc), F.lit(FILTER_BITS)).alias("at"), doc.alias("doc_id"), F.col(text_col))
     found = texts.mapInArrow(task, "d long, g1 long, g2 long, shingles binary")
-    sets = ids.join(found, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("d")))
     per = pairs.groupBy("leader").agg(F.ceil(F.sum("size") / PIECE).cast("int").alias("pieces"))
     placed = stage(pairs.join(per, "leader").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).select("leader", "piece", "a", "b"))
     ends = placed.select("leader", "piece", F.col("a").alias("node")).union(placed.select("leader", "piece", "b")).distinct()
     none = F.lit(None).cast("binary")
-    held = ends.join(sets.select("node", "shingles"), "node").select("leader", "piece", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
+    # ids are laid on the ends first: the sets, which are large, are dealt by what they are known by and then to their tiles, no more
+    known = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    held = ends.join(ids, "node").join(found, known).select("leader", "piece", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "shingles")
     tiles = held.unionByName(placed.select("leader", "piece", F.lit(1).alias("kind"), "a", "b", none.alias("shingles")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,12 +359,13 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, tex
                 yield _batch("u long, v long", list(zip(*out)))
 
         for batch in batches:
-            for leader, piece, kind, a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
+            sets = batch.column(5)
+            for i, (leader, piece, kind, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
                 if key != (leader, piece):
                     yield from joined()
                     key, have, root = (leader, piece), {}, {}
                 if kind == 0:
-                    have[a] = np.frombuffer(data, "<u8")
+                    have[a] = np.frombuffer(sets[i].as_py(), "<u8")  # a copy: the batch is not held
                     continue
                 u, v = sorted((top(a), top(b)))
                 if u != v:
@@ -380,10 +386,13 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     spark = docs.sparkSession
     sketch = sketches(docs, id_col, text_col, k, num, den)
     release(spark)
+    whole, sketch = sketch, stage(sketch.select("doc_id", "n", "h1", "h2", "row"))
     some = sketch.where("n > 0")
     equal = some.groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     equal = stage(equal.select("n", "h1", "h2", F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id")))
-    nodes = stage(sketch.join(equal.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "rare", "bits", "keys"))
+    nodes = stage(whole.join(equal.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "n", "h1", "h2", "rare", "bits", "keys"))
+    del whole  # bitmaps and keys are the nodes' from here on; the checkpoint that holds them for every document can go
+    release(spark)
     members = neighbours(nodes.select(F.explode("keys").alias("tile"), "node", "n", "rare"), num, den)
     release(spark)
     near = members.select("node", "leader", F.explode(F.array_distinct(F.array("before", "hub"))).alias("other")).where("other is not null")
