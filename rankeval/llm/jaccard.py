@@ -423,29 +423,31 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str =
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _marked(batches: Iterator[pa.RecordBatch], at: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The rows with size and hashes of their sets behind them; column ``at`` holds the texts, shingled a piece at a time."""
+    for batch in batches:
+        for a, b, texts in _pieces(batch.column(at)):
+            s = shingles(texts, k)
+            columns = [*batch.slice(a, b - a).columns, *(pa.array(x, I64) for x in (s.sizes, *set_hashes(s)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the smallest id (null last) stays, and
     of rows alike in id and shingles one; documents without words all stay."""
     _, grouped = _grouped(docs, k, num, den, id_col, text_col)
     first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "n", "h1", "h2")).alias("f"))
     own = [fresh(c, docs.columns) for c in ("set_n", "set_h1", "set_h2")]
-    kept_id, kept = fresh("kept_id", docs.columns), [fresh(f"kept_{c}", docs.columns) for c in ("n", "h1", "h2")]
-    kept_rows = stage(first.select(F.col("f.first_id").alias(kept_id), *[F.col(f"f.{c}").alias(x) for c, x in zip(("n", "h1", "h2"), kept)]))
+    number, none = fresh("id_number", docs.columns), fresh("id_is_null", docs.columns)
+    known = lambda c: [F.coalesce(c, F.lit(0)).alias(number), c.isNull().alias(none)]
+    kept_rows = stage(first.select(*known(F.col("f.first_id")), *[F.col(f"f.{c}").alias(x) for c, x in zip(("n", "h1", "h2"), own)]))
+    del grouped, first
+    release(docs.sparkSession)  # of what was kept on the way only these rows are needed
     at = docs.columns.index(text_col)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(at)):
-                part = batch.slice(a, b - a)
-                s = shingles(part.column(at).to_pylist(), k)
-                numbers = [pa.array(x, I64) for x in (s.sizes, *set_hashes(s))]
-                columns = [*part.columns, *numbers]
-                yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
-
-    marked = mapped(docs, task, {c: T.LongType() for c in own})
+    marked = mapped(docs, lambda batches: _marked(batches, at, k), {c: T.LongType() for c in own})
     plain = [F.col(f"`{c}`") for c in docs.columns]
     wordless = marked.where(F.col(own[0]) == 0).select(plain)
-    # by id as well, so that a large group of copies is spread
-    same: Column = reduce(lambda x, y: x & y, [F.col(x) == F.col(y) for x, y in zip(own, kept)])
-    stays = marked.join(kept_rows, same & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
-    return stays.dropDuplicates([id_col, *own]).select(plain).unionByName(wordless)
+    # by id as well, so that a large group of copies is spread; rows alike meet by the same columns, so whole rows are dealt once
+    keys = [number, none, *own]
+    stays = marked.select("*", *known(F.col(f"`{id_col}`").cast("long"))).join(kept_rows, keys, "left_semi")
+    return stays.dropDuplicates([id_col, *keys]).select(plain).unionByName(wordless)
