@@ -616,12 +616,12 @@ def greedy_prompt(
     return let(fixed, build)
 
 
-_SHRUNK = "struct<done:boolean,step:int,h:int,c:int>"
+_SHRUNK = "struct<done:boolean,step:int,h:int,c:int,total:int>"
 
 
-def first_shrunk(counts, budget: int, limit: int) -> tuple[bool, int, int, int]:
+def first_shrunk(counts, budget: int, limit: int) -> tuple[bool, int, int, int, int]:
     """The first number of removals whose budgeted and wrapped prompt has at most ``limit`` tokens, with the history entries and
-    conversation groups it keeps, told from token counts of its lines; the last number if none fits."""
+    conversation groups it keeps and the tokens it has, told from token counts of its lines; the last number if none fits."""
     upto = lambda sizes: [0, *accumulate(sizes)]
     groups, shown = upto(counts["groups"]), upto(counts["shown"])
     no_talk, talk_head = counts["group_heads"]
@@ -631,7 +631,7 @@ def first_shrunk(counts, budget: int, limit: int) -> tuple[bool, int, int, int]:
     left, n, m = [len(t) - 1 for t in titles], len(shown) - 1, len(groups) - 1
     halves = [n >> i for i in range(n.bit_length() + 1)]  # n to 0
     signals = lambda: sum(heads[q] + titles[q][x] for q, x in enumerate(left) if x) if any(left) else heads[3]
-    fixed, more = counts["fixed"] + signals(), counts["wrapped"] - counts["fixed"]
+    fixed, more = counts["fixed"] + signals(), counts["more"]
     # without history: the most groups, up to each number, that fit
     best = list(accumulate((c if fixed + talk[c] + seen[0] <= budget else -1 for c in range(m + 1)), max))
     for step in range(m + len(order) + 1):
@@ -642,9 +642,10 @@ def first_shrunk(counts, budget: int, limit: int) -> tuple[bool, int, int, int]:
         h = next((x for x in halves if fixed + talk[c] + seen[x] <= budget), None)
         if h is None:
             h, c = 0, max(best[c - 1], 0) if c else 0
-        if fixed + more + talk[c] + seen[h] <= limit:
-            return True, step, h, c
-    return False, step, h, c
+        total = fixed + more + talk[c] + seen[h]
+        if total <= limit:
+            return True, step, h, c, total
+    return False, step, h, c, total
 
 
 def shrink_prompt(
@@ -713,16 +714,16 @@ def shrink_prompt(
         return wrapped(let(_head(rest, intro), fit))
 
     def by_rendering() -> DataFrame:
-        shape = "struct<done:boolean,text:string,step:int>"
+        shape = "struct<done:boolean,text:string,step:int,total:int>"
 
         def attempt(a: Column, step: Column) -> Column:
             tried = let(
-                render(step),
-                lambda t: F.struct((counter(t) <= limit).alias("done"), t.alias("text"), step.alias("step")).cast(shape),
+                let(render(step), lambda t: F.struct(t.alias("text"), counter(t).alias("n"))),
+                lambda x: F.struct((x.getField("n") <= limit).alias("done"), x.getField("text"), step.alias("step"), x.getField("n")).cast(shape),
             )
             return F.when(a.getField("done"), a).otherwise(tried)
 
-        start = F.struct(F.lit(False).alias("done"), F.lit("").alias("text"), F.lit(0).alias("step")).cast(shape)
+        start = F.struct(F.lit(False).alias("done"), F.lit("").alias("text"), F.lit(0).alias("step"), F.lit(0).alias("total")).cast(shape)
         return work.withColumn("_r", F.aggregate(F.sequence(F.lit(0), F.col("_m") + F.size("_order")), start, attempt))
 
     def by_sums() -> DataFrame:
@@ -731,15 +732,17 @@ def shrink_prompt(
         def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in parts:
                 found = [first_shrunk(r, budget, limit) for r in pdf.to_dict("records")]
-                yield pd.DataFrame(found, columns=["done", "step", "h", "c"])
+                yield pd.DataFrame(found, columns=["done", "step", "h", "c", "total"])
 
+        ends = [(wrap[0] + intro.split("\n")[0], intro.split("\n")[0]), (QUESTION.split("\n")[-1] + wrap[1], QUESTION.split("\n")[-1])]
         before = F.array_join(F.concat(_texts(intro), _interest_lines(reduced(F.lit(0))[0]), _texts("")), "\n")
         after = F.array_join(F.col("_tail"), "\n")
         count = lambda t: F.coalesce(counter(t), F.lit(0)).cast("int")
         each = lambda c, f: F.transform(_all(c), lambda t: count(F.concat(F.lit("  - "), t))).alias(f)
         sums = F.struct(
             (count(before) + count(after)).alias("fixed"),
-            (count(F.concat(F.lit(wrap[0]), before)) + count(F.concat(after, F.lit(wrap[1])))).alias("wrapped"),
+            # the wrapping joins the first and the last line, which are the same for all rows
+            sum((count(F.lit(joined)) - count(F.lit(line)) for joined, line in ends), F.lit(0)).alias("more"),
             F.coalesce(F.transform(conv, lambda g, i: count(F.array_join(_group_lines(g, i), "\n"))), F.expr("cast(array() as array<int>)")).alias("groups"),
             F.coalesce(F.transform(_shown_items(h), count), F.expr("cast(array() as array<int>)")).alias("shown"),
             F.transform(F.sequence(F.lit(0), size(h)), lambda i: F.when(i > 0, count(_shown_head(i))).otherwise(count(F.lit(NO_SHOWN_CARDS)))).alias("shown_heads"),
@@ -751,31 +754,63 @@ def shrink_prompt(
         found = work.withColumn("_s", search(sums))
         rest, kept_conv = reduced(F.col("_s.step"))
         body = _full(_head(rest, intro), _first_n(kept_conv, F.col("_s.c")), _first_n(h, F.col("_s.h")), F.col("_tail"))
-        return found.withColumn("_r", F.struct(F.col("_s.done").alias("done"), wrapped(body).alias("text"), F.col("_s.step").alias("step")))
+        return found.withColumn("_r", F.struct(F.col("_s.done").alias("done"), wrapped(body).alias("text"), F.col("_s.step").alias("step"), F.col("_s.total").alias("total")))
 
     work = by_sums() if getattr(counter, "additive", False) else by_rendering()
-    # the longest end of the text, in whole characters, that the counter finds short enough: a search by halves, as a shorter
-    # end never counts more
+    # the longest end of the text, in whole characters, that the counter finds short enough: ends twice as long each until one is
+    # not, then a search by halves in that one, as a shorter end never counts more; so the text before it is not counted
     full = F.col("_r.text")
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.length(full) / max(limit, 1))).cast("int")) + 1
 
-    def halve(a: Column, _: Column) -> Column:
-        middle = F.floor((a.getField("lo") + a.getField("hi") + 1) / 2).cast("int")
-        fits = counter(F.right(full, middle)) <= limit
-        return F.struct(F.when(fits, middle).otherwise(a.getField("lo")).alias("lo"), F.when(fits, a.getField("hi")).otherwise(middle - 1).alias("hi"))
+    def longer(a: Column, i: Column) -> Column:
+        end = F.right(full, F.least(F.lit(float(max(limit, 1))) * F.pow(F.lit(2.0), i), F.lit(2147483647.0)).cast("int"))
+        return F.when(a.getField("over"), a).otherwise(let(end, lambda t: F.struct((counter(t) > limit).alias("over"), t.alias("end"))))
 
-    bounds = F.struct(F.lit(0).alias("lo"), F.length(full).alias("hi"))
-    longest = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.length(full) + 1)).cast("int") + 1), bounds, halve, lambda a: a.getField("lo"))
-    work = work.withColumn("_end", F.when(~F.col("_r.done"), longest))
-    text = F.when(F.col("_r.done"), full).otherwise(F.right(full, F.col("_end")))
+    near = F.aggregate(
+        F.sequence(F.lit(0), doublings), F.struct(F.lit(False).alias("over"), F.lit("").alias("end")), longer, lambda a: a.getField("end")
+    )
+
+    def ending(t: Column, most: Column) -> Column:
+        """Characters of the longest end of ``t`` that counts at most ``most``."""
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a.getField("lo") + a.getField("hi") + 1) / 2).cast("int")
+            return let(counter(F.right(t, middle)) <= most, lambda ok: F.struct(
+                F.when(ok, middle).otherwise(a.getField("lo")).alias("lo"), F.when(ok, a.getField("hi")).otherwise(middle - 1).alias("hi")
+            ))
+
+        halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.length(t) + 1)).cast("int") + 1)
+        return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.length(t).alias("hi")), halve, lambda a: a.getField("lo"))
+
+    def ending_by_lines(t: Column) -> Column:
+        """The same where counts add up over lines: whole lines from the last, each counted once, then a part of the next."""
+        shape = "struct<over:boolean,left:int,chars:int,line:string>"
+
+        def add(a: Column, line: Column) -> Column:
+            left, chars = a.getField("left"), a.getField("chars")
+            one = lambda n: F.when(n <= left, F.struct(F.lit(False), left - n, chars + F.length(line) + 1, F.lit("")).cast(shape)).otherwise(
+                F.struct(F.lit(True), left, chars, line).cast(shape)
+            )
+            return F.when(a.getField("over"), a).otherwise(let(counter(line), one))
+
+        start = F.struct(F.lit(False), F.lit(limit), F.lit(0), F.lit("")).cast(shape)
+        whole = F.aggregate(F.reverse(F.split(t, "\n")), start, add)
+        part = lambda a: F.when(a.getField("over"), a.getField("chars") + ending(a.getField("line"), a.getField("left")))
+        return F.coalesce(let(whole, part), F.length(t))
+
+    longest = ending_by_lines if getattr(counter, "additive", False) else lambda t: ending(t, F.lit(limit))
+    cut = let(let(near, lambda t: F.struct(t.alias("t"), longest(t).alias("n"))), lambda e: F.right(e.getField("t"), e.getField("n")))
+    work = work.withColumn("_cut", F.when(~F.col("_r.done"), let(cut, lambda t: F.struct(t.alias("text"), counter(t).alias("tokens")))))
+    text = F.when(F.col("_r.done"), full).otherwise(F.col("_cut.text"))
+    tokens = F.when(F.col("_r.done"), F.when(full.isNotNull(), F.col("_r.total"))).otherwise(F.col("_cut.tokens"))
     gone = F.slice("_order", F.lit(1), F.col("_r.step") - F.least(F.col("_r.step"), F.col("_m")))
     return work.select(
         *df.columns,
         text.alias("prompt"),
-        counter(text).alias("tokens"),
+        tokens.alias("tokens"),
         F.struct(
             F.least(F.col("_r.step"), F.col("_m")).alias("conversations"),
             *[times(gone, q).alias(k) for k, q in queues.items()],
-            F.when(F.col("_r.done"), 0).otherwise(counter(full) - counter(text)).alias("hard_truncated_tokens"),
+            F.when(F.col("_r.done"), 0).otherwise(F.col("_r.total") - tokens).alias("hard_truncated_tokens"),
         ).alias("drops"),
     )
 

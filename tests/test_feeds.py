@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -346,6 +347,22 @@ def test_shrinking_by_sums_is_shrinking_by_rendering(spark, wrap):
         assert plan.count("aggregate(") < want._jdf.queryExecution().analyzed().toString().count("aggregate(")
 
 
+def test_the_kept_end_is_found_without_counting_the_whole(spark):
+    long = "".join(chr(0x1F600 + i % 5) + ("\n" if i % 41 == 40 else " \t"[i % 2] if i % 3 == 0 else "x") for i in range(3000))
+    df = samples(spark).withColumn("candidate", F.col("candidate").withField("title", F.lit(long)))
+    for limit in (0, 1, 7, 200, 999):
+        r = prompts.shrink_prompt(df, 400, limit, wrap=("Pre ", " post")).first()
+        whole = prompts.shrink_prompt(df, 400, r["tokens"] + r["drops"]["hard_truncated_tokens"], wrap=("Pre ", " post")).first()
+        assert whole["drops"]["hard_truncated_tokens"] == 0 and whole["tokens"] == words(whole["prompt"])
+        end = whole["prompt"][len(whole["prompt"]) - len(r["prompt"]):]
+        assert r["prompt"] == end and r["tokens"] == words(end) <= limit
+        assert words(whole["prompt"][len(whole["prompt"]) - len(end) - 1:]) > limit
+    plan = prompts.shrink_prompt(df, 400, 30)._jdf.queryExecution().optimizedPlan().toString()
+    # interests are put together once to be counted and once for the text, and the whole text is never counted
+    assert plan.count("USER_INTERESTS (positive, ranked by strength):") == 2
+    assert not re.search(r"regexp_extract_all\(_r#\d+\.text", plan)
+
+
 def test_a_filter_on_a_budgeted_prompt_does_not_search_twice(spark):
     out = prompts.budgeted_prompt(samples(spark), 400)
     searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
