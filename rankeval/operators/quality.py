@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from rankeval.functions.loose import kind, text_of
+from rankeval.functions.text import let
 from rankeval.operators.ranges import exact_percentiles
 from rankeval.sources.staging import small, stage
 
@@ -134,14 +135,47 @@ def comparable(df: DataFrame, c: str) -> Column:
     return F.col(c)
 
 
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_RAW = 64  # characters of a text that is compared as it is
+
+
+def _equal_as_text(kind: T.DataType) -> bool:
+    """Values of the type are equal just where their JSON texts are."""
+    if isinstance(kind, T.StructType):
+        return all(_equal_as_text(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _equal_as_text(kind.elementType)
+    return isinstance(kind, _PLAIN) and (not isinstance(kind, T.StringType) or kind == T.StringType())  # no collation
+
+
+def fingerprint(df: DataFrame, c: str) -> Column:
+    """:func:`comparable`, with texts above ``_RAW`` characters, and nested values of (valid) texts, whole numbers and truth values, as the
+    SHA-256 of all their content: what is staged or shuffled does not grow with the values.  No text that is left as it is has the
+    length of a fingerprint.  Values of other types stay whole."""
+    value, of = comparable(df, c), df.schema[c].dataType
+    if isinstance(of, (T.StructType, T.ArrayType)) and _equal_as_text(of):
+        value = F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("m")), {"ignoreNullFields": "false"}))
+    elif df.select(value.alias("v")).schema["v"].dataType != T.StringType():
+        return value
+    return let(value, lambda t: F.when(F.length(t) > _RAW, F.concat(F.lit("#"), F.sha2(t, 256))).otherwise(t))
+
+
+def fingerprinted(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``df`` with the values of ``fields`` replaced by what :func:`reconcile` compares of them, for rows that are costly to make and
+    large to keep."""
+    return df.withColumns({f: fingerprint(df, f) for f in fields})
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Full outer match with a null-safe equality flag per field (null where a side is missing).
 
     Both sides must be unique by key (see :func:`last_by_key`).
     """
     ks = list(keys)
-    l = left.select(*ks, F.struct(*fields).alias("_l"), F.struct(*[comparable(left, f).alias(f) for f in fields]).alias("_cl"))
-    r = right.select(*ks, F.struct(*fields).alias("_r"), F.struct(*[comparable(right, f).alias(f) for f in fields]).alias("_cr"))
+    stored = lambda df, f: df.schema[f].dataType.simpleString()
+    of = {f: fingerprint if stored(left, f) == stored(right, f) else comparable for f in fields}
+    l = left.select(*ks, F.struct(*fields).alias("_l"), F.struct(*[of[f](left, f).alias(f) for f in fields]).alias("_cl"))
+    r = right.select(*ks, F.struct(*fields).alias("_r"), F.struct(*[of[f](right, f).alias(f) for f in fields]).alias("_cr"))
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     side = F.when(both, "both").when(F.col("_r").isNull(), "only_left").otherwise("only_right")
     joined = _full_outer(l, r, ks).withColumn("side", side)

@@ -126,7 +126,8 @@ def _(spark, sf):
   count(*) FILTER (bizdate<>'' AND itemid NOT LIKE '%-2') AS same_label FROM flat GROUP BY 1""")
 def _(spark, sf):
     """Q1 over samples with nested fields: the other side lacks undated feeds, some features, and turns some labels."""
-    rows = written(flat(spark, sf).select("feed_id", "candidate.itemid", "bizdate", "label", "features", "interests"), "samples")
+    samples = flat(spark, sf).select("feed_id", "candidate.itemid", "bizdate", "label", "features", "interests")
+    rows = written(quality.fingerprinted(samples, ["features", "interests"]), "samples")
     left = rows.drop("bizdate")
     right = rows.where("bizdate <> ''").select(
         "feed_id", "itemid", F.when(F.col("itemid").endswith("-2"), 1 - F.col("label")).otherwise(F.col("label")).alias("label"),

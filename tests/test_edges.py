@@ -73,3 +73,39 @@ def test_maps_are_compared_by_content(spark):
     left, right = make([(1, {"a": "1", "b": "2"}), (2, {"a": "1"}), (3, None)]), make([(1, {"b": "2", "a": "1"}), (2, {"a": "2"}), (3, None)])
     rows = quality.reconcile(left, right, ["k"], ["m"]).orderBy("k").collect()
     assert [r["same_m"] for r in rows] == [True, False, True]
+
+
+def test_reconciled_values_travel_as_fingerprints(spark):
+    """Also values that differ only at the end of a long text or by a null inside are told apart, and no long text is shuffled."""
+    long = "long text " * 20
+    shape = "k int, t string, n struct<a:array<string>,b:struct<c:string,d:int>>, x array<double>, m map<string,string>"
+    row = lambda k, t, a, c, x, m: (k, t, (a, (c, 1)), x, m)
+    left = [
+        row(1, long, [long, None], long, [0.0], {"a": long, "b": "1"}), row(2, long + "a", [long], None, [float("nan")], {"a": long}),
+        row(3, "x", None, "c", [1.0], None), (4, None, None, None, None), row(5, long, [long], long, [1.0], {}),
+    ]
+    right = [
+        row(1, long, [long, None], long, [-0.0], {"b": "1", "a": long}), row(2, long + "b", [long], "", [float("nan")], {"a": long + "."}),
+        row(3, "y", [], "c", [2.0], {}), (4, None, None, None, None), row(6, long, [long], long, [1.0], {}),
+    ]
+    l, r = (spark.createDataFrame(rows, shape) for rows in (left, right))
+    fields = ["t", "n", "x", "m"]
+    same = [f"same_{f}" for f in fields]
+    m = quality.reconcile(l, r, ["k"], fields)
+    got = {x["k"]: (x["side"], *[x[f] for f in same]) for x in m.collect()}
+    assert got == {
+        1: ("both", True, True, True, True), 2: ("both", False, False, True, False), 3: ("both", False, False, False, False),
+        4: ("both", True, True, True, True), 5: ("only_left", *[None] * 4), 6: ("only_right", *[None] * 4),
+    }
+    assert {x["k"]: x["left_t"] for x in m.collect()}[2] == long + "a"  # whole values come back
+    marks = quality.fingerprinted(l, fields)
+    assert [len(x["n"]) for x in marks.where("k in (1, 2, 5)").collect()] == [65] * 3 and marks.where("k = 3").first()["t"] == "x"
+    again = quality.reconcile(marks, quality.fingerprinted(r, fields), ["k"], fields)
+    assert {x["k"]: (x["side"], *[x[f] for f in same]) for x in again.collect()} == got
+
+
+def test_reconcile_samples_keeps_no_interests(spark):
+    from rankeval.plans.catalog import QUERIES
+
+    staged = spark.read.parquet(*QUERIES["reconcile_samples"](spark, "/root/testdata/sf0.001").inputFiles())
+    assert dict(staged.dtypes)["interests"] == "string" and staged.agg(F.max(F.length("interests"))).first()[0] == 65
