@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rankeval.sources.staging import small, stage, written
+from rankeval.sources.staging import discard, small, stage, written
 
 _CHUNK = 64  # splitters are searched in two steps: one coarse bound per 64, then inside one chunk
 
@@ -167,6 +167,7 @@ def table_index(df: DataFrame, order: Sequence[str], name: str, keep: Sequence[s
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PLAN.rows))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = written(placed.select(*kept, F.monotonically_increasing_id().alias("_at")), "placed")
+    discard(rows)
     # the upper bits of that id tell the range, the others the place in it
     part = F.shiftright("_at", 33)
     sizes = stage(placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")))

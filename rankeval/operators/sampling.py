@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rankeval.operators.ranges import ordered_index, table_index
 from rankeval.operators.selection import first_by_content
-from rankeval.sources.staging import stage, written
+from rankeval.sources.staging import discard, release, stage, written
 
 _SLOT_ROWS = 100_000  # rows that are ordered to find a cut
 _POOL_ROWS = 250_000  # rows of a pool that a task holds to look them up
+_TILE_PAIRS = 1 << 19  # pairs that a tile of the ring makes, about
+_TILE_ROWS = 1 << 20  # rows that a task sorts by their tiles
 
 
 def hash_hex(seed: int, *keys: Column | str) -> Column:
@@ -137,6 +141,57 @@ def _fetched(wanted: DataFrame, pool: DataFrame, total: int) -> DataFrame:
     return wanted.repartition(parts, "_idx").join(pool.repartition(parts, "_idx").hint("shuffle_hash"), "_idx")
 
 
+def _tile(need: Column | int, at: Column, total: int, width: int) -> Column:
+    """The tile of a place on a ring of ``total``: the ring is cut into ``need`` equal stretches, and the places that lie ``width`` by
+    ``width`` behind their beginnings make a tile together."""
+    n = F.lit(need).cast("bigint") if isinstance(need, int) else need
+    stretch = F.floor(F.lit(total) / n)
+    behind = at - F.least(F.floor(at / stretch), n - 1) * stretch
+    tiles = F.greatest(F.lit(1), F.floor(stretch / width))
+    return (n * F.lit(1 << 40) + F.least(F.floor(behind / width), tiles - 1)).cast("bigint")
+
+
+def _fetched_by_tiles(placed: DataFrame, ring: DataFrame, feed: str, items: Sequence[str], total: int, needs: Sequence[int], width: int) -> DataFrame:
+    """The cross-feed pairs of anchors that want ``needs`` rows each.  Those lie nearly evenly on the ring: anchors with the same number
+    whose first wanted rows are near want rows near each other all the way round.  Anchors and the ring's rows are dealt to tiles, an
+    anchor once, a row once (at an edge twice) for each number wanted, so pairs are made where they meet and never travel.
+
+    The j-th wanted place of an anchor is off its first place plus j stretches by less than the feed's clicks and twice the wanted
+    number; rows are dealt that far (``width // 16``) beyond the edges of their tile.
+    """
+    names = [feed, *items]
+    first = F.pmod(F.col("_base") + F.col("_t0"), F.lit(total))
+    anchors = placed.select(_tile(F.col("_need"), first, total, width).alias("_tile"), "_base", "_t0", "_others", *names)
+    edge = width // 16
+    near = lambda n: F.array_distinct(F.array(*[_tile(n, F.pmod(F.col("_idx") + d, F.lit(total)), total, width) for d in (-edge, 0, edge)]))
+    rows = ring.select(F.explode(F.flatten(F.array(*[near(n) for n in needs]))).alias("_tile"), "_idx", *names)
+    default = int(ring.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(default, -(-total * (len(needs) + 1) // _TILE_ROWS))
+    kinds = {c: ring.schema[c].dataType.simpleString() for c in names}
+    named = [("anchor_feed", feed), *[(f"anchor_{c}", c) for c in items]]
+    found = [("neg_feed", feed), *[(f"neg_{c}", c) for c in items]]
+    schema = ", ".join([*[f"`{to}` {kinds[c]}" for to, c in named], "source string", *[f"`{to}` {kinds[c]}" for to, c in found]])
+
+    def pairs(a: pa.Table, b: pa.Table) -> pa.Table:
+        base, t0, others, tile = (a.column(c).to_numpy() for c in ("_base", "_t0", "_others", "_tile"))
+        need = int(tile[0] >> 40) if len(tile) else 0
+        step = others // max(need, 1)
+        wanted = (base[:, None] + (t0[:, None] + np.arange(need) * step[:, None]) % others[:, None]) % total
+        held = b.column("_idx").to_numpy()
+        order = np.argsort(held)
+        at = order[np.minimum(np.searchsorted(held, wanted.ravel(), sorter=order), len(held) - 1)] if len(held) else np.zeros(0, int)
+        if wanted.size and not (len(held) and (held[at] == wanted.ravel()).all()):
+            raise AssertionError("a wanted row lies outside its tile")
+        mine, theirs = pa.array(np.repeat(np.arange(len(tile)), need)), pa.array(at[: wanted.size])
+        left = [a.column(c).combine_chunks().take(mine) for _, c in named]
+        right = [b.column(c).combine_chunks().take(theirs) for _, c in found]
+        source = pa.array(["cross_feed"], pa.string()).take(pa.array(np.zeros(wanted.size, np.int64)))
+        return pa.Table.from_arrays([*left, source, *right], [*[to for to, _ in named], "source", *[to for to, _ in found]])
+
+    dealt = lambda df: df.repartition(parts, "_tile").groupBy("_tile")
+    return dealt(anchors).cogroup(dealt(rows)).applyInArrow(pairs, schema)
+
+
 def mine_negatives(
     df: DataFrame, feed: str, item_cols: Sequence[str], label: str = "label", k: int = 20, seed: int = 42,
     cross_feed: bool = True,
@@ -154,6 +209,7 @@ def mine_negatives(
     """
     items = list(item_cols)
     rows = written(df.select(feed, *items, label), "rows")
+    release(df.sparkSession)  # what making the rows has shuffled
     anchors = rows.where(F.col(label) == 1).drop(label)
     anchors = anchors.withColumn("_start", stable_hash(seed, feed, *items))
     others = rows.where(F.col(label) == 0).drop(label).withColumn("_h", stable_hash(seed + 1, feed, *items))
@@ -176,12 +232,14 @@ def mine_negatives(
     own = [*named, F.lit("in_session").alias("source"), F.col(feed).alias("neg_feed"), *negs]
     # a feed with at most k others gives an anchor all of them: no numbers are needed
     session = sized.where((F.col("_m") > 0) & (F.col("_m") <= k)).join(got, feed).select(*own)
-    in_feed = sized.where(F.col("_m") > k).withColumn("_idx", F.explode(spread(F.col("_m"), F.lit(k))))
-    session = session.unionByName(in_feed.join(got, [feed, "_idx"]).select(*own))
+    large = numbered.where(F.col("_idx") == k).select(feed)  # feeds with more, each once
+    if not large.isEmpty():
+        in_feed = sized.where(F.col("_m") > k).withColumn("_idx", F.explode(spread(F.col("_m"), F.lit(k))))
+        session = session.unionByName(in_feed.join(got.join(large, feed, "left_semi"), [feed, "_idx"]).select(*own))
     if not cross_feed:
         return session
 
-    ring = anchors.select(feed, *items).withColumn("_fh", hash_hex(seed, feed)).withColumn(
+    ring = anchors.select(feed, *items).withColumn("_fh", F.unhex(hash_hex(seed, feed))).withColumn(
         "_h", stable_hash(seed + 2, feed, *items)
     )
     ring = table_index(ring, ["_fh", feed, "_h", *items], "_idx", [feed, *items])
@@ -190,6 +248,23 @@ def mine_negatives(
     short = sized.where(F.col("_m") < k).withColumn("_need", (F.lit(k) - F.col("_m")).cast("bigint"))
     placed = short.join(blocks, feed).withColumn("_total", F.lit(total))
     placed = placed.withColumn("_others", F.col("_total") - F.col("_size")).where("_others > 0")
+    discard(rows)
+    width = max(512, _TILE_PAIRS // (k * k))
+    if total > max(_POOL_ROWS, 4 * k * width):
+        placed = placed.withColumn("_base", F.pmod(F.col("_from") + F.col("_size"), "_total"))
+        placed = written(placed.withColumn("_t0", F.pmod("_start", "_others")).drop("_m"), "placed")
+        release(df.sparkSession)
+        # anchors go by tiles where that deals fewer rows; those of feeds with many clicks, whose wanted rows are spaced otherwise, by number
+        few = F.col("_size") + 2 * k <= width // 16
+        counts = placed.where(few).groupBy("_need").count().collect()  # at most k
+        needs = [r["_need"] for r in counts if r["count"] * r["_need"] > 1.25 * total]
+        by_tiles = few & F.col("_need").isin(needs)
+        if needs:
+            tiled = _fetched_by_tiles(placed.where(by_tiles), ring, feed, items, total, needs, width)
+            session = session.unionByName(tiled.select(*[c.name for c in session.schema]))
+        placed = placed.where(~by_tiles)
+        if placed.isEmpty():
+            return session
     wanted = placed.withColumn("_t", F.explode(spread(F.col("_others"), F.col("_need"))))
     wanted = wanted.withColumn("_idx", F.pmod(F.col("_from") + F.col("_size") + F.col("_t"), F.col("_total")))
     wanted = wanted.select("_idx", *named, F.lit("cross_feed").alias("source"))

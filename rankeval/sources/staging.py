@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -51,6 +52,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made, when all that reads it has been written in turn.  Tables that lie
+    elsewhere, or that were not written for want of a folder, are left alone."""
+    spark = df.sparkSession
+    folder = _folder(spark)
+    paths = {f.rpartition("/")[0] for f in df.inputFiles()} if folder is not None else set()
+    for path in paths:
+        parent, _, name = path.rpartition("/")
+        if parent.rpartition("/")[2] == folder.rpartition("/")[2] and re.fullmatch(r".*-[0-9a-f]{32}", name):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints that no table refers to any more.
 
