@@ -760,10 +760,11 @@ def shrink_prompt(
     # the longest end of the text, in whole characters, that the counter finds short enough: ends twice as long each until one is
     # not, then a search by halves in that one, as a shorter end never counts more; so the text before it is not counted
     full = F.col("_r.text")
-    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.length(full) / max(limit, 1))).cast("int")) + 1
+    least = 8.0 * max(limit, 1)  # more characters than most texts of that many tokens have
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.length(full) / least)).cast("int")) + 1
 
     def longer(a: Column, i: Column) -> Column:
-        end = F.right(full, F.least(F.lit(float(max(limit, 1))) * F.pow(F.lit(2.0), i), F.lit(2147483647.0)).cast("int"))
+        end = F.right(full, F.least(F.lit(least) * F.pow(F.lit(2.0), i), F.lit(2147483647.0)).cast("int"))
         return F.when(a.getField("over"), a).otherwise(let(end, lambda t: F.struct((counter(t) > limit).alias("over"), t.alias("end"))))
 
     near = F.aggregate(
